@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream.  The glob (``name.parque[t]``)
+    lets the file source watch the shared folder for exactly this table."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels on doc_id: ``(doc_id, text, n_chars, label)``.
 

@@ -347,3 +347,108 @@ SQL: dict[str, str] = {
          coalesce(nullif(raw_output, ''), {lit(S.no_output_text)}) AS raw_text,
          printf('%.2f', latency_sec) || 's' AS latency_text FROM preds""",
 }
+
+SQL["jsonl_roundtrip"] = SQL["prepare_records"]
+SQL["stream_prepare"] = SQL["prepare_records"]
+SQL["predictions_jsonl"] = EVAL + """ SELECT mode, "index", expected, raw_output, predicted, round(latency_sec, 6) AS latency_sec FROM preds"""
+
+_SRC_NAMES = "SELECT DISTINCT 'reviews_' || source AS name FROM documents"
+SQL["registry_upsert"] = with_(
+    BASE_CTES,
+    f"""
+old AS (SELECT name, 'reviews/' || substr(name, 9) || '/train.jsonl' AS file_name FROM ({_SRC_NAMES})),
+new AS (SELECT DISTINCT 'reviews_' || d.source AS name FROM sp JOIN documents d ON sp.doc_id = d.doc_id WHERE sp.split = 'test'),
+newe AS (SELECT name, 'reviews/' || substr(name, 9) || '/test.jsonl' AS file_name FROM new),
+up AS (SELECT * FROM old WHERE name NOT IN (SELECT name FROM newe) UNION ALL SELECT * FROM newe)""",
+) + " SELECT name, file_name, 'instruction' AS prompt, 'input' AS query, 'output' AS response FROM up"
+
+SQL["mapped_columns"] = with_(BASE_CTES) + " SELECT instruction AS prompt, input AS query, output AS response FROM rec"
+
+
+def _req_mode(k: str) -> str:
+    return f"CASE {k} WHEN 1 THEN 'base' WHEN 2 THEN 'tuned' WHEN 3 THEN 'draft' END"
+
+
+def _validated(src: str) -> str:
+    return f"""
+v AS (
+  SELECT *, nullif(concat_ws('; ',
+      CASE WHEN text IS NULL THEN 'text missing' END,
+      CASE WHEN length(text) < 1 THEN 'text shorter than 1' END,
+      CASE WHEN length(text) > 2000 THEN 'text longer than 2000' END,
+      CASE WHEN mode NOT IN ('base', 'tuned') THEN 'unknown mode ' || mode END), '') AS reason
+  FROM (SELECT request_id, text, coalesce(mode0, 'tuned') AS mode FROM ({src}))
+)"""
+
+
+SQL["validate_requests"] = (
+    with_(
+        _validated(
+            f"SELECT conv_id * 100 + turn AS request_id, text, {_req_mode('(conv_id + turn) % 4')} AS mode0 FROM conversations"
+        )
+    )
+    + " SELECT request_id, mode, reason IS NULL AS accepted, reason FROM v"
+)
+
+_DOC_REQ = f"SELECT doc_id AS request_id, text, {_req_mode('doc_id % 4')} AS mode0 FROM documents"
+SERVE = with_(
+    BASE_CTES,
+    FIT_CTES,
+    _validated(_DOC_REQ),
+    f"""
+ok AS (SELECT request_id, mode, {strip('text')} AS text FROM v WHERE reason IS NULL),
+rt AS (SELECT DISTINCT request_id, unnest(list_distinct({tokens('text')})) AS token FROM ok WHERE mode = 'tuned'),
+rs AS (SELECT rt.request_id, sum(w.weight) AS s FROM rt JOIN w ON rt.token = w.token GROUP BY rt.request_id),
+resp AS (
+  SELECT request_id, mode,
+         CASE WHEN list_has_any({tokens('text')}, {BASE_WORDS}) THEN {NEG} ELSE {POS} END AS raw_output
+  FROM ok WHERE mode = 'base'
+  UNION ALL
+  SELECT ok.request_id, ok.mode,
+         CASE WHEN (SELECT prior FROM prior) + coalesce(rs.s, 0) >= 0 THEN {POS} ELSE {NEG} END
+  FROM ok LEFT JOIN rs ON ok.request_id = rs.request_id WHERE ok.mode = 'tuned'
+)""",
+)
+SQL["stream_scoring"] = SERVE + " SELECT request_id, mode, raw_output AS label, raw_output FROM resp"
+SQL["stream_rejects"] = SERVE + " SELECT request_id, mode, reason FROM v WHERE reason IS NOT NULL"
+SQL["stream_metrics"] = (
+    EVAL
+    + " SELECT mode, total, n_correct, n_valid, pos_as_pos, pos_as_neg, pos_invalid, neg_as_neg, neg_as_pos, neg_invalid FROM cnts"
+)
+
+_MODE_ORD = "(SELECT * FROM (VALUES ('base', 0), ('tuned', 1)) t(mode, mode_ord))"
+_FIXED_LINES = [
+    (0, -1, 0, "# Evaluation report"),
+    (0, -1, 1, ""),
+    (0, -1, 2, f"Task: binary text classification; a valid answer is `{S.positive}` or `{S.negative}`."),
+    (0, -1, 3, ""),
+    (0, -1, 4, "| mode | Accuracy | Macro F1 | Format Valid | Avg Latency |"),
+    (0, -1, 5, "| --- | ---: | ---: | ---: | ---: |"),
+    (2, -1, 0, ""),
+    (2, -1, 1, "## Confusion counts"),
+    (2, -1, 2, ""),
+    (4, -1, 0, "## Example errors"),
+    (4, -1, 1, ""),
+]
+_CELLS = ("pos_as_pos", "pos_as_neg", "pos_invalid", "neg_as_neg", "neg_as_pos", "neg_invalid")
+SQL["report_lines"] = EVAL + ", mo AS " + _MODE_ORD + " SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT {a} AS section, {b} AS mode_ord, {c} AS line_no, {lit(d)} AS line" for a, b, c, d in _FIXED_LINES]
+    + [
+        "SELECT 1, mo.mode_ord, 0, '| ' || m.mode || ' | ' || printf('%.2f%%', m.accuracy * 100) || ' | ' || "
+        "printf('%.2f%%', m.macro_f1 * 100) || ' | ' || printf('%.2f%%', m.format_valid_rate * 100) || ' | ' || "
+        "printf('%.2f', m.avg_latency_sec) || 's |' FROM met m JOIN mo ON m.mode = mo.mode",
+        "SELECT 3, mo.mode_ord, 0, '### ' || c.mode FROM cnts c JOIN mo ON c.mode = mo.mode",
+    ]
+    + [
+        f"SELECT 3, mo.mode_ord, {i + 1}, '- `{name}`: ' || CAST(c.{name} AS VARCHAR) FROM cnts c JOIN mo ON c.mode = mo.mode"
+        for i, name in enumerate(_CELLS)
+    ]
+    + [
+        f"SELECT 3, mo.mode_ord, {len(_CELLS) + 1}, '' FROM cnts c JOIN mo ON c.mode = mo.mode",
+        "SELECT 5, mode_ord, 0, '### ' || mode FROM mo",
+        "SELECT 5, mo.mode_ord, e.rank, '- expected `' || e.expected || '`, predicted `' || coalesce(e.predicted, 'None') || "
+        "'`, output: ' || e.raw_snippet || '; text: ' || e.snippet FROM errs e JOIN mo ON e.mode = mo.mode",
+        "SELECT 5, mode_ord, 1, '- no errors.' FROM mo WHERE mode NOT IN (SELECT mode FROM errs)",
+        "SELECT 5, mode_ord, 10000, '' FROM mo",
+    ]
+) + ")"

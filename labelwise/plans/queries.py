@@ -290,3 +290,183 @@ def report_lines(spark, sf_dir):
         ev.metrics_from_counts(c), c.select("mode", *ev.CONFUSION_COLUMNS), rep.error_cases(preds, B.SPEC), B.MODES, B.SPEC
     )
     return lines.select(_b("section"), _b("mode_ord"), _b("line_no"), "line")
+
+
+# --- sources, sinks, registry ---------------------------------------------------
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    """S3 + S2: prepared records through JSON Lines and back (FAILFAST)."""
+    from ..session import scratch_path
+    from ..sources.readers import read_jsonl
+    from ..sources.sinks import write_records
+
+    path = scratch_path(spark, "records-jsonl")
+    write_records(B.Workspace.of(spark, sf_dir).records().drop("n_chars"), path, fmt="json", partition_by="split")
+    schema = "doc_id bigint, instruction string, input string, output string"
+    return read_jsonl(spark, path, schema, key=B.KEY).select("split", "doc_id", "instruction", "input", "output")
+
+
+@query
+def predictions_jsonl(spark, sf_dir):
+    """Predictions through JSON Lines with ``predicted: null`` kept."""
+    from ..session import scratch_path
+    from ..sources.readers import read_jsonl
+    from ..sources.sinks import write_predictions
+
+    path = scratch_path(spark, "predictions-jsonl")
+    write_predictions(_preds(spark, sf_dir), path)
+    schema = "index bigint, input string, expected string, raw_output string, predicted string, latency_sec double"
+    back = read_jsonl(spark, path, schema, key="index")
+    return back.select("mode", "index", "expected", "raw_output", "predicted", _r("latency_sec"))
+
+
+@query
+def stats_document(spark, sf_dir):
+    """Split stats as one JSON document keyed by split."""
+    from ..sources.sinks import json_document
+
+    stats = _split_stats(B.Workspace.of(spark, sf_dir).records(), B.SPEC).drop("split_ord")
+    return json_document(stats, key="split")
+
+
+def _registries(spark, sf_dir):
+    from ..sources import registry as R
+
+    docs = B.table(spark, sf_dir, "documents")
+    old = R.entries(
+        docs.select(F.concat(F.lit("reviews_"), F.col("source")).alias("name")).distinct(),
+        F.concat(F.lit("reviews/"), F.substring("name", 9, 1000), F.lit("/train.jsonl")),
+    )
+    test_sources = (
+        B.split_rows(spark, sf_dir).filter(F.col("split") == "test").select("doc_id")
+        .join(docs.select("doc_id", "source"), "doc_id")
+        .select(F.concat(F.lit("reviews_"), F.col("source")).alias("name"))
+        .distinct()
+    )
+    new = R.entries(test_sources, F.concat(F.lit("reviews/"), F.substring("name", 9, 1000), F.lit("/test.jsonl")))
+    return old, new
+
+
+@query
+def registry_upsert(spark, sf_dir):
+    """Per-source registry entries; sources seen in the test split are
+    re-pointed, the others kept."""
+    from ..sources import registry as R
+
+    old, new = _registries(spark, sf_dir)
+    up = R.upsert(old, new)
+    return up.select(
+        "name",
+        "file_name",
+        F.col("columns")["prompt"].alias("prompt"),
+        F.col("columns")["query"].alias("query"),
+        F.col("columns")["response"].alias("response"),
+    )
+
+
+@query
+def mapped_columns(spark, sf_dir):
+    """Prepared records under their logical role names."""
+    from ..sources.registry import mapped_columns as mc
+
+    return mc(B.records(spark, sf_dir))
+
+
+# --- requests and streams --------------------------------------------------------
+
+REQ_MODES = {0: None, 1: "base", 2: "tuned", 3: "draft"}
+
+
+def _request_mode(k):
+    expr = F.lit(None).cast("string")
+    for i, m in REQ_MODES.items():
+        if m is not None:
+            expr = F.when(k == i, F.lit(m)).otherwise(expr)
+    return expr
+
+
+@query
+def validate_requests(spark, sf_dir):
+    """P22 on every conversation message as a request."""
+    from ..streaming.serve import validate_requests as vr
+
+    conv = B.table(spark, sf_dir, "conversations")
+    req = conv.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        "text",
+        _request_mode(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))).alias("mode"),
+    )
+    return vr(req).select("request_id", "mode", "accepted", "reason")
+
+
+def _doc_requests(spark, sf_dir, stream: bool):
+    docs = (
+        B.stream_table(spark, sf_dir, "documents")
+        if stream
+        else B.table(spark, sf_dir, "documents")
+    )
+    return docs.select(
+        F.col("doc_id").alias("request_id"),
+        "text",
+        "n_chars",
+        _request_mode(F.pmod(F.col("doc_id"), F.lit(4))).alias("mode"),
+    )
+
+
+def _serve_run(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming.serve import start_serving
+
+    ws = B.Workspace.of(spark, sf_dir)
+    out, dead, ck = (scratch_path(spark, n) for n in ("responses", "dead-letter", "serve-ckpt"))
+    q = start_serving(_doc_requests(spark, sf_dir, True), ws.scorers(), B.SPEC, out, dead, ck, latency=B.latency_standin())
+    q.awaitTermination()
+    return out, dead
+
+
+@query
+def stream_scoring(spark, sf_dir):
+    """Documents streamed as requests, validated and scored per mode."""
+    out, _ = _serve_run(spark, sf_dir)
+    return spark.read.parquet(out).select("request_id", "mode", "label", "raw_output")
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """The dead-letter side of the same stream."""
+    _, dead = _serve_run(spark, sf_dir)
+    return spark.read.parquet(dead).select("request_id", "mode", "reason")
+
+
+@query
+def stream_metrics(spark, sf_dir):
+    """Running per-mode counts over the prediction table as a stream."""
+    from ..session import scratch_path
+    from ..streaming.metrics import start_metrics
+
+    ws = B.Workspace.of(spark, sf_dir)
+    static = ws.predictions()
+    stream = spark.readStream.schema(static.schema).parquet(ws._preds)
+    out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ckpt")
+    start_metrics(stream, B.SPEC, out, ck).awaitTermination()
+    return spark.read.parquet(out).select(
+        "mode", _b("total"), _b("n_correct"), _b("n_valid"), *[_b(c) for c in ev.CONFUSION_COLUMNS]
+    )
+
+
+@query
+def stream_prepare(spark, sf_dir):
+    """Streaming P2-P5 + first-wins dedup; equals ``prepare_records``."""
+    from ..operators.splits import canonical_splits
+    from ..session import scratch_path
+    from ..streaming.prepare import prepared, start_prepare
+
+    docs = B.stream_table(spark, sf_dir, "documents")
+    labs = B.table(spark, sf_dir, "labels").select(B.KEY, F.col("toxic").alias("label"))
+    rows = canonical_splits(docs.select(B.KEY, "text").join(labs, B.KEY), B.KEY, B.SPEC.seed)
+    out, ck = scratch_path(spark, "stream-prepare"), scratch_path(spark, "stream-prepare-ckpt")
+    for q in start_prepare(rows, B.SPEC, B.KEY, out, ck, class_names=B.CLASS_NAMES):
+        q.awaitTermination()
+    return prepared(spark, out, B.KEY).select("split", "doc_id", "instruction", "input", "output")
