@@ -117,13 +117,16 @@ def pandas_tokenizer(factory: Callable[[], Callable[[str], list[str]]]) -> Token
     """
     import pandas as pd
 
-    cache: dict[str, Callable] = {}
+    cache_key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tok(texts: pd.Series) -> pd.Series:
-        fn = cache.get("fn")
+    def tok(texts):
+        import sys
+
+        cache = sys.__dict__.setdefault("_labelwise_tokenizers", {})
+        fn = cache.get(cache_key)
         if fn is None:
-            fn = cache["fn"] = factory()
+            fn = cache[cache_key] = factory()
         return texts.map(lambda t: None if t is None else list(fn(t)))
 
-    return tok
+    tok.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(tok, T.ArrayType(T.StringType()))

@@ -90,7 +90,8 @@ class PandasScorer:
         def run(batches: Iterator):
             import sys
 
-            holder = sys.modules[__name__].__dict__.setdefault("_MODEL_CACHE", {})
+            # worker-process cache (workers are reused across tasks)
+            holder = sys.__dict__.setdefault("_labelwise_models", {})
             fn = holder.get(cache_key)
             if fn is None:
                 fn = holder[cache_key] = factory()
