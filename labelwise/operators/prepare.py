@@ -83,6 +83,40 @@ def to_records(
     return dedup_first(records, key) if dedup else records
 
 
+def records_from_pair(
+    texts: DataFrame,
+    labels: DataFrame,
+    spec: TaskSpec,
+    key: str,
+    text_col: str = "text",
+    label_col: str = "label",
+    split_col: str = "split",
+    class_names: dict[int, str] | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """P1-P5 + L5 when texts and labels are two tables joined on ``key``
+    (``labels`` carries the split).  Same result as ``to_records`` on their
+    join, planned so that the text crosses the network at most once:
+
+    1. narrow pass: sha256 + length of the stripped text are computed on
+       the text scan itself, then joined to the labels (split, label) and
+       grouped to the first key per (split, label, digest, length);
+    2. the surviving keys (with split and label) are joined back to the
+       text table: the only join that moves text (or none, when the key set
+       is small enough for the optimizer to broadcast).
+    """
+    t = py_strip(F.col(text_col).cast("string"))
+    narrow = texts.select(key, F.sha2(t, 256).alias("__d"), F.length(t).alias("__n"))
+    lab = labels.select(key, F.col(split_col).alias("split"), F.col(label_col).alias("__label_raw"))
+    staged = narrow.join(lab, key).filter(F.col("__n") > 0)
+    staged = staged.select(
+        key, "split", normalize_label(staged, "__label_raw", spec, class_names).alias("output"), "__d", "__n"
+    )
+    firsts = staged.groupBy("split", "output", "__d", "__n").agg(F.min(key).alias(key)).select(key, "split", "output")
+    full = texts.select(key, t.alias("input"), *[F.col(c) for c in keep]).join(firsts, key)
+    return full.select("split", key, F.lit(spec.instruction).alias("instruction"), "input", "output", *keep)
+
+
 def quarantined(
     df: DataFrame,
     spec: TaskSpec,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fit import TokenWeights, fit_token_weights
-from ..operators.prepare import to_records
+from ..operators.prepare import records_from_pair
 from ..operators.score import LexiconScorer, run_modes
 from ..operators.splits import canonical_splits
 from ..session import scratch_path
@@ -65,9 +65,22 @@ def split_rows(spark: SparkSession, sf_dir: str, seed: int = SPEC.seed) -> DataF
     return canonical_splits(labelled(spark, sf_dir), KEY, seed)
 
 
+def split_labels(spark: SparkSession, sf_dir: str, seed: int = SPEC.seed) -> DataFrame:
+    """L1/L2 on the (narrow) label table: the split depends on the key only."""
+    labs = table(spark, sf_dir, "labels").select(KEY, F.col("toxic").alias("label"))
+    return canonical_splits(labs, KEY, seed)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1-P5 + L5 over split rows: ``(split, doc_id, instruction, input, output, n_chars)``."""
-    return to_records(split_rows(spark, sf_dir), SPEC, key=KEY, class_names=CLASS_NAMES, keep=["n_chars"])
+    """P1-P5 + L5: ``(split, doc_id, instruction, input, output, n_chars)``.
+
+    Text and label live in two tables; ``records_from_pair`` dedups on a
+    narrow (key, digest) pass and joins the text back once.
+    """
+    docs = table(spark, sf_dir, "documents")
+    return records_from_pair(
+        docs, split_labels(spark, sf_dir), SPEC, KEY, class_names=CLASS_NAMES, keep=["n_chars"]
+    )
 
 
 def latency_standin() -> F.Column:

@@ -36,6 +36,12 @@ def _b(c: str):
     return F.col(c).cast("bigint").alias(c)
 
 
+def _records(spark, sf_dir):
+    """The prepared table, written once per session (downstream steps read
+    it like the reference's later stages read its prepared files)."""
+    return B.Workspace.of(spark, sf_dir).records()
+
+
 # --- preparation -------------------------------------------------------------
 
 
@@ -54,7 +60,7 @@ def split_records(spark, sf_dir):
 @query
 def split_stats(spark, sf_dir):
     """A1: per-split counts after dedup."""
-    return _split_stats(B.records(spark, sf_dir), B.SPEC).select(
+    return _split_stats(_records(spark, sf_dir), B.SPEC).select(
         "split", _b("records"), _b("positive"), _b("negative")
     )
 
@@ -81,7 +87,7 @@ def normalize_labels(spark, sf_dir):
 @query
 def cap_records(spark, sf_dir):
     """L3: seeded per-split caps (train 200, valid 20, test 20)."""
-    recs = B.records(spark, sf_dir)
+    recs = _records(spark, sf_dir)
     return seeded_cap(recs, {"train": 200, "valid": 20, "test": 20}, B.KEY, B.SPEC.seed).select(
         "split", "doc_id", "output"
     )
@@ -90,7 +96,7 @@ def cap_records(spark, sf_dir):
 @query
 def head_records(spark, sf_dir):
     """L4 / M6: first 64 train and 64 valid records by key; test whole."""
-    recs = B.records(spark, sf_dir)
+    recs = _records(spark, sf_dir)
     return head_limit(recs, {"train": 64, "valid": 64, "test": 0}, B.KEY).select("split", "doc_id", "output")
 
 
@@ -100,7 +106,7 @@ def head_records(spark, sf_dir):
 @query
 def chat_messages(spark, sf_dir):
     """P7 flattened to rows."""
-    return chat.flatten_messages(B.records(spark, sf_dir), B.KEY, B.SPEC).select(
+    return chat.flatten_messages(_records(spark, sf_dir), B.KEY, B.SPEC).select(
         "doc_id", _b("pos"), "role", "content"
     )
 
@@ -108,7 +114,7 @@ def chat_messages(spark, sf_dir):
 @query
 def render_prompt(spark, sf_dir):
     """P8 + P9."""
-    return chat.with_prompts(B.records(spark, sf_dir), B.SPEC).select("doc_id", "prompt", "target")
+    return chat.with_prompts(_records(spark, sf_dir), B.SPEC).select("doc_id", "prompt", "target")
 
 
 @query
@@ -128,7 +134,7 @@ def conversation_segments(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir):
-    return enc.encode(chat.with_prompts(B.records(spark, sf_dir), B.SPEC), max_length=B.SPEC.max_length, keep_tokens=True)
+    return enc.encode(chat.with_prompts(_records(spark, sf_dir), B.SPEC), max_length=B.SPEC.max_length, keep_tokens=True)
 
 
 @query
@@ -195,7 +201,7 @@ def fit_token_weights(spark, sf_dir):
 @query
 def token_document_counts(spark, sf_dir):
     """M4's counting stage over the whole train split (every token)."""
-    train = B.records(spark, sf_dir).filter(F.col("split") == "train")
+    train = B.Workspace.of(spark, sf_dir).split("train")
     return token_counts(train, B.SPEC).select("token", _b("dp"), _b("dn"))
 
 
@@ -221,7 +227,7 @@ def score_tuned(spark, sf_dir):
 @query
 def score_base_all(spark, sf_dir):
     """M3 over every prepared record (all splits), not materialised."""
-    recs = B.records(spark, sf_dir)
+    recs = _records(spark, sf_dir)
     p = score(recs, LexiconScorer(B.SPEC, B.BASE_WORDS), "base", B.SPEC, key=B.KEY, latency=B.latency_standin())
     return p.select("index", "expected", "predicted", "correct")
 
@@ -371,7 +377,7 @@ def mapped_columns(spark, sf_dir):
     """Prepared records under their logical role names."""
     from ..sources.registry import mapped_columns as mc
 
-    return mc(B.records(spark, sf_dir))
+    return mc(_records(spark, sf_dir))
 
 
 # --- requests and streams --------------------------------------------------------
