@@ -49,9 +49,14 @@ def encode(
     before any id array is built.
     """
     ids = ids or hashed_ids()
-    staged = df.withColumn("__p", tokenizer(F.col("prompt"))).withColumn(
-        "__f", F.slice(tokenizer(F.concat("prompt", "target")), 1, max_length)
+    # Both token arrays come out of one (outer) generator: a filter on its
+    # output cannot be pushed below it, so the P12 size test does not
+    # re-run the tokeniser.
+    pair = F.struct(
+        tokenizer(F.col("prompt")).alias("__p"),
+        F.slice(tokenizer(F.concat("prompt", "target")), 1, max_length).alias("__f"),
     )
+    staged = df.select("*", F.inline_outer(F.array(pair)))
     staged = staged.withColumn("n_prompt", F.size("__p")).withColumn("n_full", F.size("__f"))
     staged = staged.filter(F.col("n_full") > F.col("n_prompt"))  # P12
     n_masked = F.least("n_prompt", "n_full")

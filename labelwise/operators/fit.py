@@ -11,14 +11,14 @@ Fit, one pass over the training split after a class count:
 
 The fitted weights are written as a table under the shared checkpoint
 folder: that cuts lineage (an executor loss later re-reads the table
-instead of refitting) and gives the optimizer the table's real size, so
-the scoring join is broadcast only when the file is below
-``spark.sql.autoBroadcastJoinThreshold`` and is a shuffle join (with AQE
-skew splitting) otherwise.
-
-Score: explode each document's distinct tokens, inner-join the weights,
-sum per document; documents with no weighted token score the prior.
-score >= 0 answers the positive label.
+instead of refitting), and its row count, taken once from the written
+files, decides whether scoring broadcasts it (see BROADCAST_MAX_ROWS) or
+uses a shuffle join with AQE skew splitting.
+
+Score: explode each document's distinct tokens in place, left-join the
+weights, sum per document (one pass, no join back to the documents);
+documents with no weighted token score the prior.  score >= 0 answers the
+positive label.
 """
 
 from __future__ import annotations
@@ -33,6 +33,13 @@ from ..session import scratch_path
 from ..spec import TaskSpec
 
 
+# Explicit broadcast of the fitted weights only up to this many rows (the
+# count is recorded at fit time, so the bound is checked, not assumed);
+# beyond it the scoring join is a shuffle join on token, where AQE splits
+# the partitions of hot tokens.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
 @dataclass
 class TokenWeights:
     path: str
@@ -40,6 +47,7 @@ class TokenWeights:
     n_neg: int
     scale: int
     spec: TaskSpec
+    n_weights: int | None = None  # rows of the written table; None = unknown
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -50,41 +58,53 @@ class TokenWeights:
             "bigint"
         )
 
-    def scores(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
-        """``(key, score)`` for every row of ``df``."""
+    def _weights(self, spark: SparkSession) -> DataFrame:
+        w = self.table(spark).select("token", "weight")
+        if self.n_weights is not None and self.n_weights <= BROADCAST_MAX_ROWS:
+            return F.broadcast(w)
+        return w
+
+    def scores(self, df: DataFrame, key: str, text_col: str, carry=()) -> DataFrame:
+        """``(key, score, *carry)`` for every row of ``df``, in one pass.
+
+        Each row's distinct tokens are exploded in place (``explode_outer``
+        keeps rows without tokens), looked up in the weights and summed per
+        key.  All tokens of a row sit in the same task, so map-side partial
+        aggregation already yields one row per key; the shuffle moves that
+        row's small columns only (keep the text out of ``carry``).
+        """
         spark = df.sparkSession
-        toks = df.select(key, F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("token"))
-        sums = toks.join(self.table(spark).select("token", "weight"), "token").groupBy(key).agg(
-            F.sum("weight").alias("__s")
+        toks = df.select(
+            key, *carry, F.explode_outer(F.array_distinct(word_tokens(F.col(text_col)))).alias("token")
         )
-        return df.select(key).join(sums, key, "left").select(
-            key, (self.prior() + F.coalesce(F.col("__s"), F.lit(0))).alias("score")
+        joined = toks.join(self._weights(spark), "token", "left")
+        # carried columns are constant per key: grouping on them keeps the
+        # aggregate a hash aggregate (first() over strings would sort)
+        return joined.groupBy(key, *carry).agg(
+            (self.prior() + F.coalesce(F.sum("weight"), F.lit(0))).alias("score")
         )
 
-    def apply(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
-        spark = df.sparkSession
-        toks = df.select(key, F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("token"))
-        sums = toks.join(self.table(spark).select("token", "weight"), "token").groupBy(key).agg(
-            F.sum("weight").alias("__s")
-        )
+    def answer(self, score: Column) -> Column:
         s = self.spec
-        score = self.prior() + F.coalesce(F.col("__s"), F.lit(0))
-        return (
-            df.join(sums, key, "left")
-            .withColumn("raw_output", F.when(score >= 0, F.lit(s.positive)).otherwise(F.lit(s.negative)))
-            .drop("__s")
-        )
+        return F.when(score >= 0, F.lit(s.positive)).otherwise(F.lit(s.negative))
+
+    def apply(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
+        """Scorer protocol: every column of ``df`` except the text, plus
+        ``raw_output``."""
+        carry = [c for c in df.columns if c not in (key, text_col)]
+        return self.scores(df, key, text_col, carry).withColumn("raw_output", self.answer(F.col("score"))).drop("score")
 
 
 def token_counts(records: DataFrame, spec: TaskSpec, text_col: str = "input", label_col: str = "output") -> DataFrame:
     """``(token, dp, dn)``: documents of each class containing the token."""
+    # explode the expression in place: exploding a projected column makes the
+    # optimizer add a size(tokens) > 0 filter below it, tokenising twice
     docs = records.select(
-        F.array_distinct(word_tokens(F.col(text_col))).alias("toks"),
+        F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("token"),
         (F.col(label_col) == F.lit(spec.positive)).alias("y"),
     )
     return (
-        docs.select(F.explode("toks").alias("token"), "y")
-        .groupBy("token")
+        docs.groupBy("token")
         .agg(F.count_if(F.col("y")).alias("dp"), F.count_if(~F.col("y")).alias("dn"))
     )
 
@@ -111,7 +131,8 @@ def fit_token_weights(
     weights = weight_table(token_counts(records, spec, text_col, label_col), n_pos, n_neg, min_df, min_weight, scale)
     path = path or scratch_path(spark, "token-weights")
     weights.write.mode("overwrite").parquet(path)
-    return TokenWeights(path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec)
+    n_weights = spark.read.parquet(path).count()  # parquet footers only
+    return TokenWeights(path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec, n_weights=n_weights)
 
 
 def weight_table(

@@ -17,19 +17,28 @@ from ..spec import TaskSpec
 from .evaluate import CONFUSION_COLUMNS
 
 
-def error_cases(preds: DataFrame, spec: TaskSpec, k: int | None = None) -> DataFrame:
+def error_cases(
+    preds: DataFrame, spec: TaskSpec, k: int | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """L6 + P19: the first ``k`` failures (by index) of each mode.
 
     ``row_number() <= k`` over ``partition by mode`` is planned with a
     per-task group limit before the shuffle (WindowGroupLimit), so a mode
-    holding most of the rows still ships only k rows per task.
+    holding most of the rows still ships only k rows per task.  When the
+    predictions carry no text, ``texts`` ``(index, input)`` supplies it: the
+    at most k x modes failures are broadcast (a proven bound) and the text
+    table is only scanned, never shuffled.
     """
     k = spec.failures_per_mode if k is None else k
     w = Window.partitionBy("mode").orderBy("index")
     fails = preds.filter(~F.col("correct"))
+    top = fails.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if "input" not in top.columns:
+        if texts is None:
+            raise ValueError("predictions without input need `texts` (index, input)")
+        top = texts.select("index", "input").join(F.broadcast(top), "index")
     return (
-        fails.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
+        top
         .select(
             "mode",
             F.col("rank").cast("int").alias("rank"),

@@ -116,26 +116,33 @@ def score(
     text_col: str = "input",
     expected_col: str = "output",
     latency: Column | None = None,
+    keep_input: bool = True,
 ) -> DataFrame:
     """M1: records -> predictions (D9) plus ``correct`` / ``valid_format``.
 
     ``latency`` fills ``latency_sec`` for scorers that do not time rows
-    (default 0.0).
+    (default 0.0).  Relational scorers return one row per key without the
+    text; with ``keep_input`` the text is joined back (a shuffle of the
+    text), without it the predictions omit ``input`` — metrics never need
+    it, and ``report.error_cases`` fetches it for its few rows only.
     """
     scored = scorer.apply(df, key, text_col)
+    if keep_input and text_col not in scored.columns:
+        scored = scored.join(df.select(key, text_col), key)
     if "latency_sec" not in scored.columns:
         scored = scored.withColumn("latency_sec", (latency if latency is not None else F.lit(0.0)).cast("double"))
     raw = py_strip(F.coalesce(F.col("raw_output"), F.lit("")))
+    text = [F.col(text_col).alias("input")] if keep_input else []
     pred = scored.select(
         F.lit(mode).alias("mode"),
         F.col(key).cast("bigint").alias("index"),
-        F.col(text_col).alias("input"),
+        *text,
         F.col(expected_col).alias("expected"),
         raw.alias("raw_output"),
         F.col("latency_sec").cast("double").alias("latency_sec"),
     ).withColumn("predicted", extract_label("raw_output", spec))
     return pred.select(
-        *PREDICTION_COLUMNS,
+        *[c for c in PREDICTION_COLUMNS if c in pred.columns],
         is_correct("predicted", "expected").alias("correct"),
         is_valid_format("predicted", spec).alias("valid_format"),
     )

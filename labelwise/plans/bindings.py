@@ -128,6 +128,10 @@ class Workspace:
             )
         return self._weights
 
+    def test_texts(self) -> DataFrame:
+        """``(index, input)`` of the scored split, for the few rows that show text."""
+        return self.split("test").select(F.col(KEY).cast("bigint").alias("index"), "input")
+
     def scorers(self) -> dict:
         return {"base": LexiconScorer(SPEC, BASE_WORDS), "tuned": self.weights()}
 
@@ -136,7 +140,7 @@ class Workspace:
         fixed for every later aggregate and report)."""
         if self._preds is None:
             preds = run_modes(
-                self.split("test"), self.scorers(), MODES, SPEC, key=KEY, latency=latency_standin()
+                self.split("test"), self.scorers(), MODES, SPEC, key=KEY, latency=latency_standin(), keep_input=False
             )
             path = scratch_path(self.spark, "predictions")
             preds.write.mode("overwrite").partitionBy("mode").parquet(path)

@@ -276,7 +276,8 @@ def side_by_side(spark, sf_dir):
 @query
 def error_cases(spark, sf_dir):
     """L6 + P19."""
-    return rep.error_cases(_preds(spark, sf_dir), B.SPEC).select(
+    ws = B.Workspace.of(spark, sf_dir)
+    return rep.error_cases(_preds(spark, sf_dir), B.SPEC, texts=ws.test_texts()).select(
         "mode", _b("rank"), "index", "expected", "predicted", "raw_snippet", "snippet"
     )
 
@@ -291,9 +292,14 @@ def display_predictions(spark, sf_dir):
 def report_lines(spark, sf_dir):
     """R1."""
     preds = _preds(spark, sf_dir)
+    texts = B.Workspace.of(spark, sf_dir).test_texts()
     c = ev.counts(preds, B.SPEC)
     lines = rep.report_lines(
-        ev.metrics_from_counts(c), c.select("mode", *ev.CONFUSION_COLUMNS), rep.error_cases(preds, B.SPEC), B.MODES, B.SPEC
+        ev.metrics_from_counts(c),
+        c.select("mode", *ev.CONFUSION_COLUMNS),
+        rep.error_cases(preds, B.SPEC, texts=texts),
+        B.MODES,
+        B.SPEC,
     )
     return lines.select(_b("section"), _b("mode_ord"), _b("line_no"), "line")
 
@@ -322,7 +328,8 @@ def predictions_jsonl(spark, sf_dir):
     from ..sources.sinks import write_predictions
 
     path = scratch_path(spark, "predictions-jsonl")
-    write_predictions(_preds(spark, sf_dir), path)
+    preds = _preds(spark, sf_dir).join(B.Workspace.of(spark, sf_dir).test_texts(), "index")
+    write_predictions(preds, path)
     schema = "index bigint, input string, expected string, raw_output string, predicted string, latency_sec double"
     back = read_jsonl(spark, path, schema, key="index")
     return back.select("mode", "index", "expected", "raw_output", "predicted", _r("latency_sec"))
