@@ -45,19 +45,25 @@ def to_records(
     strict: bool = True,
     keep: Sequence[str] = (),
     dedup: bool = True,
+    null_text_as_none: bool = False,
 ) -> DataFrame:
     """P1-P5 + L5: ``(split, key, instruction, input, output, *keep)``.
 
     Text is stripped (Unicode whitespace), empty texts are dropped *before*
     the label is normalised (a bad label on an empty row is not an error),
     labels go through P4, and exact duplicates of (text, label) within a
-    split keep the row with the smallest ``key`` (first wins).
+    split keep the row with the smallest ``key`` (first wins).  A null text
+    is dropped, or with ``null_text_as_none`` becomes the text ``"None"``
+    (the original's ``str(None)``).
     """
     text_col = text_col or detect_column(df, TEXT_COLUMNS, "text")
     label_col = label_col or detect_column(df, LABEL_COLUMNS, "label")
     has_split = split_col is not None and split_col in df.columns
     split = F.col(split_col) if has_split else F.lit("train")
-    cleaned = F.when(F.col(text_col).isNotNull(), py_strip(F.col(text_col).cast("string")))
+    raw_text = F.col(text_col).cast("string")
+    if null_text_as_none:
+        raw_text = F.coalesce(raw_text, F.lit("None"))
+    cleaned = F.when(raw_text.isNotNull(), py_strip(raw_text))
     staged = df.select(
         split.alias("split"),
         F.col(key),

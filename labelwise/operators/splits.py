@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANONICAL = ("train", "valid", "test")
@@ -47,12 +47,84 @@ def holdout_split(df: DataFrame, key: str, seed: int, fractions: Mapping[str, fl
     return df.withColumn("split", last if expr is None else expr.otherwise(last))
 
 
+def exact_sizes_80_10_10(n: int) -> list[tuple[str, int]]:
+    """Exact part sizes of the two-step 3-way split: hold out ceil(20 %),
+    then give the test part ceil(half) of the holdout."""
+    import math
+
+    hold = math.ceil(0.2 * n)
+    test = math.ceil(0.5 * hold)
+    return [("train", n - hold), ("valid", hold - test), ("test", test)]
+
+
+def exact_holdout_split(df: DataFrame, key: str, seed: int, sizes=None) -> DataFrame:
+    """L2 with exact part sizes: rows ranked by ``(md5(seed|key), key)``;
+    the first ``sizes[0]`` ranks go to the first part, and so on.
+
+    No global sort: a histogram over the 16-bit md5 prefix (65,536 evenly
+    filled buckets, collected — bounded) gives every bucket's first rank;
+    buckets lying inside one part are assigned by prefix range, and only the
+    few buckets that contain a cut are ranked, each by its own window.
+    ``sizes`` defaults to the two-step 80/10/10 rule.
+    """
+    h = hash_order(key, seed)
+    prefix = F.substring(h, 1, 4)
+    hist = sorted((r["p"], r["count"]) for r in df.groupBy(prefix.alias("p")).count().collect())
+    n = sum(c for _, c in hist)
+    sizes = sizes if sizes is not None else exact_sizes_80_10_10(n)
+    names = [nm for nm, _ in sizes]
+    cuts, acc = [], 0
+    for _, c in sizes[:-1]:
+        acc += c
+        cuts.append(acc)
+    starts, boundary, first_after = {}, [], {}
+    pos = 0
+    for p, c in hist:
+        starts[p] = pos
+        if any(pos < cut < pos + c for cut in cuts):
+            boundary.append(p)
+        for i, cut in enumerate(cuts):
+            if i not in first_after and pos >= cut:
+                first_after[i] = p
+        pos += c
+
+    def part_of_rank(r: Column) -> Column:
+        expr = None
+        for i, cut in enumerate(cuts):
+            expr = F.when(r < cut, F.lit(names[i])) if expr is None else expr.when(r < cut, F.lit(names[i]))
+        return F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
+
+    def part_of_prefix(pc: Column) -> Column:
+        # a bucket with no cut inside lies wholly in the part of its first rank
+        expr, last = None, F.lit(names[-1])
+        for i in range(len(cuts)):
+            if i not in first_after:  # every remaining bucket starts before cut i
+                last = F.lit(names[i])
+                break
+            cond = pc < F.lit(first_after[i])
+            expr = F.when(cond, F.lit(names[i])) if expr is None else expr.when(cond, F.lit(names[i]))
+        return last if expr is None else expr.otherwise(last)
+
+    staged = df.withColumn("__p", prefix)
+    inner = staged.filter(~F.col("__p").isin(*boundary)) if boundary else staged
+    out = inner.withColumn("split", part_of_prefix(F.col("__p")))
+    if boundary:
+        start_map = F.create_map(*[F.lit(x) for p in boundary for x in (p, starts[p])])
+        w = Window.partitionBy("__p").orderBy(hash_order(key, seed), F.col(key))
+        edge = staged.filter(F.col("__p").isin(*boundary)).withColumn(
+            "__r", F.element_at(start_map, F.col("__p")) + F.row_number().over(w) - 1
+        )
+        out = out.unionByName(edge.withColumn("split", part_of_rank(F.col("__r"))).drop("__r"))
+    return out.drop("__p")
+
+
 def canonical_splits(
     df: DataFrame,
     key: str,
     seed: int = 42,
     split_col: str = "split",
     names: Sequence[str] | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """L1: bring any split layout to ``train`` / ``valid`` / ``test``.
 
@@ -60,7 +132,8 @@ def canonical_splits(
     {train, validation, test} as is (validation -> valid); {train, valid,
     test} as is; {train, test}: 10 % of train becomes valid; {train}: 80 /
     10 / 10; anything else raises.  A table without a split column counts
-    as {train}.  Rows of other splits are dropped.
+    as {train}.  Rows of other splits are dropped.  ``exact`` gives the
+    "train only" case exact part sizes (``exact_holdout_split``).
     """
     if split_col not in df.columns:
         present = {"train"}
@@ -86,7 +159,11 @@ def canonical_splits(
             "split", F.when((s == "train") & (b < 100), F.lit("valid")).otherwise(s)
         )
     elif "train" in present:
-        out = holdout_split(df.filter(s == "train").drop(split_col), key, seed, {"train": 0.8, "valid": 0.1, "test": 0.1})
+        train = df.filter(s == "train").drop(split_col)
+        if exact:
+            out = exact_holdout_split(train, key, seed)
+        else:
+            out = holdout_split(train, key, seed, {"train": 0.8, "valid": 0.1, "test": 0.1})
     else:
         raise KeyError(f"Unsupported dataset splits: {sorted(present)}")
     if split_col != "split" and split_col in out.columns:

@@ -101,6 +101,7 @@ class Workspace:
         self._records: str | None = None
         self._weights: TokenWeights | None = None
         self._preds: str | None = None
+        self._metrics: str | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Workspace":
@@ -146,3 +147,13 @@ class Workspace:
             preds.write.mode("overwrite").partitionBy("mode").parquet(path)
             self._preds = path
         return self.spark.read.parquet(self._preds)
+
+    def metrics_path(self) -> str:
+        """The per-mode metrics table (one row per mode), written once."""
+        if self._metrics is None:
+            from ..operators.evaluate import metrics
+
+            path = scratch_path(self.spark, "metrics")
+            metrics(self.predictions(), SPEC).write.mode("overwrite").parquet(path)
+            self._metrics = path
+        return self._metrics

@@ -452,3 +452,29 @@ SQL["report_lines"] = EVAL + ", mo AS " + _MODE_ORD + " SELECT * FROM (" + " UNI
         "SELECT 5, mode_ord, 10000, '' FROM mo",
     ]
 ) + ")"
+
+SQL["exact_split_records"] = """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('""" + str(S.seed) + """|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rk,
+                  count(*) OVER () AS n FROM labels),
+s AS (SELECT *, CAST(ceil(0.2 * n) AS BIGINT) AS hold FROM r),
+t AS (SELECT *, n - hold AS n_train, hold - CAST(ceil(0.5 * hold) AS BIGINT) AS n_valid FROM s)
+SELECT doc_id, CASE WHEN rk < n_train THEN 'train' WHEN rk < n_train + n_valid THEN 'valid' ELSE 'test' END AS split FROM t"""
+
+_CN_POS = ", ".join(lit(a) for a in CS.positive_aliases)
+_CN_NEG = ", ".join(lit(a) for a in CS.negative_aliases)
+SQL["quarantined_labels"] = f"""
+WITH r AS (
+  SELECT d.doc_id, d.text, CASE l.doc_id % 4
+      WHEN 0 THEN CASE WHEN l.toxic = 0 THEN '1' ELSE '0' END
+      WHEN 1 THEN CASE WHEN l.toxic = 0 THEN ' POS ' ELSE 'neg' END
+      WHEN 2 THEN CASE WHEN l.toxic = 0 THEN 'good' ELSE 'bad' END
+      ELSE CASE WHEN l.toxic = 0 THEN {lit(CS.positive_aliases[4])} ELSE {lit(CS.negative_aliases[4])} END END AS label
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT doc_id, label AS raw_label FROM r
+WHERE length({strip('text')}) > 0
+  AND lower({strip('label')}) NOT IN ({_CN_POS}) AND lower({strip('label')}) NOT IN ({_CN_NEG})"""
+
+SQL["first_available_source"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+SQL["metrics_lookup"] = SQL["eval_metrics"]
+SQL["report_file"] = "SELECT line FROM (" + SQL["report_lines"] + ")"
+SQL["publish_dataset"] = SQL["prepare_records"]

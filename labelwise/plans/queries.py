@@ -65,6 +65,36 @@ def split_stats(spark, sf_dir):
     )
 
 
+@query
+def exact_split_records(spark, sf_dir):
+    """L1 + L2 with exact 80/10/10 part sizes (two-step rule)."""
+    from ..operators.splits import canonical_splits
+
+    labs = B.table(spark, sf_dir, "labels").select("doc_id")
+    return canonical_splits(labs, B.KEY, B.SPEC.seed, exact=True).select("doc_id", "split")
+
+
+@query
+def quarantined_labels(spark, sf_dir):
+    """P4 in quarantine mode (fixed Chinese vocabulary): rows a strict run
+    would fail on, from spellings derived from (toxic, doc_id % 4)."""
+    from ..operators.prepare import quarantined
+
+    cn = CHINESE_REVIEWS
+    k = F.pmod(F.col("doc_id"), F.lit(4))
+    pos = F.col("toxic") == 0
+    raw = (
+        F.when(k == 0, F.when(pos, F.lit("1")).otherwise(F.lit("0")))
+        .when(k == 1, F.when(pos, F.lit(" POS ")).otherwise(F.lit("neg")))
+        .when(k == 2, F.when(pos, F.lit("good")).otherwise(F.lit("bad")))
+        .otherwise(F.when(pos, F.lit(cn.positive_aliases[4])).otherwise(F.lit(cn.negative_aliases[4])))
+    )
+    df = B.table(spark, sf_dir, "documents").select("doc_id", "text").join(
+        B.table(spark, sf_dir, "labels").select("doc_id", raw.alias("label")), "doc_id"
+    )
+    return quarantined(df, cn, key="doc_id")
+
+
 @query
 def normalize_labels(spark, sf_dir):
     """P4 over string spellings derived from (toxic, doc_id % 5)."""
@@ -483,3 +513,51 @@ def stream_prepare(spark, sf_dir):
     for q in start_prepare(rows, B.SPEC, B.KEY, out, ck, class_names=B.CLASS_NAMES):
         q.awaitTermination()
     return prepared(spark, out, B.KEY).select("split", "doc_id", "instruction", "input", "output")
+
+
+@query
+def first_available_source(spark, sf_dir):
+    """The first candidate path that loads (a missing one is skipped)."""
+    from ..sources.readers import read_first
+
+    base = sf_dir.rstrip("/")
+    df = read_first(spark, [f"{base}/reviews.parquet", f"{base}/documents.parquet"])
+    return df.select("doc_id", "lang", "source", "n_chars")
+
+
+@query
+def metrics_lookup(spark, sf_dir):
+    """S5 + S9: the written metrics table read back; an absent table reads
+    as empty (unioned in to show it)."""
+    from ..session import scratch_path
+    from ..sources.readers import read_optional
+
+    ws = B.Workspace.of(spark, sf_dir)
+    schema = "mode string, total bigint, accuracy double, macro_f1 double, format_valid_rate double, avg_latency_sec double"
+    m = read_optional(spark, ws.metrics_path(), schema).unionByName(
+        read_optional(spark, scratch_path(spark, "never-written"), schema)
+    )
+    return m.select("mode", _b("total"), _r("accuracy"), _r("macro_f1"), _r("format_valid_rate"), _r("avg_latency_sec"))
+
+
+@query
+def report_file(spark, sf_dir):
+    """The report written as one ordered text file, read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_report
+
+    path = scratch_path(spark, "report")
+    write_report(report_lines(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def publish_dataset(spark, sf_dir):
+    """The prepared table published to a fresh target, read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import publish
+
+    ws = B.Workspace.of(spark, sf_dir)
+    ws.records()
+    out = publish(spark, ws._records, scratch_path(spark, "published"))
+    return out.select("split", "doc_id", "instruction", "input", "output")

@@ -116,3 +116,30 @@ def test_head_limit(spark):
     df = spark.createDataFrame([("train", i) for i in range(10)] + [("test", 100 + i) for i in range(3)], "split string, row_idx bigint")
     got = sorted(r.row_idx for r in head_limit(df.repartition(4), {"train": 3, "test": 0}, "row_idx").collect())
     assert got == [0, 1, 2, 100, 101, 102]
+
+
+def test_exact_holdout_sizes_and_ranks(spark):
+    from labelwise.operators.splits import exact_holdout_split, exact_sizes_80_10_10, hash_order
+
+    n = 5003
+    df = spark.range(n).withColumnRenamed("id", "row_idx")
+    out = exact_holdout_split(df.repartition(5), "row_idx", 42)
+    got = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert got == dict(exact_sizes_80_10_10(n)) and sum(got.values()) == n
+    # brute force: rank by (md5, key) on the driver
+    rows = df.select("row_idx", hash_order("row_idx", 42).alias("h")).collect()
+    order = [r.row_idx for r in sorted(rows, key=lambda r: (r.h, r.row_idx))]
+    sizes = exact_sizes_80_10_10(n)
+    want, pos = {}, 0
+    for name, c in sizes:
+        for k in order[pos : pos + c]:
+            want[k] = name
+        pos += c
+    assert {r.row_idx: r.split for r in out.collect()} == want
+
+
+def test_null_text_as_none(spark):
+    df = spark.createDataFrame([(0, None, "1"), (1, "x", "0")], "row_idx bigint, text string, label string")
+    assert to_records(df, CN, split_col=None).count() == 1
+    got = sorted((r.row_idx, r.input) for r in to_records(df, CN, split_col=None, null_text_as_none=True).collect())
+    assert got == [(0, "None"), (1, "x")]
