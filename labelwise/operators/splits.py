@@ -249,6 +249,37 @@ def _histogram_cap(df: DataFrame, big: Mapping[str, int], key: str, seed: int, s
     return out
 
 
+def first_by_key(df: DataFrame, key: str, n: int, candidates: int = 64, depth: int = 0) -> DataFrame:
+    """The ``n`` rows with the smallest ``key`` (unique, orderable), exactly.
+
+    Small ``n``: TakeOrderedAndProject.  Large ``n``: approximate quantiles
+    of the key give candidate thresholds and one pass of conditional counts
+    finds the last threshold with at most ``n`` rows at or below it; those
+    rows pass as a plain filter, and only the slice up to the next
+    threshold (~1/candidates of the rows) is ordered — recursively while
+    that slice is still large.
+    """
+    if n <= TOPK_ROWS or depth >= 4:
+        return _first_n(df, [F.col(key)], n)
+    probs = [i / candidates for i in range(1, candidates)]
+    cands = sorted(set(df.approxQuantile(key, probs, 1.0 / (4 * candidates))))
+    if not cands:
+        return df.limit(0)
+    row = df.agg(*[F.count_if(F.col(key) <= F.lit(t)).alias(f"c{i}") for i, t in enumerate(cands)]).first()
+    counts = [row[f"c{i}"] for i in range(len(cands))]
+    lo = max((i for i, c in enumerate(counts) if c <= n), default=None)
+    below = counts[lo] if lo is not None else 0
+    hi = lo + 1 if lo is not None else 0
+    rest = df if lo is None else df.filter(F.col(key) > F.lit(cands[lo]))
+    if hi < len(cands):
+        rest = rest.filter(F.col(key) <= F.lit(cands[hi]))
+    tail = first_by_key(rest, key, n - below, candidates, depth + 1) if n > below else None
+    head = df.filter(F.col(key) <= F.lit(cands[lo])) if lo is not None else None
+    if head is None:
+        return tail if tail is not None else df.limit(0)
+    return head if tail is None else head.unionByName(tail)
+
+
 def head_limit(df: DataFrame, limits: Mapping[str, int], key: str, split_col: str = "split") -> DataFrame:
     """L4 / M6: per split, the first ``limit`` rows in ``key`` order (0 = all)."""
     limited = [s for s, n in limits.items() if n > 0]
@@ -257,7 +288,7 @@ def head_limit(df: DataFrame, limits: Mapping[str, int], key: str, split_col: st
     parts = [df.filter(~F.col(split_col).isin(*limited))]
     for s, n in limits.items():
         if n > 0:
-            parts.append(_first_n(df.filter(F.col(split_col) == s), [F.col(key)], n))
+            parts.append(first_by_key(df.filter(F.col(split_col) == s), key, n))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -52,31 +52,29 @@ def read_jsonl(
     Whitespace-only lines are skipped and do not count toward ``limit``; a
     malformed line raises (FAILFAST).  With ``key`` (a field of every
     record, as our sinks write it) ``limit`` keeps the ``limit`` smallest
-    keys; without it, records are numbered in file order
-    (``zipWithIndex`` on the line RDD: exact order, one extra pass) and that
-    number becomes ``row_idx``.
+    keys.  Without it the records get ``row_idx``, increasing in (file,
+    line) order: a file's splits are planned in offset order, so the
+    monotonically increasing id follows the lines within each file; it is
+    gap-allowed, not dense.  ``limit`` then keeps the first lines of the
+    files in path order.  Everything stays in the JVM.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    lines = spark.read.text(path).filter(F.length(F.btrim(F.col("value"))) > 0)
+    extra = [c for c in lines.columns if c != "value"]  # partition columns
     if key is not None:
-        lines = spark.read.text(path).filter(F.length(F.btrim(F.col("value"))) > 0)
-        extra = [c for c in lines.columns if c != "value"]  # partition columns
         parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra).select(
             "r.*", *extra
         )
         return parsed.orderBy(key).limit(limit) if limit > 0 else parsed
-    numbered = (
-        spark.sparkContext.textFile(path)
-        .filter(lambda s: s.strip() != "")
-        .zipWithIndex()
-        .map(lambda t: (t[1], t[0]))
+    numbered = lines.select(
+        F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("row_idx"), "value", *extra
     )
-    lines = spark.createDataFrame(numbered, "row_idx bigint, value string")
     if limit > 0:
-        lines = lines.filter(F.col("row_idx") < limit)
-    return lines.select(
-        "row_idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")
-    ).select("row_idx", "r.*")
+        numbered = numbered.orderBy("__file", "row_idx").limit(limit)
+    return numbered.select(
+        "row_idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra
+    ).select("row_idx", "r.*", *extra)
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:

@@ -143,3 +143,11 @@ def test_null_text_as_none(spark):
     assert to_records(df, CN, split_col=None).count() == 1
     got = sorted((r.row_idx, r.input) for r in to_records(df, CN, split_col=None, null_text_as_none=True).collect())
     assert got == [(0, "None"), (1, "x")]
+
+
+def test_first_by_key_large_path_is_exact(spark, monkeypatch):
+    df = spark.range(20000).select(F.lit("train").alias("split"), ((F.col("id") * 7919) % 20011).alias("row_idx"))
+    want = sorted(r.row_idx for r in df.collect())[:12345]
+    monkeypatch.setattr(S, "TOPK_ROWS", 100)
+    got = sorted(r.row_idx for r in head_limit(df.repartition(6), {"train": 12345}, "row_idx").collect())
+    assert got == want
