@@ -478,3 +478,14 @@ SQL["first_available_source"] = "SELECT doc_id, lang, source, n_chars FROM docum
 SQL["metrics_lookup"] = SQL["eval_metrics"]
 SQL["report_file"] = "SELECT line FROM (" + SQL["report_lines"] + ")"
 SQL["publish_dataset"] = SQL["prepare_records"]
+
+_SMOKE = (
+    FIT_CTES.replace("FROM rec WHERE split = 'train'", "FROM rec WHERE split = 'train' AND doc_id IN (SELECT doc_id FROM smoke)")
+    .replace("FROM tk WHERE split = 'train'", "FROM tk WHERE split = 'train' AND doc_id IN (SELECT doc_id FROM smoke)")
+    .replace(f"dp + dn >= {B.MIN_DF}", "dp + dn >= 2")
+    .replace(f">= {int(round(B.MIN_WEIGHT * B.SCALE))}", f">= {B.SCALE}")
+)
+SQL["fit_smoke_weights"] = (
+    with_(BASE_CTES, "\nsmoke AS (SELECT doc_id FROM rec WHERE split = 'train' ORDER BY doc_id LIMIT 64)", _SMOKE)
+    + " SELECT token, dp, dn, weight FROM w"
+)

@@ -228,6 +228,16 @@ def fit_token_weights(spark, sf_dir):
     return ws.weights().table(spark).select("token", _b("dp"), _b("dn"), _b("weight"))
 
 
+@query
+def fit_smoke_weights(spark, sf_dir):
+    """M6 + M4: fit on the first 64 train records (the smoke-run cap)."""
+    from ..operators.fit import fit_token_weights as fit
+
+    train = head_limit(B.Workspace.of(spark, sf_dir).split("train"), {"train": 64}, B.KEY)
+    w = fit(train, B.SPEC, min_df=2, min_weight=1.0, scale=B.SCALE)
+    return w.table(spark).select("token", _b("dp"), _b("dn"), _b("weight"))
+
+
 @query
 def token_document_counts(spark, sf_dir):
     """M4's counting stage over the whole train split (every token)."""
