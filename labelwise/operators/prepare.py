@@ -94,8 +94,8 @@ def records_from_pair(
     labels: DataFrame,
     spec: TaskSpec,
     key: str,
-    text_col: str = "text",
-    label_col: str = "label",
+    text_col: str | None = None,
+    label_col: str | None = None,
     split_col: str = "split",
     class_names: dict[int, str] | None = None,
     keep: Sequence[str] = (),
@@ -110,7 +110,10 @@ def records_from_pair(
     2. the surviving keys (with split and label) are joined back to the
        text table: the only join that moves text (or none, when the key set
        is small enough for the optimizer to broadcast).
+    Column names are detected (P1) when not given.
     """
+    text_col = text_col or detect_column(texts, TEXT_COLUMNS, "text")
+    label_col = label_col or detect_column(labels, LABEL_COLUMNS, "label")
     t = py_strip(F.col(text_col).cast("string"))
     narrow = texts.select(key, F.sha2(t, 256).alias("__d"), F.length(t).alias("__n"))
     lab = labels.select(key, F.col(split_col).alias("split"), F.col(label_col).alias("__label_raw"))

@@ -30,6 +30,21 @@ SPEC = ENGLISH_REVIEWS
 KEY = "doc_id"
 # Class dictionary for labels.toxic (fixed for this binding).
 CLASS_NAMES = {0: "positive", 1: "negative"}
+def lexicon_model():
+    """An external (Python) model for the ``mapInPandas`` scorer path: the
+    baseline lexicon rule over Unicode letter runs.  Built once per worker."""
+    import regex
+
+    words = set(BASE_WORDS)
+    letters = regex.compile(r"\p{L}+")
+
+    def answer(text: str) -> str:
+        hit = any(w in words for w in letters.findall(text.lower()))
+        return SPEC.negative if hit else SPEC.positive
+
+    return answer
+
+
 # Untuned baseline lexicon (M3) and the tuned fit's parameters (M4).
 BASE_WORDS = ("worthless", "moron")
 MIN_DF = 5

@@ -489,3 +489,7 @@ SQL["fit_smoke_weights"] = (
     with_(BASE_CTES, "\nsmoke AS (SELECT doc_id FROM rec WHERE split = 'train' ORDER BY doc_id LIMIT 64)", _SMOKE)
     + " SELECT token, dp, dn, weight FROM w"
 )
+
+SQL["score_external"] = (
+    EVAL + """ SELECT "index", expected, raw_output, predicted, correct, true AS timed FROM preds WHERE mode = 'base'"""
+)

@@ -264,6 +264,17 @@ def score_tuned(spark, sf_dir):
     return _scored(spark, sf_dir, "tuned")
 
 
+@query
+def score_external(spark, sf_dir):
+    """M1(b) / M2 / U2: a Python model scored with mapInPandas (built once
+    per worker, each row timed) over the test split."""
+    from ..operators.score import PandasScorer
+
+    test = B.Workspace.of(spark, sf_dir).split("test")
+    p = score(test, PandasScorer(B.lexicon_model), "external", B.SPEC, key=B.KEY)
+    return p.select("index", "expected", "raw_output", "predicted", "correct", (F.col("latency_sec") >= 0).alias("timed"))
+
+
 @query
 def score_base_all(spark, sf_dir):
     """M3 over every prepared record (all splits), not materialised."""

@@ -66,3 +66,17 @@ def test_stream_twins_equal_batch(spark):
     sc = QUERIES["stream_metrics"](spark, SF)
     cols = ["mode", "total", "n_correct", "pos_as_pos", "neg_as_neg"]
     assert key(c, cols) == key(sc, cols)
+
+
+def test_external_scorer_checks_before_running(spark):
+    df = spark.createDataFrame([(1, "x", EN.positive)], "row_idx bigint, input string, output string")
+
+    def missing():
+        raise FileNotFoundError("model artefact not found: /nowhere")
+
+    try:
+        score(df, PandasScorer(_model, check=missing), "ext", EN)
+    except FileNotFoundError as e:
+        assert "/nowhere" in str(e)
+    else:
+        raise AssertionError("check did not run")
