@@ -104,16 +104,17 @@ def conversation_segments(conversations: DataFrame, template: ChatTemplate = CHA
 
 
 def conversation_summary(conversations: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
-    """Per conversation: turns, role counts and rendered prompt length.
+    """Per conversation: turns, role counts and rendered prompt length
+    (messages plus the generation prompt).
 
-    Pure partial-aggregable sums, so a hot conversation costs nothing
-    extra.
+    One aggregation of sums and counts: partial-aggregated map-side, so a
+    conversation of any size costs one small row per task in the shuffle.
     """
-    seg = conversation_segments(conversations, template)
-    turns = conversations.groupBy("conv_id").agg(
+    fixed = len(template.open) + len(template.role_sep) + len(template.close)
+    seg_len = F.length("role") + F.length("text") + F.lit(fixed)  # = length of the rendered message
+    return conversations.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.count_if(F.col("role") == "user").alias("n_user"),
         F.count_if(F.col("role") == "assistant").alias("n_assistant"),
+        (F.sum(seg_len) + F.lit(len(template.generation_prompt))).alias("prompt_chars"),
     )
-    chars = seg.groupBy("conv_id").agg(F.sum(F.length("segment")).alias("prompt_chars"))
-    return turns.join(chars, "conv_id")

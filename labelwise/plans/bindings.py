@@ -51,6 +51,7 @@ MIN_DF = 5
 MIN_WEIGHT = 3.0
 SCALE = 1_000_000
 MODES = ("base", "tuned")
+STREAM_FILES_PER_TRIGGER = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +62,11 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream.  The glob (``name.parque[t]``)
     lets the file source watch the shared folder for exactly this table."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", STREAM_FILES_PER_TRIGGER)  # bounded micro-batches
+        .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
+    )
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
