@@ -493,3 +493,31 @@ SQL["fit_smoke_weights"] = (
 SQL["score_external"] = (
     EVAL + """ SELECT "index", expected, raw_output, predicted, correct, true AS timed FROM preds WHERE mode = 'base'"""
 )
+
+SQL["score_tuned_all"] = with_(
+    BASE_CTES,
+    FIT_CTES,
+    """
+asum AS (SELECT t.doc_id, sum(w.weight) AS s FROM tk t JOIN w ON t.token = w.token GROUP BY t.doc_id),
+ar AS (SELECT r.doc_id, r.output, CASE WHEN (SELECT prior FROM prior) + coalesce(a.s, 0) >= 0 THEN """
+    + POS
+    + " ELSE "
+    + NEG
+    + """ END AS predicted
+       FROM rec r LEFT JOIN asum a ON r.doc_id = a.doc_id)""",
+) + """ SELECT doc_id AS "index", output AS expected, predicted, predicted = output AS correct FROM ar"""
+
+SQL["stats_document"] = with_(
+    BASE_CTES,
+    """
+st3 AS (SELECT s.split, coalesce(c.records, 0) AS records, coalesce(c.positive, 0) AS positive, coalesce(c.negative, 0) AS negative
+        FROM (VALUES ('train'), ('valid'), ('test')) s(split)
+        LEFT JOIN (SELECT split, count(*) AS records,
+                          count(*) FILTER (WHERE output = """
+    + POS
+    + """) AS positive,
+                          count(*) FILTER (WHERE output = """
+    + NEG
+    + """) AS negative FROM rec GROUP BY split) c ON s.split = c.split)""",
+) + """ SELECT '{' || string_agg('"' || split || '":{"records":' || records || ',"positive":' || positive
+          || ',"negative":' || negative || '}', ',' ORDER BY split) || '}' AS json FROM st3"""

@@ -275,6 +275,14 @@ def score_external(spark, sf_dir):
     return p.select("index", "expected", "raw_output", "predicted", "correct", (F.col("latency_sec") >= 0).alias("timed"))
 
 
+@query
+def score_tuned_all(spark, sf_dir):
+    """M5 over every prepared record (all splits), not materialised."""
+    ws = B.Workspace.of(spark, sf_dir)
+    p = score(ws.records(), ws.weights(), "tuned", B.SPEC, key=B.KEY, latency=B.latency_standin(), keep_input=False)
+    return p.select("index", "expected", "predicted", "correct")
+
+
 @query
 def score_base_all(spark, sf_dir):
     """M3 over every prepared record (all splits), not materialised."""
