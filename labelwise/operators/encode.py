@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import space_tokens
+from ..functions.text import WHITESPACE, space_tokens
 from .chat import CHATML, ChatTemplate
 from .splits import hash_bucket
 
@@ -49,14 +49,21 @@ def encode(
     before any id array is built.
     """
     ids = ids or hashed_ids()
+    p_tok = tokenizer(F.col("prompt"))
+    full = tokenizer(F.concat("prompt", "target"))
+    if tokenizer is space_tokens:
+        # whitespace pieces: when the prompt ends in whitespace (a chat
+        # prompt ends with its generation-prompt newline), tokens(prompt +
+        # target) = tokens(prompt) ++ tokens(target) -- the long prompt is
+        # not split a second time.
+        ends_ws = F.substring(F.col("prompt"), -1, 1).isin(*WHITESPACE)
+        full = F.when(ends_ws, F.concat(F.col("__p0"), tokenizer(F.col("target")))).otherwise(full)
     # Both token arrays come out of one (outer) generator: a filter on its
     # output cannot be pushed below it, so the P12 size test does not
     # re-run the tokeniser.
-    pair = F.struct(
-        tokenizer(F.col("prompt")).alias("__p"),
-        F.slice(tokenizer(F.concat("prompt", "target")), 1, max_length).alias("__f"),
-    )
-    staged = df.select("*", F.inline_outer(F.array(pair)))
+    pair = F.struct(F.col("__p0").alias("__p"), F.slice(full, 1, max_length).alias("__f"))
+    staged = df.select("*", F.inline_outer(F.array(F.struct(p_tok.alias("__p0")))))
+    staged = staged.select("*", F.inline_outer(F.array(pair))).drop("__p0")
     staged = staged.withColumn("n_prompt", F.size("__p")).withColumn("n_full", F.size("__f"))
     staged = staged.filter(F.col("n_full") > F.col("n_prompt"))  # P12
     n_masked = F.least("n_prompt", "n_full")

@@ -352,11 +352,15 @@ def report_lines(spark, sf_dir):
     """R1."""
     preds = _preds(spark, sf_dir)
     texts = B.Workspace.of(spark, sf_dir).test_texts()
-    c = ev.counts(preds, B.SPEC)
+    # one row per mode / k rows per mode: cut lineage once (reliable
+    # checkpoint in the shared folder) instead of re-aggregating per section
+    B.Workspace.of(spark, sf_dir)  # ensures the shared folder is set
+    c = ev.counts(preds, B.SPEC).checkpoint()
+    errors = rep.error_cases(preds, B.SPEC, texts=texts).checkpoint()
     lines = rep.report_lines(
         ev.metrics_from_counts(c),
         c.select("mode", *ev.CONFUSION_COLUMNS),
-        rep.error_cases(preds, B.SPEC, texts=texts),
+        errors,
         B.MODES,
         B.SPEC,
     )
