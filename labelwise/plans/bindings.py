@@ -5,7 +5,7 @@ dictionary (0 -> positive, 1 -> negative), joined on ``doc_id``, which is
 also the row key.  Splits: the table has none, so L1 takes the
 "train only" branch (80 / 10 / 10 by keyed hash).
 
-``Workspace`` materialises the three artefacts the reference also writes
+``Workspace`` materialises the three artefacts the original workflow writes
 to disk (prepared records, fitted weights, predictions) as parquet tables
 under the shared checkpoint folder, once per session and data directory;
 everything downstream reads those tables, so lineage is short and an

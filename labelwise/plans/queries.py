@@ -38,7 +38,8 @@ def _b(c: str):
 
 def _records(spark, sf_dir):
     """The prepared table, written once per session (downstream steps read
-    it like the reference's later stages read its prepared files)."""
+    it, as the later stages of a prepare -> train -> evaluate workflow read
+    the prepared files)."""
     return B.Workspace.of(spark, sf_dir).records()
 
 

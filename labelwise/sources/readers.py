@@ -68,7 +68,7 @@ def read_jsonl(
         )
         return parsed.orderBy(key).limit(limit) if limit > 0 else parsed
     numbered = lines.select(
-        F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("row_idx"), "value", *extra
+        F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("row_idx"), "value", *extra
     )
     if limit > 0:
         numbered = numbered.orderBy("__file", "row_idx").limit(limit)

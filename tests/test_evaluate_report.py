@@ -35,7 +35,7 @@ def test_empty_predictions_give_no_metrics(spark):
 
 GOLDEN = {  # published confusion counts: pos->pos, pos->neg, pos invalid, neg->neg, neg->pos, neg invalid
     "base": (249, 351, 0, 564, 15, 0),
-    "lora": (552, 48, 0, 535, 44, 0),
+    "tuned": (552, 48, 0, 535, 44, 0),
 }
 
 
@@ -47,20 +47,20 @@ def test_golden_metrics(spark):
                 rows.append((mode, i, "t", exp, pred or "", pred, 0.0))
                 i += 1
     m = {r.mode: r for r in ev.metrics(preds(spark, rows), CN).collect()}
-    assert m["base"].total == 1179 and m["lora"].total == 1179
+    assert m["base"].total == 1179 and m["tuned"].total == 1179
     assert m["base"].accuracy == pytest.approx(0.6895674300, abs=1e-10)
     assert m["base"].macro_f1 == pytest.approx(0.6657044846, abs=1e-10)
-    assert m["lora"].accuracy == pytest.approx(0.9219677693, abs=1e-10)
-    assert m["lora"].macro_f1 == pytest.approx(0.9219515424, abs=1e-10)
+    assert m["tuned"].accuracy == pytest.approx(0.9219677693, abs=1e-10)
+    assert m["tuned"].macro_f1 == pytest.approx(0.9219515424, abs=1e-10)
     assert m["base"].format_valid_rate == 1.0
-    d = ev.mode_deltas(ev.metrics(preds(spark, rows), CN), "base", "lora").first()
+    d = ev.mode_deltas(ev.metrics(preds(spark, rows), CN), "base", "tuned").first()
     assert d.accuracy_pp == pytest.approx(23.2400, abs=1e-4) and d.macro_f1_pp == pytest.approx(25.6247, abs=1e-4)
     lines = rep.report_lines(
-        ev.metrics(preds(spark, rows), CN), ev.confusion(preds(spark, rows), CN), rep.error_cases(preds(spark, rows), CN), ["base", "lora"], CN
+        ev.metrics(preds(spark, rows), CN), ev.confusion(preds(spark, rows), CN), rep.error_cases(preds(spark, rows), CN), ["base", "tuned"], CN
     )
     text = [r.line for r in lines.orderBy("section", "mode_ord", "line_no").collect()]
     assert "| base | 68.96% | 66.57% | 100.00% | 0.00s |" in text
-    assert "| lora | 92.20% | 92.20% | 100.00% | 0.00s |" in text
+    assert "| tuned | 92.20% | 92.20% | 100.00% | 0.00s |" in text
     assert "- `pos_as_neg`: 351" in text
 
 
