@@ -45,6 +45,12 @@ def lexicon_model():
     return answer
 
 
+def whitespace_tokenizer():
+    """An external tokeniser for the U1 plug-in path: Python's own
+    whitespace split (the same 29 code points as the built-in one)."""
+    return str.split
+
+
 # Untuned baseline lexicon (M3) and the tuned fit's parameters (M4).
 BASE_WORDS = ("worthless", "moron")
 MIN_DF = 5

@@ -521,3 +521,5 @@ st3 AS (SELECT s.split, coalesce(c.records, 0) AS records, coalesce(c.positive,
     + """) AS negative FROM rec GROUP BY split) c ON s.split = c.split)""",
 ) + """ SELECT '{' || string_agg('"' || split || '":{"records":' || records || ',"positive":' || positive
           || ',"negative":' || negative || '}', ',' ORDER BY split) || '}' AS json FROM st3"""
+
+SQL["encode_python_tokenizer"] = SQL["encode_examples"]

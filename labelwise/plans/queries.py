@@ -181,6 +181,25 @@ def encode_examples(spark, sf_dir):
     )
 
 
+@query
+def encode_python_tokenizer(spark, sf_dir):
+    """P10-P13 with a Python tokeniser plugged in as an Arrow pandas UDF."""
+    e = enc.encode(
+        chat.with_prompts(_records(spark, sf_dir), B.SPEC),
+        max_length=B.SPEC.max_length,
+        tokenizer=enc.pandas_tokenizer(B.whitespace_tokenizer),
+        keep_tokens=True,
+    )
+    return e.select(
+        "doc_id",
+        _b("n_prompt"),
+        _b("n_full"),
+        _b("n_supervised"),
+        F.array_join("supervised_tokens", " ").alias("label_str"),
+        F.size(F.filter("labels", lambda x: x == F.lit(-100))).cast("bigint").alias("n_masked"),
+    )
+
+
 @query
 def pad_batches(spark, sf_dir):
     """L7 + P14: batches of 8 in 8 hash shards, padded to the batch max."""

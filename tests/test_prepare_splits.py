@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from labelwise.operators.prepare import detect_column, dedup_first, quarantined, split_stats, to_records
+from labelwise.operators.prepare import detect_column, dedup_first, quarantined, records_from_pair, split_stats, to_records
 from labelwise.operators.splits import canonical_splits, head_limit, holdout_split, seeded_cap
 from labelwise.operators import splits as S
 from labelwise.spec import CHINESE_REVIEWS as CN
@@ -151,3 +151,28 @@ def test_first_by_key_large_path_is_exact(spark, monkeypatch):
     monkeypatch.setattr(S, "TOPK_ROWS", 100)
     got = sorted(r.row_idx for r in head_limit(df.repartition(6), {"train": 12345}, "row_idx").collect())
     assert got == want
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_TEXTS = st.sampled_from(["a", " a", "a ", "　a", "b", "a b", "", "  ", "\tb\n", "c"])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(_TEXTS, st.integers(0, 1), st.sampled_from(["train", "valid", "test"])), min_size=1, max_size=30))
+def test_two_table_prepare_equals_one_table(spark, rows):
+    texts = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "row_idx bigint, text string")
+    labels = spark.createDataFrame([(i, y, s) for i, (_, y, s) in enumerate(rows)], "row_idx bigint, label int, split string")
+    one = to_records(texts.join(labels, "row_idx"), CN, key="row_idx")
+    two = records_from_pair(texts, labels, CN, key="row_idx")
+    cols = ["split", "row_idx", "input", "output"]
+    assert sorted(map(tuple, one.select(*cols).collect())) == sorted(map(tuple, two.select(*cols).collect()))
+    # brute force: first wins per (split, stripped text, label)
+    seen, want = set(), []
+    for i, (t, y, s) in enumerate(rows):
+        x = t.strip()
+        if x and (s, x, y) not in seen:
+            seen.add((s, x, y))
+            want.append((s, i, x, CN.positive if y == 1 else CN.negative))
+    assert sorted(want) == sorted(map(tuple, two.select(*cols).collect()))
