@@ -128,6 +128,7 @@ class Workspace:
         self._weights: TokenWeights | None = None
         self._preds: str | None = None
         self._metrics: str | None = None
+        self.runs: dict = {}  # outputs of stream runs, by name
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Workspace":

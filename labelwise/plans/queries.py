@@ -451,8 +451,12 @@ def registry_upsert(spark, sf_dir):
     re-pointed, the others kept."""
     from ..sources import registry as R
 
+    from ..session import scratch_path
+
     old, new = _registries(spark, sf_dir)
-    up = R.upsert(old, new)
+    project_copy, consumer_copy = scratch_path(spark, "registry"), scratch_path(spark, "registry")
+    R.write_registry(R.upsert(old, new), project_copy, consumer_copy)
+    up = R.read_registry(spark, consumer_copy)
     return up.select(
         "name",
         "file_name",
@@ -512,14 +516,20 @@ def _doc_requests(spark, sf_dir, stream: bool):
 
 
 def _serve_run(spark, sf_dir):
+    """Run the serving stream once per workspace; both of its sinks are read
+    by the queries below."""
     from ..session import scratch_path
     from ..streaming.serve import start_serving
 
     ws = B.Workspace.of(spark, sf_dir)
-    out, dead, ck = (scratch_path(spark, n) for n in ("responses", "dead-letter", "serve-ckpt"))
-    q = start_serving(_doc_requests(spark, sf_dir, True), ws.scorers(), B.SPEC, out, dead, ck, latency=B.latency_standin())
-    q.awaitTermination()
-    return out, dead
+    if "serve" not in ws.runs:
+        out, dead, ck = (scratch_path(spark, n) for n in ("responses", "dead-letter", "serve-ckpt"))
+        q = start_serving(
+            _doc_requests(spark, sf_dir, True), ws.scorers(), B.SPEC, out, dead, ck, latency=B.latency_standin()
+        )
+        q.awaitTermination()
+        ws.runs["serve"] = (out, dead)
+    return ws.runs["serve"]
 
 
 @query

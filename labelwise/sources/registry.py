@@ -27,10 +27,13 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("name"), "name", "left_anti").unionByName(new)
 
 
-def write_registry(df: DataFrame, path: str) -> None:
-    """Write to a path nobody reads in the same job (write a new version,
-    then point readers at it); never overwrite the input of the upsert."""
-    df.write.mode("overwrite").parquet(path)
+def write_registry(df: DataFrame, *paths: str) -> None:
+    """Write the registry to every given location (e.g. the project copy
+    and the consumer's copy).  Each path must be one nobody reads in the
+    same job (write a new version, then point readers at it); never
+    overwrite the input of the upsert."""
+    for path in paths:
+        df.write.mode("overwrite").parquet(path)
 
 
 def entries(names: DataFrame, file_name, columns: dict[str, str] = DEFAULT_COLUMNS) -> DataFrame:

@@ -100,3 +100,10 @@ def test_request_validation(spark, text, mode, accepted, resolved):
     r = validate_requests(df).first()
     assert r.accepted == accepted and r.mode == resolved
     assert (r.reason is None) == accepted
+
+
+def test_registry_written_to_every_location(spark, tmp_dir):
+    reg = R.entries(spark.createDataFrame([("a",)], "name string"), F.lit("a.jsonl"))
+    a, b = os.path.join(tmp_dir, "r1"), os.path.join(tmp_dir, "r2")
+    R.write_registry(reg, a, b)
+    assert R.read_registry(spark, a).count() == 1 and R.read_registry(spark, b).count() == 1
