@@ -45,14 +45,58 @@ def snippet(x, n: int = 120) -> Column:
     return F.substring(F.replace(_c(x), F.lit("\n"), F.lit(" ")), 1, n)
 
 
+def fixed(x, digits: int = 2) -> Column:
+    """``x`` with ``digits`` decimals, rounded like Python's ``f"{x:.2f}"``.
+
+    Python rounds the exact binary value of the double (ties to even);
+    Java's ``%.2f`` rounds its shortest decimal string half-up, so e.g.
+    0.105 (really 0.10499...) gives "0.11" there and "0.10" in Python.
+    Here: p = fl(x * 10^d) and the exact product x * 5^d = p5 + e (Dekker's
+    error-free product; 10^d = 2^d * 5^d and scaling by 2^d is exact).
+    The fraction of p decides the rounding unless it is exactly one half,
+    where the sign of e decides, and a true tie goes to the even integer.
+    Valid for |x| * 10^d < 2^52.
+    """
+    v = _c(x).cast("double")
+    a = F.abs(v)
+    five = float(5**digits)
+    two = float(2**digits)
+    big = F.lit(134217729.0)  # 2^27 + 1, Dekker's split constant
+    c = big * a
+    hi = c - (c - a)
+    lo = a - hi
+    p5 = F.lit(five) * a
+    err = (F.lit(five) * hi - p5) + F.lit(five) * lo
+    p = p5 * F.lit(two)
+    k0 = F.floor(p)
+    frac = p - k0
+    up = (
+        F.when(frac > 0.5, F.lit(1))
+        .when(frac < 0.5, F.lit(0))
+        .when(err > 0, F.lit(1))
+        .when(err < 0, F.lit(0))
+        .otherwise(F.pmod(k0, F.lit(2)).cast("int"))
+    )
+    k = (k0 + up).cast("bigint")
+    scale = 10**digits
+    whole = F.floor(k / F.lit(scale)).cast("bigint").cast("string")
+    if digits == 0:
+        body = whole
+    else:
+        body = F.concat(whole, F.lit("."), F.lpad(F.pmod(k, F.lit(scale)).cast("string"), digits, "0"))
+    # the double's own text carries the sign, including -0.0 (as in Python)
+    sign = F.when(F.startswith(v.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
+
+
 def pct(x) -> Column:
-    """P20: ``0.6896 -> '68.96%'``."""
-    return F.format_string("%.2f%%", _c(x) * F.lit(100.0))
+    """P20: ``0.6896 -> '68.96%'`` (Python's ``.2%``: x * 100, then fixed)."""
+    return F.concat(fixed(_c(x).cast("double") * F.lit(100.0), 2), F.lit("%"))
 
 
 def seconds(x) -> Column:
     """P20: ``0.071 -> '0.07s'``."""
-    return F.concat(F.format_string("%.2f", _c(x)), F.lit("s"))
+    return F.concat(fixed(x, 2), F.lit("s"))
 
 
 def or_text(x, fallback: str) -> Column:

@@ -108,3 +108,20 @@ def test_flags_treat_null_as_false(spark):
     df = spark.createDataFrame([(POSITIVE, POSITIVE), (None, POSITIVE), (NEGATIVE, POSITIVE)], "p string, e string")
     got = df.select(is_correct("p", "e").alias("c"), is_valid_format("p", CN).alias("v")).collect()
     assert [(r.c, r.v) for r in got] == [(True, True), (False, False), (False, True)]
+
+
+def test_fixed_matches_python_rounding(spark):
+    import random
+
+    from labelwise.functions.text import fixed
+
+    rnd = random.Random(7)
+    vals = [0.105, 0.115, 0.125, 0.135, 0.145, 2.675, 1.005, 0.0, 0.5, 1.5, 2.5, 0.995, 0.994999, 123.455, 1e-9]
+    vals += [rnd.random() * 10 ** rnd.randint(-3, 4) for _ in range(3000)]
+    vals += [n / 10000 for n in range(0, 5000, 7)]  # latency stand-ins
+    vals += [-0.105, -2.5, -0.0, -0.001]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.s for r in df.select(fixed("x", 2).alias("s")).collect()]
+    assert got == [f"{v:.2f}" for v in vals]
+    got_pct = [r.s for r in df.select(pct("x").alias("s")).collect()]
+    assert got_pct == [f"{v:.2%}" for v in vals]
