@@ -84,6 +84,42 @@ def encode(
     return out.drop("__p", "__f")
 
 
+def global_positions(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``pos``: the 0-based rank of each row in ``key`` order over the
+    whole frame, without a global sort into one task or any RDD.
+
+    The rows are range-partitioned by key and sorted within partitions, and
+    written once to the shared folder (so both passes below see the same
+    layout, also after an executor loss).  One aggregation counts rows per
+    partition (a list of ``partitions`` numbers, collected); a row's rank is
+    its partition's prefix offset plus its index inside the partition, which
+    ``monotonically_increasing_id`` carries in its low 33 bits.
+    """
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranked")
+    (
+        df.repartitionByRange(partitions, key)
+        .sortWithinPartitions(key)
+        .withColumn("__id", F.monotonically_increasing_id())
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+    staged = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    counts = sorted((r["__part"], r["n"]) for r in staged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, acc = [], 0
+    for part, n in counts:
+        offsets.append((part, acc))
+        acc += n
+    offset_map = F.create_map(*[F.lit(x) for kv in offsets for x in kv]) if offsets else None
+    if offset_map is None:
+        return staged.withColumn("pos", F.lit(None).cast("bigint")).drop("__id", "__part")
+    local = F.col("__id") - F.shiftleft(F.col("__part"), 33)
+    return staged.withColumn("pos", F.element_at(offset_map, F.col("__part")) + local).drop("__id", "__part")
+
+
 def pad_batches(
     encoded: DataFrame,
     key: str,
@@ -93,25 +129,37 @@ def pad_batches(
     pad_id: int | None = None,
     template: ChatTemplate = CHATML,
     ignore_index: int = -100,
+    layout: str = "shards",
 ) -> DataFrame:
-    """L7 + P14: batches of ``batch_size`` consecutive rows (in key order)
-    within hash shards; every row is padded to its batch's longest row.
-
-    The shard count bounds the rows one window task sees; pick it so that
-    ``rows / shards`` fits a task (default: ``spark.sql.shuffle.partitions``).
-    Shards come from a keyed hash, so they are balanced whatever the keys.
-    Both windows share the shard partitioning: one shuffle in total.
+    """L7 + P14: batches of ``batch_size`` consecutive rows in key order;
+    every row is padded to its batch's longest row.
+
+    ``layout="global"``: consecutive over the whole frame, as a single-node
+    data loader would batch a file (``global_positions``; the batch window
+    then groups at most ``batch_size`` rows).  ``layout="shards"``:
+    consecutive within hash shards (``shards`` defaults to
+    ``spark.sql.shuffle.partitions``); shards come from a keyed hash, so
+    they are balanced whatever the keys, and both windows share the shard
+    partitioning: one shuffle in total.
     """
     spark = encoded.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pad = template.pad_token_id if pad_id is None else pad_id
-    by_shard = Window.partitionBy("shard").orderBy(key)
+    if layout == "global":
+        ranked = global_positions(encoded, key)
+        out = ranked.withColumn("shard", F.lit(0)).withColumn(
+            "batch_id", F.floor(F.col("pos") / F.lit(batch_size)).cast("bigint")
+        ).drop("pos")
+    elif layout == "shards":
+        shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_shard = Window.partitionBy("shard").orderBy(key)
+        out = encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int")).withColumn(
+            "batch_id", F.floor((F.row_number().over(by_shard) - 1) / F.lit(batch_size)).cast("bigint")
+        )
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     by_batch = Window.partitionBy("shard", "batch_id")
-    out = (
-        encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int"))
-        .withColumn("batch_id", F.floor((F.row_number().over(by_shard) - 1) / F.lit(batch_size)).cast("bigint"))
-        .withColumn("max_len", F.max("n_full").over(by_batch))
-        .withColumn("n_pad", F.col("max_len") - F.col("n_full"))
+    out = out.withColumn("max_len", F.max("n_full").over(by_batch)).withColumn(
+        "n_pad", F.col("max_len") - F.col("n_full")
     )
     fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("n_pad")))
     return (

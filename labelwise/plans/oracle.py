@@ -523,3 +523,9 @@ st3 AS (SELECT s.split, coalesce(c.records, 0) AS records, coalesce(c.positive,
           || ',"negative":' || negative || '}', ',' ORDER BY split) || '}' AS json FROM st3"""
 
 SQL["encode_python_tokenizer"] = SQL["encode_examples"]
+
+SQL["pad_global_batches"] = ENCODE + """,
+  r AS (SELECT doc_id, n_full, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM enc),
+  m AS (SELECT *, max(n_full) OVER (PARTITION BY batch_id) AS max_len FROM r)
+  SELECT CAST(batch_id AS BIGINT) AS batch_id, doc_id, CAST(max_len AS BIGINT) AS max_len,
+         CAST(max_len - n_full AS BIGINT) AS n_pad, CAST(max_len AS BIGINT) AS padded_len FROM m"""

@@ -218,6 +218,19 @@ def pad_batches(spark, sf_dir):
 # --- output parsing, fit, scoring ---------------------------------------------
 
 
+@query
+def pad_global_batches(spark, sf_dir):
+    """L7 + P14 with global consecutive batches of 8 (key order)."""
+    padded = enc.pad_batches(_encoded(spark, sf_dir), B.KEY, batch_size=8, layout="global")
+    return padded.select(
+        _b("batch_id"),
+        "doc_id",
+        _b("max_len"),
+        _b("n_pad"),
+        F.size("labels").cast("bigint").alias("padded_len"),
+    )
+
+
 @query
 def extract_labels(spark, sf_dir):
     """P16 (fixed Chinese vocabulary) on outputs derived from (toxic, doc_id % 6)."""

@@ -75,3 +75,12 @@ def test_pandas_tokenizer(spark):
     df = spark.createDataFrame([(1, "a b c\n", "x")], "row_idx bigint, prompt string, target string")
     r = encode(df, tokenizer=pandas_tokenizer(_ws_split)).first()
     assert r.n_prompt == 3 and r.n_full == 4
+
+
+def test_global_positions_are_dense_ranks(spark):
+    from labelwise.operators.encode import global_positions
+
+    df = spark.range(5000).select(((F.col("id") * 7919) % 10007).alias("k")).repartition(7)
+    got = {r.k: r.pos for r in global_positions(df, "k", partitions=5).collect()}
+    want = {k: i for i, k in enumerate(sorted(got))}
+    assert got == want
