@@ -84,9 +84,10 @@ def encode(
     return out.drop("__p", "__f")
 
 
-def global_positions(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
-    """Adds ``pos``: the 0-based rank of each row in ``key`` order over the
-    whole frame, without a global sort into one task or any RDD.
+def global_positions(df: DataFrame, key, partitions: int | None = None) -> DataFrame:
+    """Adds ``pos``: the 0-based rank of each row in ``key`` order (a column
+    name or a list of them) over the whole frame, without a global sort into
+    one task or any RDD.
 
     The rows are range-partitioned by key and sorted within partitions, and
     written once to the shared folder (so both passes below see the same
@@ -100,9 +101,10 @@ def global_positions(df: DataFrame, key: str, partitions: int | None = None) ->
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "ranked")
+    keys = [key] if isinstance(key, str) else list(key)
     (
-        df.repartitionByRange(partitions, key)
-        .sortWithinPartitions(key)
+        df.repartitionByRange(partitions, *keys)
+        .sortWithinPartitions(*keys)
         .withColumn("__id", F.monotonically_increasing_id())
         .write.mode("overwrite")
         .parquet(path)

@@ -529,3 +529,6 @@ SQL["pad_global_batches"] = ENCODE + """,
   m AS (SELECT *, max(n_full) OVER (PARTITION BY batch_id) AS max_len FROM r)
   SELECT CAST(batch_id AS BIGINT) AS batch_id, doc_id, CAST(max_len AS BIGINT) AS max_len,
          CAST(max_len - n_full AS BIGINT) AS n_pad, CAST(max_len AS BIGINT) AS padded_len FROM m"""
+
+SQL["jsonl_positions"] = with_(BASE_CTES) + """ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, input, output
+  FROM rec WHERE split = 'test'"""

@@ -416,6 +416,21 @@ def jsonl_roundtrip(spark, sf_dir):
     return read_jsonl(spark, path, schema, key=B.KEY).select("split", "doc_id", "instruction", "input", "output")
 
 
+@query
+def jsonl_positions(spark, sf_dir):
+    """S3 + S2 in the original file layout: test records written as JSON
+    Lines without a key (range-ordered part files, no single-task write),
+    read back with each record's 0-based line position."""
+    from ..session import scratch_path
+    from ..sources.readers import read_jsonl
+
+    path = scratch_path(spark, "test-jsonl")
+    test = B.Workspace.of(spark, sf_dir).split("test")
+    test.orderBy(B.KEY).select("instruction", "input", "output").write.mode("overwrite").json(path)
+    back = read_jsonl(spark, path, "instruction string, input string, output string")
+    return back.select(_b("row_idx"), "input", "output")
+
+
 @query
 def predictions_jsonl(spark, sf_dir):
     """Predictions through JSON Lines with ``predicted: null`` kept."""

@@ -52,11 +52,11 @@ def read_jsonl(
     Whitespace-only lines are skipped and do not count toward ``limit``; a
     malformed line raises (FAILFAST).  With ``key`` (a field of every
     record, as our sinks write it) ``limit`` keeps the ``limit`` smallest
-    keys.  Without it the records get ``row_idx``, increasing in (file,
-    line) order: a file's splits are planned in offset order, so the
-    monotonically increasing id follows the lines within each file; it is
-    gap-allowed, not dense.  ``limit`` then keeps the first lines of the
-    files in path order.  Everything stays in the JVM.
+    keys.  Without it the records get ``row_idx``: the 0-based position of
+    the line among the non-blank lines of all files in path order.  A
+    file's splits are planned in offset order, so the monotonically
+    increasing id follows its lines; ``global_positions`` turns (file, id)
+    into dense ranks.  Everything stays in the JVM.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -67,11 +67,14 @@ def read_jsonl(
             "r.*", *extra
         )
         return parsed.orderBy(key).limit(limit) if limit > 0 else parsed
-    numbered = lines.select(
-        F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("row_idx"), "value", *extra
+    from ..operators.encode import global_positions
+
+    tagged = lines.select(
+        F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"), "value", *extra
     )
+    numbered = global_positions(tagged, ["__file", "__line"]).withColumnRenamed("pos", "row_idx")
     if limit > 0:
-        numbered = numbered.orderBy("__file", "row_idx").limit(limit)
+        numbered = numbered.filter(F.col("row_idx") < limit)
     return numbered.select(
         "row_idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra
     ).select("row_idx", "r.*", *extra)

@@ -19,8 +19,8 @@ def test_jsonl_skips_blank_lines_and_limits(spark, tmp_dir):
     p = os.path.join(tmp_dir, "a.jsonl")
     _write(p, ['{"input": "a", "output": "x"}', "   ", "", '{"input": "b", "output": "y"}', '{"input": "c", "output": "z"}'])
     df = read_jsonl(spark, p, "input string, output string")
-    assert [r.input for r in df.orderBy("row_idx").collect()] == ["a", "b", "c"]
-    assert [r.input for r in read_jsonl(spark, p, "input string, output string", limit=2).collect()] == ["a", "b"]
+    assert [(r.row_idx, r.input) for r in df.orderBy("row_idx").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    assert [r.input for r in read_jsonl(spark, p, "input string, output string", limit=2).orderBy("row_idx").collect()] == ["a", "b"]
 
 
 def test_jsonl_broken_line_fails(spark, tmp_dir):
@@ -107,3 +107,14 @@ def test_registry_written_to_every_location(spark, tmp_dir):
     a, b = os.path.join(tmp_dir, "r1"), os.path.join(tmp_dir, "r2")
     R.write_registry(reg, a, b)
     assert R.read_registry(spark, a).count() == 1 and R.read_registry(spark, b).count() == 1
+
+
+def test_jsonl_positions_across_files(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "multi")
+    os.makedirs(d)
+    _write(os.path.join(d, "part-b.jsonl"), [json.dumps({"v": f"b{i}"}) for i in range(300)])
+    _write(os.path.join(d, "part-a.jsonl"), [json.dumps({"v": f"a{i}"}) for i in range(5)] + ["", "  "])
+    got = [(r.row_idx, r.v) for r in read_jsonl(spark, d, "v string").orderBy("row_idx").collect()]
+    want = [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(300)]
+    assert got == list(enumerate(want))
+    assert [r.v for r in read_jsonl(spark, d, "v string", limit=7).orderBy("row_idx").collect()] == want[:7]
