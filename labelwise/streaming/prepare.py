@@ -9,6 +9,10 @@ Two queries share the source:
 The prepared table is then ``staging`` semi-joined with the per-group
 minimum of the log, which equals the batch ``to_records`` result for any
 arrival order.
+
+The dedup state grows with the distinct records, so it is kept in RocksDB
+(off-heap, spilled to local disk, changelog checkpoints to the shared
+folder) unless the session already names a state store provider.
 """
 
 from __future__ import annotations
@@ -19,6 +23,18 @@ from pyspark.sql import functions as F
 from ..operators.prepare import to_records
 from ..spec import TaskSpec
 
+_DEFAULT_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Select the RocksDB state store for queries started from now on,
+    unless a provider other than the in-memory default is configured."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, _DEFAULT_PROVIDER) == _DEFAULT_PROVIDER:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
 
 def start_prepare(
     rows: DataFrame,
@@ -45,6 +61,7 @@ def start_prepare(
     def trig(w):
         return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
 
+    use_rocksdb_state(rows.sparkSession)
     q1 = trig(recs.writeStream.foreachBatch(stage).option("checkpointLocation", f"{checkpoint}/staging")).start()
     q2 = trig(
         firsts.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{checkpoint}/firsts")

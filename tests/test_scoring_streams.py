@@ -80,3 +80,25 @@ def test_external_scorer_checks_before_running(spark):
         assert "/nowhere" in str(e)
     else:
         raise AssertionError("check did not run")
+
+
+def test_stream_prepare_first_wins_across_batches(spark, tmp_dir):
+    """Duplicates split over micro-batches and arriving in reverse key
+    order still keep the smallest key; the dedup state lives in RocksDB."""
+    from labelwise.operators.prepare import to_records
+    from labelwise.streaming.prepare import ROCKSDB_PROVIDER, prepared, start_prepare
+
+    rows = [(k, "same text" if k % 3 else f"text {k}", k % 2, "train") for k in range(30, 0, -1)]
+    schema = "doc_id bigint, text string, label int, split string"
+    src = os.path.join(tmp_dir, "x4-src")
+    for i in range(3):  # one file per micro-batch, later files hold smaller keys
+        spark.createDataFrame(rows[i * 10 : (i + 1) * 10], schema).coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out, ck = os.path.join(tmp_dir, "x4-out"), os.path.join(tmp_dir, "x4-ck")
+    for q in start_prepare(stream, EN, "doc_id", out, ck, class_names=None):
+        q.awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ROCKSDB_PROVIDER
+    got = sorted(map(tuple, prepared(spark, out, "doc_id").select("doc_id", "input", "output").collect()))
+    want = to_records(spark.createDataFrame(rows, schema), EN, key="doc_id")
+    assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect()))
+    assert [k for k, t, _ in got if t == "same text"] == [1, 2]  # first of each label wins
