@@ -126,11 +126,18 @@ def score(
     text), without it the predictions omit ``input`` — metrics never need
     it, and ``report.error_cases`` fetches it for its few rows only.
     """
+    cols = [key, text_col, expected_col]
+    if latency is not None:
+        df = df.withColumn("__latency", latency.cast("double"))
+        cols.append("__latency")
+    # only what the predictions need rides through the scorer (its shuffle
+    # or Arrow transfer); other record columns are not carried
+    df = df.select(*dict.fromkeys(cols))
     scored = scorer.apply(df, key, text_col)
     if keep_input and text_col not in scored.columns:
         scored = scored.join(df.select(key, text_col), key)
     if "latency_sec" not in scored.columns:
-        scored = scored.withColumn("latency_sec", (latency if latency is not None else F.lit(0.0)).cast("double"))
+        scored = scored.withColumn("latency_sec", F.col("__latency") if latency is not None else F.lit(0.0))
     raw = py_strip(F.coalesce(F.col("raw_output"), F.lit("")))
     text = [F.col(text_col).alias("input")] if keep_input else []
     pred = scored.select(
