@@ -42,6 +42,20 @@ def test_tuned_scoring_moves_no_text(spark, capsys):
         assert "input" not in ex.split("Arguments")[0]
 
 
+def test_prediction_shuffle_carries_only_needed_columns(spark, capsys):
+    """M5 through ``score``: the per-document aggregate shuffles the key,
+    the expected label, the latency input and the partial sum -- not the
+    instruction or other record columns."""
+    from labelwise.operators.score import score
+
+    ws = B.Workspace.of(spark, SF)
+    p = plan(score(ws.records(), ws.weights(), "tuned", EN, key=B.KEY, latency=B.latency_standin(), keep_input=False), capsys)
+    shuffles = [ex.split("Arguments")[0] for ex in exchanges(p)]
+    assert shuffles
+    for ex in shuffles:
+        assert "instruction" not in ex and "input" not in ex and "split" not in ex
+
+
 def test_error_cases_limit_before_shuffle(spark, capsys):
     ws = B.Workspace.of(spark, SF)
     p = plan(error_cases(ws.predictions(), EN, texts=ws.test_texts()), capsys)
