@@ -84,17 +84,21 @@ def encode(
     return out.drop("__p", "__f")
 
 
-def global_positions(df: DataFrame, key, partitions: int | None = None) -> DataFrame:
+def global_positions(df: DataFrame, key, partitions: int | None = None, group=None) -> DataFrame:
     """Adds ``pos``: the 0-based rank of each row in ``key`` order (a column
-    name or a list of them) over the whole frame, without a global sort into
-    one task or any RDD.
-
-    The rows are range-partitioned by key and sorted within partitions, and
-    written once to the shared folder (so both passes below see the same
-    layout, also after an executor loss).  One aggregation counts rows per
-    partition (a list of ``partitions`` numbers, collected); a row's rank is
-    its partition's prefix offset plus its index inside the partition, which
-    ``monotonically_increasing_id`` carries in its low 33 bits.
+    name or a list of them) over the whole frame -- or, with ``group``
+    (columns of a bounded set, e.g. hash shards), within its group --
+    without sorting a whole frame or group in one task, and without RDDs.
+
+    The rows are range-partitioned by (group, key) and sorted within
+    partitions, and written once to the shared folder (so both passes below
+    see the same layout, also after an executor loss).  One aggregation
+    counts rows per partition (and group); a row's rank is the number of
+    rows of its group in earlier partitions plus its index among its
+    group's rows inside the partition, which ``monotonically_increasing_id``
+    carries in its low 33 bits.  Range partitioning makes a group's rows a
+    contiguous run of each partition, so a group that holds a third of all
+    rows is spread over a third of the partitions.
     """
     from ..session import scratch_path
 
@@ -102,14 +106,31 @@ def global_positions(df: DataFrame, key, partitions: int | None = None) -> DataF
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "ranked")
     keys = [key] if isinstance(key, str) else list(key)
+    groups = [] if group is None else ([group] if isinstance(group, str) else list(group))
+    order = groups + keys
     (
-        df.repartitionByRange(partitions, *keys)
-        .sortWithinPartitions(*keys)
+        df.repartitionByRange(partitions, *order)
+        .sortWithinPartitions(*order)
         .withColumn("__id", F.monotonically_increasing_id())
         .write.mode("overwrite")
         .parquet(path)
     )
     staged = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    local = F.col("__id") - F.shiftleft(F.col("__part"), 33)
+    if groups:
+        # (partition, group) pairs: at most partitions + groups rows
+        counts = staged.groupBy("__part", *groups).agg(
+            F.count(F.lit(1)).alias("__n"), F.min(local).alias("__first")
+        )
+        before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(
+            "__part", *groups, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
+        )
+        return (
+            staged.join(F.broadcast(offsets), ["__part", *groups])
+            .withColumn("pos", F.col("__off") + local - F.col("__first"))
+            .drop("__id", "__part", "__first", "__off")
+        )
     counts = sorted((r["__part"], r["n"]) for r in staged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, acc = [], 0
     for part, n in counts:
@@ -118,7 +139,6 @@ def global_positions(df: DataFrame, key, partitions: int | None = None) -> DataF
     offset_map = F.create_map(*[F.lit(x) for kv in offsets for x in kv]) if offsets else None
     if offset_map is None:
         return staged.withColumn("pos", F.lit(None).cast("bigint")).drop("__id", "__part")
-    local = F.col("__id") - F.shiftleft(F.col("__part"), 33)
     return staged.withColumn("pos", F.element_at(offset_map, F.col("__part")) + local).drop("__id", "__part")
 
 
@@ -132,6 +152,7 @@ def pad_batches(
     template: ChatTemplate = CHATML,
     ignore_index: int = -100,
     layout: str = "shards",
+    numbering: str = "auto",
 ) -> DataFrame:
     """L7 + P14: batches of ``batch_size`` consecutive rows in key order;
     every row is padded to its batch's longest row.
@@ -141,22 +162,33 @@ def pad_batches(
     then groups at most ``batch_size`` rows).  ``layout="shards"``:
     consecutive within hash shards (``shards`` defaults to
     ``spark.sql.shuffle.partitions``); shards come from a keyed hash, so
-    they are balanced whatever the keys, and both windows share the shard
-    partitioning: one shuffle in total.
+    they are balanced whatever the keys.  With at least as many shards as
+    shuffle partitions, a row-number window per shard is one shuffle and
+    each task holds a few shards; with fewer shards (a shard would then be
+    too large for one task) rows are numbered within their shard by
+    ``global_positions(..., group="shard")``.  ``numbering`` forces
+    ``"window"`` or ``"ranked"``; both give the same batches.
     """
     spark = encoded.sparkSession
     pad = template.pad_token_id if pad_id is None else pad_id
+    to_batch = lambda pos: F.floor(pos / F.lit(batch_size)).cast("bigint")
     if layout == "global":
         ranked = global_positions(encoded, key)
-        out = ranked.withColumn("shard", F.lit(0)).withColumn(
-            "batch_id", F.floor(F.col("pos") / F.lit(batch_size)).cast("bigint")
-        ).drop("pos")
+        out = ranked.withColumn("shard", F.lit(0)).withColumn("batch_id", to_batch(F.col("pos"))).drop("pos")
     elif layout == "shards":
-        shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        by_shard = Window.partitionBy("shard").orderBy(key)
-        out = encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int")).withColumn(
-            "batch_id", F.floor((F.row_number().over(by_shard) - 1) / F.lit(batch_size)).cast("bigint")
-        )
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        shards = shards or partitions
+        sharded = encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int"))
+        if numbering == "auto":
+            numbering = "window" if shards >= partitions else "ranked"
+        if numbering == "window":
+            by_shard = Window.partitionBy("shard").orderBy(key)
+            out = sharded.withColumn("batch_id", to_batch(F.row_number().over(by_shard) - 1))
+        elif numbering == "ranked":
+            ranked = global_positions(sharded, key, group="shard")
+            out = ranked.withColumn("batch_id", to_batch(F.col("pos"))).drop("pos")
+        else:
+            raise ValueError(f"unknown numbering {numbering!r}")
     else:
         raise ValueError(f"unknown layout {layout!r}")
     by_batch = Window.partitionBy("shard", "batch_id")

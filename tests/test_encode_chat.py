@@ -84,3 +84,32 @@ def test_global_positions_are_dense_ranks(spark):
     got = {r.k: r.pos for r in global_positions(df, "k", partitions=5).collect()}
     want = {k: i for i, k in enumerate(sorted(got))}
     assert got == want
+
+
+def test_positions_within_groups_with_a_hot_group(spark):
+    """Ranks within each group are dense, also when one group holds a
+    third of all rows and spans several range partitions."""
+    from labelwise.operators.encode import global_positions
+
+    df = spark.range(6000).select(
+        ((F.col("id") * 7919) % 10007).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5 + 1).cast("int").alias("g"),
+    ).repartition(7)
+    got = {(r.g, r.k): r.pos for r in global_positions(df, "k", partitions=9, group="g").collect()}
+    want = {}
+    for g in {g for g, _ in got}:
+        for i, k in enumerate(sorted(k for gg, k in got if gg == g)):
+            want[(g, k)] = i
+    assert got == want and len(got) == 6000
+
+
+def test_shard_numbering_methods_agree(spark):
+    from labelwise.operators.encode import pad_batches
+
+    rows = [(i, [1] * (i % 7 + 1), [1] * (i % 7 + 1), [-100] * (i % 7 + 1), i % 7 + 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_idx bigint, input_ids array<int>, attention_mask array<int>, labels array<int>, n_full int")
+    cols = ["row_idx", "shard", "batch_id", "max_len", "n_pad"]
+    w = pad_batches(df, "row_idx", batch_size=8, shards=3, numbering="window").select(*cols)
+    r = pad_batches(df, "row_idx", batch_size=8, shards=3, numbering="ranked").select(*cols)
+    assert sorted(map(tuple, w.collect())) == sorted(map(tuple, r.collect()))
+    assert r.groupBy("shard", "batch_id").count().filter("count > 8").count() == 0
