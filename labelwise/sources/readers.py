@@ -66,7 +66,9 @@ def read_jsonl(
         parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra).select(
             "r.*", *extra
         )
-        return parsed.orderBy(key).limit(limit) if limit > 0 else parsed
+        from ..operators.splits import first_by_key
+
+        return first_by_key(parsed, key, limit) if limit > 0 else parsed
     from ..operators.encode import global_positions
 
     tagged = lines.select(

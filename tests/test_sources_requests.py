@@ -118,3 +118,10 @@ def test_jsonl_positions_across_files(spark, tmp_dir):
     want = [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(300)]
     assert got == list(enumerate(want))
     assert [r.v for r in read_jsonl(spark, d, "v string", limit=7).orderBy("row_idx").collect()] == want[:7]
+
+
+def test_keyed_jsonl_limit_keeps_smallest_keys(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "keyed.jsonl")
+    _write(p, [json.dumps({"k": k, "v": f"x{k}"}) for k in (9, 3, 7, 1, 5)] + ["  "])
+    got = sorted(r.k for r in read_jsonl(spark, p, "k bigint, v string", key="k", limit=3).collect())
+    assert got == [1, 3, 5]
