@@ -154,47 +154,62 @@ def pad_batches(
     layout: str = "shards",
     numbering: str = "auto",
 ) -> DataFrame:
-    """L7 + P14: batches of ``batch_size`` consecutive rows in key order;
-    every row is padded to its batch's longest row.
+    """L7 + P14: batches of ``batch_size`` consecutive rows in ``key``
+    order (a unique row key); every row is padded to its batch's longest row.
 
     ``layout="global"``: consecutive over the whole frame, as a single-node
-    data loader would batch a file (``global_positions``; the batch window
-    then groups at most ``batch_size`` rows).  ``layout="shards"``:
-    consecutive within hash shards (``shards`` defaults to
-    ``spark.sql.shuffle.partitions``); shards come from a keyed hash, so
-    they are balanced whatever the keys.  With at least as many shards as
-    shuffle partitions, a row-number window per shard is one shuffle and
-    each task holds a few shards; with fewer shards (a shard would then be
-    too large for one task) rows are numbered within their shard by
-    ``global_positions(..., group="shard")``.  ``numbering`` forces
-    ``"window"`` or ``"ranked"``; both give the same batches.
+    data loader would batch a file.  ``layout="shards"``: consecutive within
+    hash shards (``shards`` defaults to ``spark.sql.shuffle.partitions``);
+    shards come from a keyed hash, so they are balanced whatever the keys.
+
+    Numbering: with at least as many shards as shuffle partitions, a
+    row-number window per shard is one shuffle (the batch window reuses its
+    partitioning) and each task holds a few shards.  Otherwise (the global
+    layout, or few shards: a shard would be too large for one task) the
+    encoded rows are written once to the shared folder; positions and batch
+    maxima are computed on the slim ``(key, shard, n_full)`` columns of
+    that table (``global_positions``, range partitioned, no task holds a
+    whole shard), and joined back on ``key`` -- the tokeniser runs once and
+    the id arrays are shuffled once.  ``numbering`` forces ``"window"`` or
+    ``"ranked"``; both give the same batches.
     """
+    from ..session import scratch_path
+
     spark = encoded.sparkSession
     pad = template.pad_token_id if pad_id is None else pad_id
     to_batch = lambda pos: F.floor(pos / F.lit(batch_size)).cast("bigint")
+    by_batch = Window.partitionBy("shard", "batch_id")
     if layout == "global":
-        ranked = global_positions(encoded, key)
-        out = ranked.withColumn("shard", F.lit(0)).withColumn("batch_id", to_batch(F.col("pos"))).drop("pos")
+        sharded, numbering = encoded.withColumn("shard", F.lit(0)), "ranked"
     elif layout == "shards":
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         shards = shards or partitions
         sharded = encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int"))
         if numbering == "auto":
             numbering = "window" if shards >= partitions else "ranked"
-        if numbering == "window":
-            by_shard = Window.partitionBy("shard").orderBy(key)
-            out = sharded.withColumn("batch_id", to_batch(F.row_number().over(by_shard) - 1))
-        elif numbering == "ranked":
-            ranked = global_positions(sharded, key, group="shard")
-            out = ranked.withColumn("batch_id", to_batch(F.col("pos"))).drop("pos")
-        else:
-            raise ValueError(f"unknown numbering {numbering!r}")
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    by_batch = Window.partitionBy("shard", "batch_id")
-    out = out.withColumn("max_len", F.max("n_full").over(by_batch)).withColumn(
-        "n_pad", F.col("max_len") - F.col("n_full")
-    )
+    if numbering == "window":
+        by_shard = Window.partitionBy("shard").orderBy(key)
+        out = sharded.withColumn("batch_id", to_batch(F.row_number().over(by_shard) - 1)).withColumn(
+            "max_len", F.max("n_full").over(by_batch)
+        )
+    elif numbering == "ranked":
+        path = scratch_path(spark, "encoded")
+        sharded.write.mode("overwrite").parquet(path)
+        stored = spark.read.parquet(path)
+        ranked = global_positions(
+            stored.select(key, "shard", "n_full"), key, group=None if layout == "global" else "shard"
+        )
+        sizes = (
+            ranked.withColumn("batch_id", to_batch(F.col("pos")))
+            .withColumn("max_len", F.max("n_full").over(by_batch))
+            .select(key, "batch_id", "max_len")
+        )
+        out = stored.join(sizes, key)
+    else:
+        raise ValueError(f"unknown numbering {numbering!r}")
+    out = out.withColumn("n_pad", F.col("max_len") - F.col("n_full"))
     fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("n_pad")))
     return (
         out.withColumn("input_ids", fill("input_ids", pad))
