@@ -1,14 +1,19 @@
 """Streaming prepare (X4): P2-P5 on arriving rows plus first-wins dedup.
 
-Two queries share the source:
-* the records query appends every cleaned, labelled row to a staging
-  table (one ``batch_id=N`` folder per micro-batch, overwrite = idempotent);
-* the dedup query keeps a streaming aggregate ``min(key)`` per
-  (split, label, sha256(text), length) — fixed-width state, one row per
-  distinct record — and appends the groups it changed to a log.
+Two chained queries:
+* the records query cleans and labels every arriving row once and appends
+  it, with its text digest and length, to a staging table (one
+  ``batch_id=N`` folder per micro-batch, overwrite = idempotent);
+* the dedup query streams the staging table's slim columns (split, label,
+  digest, length, key -- parquet column pruning, the text is not read)
+  into a streaming aggregate ``min(key)`` per (split, label, digest,
+  length) -- fixed-width state, one row per distinct record -- and appends
+  the groups it changed to a log.  ``min`` is idempotent, so a staging
+  folder rewritten by a retried batch cannot change the result.
 The prepared table is then ``staging`` semi-joined with the per-group
 minimum of the log, which equals the batch ``to_records`` result for any
-arrival order.
+arrival order.  The source (and any join that labels it) is read once per
+micro-batch.
 
 The dedup state grows with the distinct records, so it is kept in RocksDB
 (off-heap, spilled to local disk, changelog checkpoints to the shared
@@ -46,23 +51,33 @@ def start_prepare(
     keep=(),
     available_now: bool = True,
 ):
-    recs = to_records(rows, spec, key=key, class_names=class_names, keep=keep, dedup=False)
+    spark = rows.sparkSession
+    recs = to_records(rows, spec, key=key, class_names=class_names, keep=keep, dedup=False).withColumns(
+        {"__digest": F.sha2(F.col("input"), 256), "__n": F.length("input")}
+    )
+    staging = f"{out_dir}/staging"
 
     def stage(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/staging/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
 
     def log(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/firsts/batch_id={batch_id}")
 
-    firsts = recs.groupBy(
-        "split", "output", F.sha2(F.col("input"), 256).alias("digest"), F.length("input").alias("n")
-    ).agg(F.min(key).alias(key))
-
     def trig(w):
         return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
 
-    use_rocksdb_state(rows.sparkSession)
+    use_rocksdb_state(spark)
     q1 = trig(recs.writeStream.foreachBatch(stage).option("checkpointLocation", f"{checkpoint}/staging")).start()
+    if available_now:
+        q1.awaitTermination()  # the dedup pass then sees every staged row
+    # the file stream needs its folder, also before the first staged batch
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+    # no partition inference: the batch_id folders are not a column here
+    staged = spark.readStream.schema(recs.schema).option("recursiveFileLookup", "true").parquet(staging)
+    firsts = staged.groupBy(
+        "split", "output", F.col("__digest").alias("digest"), F.col("__n").alias("n")
+    ).agg(F.min(key).alias(key))
     q2 = trig(
         firsts.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{checkpoint}/firsts")
     ).start()
@@ -71,7 +86,7 @@ def start_prepare(
 
 def prepared(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
     """The prepared records produced so far."""
-    staging = spark.read.parquet(f"{out_dir}/staging").drop("batch_id")
+    staging = spark.read.parquet(f"{out_dir}/staging").drop("batch_id", "__digest", "__n")
     firsts = (
         spark.read.parquet(f"{out_dir}/firsts")
         .groupBy("split", "output", "digest", "n")

@@ -102,3 +102,28 @@ def test_stream_prepare_first_wins_across_batches(spark, tmp_dir):
     want = to_records(spark.createDataFrame(rows, schema), EN, key="doc_id")
     assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect()))
     assert [k for k, t, _ in got if t == "same text"] == [1, 2]  # first of each label wins
+
+
+def test_stream_prepare_continuous_trigger(spark, tmp_dir):
+    """X4 with processing-time triggers: both queries run side by side, the
+    dedup query trailing the staging table; the result equals the batch."""
+    from labelwise.operators.prepare import to_records
+    from labelwise.streaming.prepare import prepared, start_prepare
+
+    rows = [(k, f"t{k % 4}", k % 2, "train") for k in range(40, 0, -1)]
+    schema = "doc_id bigint, text string, label int, split string"
+    src = os.path.join(tmp_dir, "x4c-src")
+    for i in range(2):
+        spark.createDataFrame(rows[i * 20 : (i + 1) * 20], schema).coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out, ck = os.path.join(tmp_dir, "x4c-out"), os.path.join(tmp_dir, "x4c-ck")
+    q1, q2 = start_prepare(stream, EN, "doc_id", out, ck, available_now=False)
+    try:
+        q1.processAllAvailable()
+        q2.processAllAvailable()
+    finally:
+        q1.stop()
+        q2.stop()
+    got = sorted(map(tuple, prepared(spark, out, "doc_id").select("doc_id", "input", "output").collect()))
+    want = to_records(spark.createDataFrame(rows, schema), EN, key="doc_id")
+    assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect())) and len(got) == 4
