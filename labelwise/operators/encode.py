@@ -206,7 +206,7 @@ def pad_batches(
             .withColumn("max_len", F.max("n_full").over(by_batch))
             .select(key, "batch_id", "max_len")
         )
-        out = stored.join(sizes, key)
+        out = stored.join(sizes.hint("shuffle_hash"), key)  # the id arrays are not sorted
     else:
         raise ValueError(f"unknown numbering {numbering!r}")
     out = out.withColumn("n_pad", F.col("max_len") - F.col("n_full"))

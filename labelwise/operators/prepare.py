@@ -108,8 +108,8 @@ def records_from_pair(
        the text scan itself, then joined to the labels (split, label) and
        grouped to the first key per (split, label, digest, length);
     2. the surviving keys (with split and label) are joined back to the
-       text table: the only join that moves text (or none, when the key set
-       is small enough for the optimizer to broadcast).
+       text table with a shuffled hash join built on the keys: the only
+       join that moves text, and the text is never sorted.
     Column names are detected (P1) when not given.
     """
     text_col = text_col or detect_column(texts, TEXT_COLUMNS, "text")
@@ -122,7 +122,10 @@ def records_from_pair(
         key, "split", normalize_label(staged, "__label_raw", spec, class_names).alias("output"), "__d", "__n"
     )
     firsts = staged.groupBy("split", "output", "__d", "__n").agg(F.min(key).alias(key)).select(key, "split", "output")
-    full = texts.select(key, t.alias("input"), *[F.col(c) for c in keep]).join(firsts, key)
+    # the survivors (key, split, label) are the build side of a shuffled
+    # hash join: the text side is hash-partitioned and streamed through the
+    # probe, never sorted (a sort-merge join would sort every text)
+    full = texts.select(key, t.alias("input"), *[F.col(c) for c in keep]).join(firsts.hint("shuffle_hash"), key)
     return full.select("split", key, F.lit(spec.instruction).alias("instruction"), "input", "output", *keep)
 
 

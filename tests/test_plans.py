@@ -68,6 +68,8 @@ def test_dedup_shuffles_digests_not_text(spark, capsys):
     p = plan(recs, capsys)
     agg_exchanges = [ex for ex in exchanges(p) if "__d" in ex]
     assert agg_exchanges and all("text" not in ex.split("Arguments")[0] for ex in agg_exchanges)
+    # the join back to the text is a hash join built on the survivors: no sort of the text
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
 
 
 def test_hot_text_third_of_rows(spark):
