@@ -160,7 +160,8 @@ def dedup_first(records: DataFrame, key: str, scope: Sequence[str] = ("split",))
         .agg(F.min(key).alias(key))
         .select(key)
     )
-    return records.join(firsts, on=key, how="left_semi")
+    # key-only build side: the records (with text) are probed, not sorted
+    return records.join(firsts.hint("shuffle_hash"), on=key, how="left_semi")
 
 
 def split_stats(records: DataFrame, spec: TaskSpec, splits: Sequence[str] = ("train", "valid", "test")) -> DataFrame:

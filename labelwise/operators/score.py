@@ -135,7 +135,8 @@ def score(
     df = df.select(*dict.fromkeys(cols))
     scored = scorer.apply(df, key, text_col)
     if keep_input and text_col not in scored.columns:
-        scored = scored.join(df.select(key, text_col), key)
+        # one narrow row per key is the build side; the text is not sorted
+        scored = df.select(key, text_col).join(scored.hint("shuffle_hash"), key)
     if "latency_sec" not in scored.columns:
         scored = scored.withColumn("latency_sec", F.col("__latency") if latency is not None else F.lit(0.0))
     raw = py_strip(F.coalesce(F.col("raw_output"), F.lit("")))

@@ -93,4 +93,4 @@ def prepared(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
         .agg(F.min(key).alias(key))
         .select(key)
     )
-    return staging.join(firsts, key, "left_semi")
+    return staging.join(firsts.hint("shuffle_hash"), key, "left_semi")
