@@ -84,7 +84,12 @@ def encode(
     return out.drop("__p", "__f")
 
 
-def global_positions(df: DataFrame, key, partitions: int | None = None, group=None) -> DataFrame:
+OFFSETS_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def global_positions(
+    df: DataFrame, key, partitions: int | None = None, group=None, n_groups: int | None = None
+) -> DataFrame:
     """Adds ``pos``: the 0-based rank of each row in ``key`` order (a column
     name or a list of them) over the whole frame -- or, with ``group``
     (columns of a bounded set, e.g. hash shards), within its group --
@@ -98,7 +103,10 @@ def global_positions(df: DataFrame, key, partitions: int | None = None, group=No
     group's rows inside the partition, which ``monotonically_increasing_id``
     carries in its low 33 bits.  Range partitioning makes a group's rows a
     contiguous run of each partition, so a group that holds a third of all
-    rows is spread over a third of the partitions.
+    rows is spread over a third of the partitions.  The offsets table has at
+    most ``partitions + n_groups`` rows; it is broadcast only when the caller
+    states ``n_groups`` and that bound is small, else the join is planned
+    by the optimizer (AQE sees its real size).
     """
     from ..session import scratch_path
 
@@ -126,8 +134,9 @@ def global_positions(df: DataFrame, key, partitions: int | None = None, group=No
         offsets = counts.select(
             "__part", *groups, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
         )
+        bounded = n_groups is not None and partitions + n_groups <= OFFSETS_BROADCAST_MAX_ROWS
         return (
-            staged.join(F.broadcast(offsets), ["__part", *groups])
+            staged.join(F.broadcast(offsets) if bounded else offsets, ["__part", *groups])
             .withColumn("pos", F.col("__off") + local - F.col("__first"))
             .drop("__id", "__part", "__first", "__off")
         )
@@ -199,7 +208,10 @@ def pad_batches(
         sharded.write.mode("overwrite").parquet(path)
         stored = spark.read.parquet(path)
         ranked = global_positions(
-            stored.select(key, "shard", "n_full"), key, group=None if layout == "global" else "shard"
+            stored.select(key, "shard", "n_full"),
+            key,
+            group=None if layout == "global" else "shard",
+            n_groups=None if layout == "global" else shards,
         )
         sizes = (
             ranked.withColumn("batch_id", to_batch(F.col("pos")))
