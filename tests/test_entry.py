@@ -21,7 +21,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_or_is_known_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(E.QUERIES) - set(E.oracle_sql())
     assert rows_only == set()
 
 
@@ -35,7 +35,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
