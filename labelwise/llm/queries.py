@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, packing, quality, simhash, tokens
+from . import decontam, langid, licenses, lm, packing, quality, simhash, tokens, toolcalls, warc
 from .common import id_remainder, table
 
 
@@ -21,6 +21,16 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs, id_remainder("doc_id", 7) == 2)
+
+
+def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.calls_of_turns(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.TURN_SCHEMAS).withColumnRenamed("grp", "conv_id")
+
+
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs).select(
@@ -28,6 +38,10 @@ def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -58,7 +72,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_lm_scoring,
+        op3_chat_formatting,
         op4_token_counts,
+        op5_warc,
         op6_best_fit_packing,
         op7_language_id,
         op8_benchmark_decontamination,
