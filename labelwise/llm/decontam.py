@@ -35,6 +35,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ class Index:
         if not words or not self.items:
             return []
         get = self.term.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
+        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         best: dict[int, tuple[float, int]] = {}
         for at, found in self.passages(ids):
             for s, score in found:

@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ BUCKETS = 32
 DIM = 16
 SHARE = 1 << 19
 LONGEST = 64
-NOISE = 64
+NOISE = 32
 NOISE_RATIO = 16
 BATCH = 4096
 RATE = 0.05
@@ -69,7 +70,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())],
+                [pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())],
                 names=["word", "c"],
             )
             seen.clear()
@@ -84,7 +85,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select(text).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def bucket_of(word: bytes) -> int:
@@ -92,8 +93,8 @@ def bucket_of(word: bytes) -> int:
 
 
 def _bucket_column(word: Column) -> Column:
-    raw = word.cast("binary")
-    return F.pmod(F.crc32(F.substring(raw, F.greatest(F.length(raw) - 1, F.lit(1)), F.lit(2))), F.lit(BUCKETS)).cast("int")
+    end = F.substring(word, F.greatest(F.length(word) - 1, F.lit(1)), F.lit(2))
+    return F.pmod(F.crc32(end), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -115,13 +116,13 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexicon:
     """The lexicon of ``counts(word, c)``; at most ``share`` words reach the driver."""
-    raw = F.col("word").cast("binary")
-    by_bucket = counts.groupBy(_bucket_column(F.col("word")).alias("b")).agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect()
+    word = F.col("word")
+    by_bucket = counts.groupBy(_bucket_column(word).alias("b")).agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect()
     size, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in by_bucket:
         size[r["b"]], kinds[r["b"]] = r["s"], r["k"]
     tokens, types = int(size.sum()), int(kinds.sum())
-    frequent = counts.filter((F.col("c") * share >= tokens) & (F.length(raw) <= LONGEST)).select(raw.alias("w"), "c").collect()
+    frequent = counts.filter((F.col("c") * share >= tokens) & (F.length(word) <= LONGEST)).select(word.alias("w"), "c").collect()
     order = sorted(((bytes(r["w"]), r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     words = min(words, len(order))
     head_class = np.array([i if i < words else words + bucket_of(w) for i, (w, _) in enumerate(order)], np.int64)
@@ -139,7 +140,7 @@ def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexico
     )
 
 
-ENCODED = "row long, n_tokens long, n_known long, base double, tail double, classes binary, rare array<string>"
+ENCODED = "row long, n_tokens long, n_known long, base double, tail double, classes binary, rare array<binary>"
 
 
 def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon) -> DataFrame:
@@ -155,7 +156,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
 
         arrow = to_arrow_schema(schema)
         lex = shared.value
-        get = lex.head.get
+        get, crc = lex.head.get, zlib.crc32
         words_of_own = lex.classes - BUCKETS
         log_count = np.log10(lex.head_count + 1.0)
         log_all = np.log10(lex.tokens + lex.types + 1.0)
@@ -166,13 +167,13 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 words = lm_words(t)
                 words.append(END)
-                place = np.array([get(w, -1) for w in words], np.int64)
+                place = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 known = place >= 0
                 rare_at = np.flatnonzero(~known)
                 rare = [words[i] for i in rare_at.tolist()]
                 cls = np.empty(len(words), np.int64)
                 cls[known] = lex.head_class[place[known]]
-                cls[rare_at] = [words_of_own + bucket_of(w) for w in rare]
+                cls[rare_at] = [words_of_own + crc(w[-2:]) % BUCKETS for w in rare]
                 logs = np.zeros(len(words))
                 logs[known] = log_count[place[known]]
                 in_tail = cls >= words_of_own
@@ -185,7 +186,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
                         float(logs.sum() - log_all * len(words)),
                         float(tail),
                         cls.astype("<u2").tobytes(),
-                        [w.decode("utf-8", "replace") for w in rare],
+                        rare,
                     )
                 )
                 row += 1
@@ -271,30 +272,36 @@ class NoiseContrast:
         self.m = model
         self.rng = np.random.default_rng(seed)
         noise = (class_size + 1.0) / (class_size.sum() + len(class_size))
-        self.noise = noise / noise.sum()
-        self.log_noise = (np.log(NOISE_RATIO * self.noise)).astype(np.float32)
+        self.draw = np.cumsum(noise / noise.sum())
+        self.log_noise = np.log(NOISE_RATIO * noise / noise.sum()).astype(np.float32)
         self.past = [np.full(x.shape, 0.1, np.float32) for x in model.parts()]
 
     @staticmethod
     def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(index, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+        width = rows.shape[1]
+        flat = (index[:, None] * width + np.arange(width)).ravel()
+        return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
 
     def step(self, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> None:
         m, n = self.m, len(token)
-        r1, r2 = m.R[one], m.R[two]
+        r1, r2, out = m.R[one], m.R[two], m.Q[token]
         q = r1 @ m.P[0] + r2 @ m.P[1]
-        drawn = self.rng.choice(len(self.noise), NOISE, p=self.noise)
+        drawn = self.draw.searchsorted(self.rng.random(NOISE)).clip(max=len(m.b) - 1)
         # chance that a sample is data: sigmoid(score - log(k * noise))
-        data = np.einsum("ij,ij->i", q, m.Q[token]) + m.b[token] - self.log_noise[token]
-        fake = q @ m.Q[drawn].T + (m.b[drawn] - self.log_noise[drawn])
-        gd = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-        gf = -(NOISE_RATIO / NOISE) / (1 + np.exp(np.clip(-fake, -30, 30)))
-        gq = gd[:, None] * m.Q[token] + gf @ m.Q[drawn]
+        data = np.einsum("ij,ij->i", q, out) + m.b[token] - self.log_noise[token]
+        fake = q @ m.Q[drawn].T
+        fake += m.b[drawn] - self.log_noise[drawn]
+        with np.errstate(over="ignore"):
+            gd = 1 / (1 + np.exp(data))
+            gf = np.exp(np.negative(fake, out=fake), out=fake)
+        gf += 1
+        gf = np.divide(np.float32(-NOISE_RATIO / NOISE), gf, out=gf)
+        gq = gd[:, None] * out + gf @ m.Q[drawn]
         grad_q = self._gather(token, gd[:, None] * q, len(m.Q))
         np.add.at(grad_q, drawn, gf.T @ q)
         grad_b = np.bincount(token, gd, len(m.b)) + np.bincount(drawn, gf.sum(axis=0), len(m.b))
         grad_p = np.stack([r1.T @ gq, r2.T @ gq])
-        grad_r = self._gather(one, gq @ m.P[0].T, len(m.R)) + self._gather(two, gq @ m.P[1].T, len(m.R))
+        grad_r = self._gather(np.concatenate([one, two]), np.concatenate([gq @ m.P[0].T, gq @ m.P[1].T]), len(m.R))
         for x, past, g in zip(m.parts(), self.past, (grad_r, grad_p, grad_q, grad_b), strict=True):
             g = (g / np.sqrt(n)).astype(np.float32)
             past += g * g
@@ -363,8 +370,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     lex = lexicon(counts)
     encoded = written(encode(docs, key, text, held_out, lex), "lm-encoded")
     model = train(encoded, lex)
-    raw = F.col("word").cast("binary")
-    rare_counts = counts.filter((F.col("c") * SHARE < lex.tokens) | (F.length(raw) > LONGEST))
+    rare_counts = counts.filter((F.col("c") * SHARE < lex.tokens) | (F.length("word") > LONGEST))
     looked_up = (
         encoded.select("row", F.explode("rare").alias("word"))
         .join(rare_counts, "word", "left")
