@@ -83,4 +83,55 @@ QUERIES = {
         op10_license_scans,
     )
 }
-SQL: dict[str, str] = {}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+# The other queries have no SQL: fitted models (1, 2, 7), tokeniser merges
+# (4, 6), BM25 with word shingles (8), XXH64 fingerprints (9) and compressed
+# sizes (10); tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op3_chat_formatting": rf"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (
+  SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
+         len(regexp_extract_all(text, '{_WORD}')) AS words
+  FROM t WHERE role IN ('user', 'system')
+),
+a AS (SELECT conv_id, turn, text FROM t WHERE role = 'assistant'),
+j AS (
+  SELECT c.*, a.text AS content, CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+    list_sort(list_filter([
+      CASE WHEN name = 'reply' AND c.turn >= 2 THEN c.conv_id || ':' || (c.turn - 2) END,
+      CASE WHEN name = 'reply' AND c.turn >= 1 THEN c.conv_id || ':' || (c.turn - 1) END], lambda x: x IS NOT NULL)) AS deps,
+    list_filter([
+      CASE WHEN name = 'reply' AND length(c.text) < 1 THEN 'question: too short' END,
+      CASE WHEN name = 'reply' AND length(c.text) > 300 THEN 'question: too long' END,
+      CASE WHEN name = 'reply' AND words < 1 THEN 'words: too small' END,
+      CASE WHEN name = 'reply' AND words > 60 THEN 'words: too large' END,
+      CASE WHEN name = 'configure' AND length(c.text) < 1 THEN 'text: too short' END,
+      CASE WHEN name = 'configure' AND length(c.text) > 250 THEN 'text: too long' END], lambda x: x IS NOT NULL) AS errs
+  FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+)
+SELECT conv_id, conv_id || ':' || turn AS call_id, name, turn AS position, turn AS order_major, 0 AS order_minor, status,
+  len(errs) AS n_errors, array_to_string(errs, '; ') AS errors,
+  '{{"arguments":' || CASE name WHEN 'reply' THEN '{{"question":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words || '}}'
+      ELSE '{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}' END
+    || ',"content":' || CASE WHEN content IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END
+    || ',"depends_on":' || CAST(to_json(deps) AS VARCHAR) || ',"errors":' || CAST(to_json(errs) AS VARCHAR)
+    || ',"id":"' || conv_id || ':' || turn || '","name":"' || name || '","role":"call","status":"' || status || '"}}' AS json
+FROM j
+UNION ALL
+SELECT a.conv_id, a.conv_id || ':' || (a.turn - 1), NULL, a.turn, a.turn, 0, 'orphan_result', 0, '',
+  '{{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"id":"' || a.conv_id || ':' || (a.turn - 1)
+    || '","role":"tool","status":"orphan_result"}}'
+FROM a ANTI JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1""",
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+),
+m AS (SELECT digest, max(page_id) AS first_id FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN m ON p.digest = m.digest AND p.n >= 1000""",
+}

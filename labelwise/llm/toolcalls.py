@@ -11,7 +11,8 @@ had to move behind the same later call.  Sorting a conversation by
 (order_major, order_minor, position) is a topological order, and no
 conversation has to be gathered to say so: both numbers come from joins whose
 rounds follow the longest chain of calls issued too early, not the length of
-the conversation.  Calls on a cycle, or behind one, are told as ``cyclic``.
+the conversation.  Calls on a cycle, or that had to move behind one, are told
+as ``cyclic``; ids that no call has are ignored in the order.
 
 Arguments are parsed and checked against the tool's schema (types, required,
 bounds, lengths, choices, unknown names); each item becomes one canonical JSON
