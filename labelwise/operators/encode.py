@@ -18,13 +18,20 @@ from pyspark.sql import types as T
 
 from ..functions.text import WHITESPACE, space_tokens
 from .chat import CHATML, ChatTemplate
+from .ranks import global_positions
 from .splits import hash_bucket
+from .workers import built_once, new_id
 
 Tokenizer = Callable[[Column], Column]
 
 
 def hashed_ids(vocab_size: int = 1 << 20) -> Callable[[Column], Column]:
-    """Token strings -> int ids in ``[1, vocab_size]`` (0 is kept free)."""
+    """Token strings -> int ids in ``[1, vocab_size]`` (0 is kept free).
+
+    Ids are hashes: of V distinct tokens about V / (2 * vocab_size) share an
+    id with another one (1 in 20 for 100,000 tokens and the default size).
+    Where that matters, pass ``table_ids`` or a larger size.
+    """
 
     def ids(tokens: Column) -> Column:
         return F.transform(tokens, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab_size)) + 1).cast("int"))
@@ -32,6 +39,16 @@ def hashed_ids(vocab_size: int = 1 << 20) -> Callable[[Column], Column]:
     return ids
 
 
+def table_ids(vocabulary: dict[str, int], unknown: int = 0) -> Callable[[Column], Column]:
+    """Ids from a given vocabulary (plan-sized: a few thousand entries)."""
+    entries = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
+
+    def ids(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(entries, t), F.lit(unknown)).cast("int"))
+
+    return ids
+
+
 def encode(
     df: DataFrame,
     max_length: int = 256,
@@ -84,73 +101,6 @@ def encode(
     return out.drop("__p", "__f")
 
 
-OFFSETS_BROADCAST_MAX_ROWS = 1_000_000
-
-
-def global_positions(
-    df: DataFrame, key, partitions: int | None = None, group=None, n_groups: int | None = None
-) -> DataFrame:
-    """Adds ``pos``: the 0-based rank of each row in ``key`` order (a column
-    name or a list of them) over the whole frame -- or, with ``group``
-    (columns of a bounded set, e.g. hash shards), within its group --
-    without sorting a whole frame or group in one task, and without RDDs.
-
-    The rows are range-partitioned by (group, key) and sorted within
-    partitions, and written once to the shared folder (so both passes below
-    see the same layout, also after an executor loss).  One aggregation
-    counts rows per partition (and group); a row's rank is the number of
-    rows of its group in earlier partitions plus its index among its
-    group's rows inside the partition, which ``monotonically_increasing_id``
-    carries in its low 33 bits.  Range partitioning makes a group's rows a
-    contiguous run of each partition, so a group that holds a third of all
-    rows is spread over a third of the partitions.  The offsets table has at
-    most ``partitions + n_groups`` rows; it is broadcast only when the caller
-    states ``n_groups`` and that bound is small, else the join is planned
-    by the optimizer (AQE sees its real size).
-    """
-    from ..session import scratch_path
-
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "ranked")
-    keys = [key] if isinstance(key, str) else list(key)
-    groups = [] if group is None else ([group] if isinstance(group, str) else list(group))
-    order = groups + keys
-    (
-        df.repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .write.mode("overwrite")
-        .parquet(path)
-    )
-    staged = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
-    local = F.col("__id") - F.shiftleft(F.col("__part"), 33)
-    if groups:
-        # (partition, group) pairs: at most partitions + groups rows
-        counts = staged.groupBy("__part", *groups).agg(
-            F.count(F.lit(1)).alias("__n"), F.min(local).alias("__first")
-        )
-        before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(
-            "__part", *groups, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")
-        )
-        bounded = n_groups is not None and partitions + n_groups <= OFFSETS_BROADCAST_MAX_ROWS
-        return (
-            staged.join(F.broadcast(offsets) if bounded else offsets, ["__part", *groups])
-            .withColumn("pos", F.col("__off") + local - F.col("__first"))
-            .drop("__id", "__part", "__first", "__off")
-        )
-    counts = sorted((r["__part"], r["n"]) for r in staged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = [], 0
-    for part, n in counts:
-        offsets.append((part, acc))
-        acc += n
-    offset_map = F.create_map(*[F.lit(x) for kv in offsets for x in kv]) if offsets else None
-    if offset_map is None:
-        return staged.withColumn("pos", F.lit(None).cast("bigint")).drop("__id", "__part")
-    return staged.withColumn("pos", F.element_at(offset_map, F.col("__part")) + local).drop("__id", "__part")
-
-
 def pad_batches(
     encoded: DataFrame,
     key: str,
@@ -168,7 +118,8 @@ def pad_batches(
 
     ``layout="global"``: consecutive over the whole frame, as a single-node
     data loader would batch a file.  ``layout="shards"``: consecutive within
-    hash shards (``shards`` defaults to ``spark.sql.shuffle.partitions``);
+    ``shards`` hash shards, a number that has to be given: batches must not
+    depend on a session setting;
     shards come from a keyed hash, so they are balanced whatever the keys.
 
     Numbering: with at least as many shards as shuffle partitions, a
@@ -192,7 +143,8 @@ def pad_batches(
         sharded, numbering = encoded.withColumn("shard", F.lit(0)), "ranked"
     elif layout == "shards":
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        shards = shards or partitions
+        if not shards:
+            raise ValueError("layout 'shards' needs the number of shards: batches depend on it")
         sharded = encoded.withColumn("shard", hash_bucket(key, seed, shards).cast("int"))
         if numbering == "auto":
             numbering = "window" if shards >= partitions else "ranked"
@@ -211,14 +163,13 @@ def pad_batches(
             stored.select(key, "shard", "n_full"),
             key,
             group=None if layout == "global" else "shard",
-            n_groups=None if layout == "global" else shards,
         )
         sizes = (
             ranked.withColumn("batch_id", to_batch(F.col("pos")))
             .withColumn("max_len", F.max("n_full").over(by_batch))
             .select(key, "batch_id", "max_len")
         )
-        out = stored.join(sizes.hint("shuffle_hash"), key)  # the id arrays are not sorted
+        out = stored.join(sizes, key)
     else:
         raise ValueError(f"unknown numbering {numbering!r}")
     out = out.withColumn("n_pad", F.col("max_len") - F.col("n_full"))
@@ -238,15 +189,10 @@ def pandas_tokenizer(factory: Callable[[], Callable[[str], list[str]]]) -> Token
     """
     import pandas as pd
 
-    cache_key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    ident = new_id()
 
     def tok(texts):
-        import sys
-
-        cache = sys.__dict__.setdefault("_labelwise_tokenizers", {})
-        fn = cache.get(cache_key)
-        if fn is None:
-            fn = cache[cache_key] = factory()
+        fn = built_once(ident, factory)
         return texts.map(lambda t: None if t is None else list(fn(t)))
 
     tok.__annotations__ = {"texts": pd.Series, "return": pd.Series}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..spec import TaskSpec
 
+# The cells' names.
 CONFUSION_COLUMNS = ("pos_as_pos", "pos_as_neg", "pos_invalid", "neg_as_neg", "neg_as_pos", "neg_invalid")
 
 

@@ -11,8 +11,8 @@ Fit, one pass over the training split after a class count:
 
 The fitted weights are written as a table under the shared checkpoint
 folder: that cuts lineage (an executor loss later re-reads the table
-instead of refitting), and its row count, taken once from the written
-files, decides whether scoring broadcasts it (see BROADCAST_MAX_ROWS) or
+instead of refitting), and its size, taken once from the written
+table, decides whether scoring broadcasts it (see BROADCAST_MAX_BYTES) or
 uses a shuffle join with AQE skew splitting.
 
 Score: explode each document's distinct tokens in place, left-join the
@@ -33,11 +33,11 @@ from ..session import scratch_path
 from ..spec import TaskSpec
 
 
-# Explicit broadcast of the fitted weights only up to this many rows (the
-# count is recorded at fit time, so the bound is checked, not assumed);
-# beyond it the scoring join is a shuffle join on token, where AQE splits
-# the partitions of hot tokens.
-BROADCAST_MAX_ROWS = 2_000_000
+# Explicit broadcast of the fitted weights only up to this many bytes of
+# token text and weights (measured on the written table at fit time); beyond
+# it the scoring join is a shuffle join on token, where AQE splits the
+# partitions of hot tokens.  The plan differs, the scores do not.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 @dataclass
@@ -47,7 +47,7 @@ class TokenWeights:
     n_neg: int
     scale: int
     spec: TaskSpec
-    n_weights: int | None = None  # rows of the written table; None = unknown
+    n_bytes: int | None = None  # token text and weights of the table; None = unknown
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -60,7 +60,7 @@ class TokenWeights:
 
     def _weights(self, spark: SparkSession) -> DataFrame:
         w = self.table(spark).select("token", "weight")
-        if self.n_weights is not None and self.n_weights <= BROADCAST_MAX_ROWS:
+        if self.n_bytes is not None and self.n_bytes <= BROADCAST_MAX_BYTES:
             return F.broadcast(w)
         return w
 
@@ -74,15 +74,17 @@ class TokenWeights:
         row's small columns only (keep the text out of ``carry``).
         """
         spark = df.sparkSession
-        toks = df.select(
-            key, *carry, F.explode_outer(F.array_distinct(word_tokens(F.col(text_col)))).alias("token")
+        # rows, not keys, are scored: a repeated key gets an answer for each row
+        rows = df.withColumn("__row", F.monotonically_increasing_id())
+        toks = rows.select(
+            "__row", key, *carry, F.explode_outer(F.array_distinct(word_tokens(F.col(text_col)))).alias("token")
         )
         joined = toks.join(self._weights(spark), "token", "left")
         # carried columns are constant per key: grouping on them keeps the
         # aggregate a hash aggregate (first() over strings would sort)
-        return joined.groupBy(key, *carry).agg(
+        return joined.groupBy("__row", key, *carry).agg(
             (self.prior() + F.coalesce(F.sum("weight"), F.lit(0))).alias("score")
-        )
+        ).drop("__row")
 
     def answer(self, score: Column) -> Column:
         s = self.spec
@@ -131,8 +133,8 @@ def fit_token_weights(
     weights = weight_table(token_counts(records, spec, text_col, label_col), n_pos, n_neg, min_df, min_weight, scale)
     path = path or scratch_path(spark, "token-weights")
     weights.write.mode("overwrite").parquet(path)
-    n_weights = spark.read.parquet(path).count()  # parquet footers only
-    return TokenWeights(path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec, n_weights=n_weights)
+    n_bytes = spark.read.parquet(path).agg(F.sum(F.octet_length("token") + F.lit(8))).first()[0] or 0
+    return TokenWeights(path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec, n_bytes=int(n_bytes))
 
 
 def weight_table(

@@ -25,13 +25,13 @@ TEXT_COLUMNS = ("text", "review", "sentence", "comment", "content")
 LABEL_COLUMNS = ("label", "labels", "sentiment")
 
 
-def detect_column(df: DataFrame, candidates: Iterable[str], role: str) -> str:
-    """The first candidate (in candidate order) that is a column."""
-    cols = set(df.columns)
-    for name in candidates:
-        if name in cols:
-            return name
-    raise KeyError(f"Cannot find {role} column among columns: {sorted(cols)}")
+def detect_column(df: DataFrame, preferred: Iterable[str], purpose: str) -> str:
+    """The schema's column that stands earliest in ``preferred``."""
+    order = {name: place for place, name in enumerate(preferred)}
+    usable = order.keys() & set(df.columns)
+    if not usable:
+        raise KeyError(f"no {purpose} column: wanted one of {list(order)}, table has {sorted(df.columns)}")
+    return min(usable, key=order.get)
 
 
 def to_records(
@@ -56,6 +56,9 @@ def to_records(
     is dropped, or with ``null_text_as_none`` becomes the text ``"None"``
     (the original's ``str(None)``).
     """
+    known = {*TEXT_COLUMNS, *LABEL_COLUMNS} & set(df.columns)
+    if not known and not (text_col and label_col) and df.isEmpty():
+        return _no_records(df, key, keep)  # an empty split may lack its columns
     text_col = text_col or detect_column(df, TEXT_COLUMNS, "text")
     label_col = label_col or detect_column(df, LABEL_COLUMNS, "label")
     has_split = split_col is not None and split_col in df.columns
@@ -89,6 +92,13 @@ def to_records(
     return dedup_first(records, key) if dedup else records
 
 
+def _no_records(df: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
+    kind = dict(df.dtypes)
+    fields = ["split string", f"`{key}` {kind.get(key, 'bigint')}", "instruction string", "input string", "output string"]
+    fields += [f"`{c}` {kind.get(c, 'string')}" for c in keep]
+    return df.sparkSession.createDataFrame([], ", ".join(fields))
+
+
 def records_from_pair(
     texts: DataFrame,
     labels: DataFrame,
@@ -107,9 +117,10 @@ def records_from_pair(
     1. narrow pass: sha256 + length of the stripped text are computed on
        the text scan itself, then joined to the labels (split, label) and
        grouped to the first key per (split, label, digest, length);
-    2. the surviving keys (with split and label) are joined back to the
-       text table with a shuffled hash join built on the keys: the only
-       join that moves text, and the text is never sorted.
+    2. the surviving keys (with split and label) are joined back: the only
+       join that moves text.  How is left to the optimizer's sizes: it
+       broadcasts a small key set (no text moves then), and can prune the
+       text side of a shuffle join by a runtime bloom filter of the keys.
     Column names are detected (P1) when not given.
     """
     text_col = text_col or detect_column(texts, TEXT_COLUMNS, "text")
@@ -122,10 +133,7 @@ def records_from_pair(
         key, "split", normalize_label(staged, "__label_raw", spec, class_names).alias("output"), "__d", "__n"
     )
     firsts = staged.groupBy("split", "output", "__d", "__n").agg(F.min(key).alias(key)).select(key, "split", "output")
-    # the survivors (key, split, label) are the build side of a shuffled
-    # hash join: the text side is hash-partitioned and streamed through the
-    # probe, never sorted (a sort-merge join would sort every text)
-    full = texts.select(key, t.alias("input"), *[F.col(c) for c in keep]).join(firsts.hint("shuffle_hash"), key)
+    full = texts.select(key, t.alias("input"), *[F.col(c) for c in keep]).join(firsts, key)
     return full.select("split", key, F.lit(spec.instruction).alias("instruction"), "input", "output", *keep)
 
 
@@ -147,7 +155,8 @@ def quarantined(
 
 
 def dedup_first(records: DataFrame, key: str, scope: Sequence[str] = ("split",)) -> DataFrame:
-    """Keep the smallest ``key`` per (scope, output, input).
+    """Keep the smallest ``key`` per (scope, output, input); ``key`` is
+    unique within its scope.
 
     Same text with different labels keeps both; nothing is removed across
     scopes.  The group key is (scope, output, sha256(input), length(input)),
@@ -157,11 +166,14 @@ def dedup_first(records: DataFrame, key: str, scope: Sequence[str] = ("split",))
     digest = F.sha2(F.col("input"), 256)
     firsts = (
         records.groupBy(*scope, "output", digest.alias("__d"), F.length("input").alias("__n"))
-        .agg(F.min(key).alias(key))
-        .select(key)
+        .agg(F.min(key).alias("__first"))
+        .select(*[F.col(c).alias(f"__s_{c}") for c in scope], "__first")
     )
-    # key-only build side: the records (with text) are probed, not sorted
-    return records.join(firsts.hint("shuffle_hash"), on=key, how="left_semi")
+    # a row is named by (scope, key): keys may be numbered anew in each split
+    same = F.col(key) == F.col("__first")
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    return records.join(firsts, on=same, how="left_semi")
 
 
 def split_stats(records: DataFrame, spec: TaskSpec, splits: Sequence[str] = ("train", "valid", "test")) -> DataFrame:

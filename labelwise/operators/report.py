@@ -66,6 +66,7 @@ def display(preds: DataFrame, spec: TaskSpec) -> DataFrame:
 # failure examples, each section in mode order.
 TITLE = "# Evaluation report"
 TASK_LINE = "Task: binary text classification; a valid answer is `{pos}` or `{neg}`."
+# The table heading and its rule.
 TABLE_HEAD = ("| mode | Accuracy | Macro F1 | Format Valid | Avg Latency |", "| --- | ---: | ---: | ---: | ---: |")
 CONFUSION_TITLE = "## Confusion counts"
 FAILURES_TITLE = "## Example errors"
@@ -151,7 +152,7 @@ def report_lines(
             F.lit(5).alias("section"), "mode_ord", F.lit(1).alias("line_no"), F.lit(NO_FAILURES).alias("line")
         )
     )
-    parts.append(order.select(F.lit(5).alias("section"), "mode_ord", F.lit(10_000).alias("line_no"), F.lit("").alias("line")))
+    parts.append(order.select(F.lit(5).alias("section"), "mode_ord", F.lit(max(spec.failures_per_mode, 1) + 1).alias("line_no"), F.lit("").alias("line")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

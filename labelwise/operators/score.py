@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..functions.labels import extract_label, is_correct, is_valid_format
 from ..functions.text import py_strip, word_tokens
 from ..spec import TaskSpec
+from .workers import built_once, new_id
 
 PREDICTION_COLUMNS = ("mode", "index", "input", "expected", "raw_output", "predicted", "latency_sec")
 
@@ -67,41 +68,47 @@ class LexiconScorer:
 class PandasScorer:
     """Plug in any Python model.
 
-    ``factory()`` is called once per Python worker process and must return
-    ``fn(text) -> str``.  Call ``check()`` on the driver first to fail fast
+    ``factory()`` is called once per Python worker process and scorer and
+    must return ``fn(text) -> str`` or, with ``batched``, ``fn(texts) ->
+    answers`` over a whole Arrow batch (each row then gets an equal share of
+    the batch's time).  Call ``check()`` on the driver first to fail fast
     (e.g. a missing model artefact) before any task starts.
     """
 
-    def __init__(self, factory: Callable[[], Callable[[str], str]], check: Callable[[], None] | None = None):
+    def __init__(
+        self,
+        factory: Callable[[], Callable],
+        check: Callable[[], None] | None = None,
+        batched: bool = False,
+    ):
         self.factory = factory
         self.check = check
+        self.batched = batched
+        self.ident = new_id()
 
     def apply(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
         if self.check is not None:
             self.check()
-        factory = self.factory
-        # a stable name: the closure is unpickled afresh in every task
-        cache_key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+        factory, ident, batched = self.factory, self.ident, self.batched
         schema = T.StructType(
             df.schema.fields
             + [T.StructField("raw_output", T.StringType()), T.StructField("latency_sec", T.DoubleType())]
         )
 
         def run(batches: Iterator):
-            import sys
-
-            # worker-process cache (workers are reused across tasks)
-            holder = sys.__dict__.setdefault("_labelwise_models", {})
-            fn = holder.get(cache_key)
-            if fn is None:
-                fn = holder[cache_key] = factory()
+            fn = built_once(ident, factory)
             for pdf in batches:
-                outs, lats = [], []
-                for text in pdf[text_col]:
+                if batched:
                     t0 = time.perf_counter()
-                    out = fn(text)
-                    lats.append(time.perf_counter() - t0)
-                    outs.append("" if out is None else str(out).strip())
+                    answers = list(fn(list(pdf[text_col])))
+                    lats = [(time.perf_counter() - t0) / max(len(pdf), 1)] * len(pdf)
+                else:
+                    answers, lats = [], []
+                    for text in pdf[text_col]:
+                        t0 = time.perf_counter()
+                        answers.append(fn(text))
+                        lats.append(time.perf_counter() - t0)
+                outs = ["" if out is None else str(out).strip() for out in answers]
                 yield pdf.assign(raw_output=outs, latency_sec=lats)
 
         return df.mapInPandas(run, schema)
@@ -121,9 +128,10 @@ def score(
     """M1: records -> predictions (D9) plus ``correct`` / ``valid_format``.
 
     ``latency`` fills ``latency_sec`` for scorers that do not time rows
-    (default 0.0).  Relational scorers return one row per key without the
-    text; with ``keep_input`` the text is joined back (a shuffle of the
-    text), without it the predictions omit ``input`` — metrics never need
+    (default 0.0).  Every input row gets one prediction, also when keys
+    repeat.  Relational scorers return rows without the text; with
+    ``keep_input`` the answers are joined back by (key, text hash), a shuffle
+    of the text; without it the predictions omit ``input`` — metrics never need
     it, and ``report.error_cases`` fetches it for its few rows only.
     """
     cols = [key, text_col, expected_col]
@@ -135,8 +143,12 @@ def score(
     df = df.select(*dict.fromkeys(cols))
     scored = scorer.apply(df, key, text_col)
     if keep_input and text_col not in scored.columns:
-        # one narrow row per key is the build side; the text is not sorted
-        scored = df.select(key, text_col).join(scored.hint("shuffle_hash"), key)
+        hashed = df.withColumn("__hash", F.xxhash64(text_col))
+        answers = scorer.apply(hashed.select(key, text_col, "__hash"), key, text_col).dropDuplicates([key, "__hash"])
+        answers = answers.withColumnRenamed(key, "__key").withColumnRenamed("__hash", "__answer_hash")
+        scored = hashed.join(
+            answers, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__answer_hash"))
+        ).drop("__key", "__hash", "__answer_hash")
     if "latency_sec" not in scored.columns:
         scored = scored.withColumn("latency_sec", F.col("__latency") if latency is not None else F.lit(0.0))
     raw = py_strip(F.coalesce(F.col("raw_output"), F.lit("")))

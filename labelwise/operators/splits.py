@@ -4,17 +4,26 @@
 Randomness is a keyed hash, ``md5(seed|key)``, never ``rand()``: the
 assignment of a row does not depend on partitioning, task retries or
 executor loss, and it is the same in any SQL engine with ``md5``.
+
+Exact sizes and limits all use one plan, whatever the size and the key type:
+ranks are computed on the slim (split, key) columns by range partitioning
+(``ranks.global_positions``) and the surviving keys are joined back to the
+wide rows once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import global_positions
+
 CANONICAL = ("train", "valid", "test")
-BUCKETS = 1000
+HASH_RANGE = float(1 << 32)
 
 
 def hash_order(key, seed: int) -> Column:
@@ -23,35 +32,44 @@ def hash_order(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def hash_bucket(key, seed: int, buckets: int = BUCKETS) -> Column:
+def hash_number(key, seed: int) -> Column:
+    """The first 32 bits of the md5 as a bigint."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("bigint")
+
+
+def hash_bucket(key, seed: int, buckets: int) -> Column:
     """Stable bucket in ``[0, buckets)`` from the first 32 bits of the md5."""
-    return F.pmod(F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return F.pmod(hash_number(key, seed), F.lit(buckets))
+
+
+def _part_below(x: Column, edges: Sequence[tuple[str, float]]) -> Column:
+    """The first name whose upper edge exceeds ``x``; the last name otherwise."""
+    out = F.lit(edges[-1][0])
+    for name, edge in reversed(edges[:-1]):
+        out = F.when(x < F.lit(edge), F.lit(name)).otherwise(out)
+    return out
 
 
 def holdout_split(df: DataFrame, key: str, seed: int, fractions: Mapping[str, float]) -> DataFrame:
     """L2: assign each row to one named part by keyed hash.
 
-    ``fractions`` is an ordered mapping name -> share (summing to 1); parts
-    are disjoint and cover all rows; sizes are approximate (hash buckets of
-    0.1 %).  Narrow: no shuffle.
+    ``fractions`` is an ordered mapping name -> share and must sum to 1;
+    parts are disjoint and cover all rows.  The 32-bit hash is compared with
+    the shares themselves, so sizes are those of independent draws for any
+    share.  Narrow: no shuffle.
     """
-    b = hash_bucket(key, seed)
-    edges, acc = [], 0.0
+    if not fractions or abs(sum(fractions.values()) - 1.0) > 1e-9 or min(fractions.values()) < 0:
+        raise ValueError(f"shares must be non-negative and sum to 1: {dict(fractions)}")
+    edges, total = [], 0.0
     for name, share in fractions.items():
-        acc += share
-        edges.append((name, int(round(acc * BUCKETS))))
-    expr = None
-    for name, edge in edges[:-1]:
-        expr = (F.when(b < edge, F.lit(name)) if expr is None else expr.when(b < edge, F.lit(name)))
-    last = F.lit(edges[-1][0])
-    return df.withColumn("split", last if expr is None else expr.otherwise(last))
+        total += share
+        edges.append((name, total * HASH_RANGE))
+    return df.withColumn("split", _part_below(hash_number(key, seed), edges))
 
 
 def exact_sizes_80_10_10(n: int) -> list[tuple[str, int]]:
     """Exact part sizes of the two-step 3-way split: hold out ceil(20 %),
     then give the test part ceil(half) of the holdout."""
-    import math
-
     hold = math.ceil(0.2 * n)
     test = math.ceil(0.5 * hold)
     return [("train", n - hold), ("valid", hold - test), ("test", test)]
@@ -59,63 +77,18 @@ def exact_sizes_80_10_10(n: int) -> list[tuple[str, int]]:
 
 def exact_holdout_split(df: DataFrame, key: str, seed: int, sizes=None) -> DataFrame:
     """L2 with exact part sizes: rows ranked by ``(md5(seed|key), key)``;
-    the first ``sizes[0]`` ranks go to the first part, and so on.
-
-    No global sort: a histogram over the 16-bit md5 prefix (65,536 evenly
-    filled buckets, collected — bounded) gives every bucket's first rank;
-    buckets lying inside one part are assigned by prefix range, and only the
-    few buckets that contain a cut are ranked, each by its own window.
-    ``sizes`` defaults to the two-step 80/10/10 rule.
+    the first ``sizes[0]`` ranks go to the first part, and so on.  ``key``
+    is unique.  ``sizes`` defaults to the two-step 80/10/10 rule.
     """
-    h = hash_order(key, seed)
-    prefix = F.substring(h, 1, 4)
-    hist = sorted((r["p"], r["count"]) for r in df.groupBy(prefix.alias("p")).count().collect())
-    n = sum(c for _, c in hist)
-    sizes = sizes if sizes is not None else exact_sizes_80_10_10(n)
-    names = [nm for nm, _ in sizes]
-    cuts, acc = [], 0
-    for _, c in sizes[:-1]:
-        acc += c
-        cuts.append(acc)
-    starts, boundary, first_after = {}, [], {}
-    pos = 0
-    for p, c in hist:
-        starts[p] = pos
-        if any(pos < cut < pos + c for cut in cuts):
-            boundary.append(p)
-        for i, cut in enumerate(cuts):
-            if i not in first_after and pos >= cut:
-                first_after[i] = p
-        pos += c
-
-    def part_of_rank(r: Column) -> Column:
-        expr = None
-        for i, cut in enumerate(cuts):
-            expr = F.when(r < cut, F.lit(names[i])) if expr is None else expr.when(r < cut, F.lit(names[i]))
-        return F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
-
-    def part_of_prefix(pc: Column) -> Column:
-        # a bucket with no cut inside lies wholly in the part of its first rank
-        expr, last = None, F.lit(names[-1])
-        for i in range(len(cuts)):
-            if i not in first_after:  # every remaining bucket starts before cut i
-                last = F.lit(names[i])
-                break
-            cond = pc < F.lit(first_after[i])
-            expr = F.when(cond, F.lit(names[i])) if expr is None else expr.when(cond, F.lit(names[i]))
-        return last if expr is None else expr.otherwise(last)
-
-    staged = df.withColumn("__p", prefix)
-    inner = staged.filter(~F.col("__p").isin(*boundary)) if boundary else staged
-    out = inner.withColumn("split", part_of_prefix(F.col("__p")))
-    if boundary:
-        start_map = F.create_map(*[F.lit(x) for p in boundary for x in (p, starts[p])])
-        w = Window.partitionBy("__p").orderBy(hash_order(key, seed), F.col(key))
-        edge = staged.filter(F.col("__p").isin(*boundary)).withColumn(
-            "__r", F.element_at(start_map, F.col("__p")) + F.row_number().over(w) - 1
-        )
-        out = out.unionByName(edge.withColumn("split", part_of_rank(F.col("__r"))).drop("__r"))
-    return out.drop("__p")
+    ranked = global_positions(df.select(F.col(key).alias("__k"), hash_order(key, seed).alias("__h")), ["__h", "__k"])
+    if sizes is None:
+        sizes = exact_sizes_80_10_10(ranked.count())
+    edges, total = [], 0
+    for name, size in sizes:
+        total += size
+        edges.append((name, total))
+    part = ranked.select("__k", _part_below(F.col("pos"), edges).alias("split"))
+    return df.join(part, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
 
 
 def canonical_splits(
@@ -125,6 +98,7 @@ def canonical_splits(
     split_col: str = "split",
     names: Sequence[str] | None = None,
     exact: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """L1: bring any split layout to ``train`` / ``valid`` / ``test``.
 
@@ -132,58 +106,73 @@ def canonical_splits(
     {train, validation, test} as is (validation -> valid); {train, valid,
     test} as is; {train, test}: 10 % of train becomes valid; {train}: 80 /
     10 / 10; anything else raises.  A table without a split column counts
-    as {train}.  Rows of other splits are dropped.  ``exact`` gives the
-    "train only" case exact part sizes (``exact_holdout_split``).
+    as {train}.  Rows of other splits are dropped.  ``exact`` makes the
+    sizes of the last two cases exact (a carved tenth is rounded up).
+
+    A validation part without a test part would be dropped and train split
+    anew; that raises unless ``strict`` asks for exactly this.
     """
+    wanted = ("train", "validation", "valid", "test")
     if split_col not in df.columns:
         present = {"train"}
         df = df.withColumn(split_col, F.lit("train"))
     elif names is not None:
         present = set(names)
     else:
-        # split names are few; guard against a mis-typed column anyway
-        rows = df.select(split_col).distinct().limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise ValueError(f"{split_col!r} has too many distinct values to be a split column")
-        present = {r[0] for r in rows}
+        found = df.agg(*[F.max(F.col(split_col) == w).alias(w) for w in wanted]).first()
+        present = {w for w in wanted if found[w]}
     s = F.col(split_col)
     if {"train", "validation", "test"} <= present:
         out = df.filter(s.isin("train", "validation", "test")).withColumn(
             "split", F.when(s == "validation", F.lit("valid")).otherwise(s)
         )
-    elif {"train", "valid", "test"} <= present:
+    elif set(CANONICAL) <= present:
         out = df.filter(s.isin(*CANONICAL)).withColumn("split", s)
     elif {"train", "test"} <= present:
-        b = hash_bucket(key, seed)
-        out = df.filter(s.isin("train", "test")).withColumn(
-            "split", F.when((s == "train") & (b < 100), F.lit("valid")).otherwise(s)
-        )
+        train, test = df.filter(s == "train"), df.filter(s == "test").withColumn("split", F.lit("test"))
+        if exact:
+            rows = train.count()
+            tenth = math.ceil(0.1 * rows)
+            carved = exact_holdout_split(train.drop("split"), key, seed, [("valid", tenth), ("train", rows - tenth)])
+        else:
+            carved = holdout_split(train, key, seed, {"valid": 0.1, "train": 0.9})
+        out = carved.select(*test.columns).unionByName(test) if split_col == "split" else carved.unionByName(test, True)
     elif "train" in present:
+        if not strict and present & {"validation", "valid"}:
+            raise ValueError("a validation split without a test split would be dropped; pass strict=True to allow it")
         train = df.filter(s == "train").drop(split_col)
         if exact:
             out = exact_holdout_split(train, key, seed)
         else:
             out = holdout_split(train, key, seed, {"train": 0.8, "valid": 0.1, "test": 0.1})
     else:
-        raise KeyError(f"Unsupported dataset splits: {sorted(present)}")
+        raise KeyError(f"no train split among the splits found: {sorted(present)}")
     if split_col != "split" and split_col in out.columns:
         out = out.drop(split_col)
     return out
 
 
 # --- L3 / L4 -----------------------------------------------------------------
-# A per-split "first n in some order" is planned as TakeOrderedAndProject
-# (each task keeps its own top n, one task merges n x tasks rows).  Beyond
-# ``TOPK_ROWS`` that merge would be too large for one task, so the seeded cap
-# switches to an exact two-pass plan: a histogram over the leading 16 bits of
-# the md5 order (65,536 evenly filled buckets, size-bounded) finds the bucket
-# holding the n-th row; rows of earlier buckets pass, and only that single
-# bucket is ordered.
-TOPK_ROWS = 200_000
 
 
-def _first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+def _limited(df: DataFrame, limits: Mapping[str, int], key: str, split_col: str, order: list[Column]) -> DataFrame:
+    """Rows of unlimited splits (a null split included) plus, per limited
+    split, the first ``limit`` rows in ``order``, ties by ``key`` (unique
+    within its split)."""
+    capped = {s: n for s, n in limits.items() if n > 0}
+    if not capped:
+        return df
+    s = F.col(split_col)
+    inside = F.coalesce(s.isin(*capped), F.lit(False))
+    names = [f"__o{i}" for i in range(len(order))]
+    slim = df.filter(inside).select(
+        s.alias("__s"), F.col(key).alias("__k"), *[o.alias(n) for o, n in zip(order, names, strict=True)]
+    )
+    ranked = global_positions(slim, [*names, "__k"], group="__s")
+    first = reduce(lambda c, x: c | x, [(F.col("__s") == k) & (F.col("pos") < n) for k, n in capped.items()])
+    keep = ranked.filter(first).select("__s", "__k")
+    kept = df.filter(inside).join(keep, (s == F.col("__s")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    return df.filter(~inside).unionByName(kept)
 
 
 def seeded_cap(
@@ -199,97 +188,18 @@ def seeded_cap(
     The choice depends only on (seed, key), so it is the same for any
     partitioning.  The output is a set; its order is not defined.
     """
-    h = hash_order(key, seed)
-    parts = []
-    capped = {s: n for s, n in limits.items() if n > 0}
-    other = df.filter(~F.col(split_col).isin(*capped.keys())) if capped else df
-    parts.append(other)
-    big = {s: n for s, n in capped.items() if n > TOPK_ROWS}
-    for s, n in capped.items():
-        if s in big:
-            continue
-        part = df.filter(F.col(split_col) == s)
-        parts.append(_first_n(part, [h, F.col(key)], n))
-    if big:
-        parts.extend(_histogram_cap(df, big, key, seed, split_col))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+    return _limited(df, limits, key, split_col, [hash_order(key, seed)])
 
-def _histogram_cap(df: DataFrame, big: Mapping[str, int], key: str, seed: int, split_col: str) -> list[DataFrame]:
-    h = hash_order(key, seed)
-    prefix = F.substring(h, 1, 4)
-    hist = (
-        df.filter(F.col(split_col).isin(*big.keys()))
-        .groupBy(F.col(split_col).alias("s"), prefix.alias("p"))
-        .count()
-        .collect()  # at most 65,536 rows per split
-    )
-    by_split: dict[str, list[tuple[str, int]]] = {}
-    for r in hist:
-        by_split.setdefault(r["s"], []).append((r["p"], r["count"]))
-    out = []
-    for s, n in big.items():
-        buckets = sorted(by_split.get(s, []))
-        part = df.filter(F.col(split_col) == s)
-        total = sum(c for _, c in buckets)
-        if total <= n:
-            out.append(part)
-            continue
-        acc = 0
-        for p, c in buckets:
-            if acc + c >= n:
-                cut, rest = p, n - acc
-                break
-            acc += c
-        out.append(part.filter(prefix < F.lit(cut)))
-        out.append(_first_n(part.filter(prefix == F.lit(cut)), [h, F.col(key)], rest))
-    return out
-
-
-def first_by_key(df: DataFrame, key: str, n: int, candidates: int = 64, depth: int = 0) -> DataFrame:
-    """The ``n`` rows with the smallest ``key`` (unique, orderable), exactly.
 
-    Small ``n``: TakeOrderedAndProject.  Large ``n``: approximate quantiles
-    of the key give candidate thresholds and one pass of conditional counts
-    finds the last threshold with at most ``n`` rows at or below it; those
-    rows pass as a plain filter, and only the slice up to the next
-    threshold (~1/candidates of the rows) is ordered — recursively while
-    that slice is still large.
-    """
-    if n <= TOPK_ROWS or depth >= 4:
-        return _first_n(df, [F.col(key)], n)
-    probs = [i / candidates for i in range(1, candidates)]
-    cands = sorted(set(df.approxQuantile(key, probs, 1.0 / (4 * candidates))))
-    if not cands:
+def first_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest ``key`` (unique, of any orderable
+    type), exactly and by the same plan for every ``n``."""
+    if n <= 0:
         return df.limit(0)
-    row = df.agg(*[F.count_if(F.col(key) <= F.lit(t)).alias(f"c{i}") for i, t in enumerate(cands)]).first()
-    counts = [row[f"c{i}"] for i in range(len(cands))]
-    lo = max((i for i, c in enumerate(counts) if c <= n), default=None)
-    below = counts[lo] if lo is not None else 0
-    hi = lo + 1 if lo is not None else 0
-    rest = df if lo is None else df.filter(F.col(key) > F.lit(cands[lo]))
-    if hi < len(cands):
-        rest = rest.filter(F.col(key) <= F.lit(cands[hi]))
-    tail = first_by_key(rest, key, n - below, candidates, depth + 1) if n > below else None
-    head = df.filter(F.col(key) <= F.lit(cands[lo])) if lo is not None else None
-    if head is None:
-        return tail if tail is not None else df.limit(0)
-    return head if tail is None else head.unionByName(tail)
+    keep = global_positions(df.select(F.col(key).alias("__k")), "__k").filter(F.col("pos") < n).select("__k")
+    return df.join(keep, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
 
 
 def head_limit(df: DataFrame, limits: Mapping[str, int], key: str, split_col: str = "split") -> DataFrame:
     """L4 / M6: per split, the first ``limit`` rows in ``key`` order (0 = all)."""
-    limited = [s for s, n in limits.items() if n > 0]
-    if not limited:
-        return df
-    parts = [df.filter(~F.col(split_col).isin(*limited))]
-    for s, n in limits.items():
-        if n > 0:
-            parts.append(first_by_key(df.filter(F.col(split_col) == s), key, n))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _limited(df, limits, key, split_col, [])

@@ -30,6 +30,8 @@ SPEC = ENGLISH_REVIEWS
 KEY = "doc_id"
 # Class dictionary for labels.toxic (fixed for this binding).
 CLASS_NAMES = {0: "positive", 1: "negative"}
+
+
 def lexicon_model():
     """An external (Python) model for the ``mapInPandas`` scorer path: the
     baseline lexicon rule over Unicode letter runs.  Built once per worker."""
@@ -45,6 +47,15 @@ def lexicon_model():
     return answer
 
 
+def constant_model(answer: str):
+    """A factory of models that always give one answer."""
+
+    def build():
+        return lambda text: answer
+
+    return build
+
+
 def whitespace_tokenizer():
     """An external tokeniser for the U1 plug-in path: Python's own
     whitespace split (the same 29 code points as the built-in one)."""

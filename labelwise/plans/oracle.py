@@ -41,10 +41,18 @@ def strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
 
-def bucket(key: str, seed: int = S.seed, n: int = 1000) -> str:
+def bucket(key: str, seed: int, n: int) -> str:
     return f"(CAST(('0x' || substr(md5('{seed}|' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % {n})"
 
 
+def number(key: str, seed: int = S.seed) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}|' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+def below(share: float) -> str:
+    return f"{share!r} * 4294967296.0"
+
+
 def tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '{NON_LETTER}'), lambda t: t <> '')"
 
@@ -61,8 +69,8 @@ lab AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 ),
 sp AS (
-  SELECT *, CASE WHEN b < 800 THEN 'train' WHEN b < 900 THEN 'valid' ELSE 'test' END AS split
-  FROM (SELECT *, {bucket('doc_id')} AS b FROM lab)
+  SELECT *, CASE WHEN b < {below(0.8)} THEN 'train' WHEN b < {below(0.9)} THEN 'valid' ELSE 'test' END AS split
+  FROM (SELECT *, {number('doc_id')} AS b FROM lab)
 ),
 st AS (
   SELECT split, doc_id, {strip('text')} AS input,
@@ -384,7 +392,7 @@ v AS (
 SQL["validate_requests"] = (
     with_(
         _validated(
-            f"SELECT conv_id * 100 + turn AS request_id, text, {_req_mode('(conv_id + turn) % 4')} AS mode0 FROM conversations"
+            f"SELECT conv_id || ':' || turn AS request_id, text, {_req_mode('(conv_id + turn) % 4')} AS mode0 FROM conversations"
         )
     )
     + " SELECT request_id, mode, reason IS NULL AS accepted, reason FROM v"
@@ -449,7 +457,7 @@ SQL["report_lines"] = EVAL + ", mo AS " + _MODE_ORD + " SELECT * FROM (" + " UNI
         "SELECT 5, mo.mode_ord, e.rank, '- expected `' || e.expected || '`, predicted `' || coalesce(e.predicted, 'None') || "
         "'`, output: ' || e.raw_snippet || '; text: ' || e.snippet FROM errs e JOIN mo ON e.mode = mo.mode",
         "SELECT 5, mode_ord, 1, '- no errors.' FROM mo WHERE mode NOT IN (SELECT mode FROM errs)",
-        "SELECT 5, mode_ord, 10000, '' FROM mo",
+        f"SELECT 5, mode_ord, {S.failures_per_mode + 1}, '' FROM mo",
     ]
 ) + ")"
 
@@ -532,3 +540,82 @@ SQL["pad_global_batches"] = ENCODE + """,
 
 SQL["jsonl_positions"] = with_(BASE_CTES) + """ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, input, output
   FROM rec WHERE split = 'test'"""
+
+# --- cases the plain tables do not show ---------------------------------------------
+
+SQL["prepare_numbered_splits"] = with_(
+    BASE_CTES,
+    f"""
+num AS (SELECT split, doc_id, text, label, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS row_idx FROM sp),
+nst AS (
+  SELECT split, row_idx, {strip('text')} AS input, CASE label WHEN 0 THEN {POS} WHEN 1 THEN {NEG} END AS output
+  FROM num WHERE length({strip('text')}) > 0
+)""",
+) + " SELECT split, min(row_idx) AS row_idx, input, output FROM nst GROUP BY split, input, output"
+
+_MD5_OF_ID = f"md5('{S.seed}|' || CAST(doc_id AS VARCHAR))"
+SQL["large_cap"] = with_(
+    BASE_CTES,
+    f"""
+ranked AS (
+  SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY {_MD5_OF_ID}) AS seeded,
+         row_number() OVER (PARTITION BY split ORDER BY CAST(doc_id AS VARCHAR)) AS head
+  FROM rec
+),
+lim AS (SELECT *, CASE split WHEN 'train' THEN 150 WHEN 'valid' THEN 15 ELSE 1000000000 END AS n FROM ranked)""",
+) + """ SELECT 'seeded' AS kind, split, doc_id FROM lim WHERE seeded <= n
+       UNION ALL SELECT 'seeded name', split, doc_id FROM lim WHERE seeded <= n
+       UNION ALL SELECT 'head name', split, doc_id FROM lim WHERE head <= n"""
+
+SQL["score_two_models"] = with_(BASE_CTES) + f"""
+  SELECT 'base' AS mode, doc_id AS "index", {POS} AS predicted, output = {POS} AS correct FROM rec WHERE split = 'test'
+  UNION ALL SELECT 'tuned', doc_id, {NEG}, output = {NEG} FROM rec WHERE split = 'test'"""
+
+_MIXED = with_(
+    BASE_CTES,
+    f"""
+mix AS (
+  SELECT doc_id, output AS expected,
+    CASE doc_id % 5 WHEN 0 THEN output WHEN 4 THEN CASE output WHEN {POS} THEN {NEG} ELSE {POS} END END AS predicted,
+    CASE doc_id % 5 WHEN 0 THEN output WHEN 1 THEN '' WHEN 2 THEN 'no idea' WHEN 3 THEN 'good or bad'
+      ELSE CASE output WHEN {POS} THEN {NEG} ELSE {POS} END END AS raw_output
+  FROM rec
+)""",
+)
+SQL["invalid_predictions"] = _MIXED + f"""
+  SELECT 'mixed' AS mode, doc_id AS "index", coalesce(predicted, {lit(S.undetermined_text)}) AS label_text,
+         coalesce(nullif(raw_output, ''), {lit(S.no_output_text)}) AS raw_text FROM mix"""
+SQL["invalid_metrics"] = _MIXED + f""",
+c AS (
+  SELECT count(*) AS total, count(*) FILTER (WHERE predicted = expected) AS ok, count(predicted) AS valid,
+    count(*) FILTER (WHERE expected = {POS} AND predicted = {POS}) AS pos_as_pos,
+    count(*) FILTER (WHERE expected = {POS} AND predicted = {NEG}) AS pos_as_neg,
+    count(*) FILTER (WHERE expected = {POS} AND predicted IS NULL) AS pos_invalid,
+    count(*) FILTER (WHERE expected = {NEG} AND predicted = {NEG}) AS neg_as_neg,
+    count(*) FILTER (WHERE expected = {NEG} AND predicted = {POS}) AS neg_as_pos,
+    count(*) FILTER (WHERE expected = {NEG} AND predicted IS NULL) AS neg_invalid
+  FROM mix
+)
+SELECT 'mixed' AS mode, total, round(ok / CAST(total AS DOUBLE), 6) AS accuracy,
+  round((coalesce(2.0 * pos_as_pos / nullif(2 * pos_as_pos + pos_as_neg + pos_invalid + neg_as_pos, 0), 0)
+       + coalesce(2.0 * neg_as_neg / nullif(2 * neg_as_neg + neg_as_pos + neg_invalid + pos_as_neg, 0), 0)) / 2, 6) AS macro_f1,
+  round(valid / CAST(total AS DOUBLE), 6) AS format_valid_rate,
+  pos_as_pos, pos_as_neg, pos_invalid, neg_as_neg, neg_as_pos, neg_invalid FROM c"""
+SQL["empty_metrics"] = "SELECT count(*) AS n_modes FROM labels WHERE false"
+SQL["pad_contents"] = f"""
+  SELECT doc_id, n_pad, n_pad AS pad_ids, n_masked + n_pad AS ignored, n_full AS attended
+  FROM ({SQL['pad_batches']}) JOIN ({SQL['encode_examples']}) USING (doc_id)"""
+SQL["registry_targets"] = with_(
+    BASE_CTES,
+    f"""
+old AS (SELECT name, 'reviews/' || substr(name, 9) || '/train.jsonl' AS file_name FROM ({_SRC_NAMES})),
+new AS (SELECT DISTINCT 'reviews_' || d.source AS name FROM sp JOIN documents d ON sp.doc_id = d.doc_id WHERE sp.split = 'test'),
+newe AS (SELECT name, 'reviews/' || substr(name, 9) || '/test.jsonl' AS file_name FROM new)""",
+) + """ SELECT 'project' AS target, name, file_name FROM old WHERE name NOT IN (SELECT name FROM newe)
+       UNION ALL SELECT 'project', name, file_name FROM newe
+       UNION ALL SELECT 'consumer', name, file_name FROM newe
+       UNION ALL SELECT 'consumer', 'consumer_own', 'own.jsonl'"""
+SQL["jsonl_blank_lines"] = with_(
+    BASE_CTES, "n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id, output FROM rec)"
+) + """ SELECT 'all' AS kind, row_idx, doc_id, output FROM n
+       UNION ALL SELECT 'first', row_idx, doc_id, output FROM n WHERE row_idx < 40"""

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators import chat, encode as enc, evaluate as ev, report as rep
 from ..operators.fit import token_counts
+from ..operators.prepare import TEXT_COLUMNS, to_records
 from ..operators.prepare import split_stats as _split_stats
-from ..operators.score import LexiconScorer, score
+from ..operators.ranks import global_positions
+from ..operators.score import LexiconScorer, PandasScorer, run_modes, score
 from ..operators.splits import head_limit, seeded_cap
 from ..spec import CHINESE_REVIEWS
 from . import bindings as B
@@ -301,8 +303,6 @@ def score_tuned(spark, sf_dir):
 def score_external(spark, sf_dir):
     """M1(b) / M2 / U2: a Python model scored with mapInPandas (built once
     per worker, each row timed) over the test split."""
-    from ..operators.score import PandasScorer
-
     test = B.Workspace.of(spark, sf_dir).split("test")
     p = score(test, PandasScorer(B.lexicon_model), "external", B.SPEC, key=B.KEY)
     return p.select("index", "expected", "raw_output", "predicted", "correct", (F.col("latency_sec") >= 0).alias("timed"))
@@ -482,9 +482,10 @@ def registry_upsert(spark, sf_dir):
     from ..session import scratch_path
 
     old, new = _registries(spark, sf_dir)
-    project_copy, consumer_copy = scratch_path(spark, "registry"), scratch_path(spark, "registry")
-    R.write_registry(R.upsert(old, new), project_copy, consumer_copy)
-    up = R.read_registry(spark, consumer_copy)
+    current, following = scratch_path(spark, "registry"), scratch_path(spark, "registry")
+    R.write_registry(old, current)
+    R.upsert_all(new, {current: following})
+    up = R.read_registry(spark, following)
     return up.select(
         "name",
         "file_name",
@@ -522,7 +523,7 @@ def validate_requests(spark, sf_dir):
 
     conv = B.table(spark, sf_dir, "conversations")
     req = conv.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"),
         "text",
         _request_mode(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))).alias("mode"),
     )
@@ -608,11 +609,13 @@ def stream_prepare(spark, sf_dir):
 
 @query
 def first_available_source(spark, sf_dir):
-    """The first candidate path that loads (a missing one is skipped)."""
+    """The first candidate with a text column (a missing path and a table
+    of another shape are skipped)."""
     from ..sources.readers import read_first
 
     base = sf_dir.rstrip("/")
-    df = read_first(spark, [f"{base}/reviews.parquet", f"{base}/documents.parquet"])
+    candidates = [f"{base}/reviews.parquet", f"{base}/labels.parquet", f"{base}/documents.parquet"]
+    df = read_first(spark, candidates, require=[TEXT_COLUMNS])
     return df.select("doc_id", "lang", "source", "n_chars")
 
 
@@ -652,3 +655,137 @@ def publish_dataset(spark, sf_dir):
     ws.records()
     out = publish(spark, ws._records, scratch_path(spark, "published"))
     return out.select("split", "doc_id", "instruction", "input", "output")
+
+
+# --- cases the plain tables do not show --------------------------------------------
+
+
+@query
+def prepare_numbered_splits(spark, sf_dir):
+    """P1-P5, L5 on rows numbered anew inside each split, as separate split
+    files are: a row is (split, row_idx)."""
+    rows = B.split_rows(spark, sf_dir).select("split", B.KEY, "text", "label")
+    numbered = global_positions(rows, B.KEY, group="split").withColumnRenamed("pos", "row_idx")
+    recs = to_records(numbered, B.SPEC, key="row_idx", class_names=B.CLASS_NAMES)
+    return recs.select("split", _b("row_idx"), "input", "output")
+
+
+@query
+def large_cap(spark, sf_dir):
+    """L3 / L4 by string and integer keys, half of the records of a split."""
+    recs = _records(spark, sf_dir).select("split", B.KEY, F.col(B.KEY).cast("string").alias("name"))
+    limits = {"train": 150, "valid": 15}
+    parts = [
+        seeded_cap(recs, limits, B.KEY, B.SPEC.seed).select(F.lit("seeded").alias("kind"), "split", B.KEY),
+        seeded_cap(recs, limits, "name", B.SPEC.seed).select(F.lit("seeded name").alias("kind"), "split", B.KEY),
+        head_limit(recs, limits, "name").select(F.lit("head name").alias("kind"), "split", B.KEY),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def score_two_models(spark, sf_dir):
+    """Two Python models built by one function, each under its mode."""
+    test = B.Workspace.of(spark, sf_dir).split("test")
+    scorers = {
+        "base": PandasScorer(B.constant_model(B.SPEC.positive)),
+        "tuned": PandasScorer(B.constant_model(B.SPEC.negative), batched=False),
+    }
+    return run_modes(test, scorers, B.MODES, B.SPEC, key=B.KEY).select("mode", "index", "predicted", "correct")
+
+
+class _MixedAnswers:
+    """A stand-in model that, by key, answers right, nothing, something
+    unknown, both labels, or wrong."""
+
+    def apply(self, df, key, text_col):
+        k, e = F.pmod(F.col(key), F.lit(5)), F.col("output")
+        pos, neg = F.lit(B.SPEC.positive), F.lit(B.SPEC.negative)
+        return df.withColumn(
+            "raw_output",
+            F.when(k == 0, F.concat(F.lit(" "), e))
+            .when(k == 1, F.lit(""))
+            .when(k == 2, F.lit("no idea"))
+            .when(k == 3, F.lit("good or bad"))
+            .otherwise(F.when(e == pos, neg).otherwise(pos)),
+        )
+
+
+def _mixed(spark, sf_dir):
+    recs = B.Workspace.of(spark, sf_dir).records()
+    return score(recs, _MixedAnswers(), "mixed", B.SPEC, key=B.KEY, latency=B.latency_standin(), keep_input=False)
+
+
+@query
+def invalid_predictions(spark, sf_dir):
+    """P16-P18, P21 with empty, unknown, ambiguous and wrong answers."""
+    shown = rep.display(_mixed(spark, sf_dir), B.SPEC).select("mode", "index", "label_text", "raw_text")
+    return shown
+
+
+@query
+def invalid_metrics(spark, sf_dir):
+    """A2, A3, A6, A7 when three answers of five are invalid."""
+    c = ev.counts(_mixed(spark, sf_dir), B.SPEC)
+    m = ev.metrics_from_counts(c).select("mode", _b("total"), _r("accuracy"), _r("macro_f1"), _r("format_valid_rate"))
+    return m.join(c.select("mode", *[_b(x) for x in ev.CONFUSION_COLUMNS]), "mode")
+
+
+@query
+def empty_metrics(spark, sf_dir):
+    """No predictions, no metric rows."""
+    none = _mixed(spark, sf_dir).filter(F.col("index") < 0)
+    return ev.metrics(none, B.SPEC).agg(F.count("*").alias("n_modes"))
+
+
+@query
+def pad_contents(spark, sf_dir):
+    """The padded arrays' contents, not only their sizes."""
+    pad = chat.CHATML.pad_token_id
+    p = enc.pad_batches(_encoded(spark, sf_dir), B.KEY, batch_size=8, shards=8, seed=B.SPEC.seed)
+    count = lambda c, v: F.size(F.filter(c, lambda x: x == F.lit(v))).cast("bigint")
+    tail = F.slice("input_ids", F.col("n_full") + 1, F.col("n_pad"))
+    return p.select(
+        "doc_id",
+        _b("n_pad"),
+        count(tail, pad).alias("pad_ids"),
+        count("labels", -100).alias("ignored"),
+        count("attention_mask", 1).alias("attended"),
+    )
+
+
+@query
+def registry_targets(spark, sf_dir):
+    """Two registries with different entries, each updated by itself."""
+    from ..session import scratch_path
+    from ..sources import registry as R
+
+    old, new = _registries(spark, sf_dir)
+    own = R.entries(spark.createDataFrame([("consumer_own",)], "name string"), F.lit("own.jsonl"))
+    paths = {t: (scratch_path(spark, "registry"), scratch_path(spark, "registry")) for t in ("project", "consumer")}
+    R.write_registry(old, paths["project"][0])
+    R.write_registry(own, paths["consumer"][0])
+    R.upsert_all(new, dict(paths.values()))
+    out = [
+        R.read_registry(spark, following).select(F.lit(t).alias("target"), "name", "file_name")
+        for t, (_, following) in paths.items()
+    ]
+    return out[0].unionByName(out[1])
+
+
+@query
+def jsonl_blank_lines(spark, sf_dir):
+    """Records between empty, tab and wide-space lines; a limit counts
+    records only."""
+    from ..session import scratch_path
+    from ..sources.readers import read_jsonl
+
+    path = scratch_path(spark, "blank-jsonl")
+    recs = _records(spark, sf_dir).select(B.KEY, F.to_json(F.struct("doc_id", "output")).alias("value"))
+    blanks = F.array(F.col("value"), F.lit(""), F.lit("\t"), F.lit("\u3000"))
+    recs.orderBy(B.KEY).select(F.explode(blanks).alias("value")).write.text(path)
+    back = read_jsonl(spark, path, "doc_id bigint, output string")
+    first = read_jsonl(spark, path, "doc_id bigint, output string", limit=40)
+    return back.select(F.lit("all").alias("kind"), _b("row_idx"), "doc_id", "output").unionByName(
+        first.select(F.lit("first").alias("kind"), _b("row_idx"), "doc_id", "output")
+    )

@@ -4,6 +4,7 @@ used to cut lineage (written tables, ``checkpoint()``)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is set by the deployment and must be on shared
-    storage.  Only when it is unset (local tests, bench) do we create one.
+    storage.  Only a ``local`` session (tests, bench) may leave it unset and
+    gets a temporary folder; on a cluster that folder would be a different
+    one on every machine, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="labelwise-ckpt-")
         sc.setCheckpointDir(current)

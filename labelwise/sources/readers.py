@@ -6,10 +6,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
+from ..session import scratch_path
+
+# Spark's error conditions for "there is nothing at this path".
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def is_absent(exc: AnalysisException) -> bool:
+    condition = exc.getCondition() or ""
+    return any(condition.startswith(c) for c in _ABSENT)
+
 
 def read_first(
     spark: SparkSession,
@@ -17,27 +28,33 @@ def read_first(
     fmt: str = "parquet",
     explicit: str | None = None,
     schema: T.StructType | str | None = None,
+    require: Sequence[Sequence[str]] = (),
     **options,
 ) -> DataFrame:
-    """Load the first candidate path that loads; ``explicit`` disables
-    the fallback.  All failing -> one error listing each cause.
+    """The table at the first candidate path that exists and has the
+    wanted shape; ``explicit`` is the only candidate if given.
 
-    Missing paths and unreadable schemas fail here; corrupt data inside a
-    file only fails at the first action (Spark reads lazily).
+    ``require``: groups of column names, of each of which the table needs at
+    least one.  Only an absent path or a wrong shape moves on to the next
+    candidate; any other error is raised at once.  If none fits, the error
+    names the reason for each path.  Corrupt data inside a file fails at the
+    first action (Spark reads lazily).
     """
-    paths = [explicit] if explicit else list(candidates)
-    errors = []
-    for p in paths:
+    refused: dict[str, str] = {}
+    for path in (explicit,) if explicit else candidates:
+        source = spark.read.format(fmt).options(**options)
         try:
-            reader = spark.read.format(fmt).options(**options)
-            if schema is not None:
-                reader = reader.schema(schema)
-            df = reader.load(p)
-            df.schema  # noqa: B018 - forces resolution of the path
-            return df
-        except (AnalysisException, Exception) as exc:  # noqa: BLE001
-            errors.append(f"{p}: {str(exc).splitlines()[0]}")
-    raise RuntimeError("Failed to load any source:\n" + "\n".join(errors))
+            table = (source.schema(schema) if schema is not None else source).load(path)
+        except AnalysisException as exc:
+            if not is_absent(exc):
+                raise
+            refused[path] = "nothing there"
+            continue
+        lacking = [group for group in require if not set(group) & set(table.columns)]
+        if not lacking:
+            return table
+        refused[path] = "no column of " + ", ".join("/".join(g) for g in lacking)
+    raise RuntimeError("no usable source; " + "; ".join(f"{p} ({why})" for p, why in refused.items()))
 
 
 def read_jsonl(
@@ -49,43 +66,91 @@ def read_jsonl(
 ) -> DataFrame:
     """S2 (+ L4): JSON Lines with a fixed schema.
 
-    Whitespace-only lines are skipped and do not count toward ``limit``; a
-    malformed line raises (FAILFAST).  With ``key`` (a field of every
-    record, as our sinks write it) ``limit`` keeps the ``limit`` smallest
-    keys.  Without it the records get ``row_idx``: the 0-based position of
-    the line among the non-blank lines of all files in path order.  A
-    file's splits are planned in offset order, so the monotonically
-    increasing id follows its lines; ``global_positions`` turns (file, id)
-    into dense ranks.  Everything stays in the JVM.
+    Lines of white space only (Unicode) are skipped and do not count toward
+    ``limit``; a malformed line raises (FAILFAST).  With ``key`` (a field of
+    every record, as our sinks write it) ``limit`` keeps the ``limit``
+    smallest keys.  Without it the records get ``row_idx``: the 0-based
+    position of the line among the non-blank lines of all files in path
+    order.
+
+    Positions move no text: lines are counted per (file, input partition),
+    the counts are summed in file order, and every line adds its index within
+    its own block.  A limit reads the files that hold the first lines and few more.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    lines = spark.read.text(path).filter(F.length(F.btrim(F.col("value"))) > 0)
+    lines = spark.read.text(path)
+    lines = lines.filter(F.length(py_strip(F.col("value"))) > 0)
     extra = [c for c in lines.columns if c != "value"]  # partition columns
+    record = F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")
     if key is not None:
-        parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra).select(
-            "r.*", *extra
-        )
+        parsed = lines.select(record, *extra).select("r.*", *extra)
         from ..operators.splits import first_by_key
 
         return first_by_key(parsed, key, limit) if limit > 0 else parsed
-    from ..operators.encode import global_positions
+    if limit > 0:
+        lines = _first_files(lines, limit)
+    numbered = _positions(spark, lines, extra, limit)
+    return numbered.select("row_idx", record, *extra).select("row_idx", "r.*", *extra)
+
 
+def _first_files(lines: DataFrame, limit: int) -> DataFrame:
+    """``lines`` of as many first files (in path order) as hold ``limit`` of
+    them; the file filter prunes the scan.  Four times as many files are
+    tried each time, so little more than the needed files is read."""
+    files, some = sorted(lines.inputFiles()), 1
+    while some < len(files):
+        part = lines.filter(F.col("_metadata.file_path") <= files[some - 1])
+        if part.limit(limit).count() >= limit:
+            return part
+        some *= 4
+    return lines
+
+
+def _positions(spark: SparkSession, lines: DataFrame, extra: list[str], limit: int) -> DataFrame:
+    """``row_idx, value, *extra`` of the non-blank lines.
+
+    A block of a file (one input split) starts at a byte offset that all its
+    lines report, so (file, block start) names it in every pass over the
+    files, however splits are packed into tasks.  Within a block the lines'
+    increasing ids follow the file.
+    """
     tagged = lines.select(
-        F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"), "value", *extra
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+        "value",
+        *extra,
     )
-    numbered = global_positions(tagged, ["__file", "__line"]).withColumnRenamed("pos", "row_idx")
+    path = scratch_path(spark, "line-blocks")
+    tagged.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    within = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file: the only step in one task
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__lines")).select(
+        F.col("__file").alias("__f"), F.coalesce(F.sum("__lines").over(earlier), F.lit(0)).alias("__before")
+    )
+    offsets = (
+        blocks.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+        .join(files, F.col("__file") == F.col("__f"))
+        .select("__f", F.col("__block").alias("__b"), "__first", (F.col("__in") + F.col("__before")).alias("__off"))
+    )
+    if limit > 0:
+        offsets = offsets.filter(F.col("__off") < limit)
+    placed = tagged.join(offsets, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    numbered = placed.withColumn("row_idx", F.col("__off") + F.col("__id") - F.col("__first"))
     if limit > 0:
         numbered = numbered.filter(F.col("row_idx") < limit)
-    return numbered.select(
-        "row_idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *extra
-    ).select("row_idx", "r.*", *extra)
+    return numbered.select("row_idx", "value", *extra)
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
     """The table at ``path``, or an empty frame of ``schema`` when it is
-    absent (absence is not an error)."""
+    absent (absence is not an error; anything else is)."""
     try:
         return spark.read.format(fmt).schema(schema).load(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not is_absent(exc):
+            raise
         return spark.createDataFrame([], schema)

@@ -7,9 +7,12 @@ physical column of the dataset.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .readers import read_optional
 
 REGISTRY_SCHEMA = "name string, file_name string, columns map<string,string>"
@@ -27,13 +30,25 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("name"), "name", "left_anti").unionByName(new)
 
 
-def write_registry(df: DataFrame, *paths: str) -> None:
-    """Write the registry to every given location (e.g. the project copy
-    and the consumer's copy).  Each path must be one nobody reads in the
-    same job (write a new version, then point readers at it); never
-    overwrite the input of the upsert."""
-    for path in paths:
-        df.write.mode("overwrite").parquet(path)
+def write_registry(df: DataFrame, path: str) -> None:
+    """Write a registry version to a path nobody reads in the same job (write
+    a new version, then point readers at it); never overwrite the input of
+    the upsert."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def upsert_all(new: DataFrame, targets: Mapping[str, str]) -> None:
+    """S8 for several registries (e.g. the project's and the consumer's):
+    each is read, upserted and written by itself, so entries of one never
+    appear in, or vanish from, another.  ``targets`` maps the current version
+    of a registry (may be absent) to the path of its next version.  ``new``
+    is computed once."""
+    spark = new.sparkSession
+    path = scratch_path(spark, "registry-entries")
+    write_registry(new, path)
+    fresh = read_registry(spark, path)
+    for current, following in targets.items():
+        write_registry(upsert(read_registry(spark, current), fresh), following)
 
 
 def entries(names: DataFrame, file_name, columns: dict[str, str] = DEFAULT_COLUMNS) -> DataFrame:

@@ -3,10 +3,22 @@ text (S6), dataset publishing (S7)."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import is_absent
+
+
+def partition_folders(df: DataFrame) -> list[str]:
+    """Columns that the paths of a frame's files spell out, in path order."""
+    first = next(iter(df.inputFiles()), "")
+    found = re.findall(r"/([^/=]+)=[^/]*(?=/)", first)
+    return [c for c in found if c in df.columns]
+
 
 def write_records(df: DataFrame, path: str, fmt: str = "json", partition_by: str | None = "split") -> None:
     """S3: one JSON object per line (non-ASCII kept literal), target
@@ -50,11 +62,15 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.orderBy("section", "mode_ord", "line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def publish(spark, source: str, target: str, fmt: str = "parquet") -> DataFrame:
-    """The source must exist; the target is fully replaced."""
+def publish(spark, source: str, target: str, fmt: str = "parquet", partition_by: Sequence[str] | None = None) -> DataFrame:
+    """The source must exist; the target is fully replaced and keeps the
+    source's partition folders (those in its paths, or ``partition_by``)."""
     try:
         df = spark.read.format(fmt).load(source)
     except AnalysisException as exc:
-        raise FileNotFoundError(f"Prepared dataset not found: {source}") from exc
-    df.write.mode("overwrite").format(fmt).save(target)
+        if not is_absent(exc):
+            raise
+        raise FileNotFoundError(f"nothing to publish at {source}") from exc
+    folders = list(partition_by) if partition_by is not None else partition_folders(df)
+    df.write.mode("overwrite").format(fmt).partitionBy(*folders).save(target)
     return spark.read.format(fmt).load(target)

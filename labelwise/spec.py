@@ -33,6 +33,13 @@ class TaskSpec:
     snippet_chars: int = 120
     extra: dict = field(default_factory=dict, compare=False)
 
+    def __post_init__(self):
+        # signals match as substrings: one inside an opposite one would hit both
+        for a, b in ((self.positive_signals, self.negative_signals), (self.negative_signals, self.positive_signals)):
+            inside = [(x, y) for x in a for y in b if x in y]
+            if inside:
+                raise ValueError(f"signal words contain opposite ones: {inside}")
+
     @property
     def labels(self) -> tuple[str, str]:
         """Fixed label order: positive first, then negative."""
@@ -43,17 +50,9 @@ class TaskSpec:
 
 
 # ---------------------------------------------------------------------------
-# These must equal the original task's strings for identical
-# prompts, label vocabulary and output parsing.
-#   instruction:    判断下面中文评论的情感倾向，只输出“正面”或“负面”。
-#   system prompt:  你是中文情感分类器。请严格只输出“正面”或“负面”，不要解释。
-#   labels:         正面 (positive), 负面 (negative)
-#   user separator: "\n\n评论："
-#   label aliases:  positive = 1, positive, pos, 正面, 好评
-#                   negative = 0, negative, neg, 负面, 差评
-#   output signals: positive = 正面, 积极, 好评 ; negative = 负面, 消极, 差评
-#   UI fallbacks:   无法判断 (no label), 无输出 (empty output)
-#   seed 42, max_length 256, ignore index -100, 8 failures, 120-char snippets
+# The strings and numbers of this spec, and the defaults above,
+# must equal the original task's for identical prompts, label vocabulary and
+# output parsing.
 # ---------------------------------------------------------------------------
 CHINESE_REVIEWS = TaskSpec(
     instruction="判断下面中文评论的情感倾向，只输出“正面”或“负面”。",
@@ -80,5 +79,5 @@ ENGLISH_REVIEWS = TaskSpec(
     positive_aliases=("1", "positive", "pos", "good"),
     negative_aliases=("0", "negative", "neg", "bad"),
     positive_signals=("positive", "favourable", "good"),
-    negative_signals=("negative", "unfavourable", "bad"),
+    negative_signals=("negative", "adverse", "bad"),
 )

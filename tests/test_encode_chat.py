@@ -78,7 +78,7 @@ def test_pandas_tokenizer(spark):
 
 
 def test_global_positions_are_dense_ranks(spark):
-    from labelwise.operators.encode import global_positions
+    from labelwise.operators.ranks import global_positions
 
     df = spark.range(5000).select(((F.col("id") * 7919) % 10007).alias("k")).repartition(7)
     got = {r.k: r.pos for r in global_positions(df, "k", partitions=5).collect()}
@@ -89,7 +89,7 @@ def test_global_positions_are_dense_ranks(spark):
 def test_positions_within_groups_with_a_hot_group(spark):
     """Ranks within each group are dense, also when one group holds a
     third of all rows and spans several range partitions."""
-    from labelwise.operators.encode import global_positions
+    from labelwise.operators.ranks import global_positions
 
     df = spark.range(6000).select(
         ((F.col("id") * 7919) % 10007).alias("k"),
@@ -124,16 +124,15 @@ from hypothesis import strategies as st  # noqa: E402
     st.lists(st.integers(0, 3), min_size=1, max_size=60),
     st.integers(1, 7),
     st.integers(1, 9),
-    st.booleans(),
 )
-def test_grouped_positions_property(spark, groups, in_parts, rank_parts, bounded):
+def test_grouped_positions_property(spark, groups, in_parts, rank_parts):
     """Grouped dense ranks equal a brute-force rank, for any group sizes,
-    input layout, range-partition count and offsets join plan."""
-    from labelwise.operators.encode import global_positions
+    input layout and range-partition count."""
+    from labelwise.operators.ranks import global_positions
 
     rows = [((i * 7919) % 1009, g) for i, g in enumerate(groups)]
     df = spark.createDataFrame(rows, "k bigint, g int").repartition(in_parts)
-    got = {(r.g, r.k): r.pos for r in global_positions(df, "k", rank_parts, "g", 4 if bounded else None).collect()}
+    got = {(r.g, r.k): r.pos for r in global_positions(df, "k", rank_parts, "g").collect()}
     want = {}
     for g in set(groups):
         for i, k in enumerate(sorted(k for k, gg in rows if gg == g)):

@@ -12,7 +12,7 @@ P, N = CN.positive, CN.negative
 def test_detect_column_candidate_order(spark):
     df = spark.createDataFrame([(1, "a", "b")], "row_idx int, review string, text string")
     assert detect_column(df, ("text", "review"), "text") == "text"
-    with pytest.raises(KeyError, match=r"\['review', 'row_idx', 'text'\]"):
+    with pytest.raises(KeyError, match="no label column"):
         detect_column(df, ("label", "labels"), "label")
 
 
@@ -37,11 +37,13 @@ def test_dedup_first_wins_per_split(spark):
         ("train", 1, "a", "pos"),
         ("train", 2, "a", "neg"),
         ("train", 3, " a ", "pos"),
-        ("test", 4, "a", "pos"),
+        ("test", 0, "b", "pos"),
+        ("test", 1, "c", "pos"),
+        (None, 0, "a", "pos"),
     ]
     df = spark.createDataFrame(rows, "split string, row_idx bigint, text string, label string")
-    got = sorted((r.split, r.row_idx, r.input, r.output) for r in to_records(df, CN).collect())
-    assert got == [("test", 4, "a", P), ("train", 0, "a", P), ("train", 2, "a", N)]
+    got = sorted((r.split or "", r.row_idx, r.input, r.output) for r in to_records(df, CN).collect())
+    assert got == [("", 0, "a", P), ("test", 0, "b", P), ("test", 1, "c", P), ("train", 0, "a", P), ("train", 2, "a", N)]
 
 
 def test_dedup_is_partition_invariant(spark):
@@ -74,15 +76,18 @@ def test_l1_train_test_carves_valid(spark):
     out = canonical_splits(_frame(spark, ["train", "test"]), "row_idx").groupBy("split").count().collect()
     c = {r.split: r["count"] for r in out}
     assert c["test"] == 300 and c["train"] + c["valid"] == 300 and 10 <= c["valid"] <= 60
+    out = canonical_splits(_frame(spark, ["train", "test"], 905), "row_idx", exact=True).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in out} == {"train": 814, "valid": 91, "test": 905}
 
 
 def test_l1_train_only_and_errors(spark):
     out = canonical_splits(_frame(spark, ["train"], 2000), "row_idx").groupBy("split").count().collect()
     c = {r.split: r["count"] for r in out}
     assert sum(c.values()) == 2000 and 1500 < c["train"] < 1700 and 120 < c["valid"] < 280
-    # {train, validation} without test: validation ignored, train re-split
-    out = canonical_splits(_frame(spark, ["train", "validation"], 100), "row_idx")
-    assert out.count() == 100
+    # {train, validation} without test: the validation rows are dropped only on request
+    with pytest.raises(ValueError, match="strict"):
+        canonical_splits(_frame(spark, ["train", "validation"], 100), "row_idx")
+    assert canonical_splits(_frame(spark, ["train", "validation"], 100), "row_idx", strict=True).count() == 100
     with pytest.raises(KeyError):
         canonical_splits(_frame(spark, ["test"], 3), "row_idx")
 
@@ -104,12 +109,32 @@ def test_seeded_cap(spark):
     assert a == b and len(a) == 2
 
 
-def test_seeded_cap_histogram_path_equals_topk(spark, monkeypatch):
+def test_seeded_cap_equals_sorting_by_hash(spark):
     df = spark.range(3000).select(F.lit("train").alias("split"), F.col("id").alias("row_idx"))
-    small = sorted(r.row_idx for r in seeded_cap(df, {"train": 1234}, "row_idx").collect())
-    monkeypatch.setattr(S, "TOPK_ROWS", 10)
-    big = sorted(r.row_idx for r in seeded_cap(df, {"train": 1234}, "row_idx").collect())
-    assert small == big and len(big) == 1234
+    got = sorted(r.row_idx for r in seeded_cap(df, {"train": 1234}, "row_idx").collect())
+    order = [r.row_idx for r in df.orderBy(S.hash_order("row_idx", 42), "row_idx").collect()]
+    assert got == sorted(order[:1234])
+
+
+def test_limits_keep_null_splits_and_take_any_key_type(spark):
+    df = spark.createDataFrame([(None, "z")] * 2 + [("train", f"k{i:02}") for i in range(20)], "split string, row_idx string")
+    for cut in (head_limit, seeded_cap):
+        rows = cut(df, {"train": 7}, "row_idx").collect()
+        assert sum(r.split is None for r in rows) == 2 and sum(r.split == "train" for r in rows) == 7
+    assert sorted(r.row_idx for r in head_limit(df, {"train": 3}, "row_idx").collect() if r.split) == ["k00", "k01", "k02"]
+
+
+def test_small_shares_are_not_rounded_away(spark):
+    df = spark.range(200_000).withColumnRenamed("id", "row_idx")
+    n = holdout_split(df, "row_idx", 42, {"tiny": 0.0004, "rest": 0.9996}).filter("split = 'tiny'").count()
+    assert 40 <= n <= 130
+    with pytest.raises(ValueError, match="sum to 1"):
+        holdout_split(df, "row_idx", 42, {"a": 0.5, "b": 0.4})
+
+
+def test_empty_split_without_columns(spark):
+    out = to_records(spark.createDataFrame([], "row_idx bigint, other string"), CN)
+    assert out.columns == ["split", "row_idx", "instruction", "input", "output"] and out.count() == 0
 
 
 def test_head_limit(spark):
@@ -145,10 +170,9 @@ def test_null_text_as_none(spark):
     assert got == [(0, "None"), (1, "x")]
 
 
-def test_first_by_key_large_path_is_exact(spark, monkeypatch):
+def test_first_by_key_is_exact(spark):
     df = spark.range(20000).select(F.lit("train").alias("split"), ((F.col("id") * 7919) % 20011).alias("row_idx"))
     want = sorted(r.row_idx for r in df.collect())[:12345]
-    monkeypatch.setattr(S, "TOPK_ROWS", 100)
     got = sorted(r.row_idx for r in head_limit(df.repartition(6), {"train": 12345}, "row_idx").collect())
     assert got == want
 

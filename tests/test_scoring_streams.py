@@ -127,3 +127,39 @@ def test_stream_prepare_continuous_trigger(spark, tmp_dir):
     got = sorted(map(tuple, prepared(spark, out, "doc_id").select("doc_id", "input", "output").collect()))
     want = to_records(spark.createDataFrame(rows, schema), EN, key="doc_id")
     assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect())) and len(got) == 4
+
+
+def _says(answer):
+    def build():
+        return lambda text: answer
+
+    return build
+
+
+def test_models_from_one_function_stay_apart(spark):
+    df = spark.createDataFrame([(i, "x", EN.positive) for i in range(8)], "row_idx bigint, input string, output string")
+    scorers = {"base": PandasScorer(_says(EN.positive)), "tuned": PandasScorer(_says(EN.negative))}
+    for _ in range(2):
+        got = {(r.mode, r.predicted) for r in run_modes(df, scorers, "base,tuned", EN).collect()}
+        assert got == {("base", EN.positive), ("tuned", EN.negative)}
+
+
+def test_batched_model_and_repeated_ids(spark):
+    rows = [(1, "so bad", EN.negative), (1, "fine", EN.positive), (1, "fine", EN.positive), (2, "bad", EN.positive)]
+    df = spark.createDataFrame(rows, "row_idx bigint, input string, output string")
+    batched = PandasScorer(lambda: lambda texts: ["negative" if "bad" in t else "positive" for t in texts], batched=True)
+    assert sorted((r["index"], r.predicted) for r in score(df, batched, "m", EN).collect()) == [
+        (1, "negative"), (1, "positive"), (1, "positive"), (2, "negative")
+    ]
+    train = spark.createDataFrame([(i, "bad" if i % 2 else "fine", EN.negative if i % 2 else EN.positive) for i in range(40)], "row_idx bigint, input string, output string")
+    w = fit_token_weights(train, EN, min_df=2, min_weight=0.5)
+    for keep in (True, False):
+        got = sorted((r["index"], r.predicted, r.expected) for r in score(df, w, "m", EN, keep_input=keep).collect())
+        assert got == [(1, "negative", "negative"), (1, "positive", "positive"), (1, "positive", "positive"), (2, "negative", "positive")]
+
+
+def test_signals_must_not_contain_opposites():
+    import pytest
+
+    with pytest.raises(ValueError, match="opposite"):
+        EN.with_(negative_signals=("unfavourable",))

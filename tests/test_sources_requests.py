@@ -17,7 +17,7 @@ def _write(path, lines):
 
 def test_jsonl_skips_blank_lines_and_limits(spark, tmp_dir):
     p = os.path.join(tmp_dir, "a.jsonl")
-    _write(p, ['{"input": "a", "output": "x"}', "   ", "", '{"input": "b", "output": "y"}', '{"input": "c", "output": "z"}'])
+    _write(p, ['{"input": "a", "output": "x"}', "   ", "", "\t", "\u3000\u2003", '{"input": "b", "output": "y"}', '{"input": "c", "output": "z"}'])
     df = read_jsonl(spark, p, "input string, output string")
     assert [(r.row_idx, r.input) for r in df.orderBy("row_idx").collect()] == [(0, "a"), (1, "b"), (2, "c")]
     assert [r.input for r in read_jsonl(spark, p, "input string, output string", limit=2).orderBy("row_idx").collect()] == ["a", "b"]
@@ -102,11 +102,32 @@ def test_request_validation(spark, text, mode, accepted, resolved):
     assert (r.reason is None) == accepted
 
 
-def test_registry_written_to_every_location(spark, tmp_dir):
-    reg = R.entries(spark.createDataFrame([("a",)], "name string"), F.lit("a.jsonl"))
-    a, b = os.path.join(tmp_dir, "r1"), os.path.join(tmp_dir, "r2")
-    R.write_registry(reg, a, b)
-    assert R.read_registry(spark, a).count() == 1 and R.read_registry(spark, b).count() == 1
+def test_registries_are_updated_one_by_one(spark, tmp_dir):
+    entry = lambda n, f: R.entries(spark.createDataFrame([(n,)], "name string"), F.lit(f))
+    a, b, a2, b2, c2 = (os.path.join(tmp_dir, x) for x in ("a", "b", "a2", "b2", "c2"))
+    R.write_registry(entry("mine", "m"), a)
+    R.write_registry(entry("theirs", "t"), b)
+    R.upsert_all(entry("new", "n"), {a: a2, b: b2, os.path.join(tmp_dir, "absent"): c2})
+    names = lambda p: {r.name for r in R.read_registry(spark, p).collect()}
+    assert names(a2) == {"mine", "new"} and names(b2) == {"theirs", "new"} and names(c2) == {"new"}
+
+
+def test_publish_keeps_partition_folders(spark, tmp_dir):
+    src, dst = os.path.join(tmp_dir, "parts"), os.path.join(tmp_dir, "published")
+    spark.createDataFrame([("a", 1), ("b", 2)], "split string, x int").write.partitionBy("split").parquet(src)
+    assert sorted(map(tuple, publish(spark, src, dst).select("split", "x").collect())) == [("a", 1), ("b", 2)]
+    assert sorted(x for x in os.listdir(dst) if "=" in x) == ["split=a", "split=b"]
+
+
+def test_wrong_shape_is_skipped_and_other_errors_raise(spark, tmp_dir):
+    wrong, right = os.path.join(tmp_dir, "wrong"), os.path.join(tmp_dir, "right")
+    spark.range(2).write.parquet(wrong)
+    spark.createDataFrame([("x",)], "text string").write.parquet(right)
+    assert read_first(spark, [wrong, right], require=[("text", "review")]).columns == ["text"]
+    with pytest.raises(RuntimeError, match="no column of text/review"):
+        read_first(spark, [wrong], require=[("text", "review")])
+    with pytest.raises(Exception, match="no_such_format"):
+        read_first(spark, [right], fmt="no_such_format")
 
 
 def test_jsonl_positions_across_files(spark, tmp_dir):
