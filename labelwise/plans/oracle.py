@@ -619,3 +619,16 @@ SQL["jsonl_blank_lines"] = with_(
     BASE_CTES, "n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id, output FROM rec)"
 ) + """ SELECT 'all' AS kind, row_idx, doc_id, output FROM n
        UNION ALL SELECT 'first', row_idx, doc_id, output FROM n WHERE row_idx < 40"""
+
+SQL["stats_with_instruction"] = (
+    f"SELECT {lit(S.instruction)} AS instruction, split, records, positive, negative FROM ({SQL['split_stats']})"
+)
+SQL["metrics_document"] = EVAL + f""",
+sides AS (
+  SELECT mode, {POS} AS label, pos_p AS p, pos_r AS r, pos_f1 AS f FROM f1s
+  UNION ALL SELECT mode, {NEG}, neg_p, neg_r, neg_f1 FROM f1s
+)
+SELECT mode, label, met.total, round(met.accuracy, 6) AS accuracy, round(met.macro_f1, 6) AS macro_f1,
+  pos_as_pos, pos_as_neg, pos_invalid, neg_as_neg, neg_as_pos, neg_invalid,
+  round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1
+FROM met JOIN cnts USING (mode) JOIN sides USING (mode)"""

@@ -579,14 +579,14 @@ def stream_rejects(spark, sf_dir):
 def stream_metrics(spark, sf_dir):
     """Running per-mode counts over the prediction table as a stream."""
     from ..session import scratch_path
-    from ..streaming.metrics import start_metrics
+    from ..streaming.metrics import latest, start_metrics
 
     ws = B.Workspace.of(spark, sf_dir)
     static = ws.predictions()
     stream = spark.readStream.schema(static.schema).parquet(ws._preds)
     out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ckpt")
     start_metrics(stream, B.SPEC, out, ck).awaitTermination()
-    return spark.read.parquet(out).select(
+    return latest(spark, out).select(
         "mode", _b("total"), _b("n_correct"), _b("n_valid"), *[_b(c) for c in ev.CONFUSION_COLUMNS]
     )
 
@@ -789,3 +789,35 @@ def jsonl_blank_lines(spark, sf_dir):
     return back.select(F.lit("all").alias("kind"), _b("row_idx"), "doc_id", "output").unionByName(
         first.select(F.lit("first").alias("kind"), _b("row_idx"), "doc_id", "output")
     )
+
+
+@query
+def stats_with_instruction(spark, sf_dir):
+    """The run's stats document, parsed back."""
+    from ..sources.sinks import stats_document as document
+
+    stats = _split_stats(B.Workspace.of(spark, sf_dir).records(), B.SPEC).drop("split_ord")
+    shape = "instruction string, splits map<string, struct<records: bigint, positive: bigint, negative: bigint>>"
+    doc = document(stats, B.SPEC.instruction).select(F.from_json("json", shape).alias("d"))
+    return doc.select("d.instruction", F.explode("d.splits").alias("split", "n")).select("instruction", "split", "n.*")
+
+
+@query
+def metrics_document(spark, sf_dir):
+    """The run's metrics document with nested label scores and confusion
+    cells, parsed back."""
+    from ..sources.sinks import metrics_document as document
+
+    cells = ", ".join(f"{c}: bigint" for c in ev.CONFUSION_COLUMNS)
+    shape = (
+        "map<string, struct<total: bigint, accuracy: double, macro_f1: double, "
+        f"confusion: struct<{cells}>, per_label: map<string, struct<precision: double, recall: double, f1: double>>>>"
+    )
+    doc = document(ev.counts(_preds(spark, sf_dir), B.SPEC), B.SPEC).select(F.from_json("json", shape).alias("d"))
+    rows = doc.select(F.explode("d").alias("mode", "m")).select("mode", "m.*")
+    flat = rows.select("mode", "total", "accuracy", "macro_f1", "confusion.*", F.explode("per_label").alias("label", "s"))
+    return flat.select(
+        "mode", "label", _b("total"), _r("accuracy"), _r("macro_f1"),
+        *[_b(c) for c in ev.CONFUSION_COLUMNS], F.round("s.precision", 6).alias("precision"),
+        F.round("s.recall", 6).alias("recall"), F.round("s.f1", 6).alias("f1"),
+    )

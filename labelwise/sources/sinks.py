@@ -7,9 +7,12 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import CONFUSION_COLUMNS, metrics_from_counts, per_label_from_counts
+from ..spec import TaskSpec
+
 from .readers import is_absent
 
 
@@ -52,6 +55,31 @@ def json_document(df: DataFrame, key: str | None = None) -> DataFrame:
     )
 
 
+def _pretty(value) -> Column:
+    return F.to_json(value, {"ignoreNullFields": "false", "pretty": "true"}).alias("json")
+
+
+def stats_document(stats: DataFrame, instruction: str) -> DataFrame:
+    """S5 for a prepare run: the instruction and, per split, its counts."""
+    body = F.struct(*[F.col(c) for c in stats.columns if c != "split"])
+    splits = F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", body))))
+    return stats.agg(splits.alias("splits")).select(_pretty(F.struct(F.lit(instruction).alias("instruction"), "splits")))
+
+
+def metrics_document(c: DataFrame, spec: TaskSpec) -> DataFrame:
+    """S5 for an evaluation run: per mode the scalar metrics with nested
+    ``per_label`` and ``confusion``, from the one-row-per-mode counts."""
+    labels = (
+        per_label_from_counts(c, spec)
+        .groupBy("mode")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.struct("precision", "recall", "f1"))))).alias("per_label"))
+    )
+    rows = metrics_from_counts(c).join(c.select("mode", F.struct(*CONFUSION_COLUMNS).alias("confusion")), "mode").join(labels, "mode")
+    body = F.struct(*[F.col(x) for x in rows.columns if x != "mode"])
+    by_mode = lambda a, b: F.when(a["mode"] < b["mode"], F.lit(-1)).otherwise(F.lit(1))
+    return rows.agg(_pretty(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", body.alias("body"))), by_mode))).alias("json"))
+
+
 def write_json_document(df: DataFrame, path: str, key: str | None = None) -> None:
     """S5 for metrics/stats-sized frames only (bounded: a few rows)."""
     json_document(df, key).coalesce(1).write.mode("overwrite").text(path)

@@ -2,12 +2,15 @@
 
 The streaming aggregate is exactly ``evaluate.counts``: conditional sums
 grouped by mode, so the state is one row per mode whatever the volume.
-Each trigger rewrites the (tiny) complete result table.
+Each trigger writes the (tiny) complete result as a version of its own
+(``batch_id=N``); ``latest`` reads the newest one, so a reader never meets a
+half-replaced table, and a retried trigger replaces its own version only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.evaluate import counts
 from ..spec import TaskSpec
@@ -19,7 +22,7 @@ def running_counts(stream_preds: DataFrame, spec: TaskSpec) -> DataFrame:
 
 def start_metrics(stream_preds: DataFrame, spec: TaskSpec, out_dir: str, checkpoint: str, available_now: bool = True):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     w = (
         running_counts(stream_preds, spec)
@@ -29,3 +32,10 @@ def start_metrics(stream_preds: DataFrame, spec: TaskSpec, out_dir: str, checkpo
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest complete result (folder names alone tell which)."""
+    versions = spark.read.parquet(out_dir)
+    newest = versions.agg(F.max("batch_id")).first()[0]
+    return versions.filter(F.col("batch_id") == newest).drop("batch_id")
