@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -133,23 +132,19 @@ class UnitCache(dict):
         return value
 
 
-def _worker() -> dict:
-    """What this Python worker keeps.  It hangs on ``sys``, which all tasks of
-    a worker share; this module's own globals travel with every task."""
-    return sys.__dict__.setdefault("_labelwise_tokens", {})
+_WORKER: dict = {}
 
 
 def worker_encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
-    kept = _worker()
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(path)
+    return _WORKER[path]
 
 
 def worker_cache(kind: str, path: str, make: Callable[[str], object]) -> UnitCache:
     """One bounded cache for each Python worker, kept from task to task."""
-    return _worker().setdefault((kind, path), UnitCache(make))
+    return _WORKER.setdefault((kind, path), UnitCache(make))
 
 
 def frequent_units(docs: DataFrame, text: str = "text", size: int = TABLE, share: int = SHARE) -> list[str]:
