@@ -136,14 +136,15 @@ _WORKER: dict = {}
 
 
 def worker_encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each file (for each task where the package travels by
+    value with its tasks, for each Python worker where it is installed)."""
     if path not in _WORKER:
         _WORKER[path] = Encoder(path)
     return _WORKER[path]
 
 
 def worker_cache(kind: str, path: str, make: Callable[[str], object]) -> UnitCache:
-    """One bounded cache for each Python worker, kept from task to task."""
+    """One bounded cache, kept as long as the encoder."""
     return _WORKER.setdefault((kind, path), UnitCache(make))
 
 
