@@ -18,6 +18,9 @@ with the key's heaviest fingerprint (linear) and those links are contracted;
 then only members outside a key's largest component are paired with the rest,
 and only across components.  A dense group of near copies thereby costs its
 size, not its square, and no link between different components is missed.
+Where more than about ``CROWD`` members are left to pair, the key is cut finer:
+its other 40 bits make four marks of 10, and as a pair has at most three
+differences there, it agrees in one of them.
 Components come from alternating star contraction over written tables; no
 fingerprint, link or component passes through the driver.
 
@@ -40,6 +43,7 @@ from .common import append_columns, fresh_names, written
 SHINGLE = 3
 BITS = 3
 SEED = 42
+CROWD = 256
 _BLOCK = 1 << 15
 
 
@@ -97,6 +101,18 @@ def _keys(fp: Column) -> Column:
     return F.array(*out)
 
 
+def _marks(key: Column, fp: Column) -> Column:
+    """Four marks of the 40 bits that a key leaves open."""
+    turn = (F.shiftright(key, 25) * 16).cast("int")
+    ring = F.call_function("shiftrightunsigned", fp, turn).bitwiseOR(F.call_function("shiftleft", fp, F.lit(64) - turn))
+    first_half = key.bitwiseAND(F.lit(1 << 24)) == 0
+    other = F.when(first_half, F.shiftrightunsigned(ring, 24)).otherwise(F.shiftrightunsigned(ring, 16)).bitwiseAND(F.lit(0xFF))
+    rest = F.shiftleft(F.shiftrightunsigned(ring, 32), 8).bitwiseOR(other)
+    return F.array(
+        *[(F.lit(k << 10) + F.shiftrightunsigned(rest, 10 * k).bitwiseAND(F.lit(1023))).cast("int") for k in range(4)]
+    )
+
+
 def _within_budget(a: str, b: str, key: str) -> Column:
     """Chain condition from the key's start, then the full Hamming check."""
     diff = F.col(a).bitwiseXOR(F.col(b))
@@ -149,9 +165,10 @@ def star_components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
-def link(nodes: DataFrame) -> DataFrame:
+def link(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``(fp, c)`` for the fingerprints of ``nodes(fp, n)`` that link to
-    another one; the rest are alone.  ``n`` (documents) picks the pivots."""
+    another one; the rest are alone.  ``n`` (documents) picks the pivots;
+    ``crowd`` changes the work only, not the result."""
     keyed = nodes.select("fp", "n", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = (
         keyed.groupBy("key")
@@ -168,14 +185,15 @@ def link(nodes: DataFrame) -> DataFrame:
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
     open_keys = (
         parts.groupBy("key")
-        .agg(F.count("*").alias("parts"), F.max(F.struct("size", "c")).alias("top"))
+        .agg(F.count("*").alias("parts"), F.max(F.struct("size", "c")).alias("top"), F.sum("size").alias("all"))
         .filter("parts > 1")
-        .select("key", F.col("top.c").alias("major"))
+        .select("key", F.col("top.c").alias("major"), ((F.col("all") - F.col("top.size")) * F.col("all") > crowd * crowd).alias("crowded"))
     )
-    rows = written(placed.join(open_keys, "key"), "simhash-open")
-    minor = rows.filter("c <> major").select("key", F.col("fp").alias("fa"), F.col("c").alias("a"))
-    rest = rows.select("key", F.col("fp").alias("fb"), F.col("c").alias("b"), "major")
-    across = minor.join(rest, "key").filter(
+    mark = F.when(F.col("crowded"), _marks(F.col("key"), F.col("fp"))).otherwise(F.array(F.lit(-1)))
+    rows = written(placed.join(open_keys, "key").select("key", F.explode(mark).alias("mark"), "fp", "c", "major"), "simhash-open")
+    minor = rows.filter("c <> major").select("key", "mark", F.col("fp").alias("fa"), F.col("c").alias("a"))
+    rest = rows.select("key", "mark", F.col("fp").alias("fb"), F.col("c").alias("b"), "major")
+    across = minor.join(rest, ["key", "mark"]).filter(
         (F.col("a") != F.col("b")) & ((F.col("b") == F.col("major")) | (F.col("fa") < F.col("fb")))
     )
     second = star_components(across.filter(_within_budget("fa", "fb", "key")).select("a", "b").distinct())

@@ -502,7 +502,8 @@ def test_simhash_documents(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
-def test_simhash_links_by_brute_force(spark):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 0])
+def test_simhash_links_by_brute_force(spark, crowd):
     rng = random.Random(8)
     fps = set()
     for _ in range(40):
@@ -516,10 +517,15 @@ def test_simhash_links_by_brute_force(spark):
             f = g if rng.random() < 0.5 else f
     dense = rng.getrandbits(64)
     fps |= {dense ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12, 20)}
+    # many strangers, and some near pairs, under one key
+    shared = 0xBEEF | 0xA5 << 16
+    for _ in range(60):
+        f = rng.getrandbits(40) << 24 | shared
+        fps |= {f, f ^ 1 << rng.randrange(24, 32) ^ 1 << rng.randrange(32, 48) ^ 1 << rng.randrange(48, 64)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(s, 1 + k % 3) for k, s in enumerate(signed)], "fp long, n long")
-    got = {r["fp"]: r["c"] for r in simhash.link(nodes).collect()}
+    got = {r["fp"]: r["c"] for r in simhash.link(nodes, crowd).collect()}
     ours = defaultdict(set)
     for k, s in enumerate(signed):
         ours[got.get(s, s)].add(k)
