@@ -15,8 +15,8 @@ by one matrix product over the distinct contexts of a batch.
 Scale: words are counted within tasks first and only (word, count) rows are
 shuffled; the model learns from every training text: each task trains on its
 own texts from the same start and the parameters are averaged by tokens, in
-``ROUNDS`` rounds (a few tens of thousands of numbers per task, merged in two
-steps).  Counts of words with at least 1 / ``SHARE`` of the tokens (so at most
+``ROUNDS`` rounds (a few tens of thousands of numbers per task, merged in a
+tree of groups of ``FAN``, so no group grows with the number of tasks).  Counts of words with at least 1 / ``SHARE`` of the tokens (so at most
 ``SHARE`` words, 64 bytes each) travel to the tasks; occurrences of the rarer
 words are joined with their counts by a shuffle.  No frequent word is in that
 join, so it has no hot key.
@@ -54,6 +54,7 @@ NOISE_RATIO = 16
 BATCH = 4096
 RATE = 0.05
 ROUNDS = 2
+FAN = 128
 END = b" "  # no word contains a space
 _FLUSH = 1 << 18
 
@@ -329,6 +330,9 @@ def _texts(column: pa.Array, most: int = 1 << 19) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+PARTIAL = "slot long, n double, sums binary"
+
+
 def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42) -> LogBilinear:
     """Learn from every row of ``encoded`` that is not held out."""
     model = LogBilinear.start(lex.class_size, seed=seed)
@@ -346,16 +350,17 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42
                     seen += sum(map(len, some))
             if seen:
                 yield pa.RecordBatch.from_pydict(
-                    {"slot": [task % 32], "n": [float(seen)], "sums": [(nce.m.pack() * seen).tobytes()]}
+                    {"slot": [task // FAN], "n": [float(seen)], "sums": [(nce.m.pack() * seen).tobytes()]}
                 )
 
         def add(group: pa.Table) -> pa.Table:
             sums = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("sums"))
-            return pa.table({"n": [float(sum(group.column("n").to_pylist()))], "sums": [sums.tobytes()]})
+            n = float(sum(group.column("n").to_pylist()))
+            return pa.table({"slot": [group.column("slot")[0].as_py() // FAN], "n": [n], "sums": [sums.tobytes()]})
 
-        parts = classes.mapInArrow(run, "slot long, n double, sums binary").groupBy("slot").applyInArrow(
-            add, "n double, sums binary"
-        )
+        parts = classes.mapInArrow(run, PARTIAL)
+        for _ in range(2):  # one row reaches the driver per FAN * FAN tasks
+            parts = parts.groupBy("slot").applyInArrow(add, PARTIAL)
         got = parts.collect()
         weight = sum(r["n"] for r in got)
         if weight:
