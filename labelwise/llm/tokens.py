@@ -159,10 +159,12 @@ def frequent_units(docs: DataFrame, text: str = "text", size: int = TABLE, share
                 if t:
                     units = t.split(" ")[1:]
                     total += len(units)
+                    if max(map(len, units), default=0) > _LONG_UNIT:
+                        units = [u for u in units if len(u) <= _LONG_UNIT]
                     seen.update(units)
             if len(seen) > _COUNTED:  # keep memory bounded: forget what is rare so far
                 seen = Counter({u: n for u, n in seen.items() if n > max(1, total // share)})
-        kept = [(u, n) for u, n in seen.items() if n > max(1, total // share) and 0 < len(u) <= _LONG_UNIT]
+        kept = [(u, n) for u, n in seen.items() if n > max(1, total // share) and u]
         if kept:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
