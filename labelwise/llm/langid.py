@@ -8,7 +8,7 @@ into ``LANDMARKS`` features, on which one ridge regression per language
 presence x landmarks, then features x languages.
 
 Scale: the fit uses at most ``SAMPLE`` labelled texts per language (chosen by
-a hash of the id, a documented bound), of which only the presence bits (2 KB
+a hash of id and text, a documented bound; repeated rows count once), of which only the presence bits (2 KB
 each) reach the driver; every text is scored whole, in one pass without a
 shuffle, and the model (about 4 MB, independent of the data) travels in the
 task closure.
@@ -127,7 +127,7 @@ def fit_languages(
     """Fit on at most ``sample`` texts per language of the rows where
     ``learn`` holds and text and language are not null."""
     rows = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")
     )
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -138,7 +138,8 @@ def fit_languages(
     below = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * sample / n)))])
     part = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(part < F.element_at(below, F.col("lang")))
-    found = append_columns(picked, _bits, "text", [("bits", "binary")]).select("lang", "h", "bits").collect()
+    # rows that repeat an id and a text have one hash: they count once
+    found = append_columns(picked.dropDuplicates(["lang", "h"]), _bits, "text", [("bits", "binary")]).select("lang", "h", "bits").collect()
     taken: dict[str, int] = {}
     kept = []
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], bytes(r["bits"]))):
