@@ -56,14 +56,17 @@ def fixed(x, digits: int = 2) -> Column:
     Python rounds the exact binary value of the double (ties to even);
     Java's ``%.2f`` rounds its shortest decimal string half-up, so e.g.
     0.105 (really 0.10499...) gives "0.11" there and "0.10" in Python.
-    Here: p = fl(x * 10^d) and the exact product x * 5^d = p5 + e (Dekker's
-    error-free product; 10^d = 2^d * 5^d and scaling by 2^d is exact).
-    The fraction of p decides the rounding unless it is exactly one half,
-    where the sign of e decides, and a true tie goes to the even integer.
-    Valid for |x| * 10^d < 2^52.
+    Here: with f the fraction of x (exact), p = fl(f * 10^d) and the exact
+    product f * 5^d = p5 + e (Dekker's error-free product; 10^d = 2^d * 5^d
+    and scaling by 2^d is exact).  The fraction of p decides the rounding
+    unless it is exactly one half, where the sign of e decides, and a true tie
+    goes to the even integer.  Exact for |x| < 2^63; above, whose doubles
+    are whole numbers, digits after the 17th are zeros.  NaN and infinity
+    read ``nan``, ``inf`` and ``-inf``.
     """
     v = _c(x).cast("double")
-    a = F.abs(v)
+    unit = F.floor(F.abs(v))
+    a = F.abs(v) - unit.cast("double")
     five = float(5**digits)
     two = float(2**digits)
     big = F.lit(134217729.0)  # 2^27 + 1, Dekker's split constant
@@ -75,23 +78,28 @@ def fixed(x, digits: int = 2) -> Column:
     p = p5 * F.lit(two)
     k0 = F.floor(p)
     frac = p - k0
+    odd = F.pmod(unit, F.lit(2)) if digits == 0 else F.lit(0)  # 10^d is even for d > 0
     up = (
         F.when(frac > 0.5, F.lit(1))
         .when(frac < 0.5, F.lit(0))
         .when(err > 0, F.lit(1))
         .when(err < 0, F.lit(0))
-        .otherwise(F.pmod(k0, F.lit(2)).cast("int"))
+        .otherwise(F.pmod(k0 + odd, F.lit(2)).cast("int"))
     )
     k = (k0 + up).cast("bigint")
     scale = 10**digits
-    whole = F.floor(k / F.lit(scale)).cast("bigint").cast("string")
+    whole = (unit + (k >= scale).cast("bigint")).cast("string")
     if digits == 0:
         body = whole
     else:
         body = F.concat(whole, F.lit("."), F.lpad(F.pmod(k, F.lit(scale)).cast("string"), digits, "0"))
     # the double's own text carries the sign, including -0.0 (as in Python)
     sign = F.when(F.startswith(v.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
+    body = F.when(F.abs(v) >= 2.0**63, F.format_string(f"%.{digits}f", F.abs(v))).otherwise(body)
+    body = F.when(F.abs(v) == float("inf"), F.lit("inf")).otherwise(body)
+    return (
+        F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), F.lit("nan")).otherwise(F.concat(sign, body))
+    )
 
 
 def pct(x) -> Column:

@@ -150,6 +150,13 @@ class Workspace:
                 ws = cls._cache[k] = cls(spark, sf_dir)
             return ws
 
+    @classmethod
+    def forget(cls, spark: SparkSession) -> None:
+        """Drop the session's workspaces (their tables went with their scope)."""
+        with cls._lock:
+            for k in [k for k in cls._cache if k[0] == spark.sparkContext.applicationId]:
+                del cls._cache[k]
+
     def records(self) -> DataFrame:
         if self._records is None:
             path = scratch_path(self.spark, "records")

@@ -358,6 +358,7 @@ SQL: dict[str, str] = {
 
 SQL["jsonl_roundtrip"] = SQL["prepare_records"]
 SQL["stream_prepare"] = SQL["prepare_records"]
+SQL["stream_prepare_within"] = with_(BASE_CTES) + " SELECT split, input, output FROM rec"
 SQL["predictions_jsonl"] = EVAL + """ SELECT mode, "index", expected, raw_output, predicted, round(latency_sec, 6) AS latency_sec FROM preds"""
 
 _SRC_NAMES = "SELECT DISTINCT 'reviews_' || source AS name FROM documents"

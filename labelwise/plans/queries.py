@@ -607,6 +607,22 @@ def stream_prepare(spark, sf_dir):
     return prepared(spark, out, B.KEY).select("split", "doc_id", "instruction", "input", "output")
 
 
+@query
+def stream_prepare_within(spark, sf_dir):
+    """X4 with state bounded by a watermark (ids stand for seconds): which of
+    equal records arrives first is open, so the key is not returned."""
+    from ..operators.splits import canonical_splits
+    from ..session import scratch_path
+    from ..streaming.prepare import start_prepare_within
+
+    docs = B.stream_table(spark, sf_dir, "documents").select(B.KEY, "text", F.timestamp_seconds(B.KEY).alias("at"))
+    labs = B.table(spark, sf_dir, "labels").select(B.KEY, F.col("toxic").alias("label"))
+    rows = canonical_splits(docs.join(labs, B.KEY), B.KEY, B.SPEC.seed)
+    out, ck = scratch_path(spark, "stream-within"), scratch_path(spark, "stream-within-ckpt")
+    start_prepare_within(rows, B.SPEC, B.KEY, "at", "3650 days", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
+    return spark.read.parquet(out).select("split", "input", "output")
+
+
 @query
 def first_available_source(spark, sf_dir):
     """The first candidate with a text column (a missing path and a table

@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -58,9 +60,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the shared folder."""
+    """A fresh, never-reused path under the shared folder.  It belongs to the
+    innermost ``scratch_scope``, if any."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owner of scratch tables: at its end, every folder that ``scratch_path``
+    handed out inside is removed.
+
+        with scratch_scope(spark):
+            pack(docs).write.parquet(target)
+
+    Results are lazy and read scratch tables, so write what you keep before
+    the scope ends.  Scopes nest; they belong to one driver thread.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            _remove_folder(path)
+
+
+def _remove_folder(path: str) -> None:
+    from pyarrow import fs
+
+    scheme = "://" in path or path.startswith("file:")
+    plain = f"file://{local_path(path)}" if not scheme or path.startswith("file:") else path
+    system, inner = fs.FileSystem.from_uri(plain)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        system.delete_dir(inner)
 
 
 def local_path(path: str) -> str:

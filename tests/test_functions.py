@@ -128,8 +128,14 @@ def test_fixed_matches_python_rounding(spark):
     vals += [rnd.random() * 10 ** rnd.randint(-3, 4) for _ in range(3000)]
     vals += [n / 10000 for n in range(0, 5000, 7)]  # latency stand-ins
     vals += [-0.105, -2.5, -0.0, -0.001]
+    vals += [0.999, 9.995, 99.999, 2.0**45 + 0.0078125, 4.6e13 + 0.125, 2.0**52 + 1, 9.2e18, -7e17, 1e20]
+    vals += [float("nan"), float("inf"), float("-inf")]
+    vals += [rnd.random() * 10 ** rnd.randint(5, 17) for _ in range(2000)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r.s for r in df.select(fixed("x", 2).alias("s")).collect()]
     assert got == [f"{v:.2f}" for v in vals]
-    got_pct = [r.s for r in df.select(pct("x").alias("s")).collect()]
-    assert got_pct == [f"{v:.2%}" for v in vals]
+    whole = [r.s for r in df.select(fixed("x", 0).alias("s")).collect()]
+    assert whole == [f"{v:.0f}" for v in vals]
+    exact = [v for v in vals if not abs(v) > 9e16]  # times 100 below 2^63
+    got_pct = [r.s for r in df.filter("isnan(x) or abs(x) <= 9e16").select(pct("x").alias("s")).collect()]
+    assert got_pct == [f"{v:.2%}" for v in exact]

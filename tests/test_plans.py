@@ -90,3 +90,24 @@ def test_hot_token_in_every_row(spark):
     assert "common" not in t and t["bad"].weight < 0 < t["fine"].weight
     pred = {r.row_idx: r.raw_output for r in w.apply(df, "row_idx", "input").collect()}
     assert all(pred[i] == (EN.negative if i % 2 else EN.positive) for i in range(4000))
+
+
+def test_scratch_scope_removes_its_folders_only(spark):
+    import os
+
+    from labelwise.operators.splits import first_by_key
+    from labelwise.session import local_path, scratch_path, scratch_scope, shared_dir
+
+    def folders():
+        return set(os.listdir(local_path(shared_dir(spark))))
+
+    outside = scratch_path(spark, "outside")
+    spark.range(3).write.parquet(outside)
+    before = folders()
+    with scratch_scope(spark):
+        assert first_by_key(spark.range(50), "id", 7).count() == 7
+        with scratch_scope(spark):
+            spark.range(3).write.parquet(scratch_path(spark, "inner"))
+            during = folders()
+        assert len(during - before) == 2 and len(folders() - before) == 1
+    assert folders() == before and spark.read.parquet(outside).count() == 3

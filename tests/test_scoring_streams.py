@@ -95,9 +95,14 @@ def test_stream_prepare_first_wins_across_batches(spark, tmp_dir):
         spark.createDataFrame(rows[i * 10 : (i + 1) * 10], schema).coalesce(1).write.parquet(f"{src}/f{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
     out, ck = os.path.join(tmp_dir, "x4-out"), os.path.join(tmp_dir, "x4-ck")
-    for q in start_prepare(stream, EN, "doc_id", out, ck, class_names=None):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    for q in start_prepare(stream, EN, "doc_id", out, ck, class_names=None, compact_every=1):
         q.awaitTermination()
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ROCKSDB_PROVIDER
+    assert spark.conf.get(provider, None) == before  # the caller's settings stay
+    with open(f"{ck}/firsts/offsets/0") as f:
+        assert ROCKSDB_PROVIDER in f.read()
+    assert spark.read.parquet(f"{out}/bases").select("upto").distinct().count() >= 1
     got = sorted(map(tuple, prepared(spark, out, "doc_id").select("doc_id", "input", "output").collect()))
     want = to_records(spark.createDataFrame(rows, schema), EN, key="doc_id")
     assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect()))
@@ -129,6 +134,45 @@ def test_stream_prepare_continuous_trigger(spark, tmp_dir):
     assert got == sorted(map(tuple, want.select("doc_id", "input", "output").collect())) and len(got) == 4
 
 
+def test_stream_prepare_keys_numbered_per_split(spark, tmp_dir):
+    """The same key in two splits names two rows; bases change nothing."""
+    from labelwise.operators.prepare import to_records
+    from labelwise.streaming.prepare import prepared, start_prepare
+
+    rows = [(0, "a", 1, "train"), (1, "a", 1, "train"), (0, "b", 1, "test"), (1, "c", 1, "test"), (2, "c", 1, "test")]
+    schema = "row_idx bigint, text string, label int, split string"
+    src = os.path.join(tmp_dir, "x4k-src")
+    for i, r in enumerate(reversed(rows)):
+        spark.createDataFrame([r], schema).write.parquet(f"{src}/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    want = [("test", 0, "b"), ("test", 1, "c"), ("train", 0, "a")]
+    for every in (1, 2, 50):
+        out, ck = os.path.join(tmp_dir, f"x4k-out{every}"), os.path.join(tmp_dir, f"x4k-ck{every}")
+        for q in start_prepare(stream, EN, "row_idx", out, ck, compact_every=every):
+            q.awaitTermination()
+        assert sorted(map(tuple, prepared(spark, out, "row_idx").select("split", "row_idx", "input").collect())) == want
+    batch = to_records(spark.createDataFrame(rows, schema), EN, key="row_idx")
+    assert sorted(map(tuple, batch.select("split", "row_idx", "input").collect())) == want
+
+
+def test_stream_prepare_within_a_watermark(spark, tmp_dir):
+    from labelwise.streaming.prepare import start_prepare_within
+
+    src = os.path.join(tmp_dir, "x4w-src")
+    schema = "row_idx bigint, text string, label int, split string, at timestamp"
+    day = "2024-01-0{} 00:00:00"
+    parts = [[(1, "a", 1, 1), (2, "b", 1, 1)], [(3, "a", 1, 2), (4, "a", 0, 2)], [(5, "c", 1, 9)], [(8, "d", 1, 9)], [(6, "a", 1, 9), (7, "b", 1, 1)]]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame([(k, t, y, "train", day.format(d)) for k, t, y, d in part], schema.replace("timestamp", "string"))
+        df.withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"{src}/f{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out, ck = os.path.join(tmp_dir, "x4w-out"), os.path.join(tmp_dir, "x4w-ck")
+    start_prepare_within(stream, EN, "row_idx", "at", "3 days", out, ck).awaitTermination()
+    got = sorted(r.row_idx for r in spark.read.parquet(out).collect())
+    # 3 repeats 1 in time; 6 repeats it after its state has gone; 7 is too late
+    assert got == [1, 2, 4, 5, 6, 8]
+
+
 def _says(answer):
     def build():
         return lambda text: answer
