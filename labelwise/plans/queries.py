@@ -609,13 +609,14 @@ def stream_prepare(spark, sf_dir):
 
 @query
 def stream_prepare_within(spark, sf_dir):
-    """X4 with state bounded by a watermark (ids stand for seconds): which of
+    """X4 with state bounded by a watermark (ids stand for seconds
+    after 10^9, as a watermark starts at 0 and drops what is not above it): which of
     equal records arrives first is open, so the key is not returned."""
     from ..operators.splits import canonical_splits
     from ..session import scratch_path
     from ..streaming.prepare import start_prepare_within
 
-    docs = B.stream_table(spark, sf_dir, "documents").select(B.KEY, "text", F.timestamp_seconds(B.KEY).alias("at"))
+    docs = B.stream_table(spark, sf_dir, "documents").select(B.KEY, "text", F.timestamp_seconds(F.col(B.KEY) + 10**9).alias("at"))
     labs = B.table(spark, sf_dir, "labels").select(B.KEY, F.col("toxic").alias("label"))
     rows = canonical_splits(docs.join(labs, B.KEY), B.KEY, B.SPEC.seed)
     out, ck = scratch_path(spark, "stream-within"), scratch_path(spark, "stream-within-ckpt")

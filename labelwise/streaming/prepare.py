@@ -155,7 +155,8 @@ def start_prepare_within(
 ):
     """X4 with bounded state: of equal records whose ``event_time`` (a
     timestamp column) lies within ``delay`` of each other, the first to arrive
-    is appended to ``out_dir``; rows later than the watermark are dropped.  A
+    is appended to ``out_dir``; rows later than the watermark (which starts at
+    1970-01-01) are dropped.  A
     repeat further away is dropped too until its group's state has expired."""
     kept = tuple(dict.fromkeys((*keep, event_time)))
     recs = _marked(to_records(rows, spec, key=key, class_names=class_names, keep=kept, dedup=False))
