@@ -139,7 +139,8 @@ def fit_languages(
     part = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(part < F.element_at(below, F.col("lang")))
     # rows that repeat an id and a text have one hash: they count once
-    found = append_columns(picked.dropDuplicates(["lang", "h"]), _bits, "text", [("bits", "binary")]).select("lang", "h", "bits").collect()
+    marked = append_columns(picked, _bits, "text", [("bits", "binary")]).select("lang", "h", "bits")
+    found = marked.dropDuplicates(["lang", "h"]).collect()
     taken: dict[str, int] = {}
     kept = []
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], bytes(r["bits"]))):
