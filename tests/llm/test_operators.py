@@ -369,6 +369,17 @@ def test_language_id(spark, empty):
     assert {r[-2] for r in langid.identify(df, none)[0].collect()} == {"und"}
 
 
+def test_language_fit_counts_repeated_rows_once(spark):
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 20), "en") for k in range(5)] + [(9, "der die das und ist nicht " * 3, "de")]
+    schema = "doc_id long, text string, lang string"
+    extra = [(None, prose(rng, 30), "en"), (None, "noch ein Satz mit Worten", "de")]
+    once = langid.fit_languages(spark.createDataFrame(rows + extra, schema), F.lit(True))
+    often = langid.fit_languages(spark.createDataFrame(rows + extra * 300, schema).repartition(4), F.lit(True), sample=4000)
+    assert once.languages == often.languages == ("de", "en")
+    assert np.allclose(once.landmarks, often.landmarks) and np.allclose(once.weights, often.weights, atol=1e-4)
+
+
 def test_kernel_equals_set_definition():
     a, b = "Straße am Fluß", "die Straßen"
     x = np.zeros((2, langid.DIMS), np.float32)
