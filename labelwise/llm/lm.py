@@ -17,9 +17,11 @@ shuffled; the model learns from every training text: each task trains on its
 own texts from the same start and the parameters are averaged by tokens, in
 ``ROUNDS`` rounds (a few tens of thousands of numbers per task, merged in a
 tree of groups of ``FAN``, so no group grows with the number of tasks).  Counts of words with at least 1 / ``SHARE`` of the tokens (so at most
-``SHARE`` words, 64 bytes each) travel to the tasks; occurrences of the rarer
-words are joined with their counts by a shuffle.  No frequent word is in that
-join, so it has no hot key.
+``SHARE`` words, 64 bytes each) travel to the tasks; the rarer words of each
+text, one row per distinct word, are joined with their counts by a shuffle.  No
+frequent word is in that join, so it has no hot key.  Words over ``LONGEST``
+bytes are told apart by their SHA-256 digest, so a long word, frequent or not,
+is never shuffled or kept whole.
 
 Defined results: a null text counts as empty and has only the end token;
 without training texts every count is 0 and the model is uniform; repeated
@@ -33,6 +35,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import repeat
 
 import numpy as np
@@ -60,7 +63,12 @@ _FLUSH = 1 << 18
 
 
 def lm_words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+    """Lower-case words; a long one as a blank (which no word contains) and
+    its digest."""
+    words = text.lower().split() if text else []
+    if max(map(len, words), default=0) > LONGEST:
+        words = [w if len(w) <= LONGEST else b" " + sha256(w).digest() for w in words]
+    return words
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -123,7 +131,7 @@ def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexico
     for r in by_bucket:
         size[r["b"]], kinds[r["b"]] = r["s"], r["k"]
     tokens, types = int(size.sum()), int(kinds.sum())
-    frequent = counts.filter((F.col("c") * share >= tokens) & (F.length(word) <= LONGEST)).select(word.alias("w"), "c").collect()
+    frequent = counts.filter(F.col("c") * share >= tokens).select(word.alias("w"), "c").collect()
     order = sorted(((bytes(r["w"]), r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     words = min(words, len(order))
     head_class = np.array([i if i < words else words + bucket_of(w) for i, (w, _) in enumerate(order)], np.int64)
@@ -141,13 +149,14 @@ def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexico
     )
 
 
-ENCODED = "row long, n_tokens long, n_known long, base double, tail double, classes binary, rare array<binary>"
+ENCODED = "row long, n_tokens long, n_known long, base double, tail double, classes binary, rare array<binary>, times array<int>"
 
 
 def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon) -> DataFrame:
     """One row per text: ``key``, ``held_out``, a row number, token counts, the
     parts of both scores that the lexicon settles, the class of each token
-    (16-bit) and the words whose counts have to be looked up."""
+    (16-bit) and the distinct words whose counts have to be looked up, with
+    how often the text has each."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
     rows = docs.select(F.col(key).alias("id"), held_out.alias("held_out"), F.col(text).alias("t"))
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(ENCODED).fields])
@@ -178,6 +187,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
                 logs = np.zeros(len(words))
                 logs[known] = log_count[place[known]]
                 in_tail = cls >= words_of_own
+                often = Counter(rare)
                 tail = logs[in_tail].sum() - log_tail[cls[in_tail] - words_of_own].sum()
                 out.append(
                     (
@@ -187,7 +197,8 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
                         float(logs.sum() - log_all * len(words)),
                         float(tail),
                         cls.astype("<u2").tobytes(),
-                        rare,
+                        list(often.keys()),
+                        list(often.values()),
                     )
                 )
                 row += 1
@@ -368,24 +379,28 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42
     return model
 
 
-def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", share: int = SHARE
+) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score``
-    (log10) for every row, learning from the rows that are not held out."""
+    (log10) for every row, learning from the rows that are not held out.
+    Words below 1 / ``share`` of the tokens are looked up by a join."""
     counts = written(count_words(docs.filter(~held_out), text), "lm-counts")
-    lex = lexicon(counts)
+    lex = lexicon(counts, share=share)
     encoded = written(encode(docs, key, text, held_out, lex), "lm-encoded")
     model = train(encoded, lex)
-    rare_counts = counts.filter((F.col("c") * SHARE < lex.tokens) | (F.length("word") > LONGEST))
+    rare_counts = counts.filter(F.col("c") * share < lex.tokens)
     looked_up = (
-        encoded.select("row", F.explode("rare").alias("word"))
+        encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+        .select("row", F.col("x.rare").alias("word"), "x.times")
         .join(rare_counts, "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"),
-            F.count("c").alias("rare_known"),
+            F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("rare_log"),
+            F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("rare_known"),
         )
     )
-    narrow = encoded.drop("rare")
+    narrow = encoded.drop("rare", "times")
     schema = T.StructType([f for f in narrow.schema.fields if f.name != "classes"]).add("model", "double")
     at = narrow.columns.index("classes")
 

@@ -140,6 +140,28 @@ def test_lm_base_score_and_counts(spark, docs):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_rare_and_long_words(spark):
+    long = ["L" * 200 + "a", "L" * 200 + "b", "é" * 40]
+    rows = [
+        (1, " ".join(["common"] * 50 + long + ["once", "twice", "twice"])),
+        (2, " ".join([long[0]] * 30 + ["common"])),
+        (3, " ".join(["unseen"] * 9 + long + ["l" * 201] + ["once"] * 3)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    c = Counter(w for i, t in rows[:2] for w in [*t.encode().lower().split(), b" "])
+    n, v = sum(c.values()), len(c)
+    got = []
+    for share in (10, lm.SHARE):
+        found = lm.score_texts(df, F.col("doc_id") == 3, share=share).orderBy("doc_id").collect()
+        for r, (_, t) in zip(found, rows, strict=True):
+            words = [*t.encode().lower().split(), b" "]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(c[w] > 0 for w in words), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
+        got.append(found)
+    # the two tiers share one set of counts: tier one or two, the base score is the same
+    assert [r["base_score"] for r in got[0]] == pytest.approx([r["base_score"] for r in got[1]])
+
+
 def test_lm_probabilities_sum_to_one():
     size = np.array([50, 20, 10, 5, 1, 0])
     m = lm.LogBilinear.start(size, 4)
