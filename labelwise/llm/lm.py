@@ -52,7 +52,7 @@ BUCKETS = 32
 DIM = 16
 SHARE = 1 << 19
 LONGEST = 64
-NOISE = 32
+NOISE = 64
 NOISE_RATIO = 16
 BATCH = 4096
 RATE = 0.05

@@ -176,6 +176,16 @@ def test_lm_probabilities_sum_to_one():
     assert m.log_probabilities(np.array([0]), np.array([1]), np.array([1]))[0] > np.log(0.4)
 
 
+def test_lm_noise_samples_of_a_step():
+    drawn = []
+    size = np.array([50, 30, 20, 5, 1])
+    nce = lm.NoiseContrast(lm.LogBilinear.start(size, 4), size, 1)
+    nce.rng = type("Counted", (), {"random": lambda self, n: drawn.append(n) or np.linspace(0, 0.99, n)})()
+    token = np.zeros(100, np.int64)
+    nce.step(token, token, token)
+    assert drawn == [64]
+
+
 def test_lm_no_training_rows(docs, empty):
     assert lm.score_texts(empty, F.lit(False)).count() == 0
     rows = lm.score_texts(docs, F.lit(True)).collect()
