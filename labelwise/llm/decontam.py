@@ -16,15 +16,19 @@ segments scoring ``THRESHOLD`` or more:
 The bounds never fall below true scores, so nothing above the threshold is
 lost.  A retrieved item counts as leaked if the text holds ``OVERLAP`` of the
 5-word shingles of its question and of its answer.  An item is cut before
-"answer:" or after its last inner "?"; with neither, its last third stands as
-the answer.
+"answer:" (the label itself is not looked for) or after its last inner "?";
+with neither, its last third stands as the answer.  In a part of fewer than
+``SHORT`` words one changed word can undo most shingles; there it also counts
+which share of its words, weighed by rarity, some stretch around a retrieved
+passage has in order, words put in between taken off.
 
 Scale: one pass over the corpus, no shuffle.  The index travels to the tasks;
 its size is checked (``INDEX_BYTES``) and a larger benchmark is searched in
 shards, one pass each, so nothing is left out.
 
 Defined results: null and empty texts match nothing; items without a word
-are never found; items shorter than a shingle must occur whole; repeated rows
+are never found; items without an answer that are shorter than a shingle must
+occur whole, other items not; repeated rows
 give repeated results; repeated items are found under each of their ids.
 """
 
@@ -49,6 +53,7 @@ SEGMENT = 64
 THRESHOLD = 0.6
 OVERLAP = 0.5
 SHINGLE = 5
+SHORT = 3 * SHINGLE - 1  # from here on, one changed word leaves half of the shingles
 BLOCK = 4
 SLACK = 1e-9  # rounding allowance of the bounds
 INDEX_BYTES = 16 << 20
@@ -81,21 +86,47 @@ def question_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return (words, words) if len(words) < 2 * SHINGLE else (words[:cut], words[cut:])
 
 
+def item_parts(text: bytes) -> tuple[list[bytes], list[bytes]]:
+    """Question and answer without the answer's label (unless that is all)."""
+    q, a = question_answer(text)
+    if a[:1] == [b"answer"] and a is not q and len(a) > 1 and re.search(rb"(?i)\banswer\s*:", text):
+        a = a[1:]
+    return q, a
+
+
+def in_order(part: Sequence[bytes], weight: Sequence[float], words: Sequence[bytes]) -> float:
+    """Largest share of the part's weight that some stretch of ``words`` has
+    in order; each word of the stretch beyond the part takes off a mean one."""
+    total = sum(weight)
+    extra = total / len(part)
+    row = [0.0] * (len(words) + 1)  # least cost of a stretch that ends here
+    for w, cost in zip(part, weight, strict=True):
+        new = [row[0] + cost]
+        for j, b in enumerate(words):
+            # one word in place of another costs the word it replaces
+            step = row[j] if w == b else row[j] + cost
+            new.append(min(step, row[j + 1] + cost, new[j] + extra))
+        row = new
+    return 1 - min(row) / total
+
+
 class Index:
     """Inverted index of the items' segments with block maxima."""
 
     def __init__(self, items: Iterable[tuple[object, bytes]]):
         self.items: list = []
         self.parts: list[tuple[set, set]] = []
+        self.words: list[tuple[list, list]] = []
         self.owner: list[int] = []
         bags: list[Counter] = []
         for ident, text in items:
             words = plain_words(text)
             if not words:
                 continue
-            q, a = question_answer(text)
+            q, a = item_parts(text)
             self.items.append(ident)
             self.parts.append((shingles(q), shingles(a)))
+            self.words.append((q, a))
             pieces = -(-len(words) // SEGMENT)
             size = -(-len(words) // pieces)
             for k in range(0, len(words), size):
@@ -104,6 +135,7 @@ class Index:
         n = len(bags)
         frequency = Counter(t for bag in bags for t in bag)
         self.term = {t: i + 1 for i, t in enumerate(sorted(frequency))}  # 0: not in the index
+        self.rarity = {t: float(np.log(1 + (n - f + 0.5) / (f + 0.5))) for t, f in frequency.items()}
         postings: list[list] = [[] for _ in range(len(self.term) + 1)]
         average = sum(sum(b.values()) for b in bags) / max(n, 1)
         for s, bag in enumerate(bags):
@@ -207,9 +239,11 @@ class Index:
         get = self.term.get
         ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         best: dict[int, tuple[float, int]] = {}
+        where: dict[int, list[int]] = {}
         for at, found in self.passages(ids):
             for s, score in found:
                 item = self.owner[s]
+                where.setdefault(item, []).append(at)
                 if item not in best or score > best[item][0] + SLACK:
                     best[item] = (score, at)
         if not best:
@@ -218,14 +252,33 @@ class Index:
         out = []
         for item in sorted(best):
             share = []
-            for part in self.parts[item]:
+            q, a = self.words[item]
+            for part, plain in zip(self.parts[item], (q, a), strict=True):
                 seen = have[len(next(iter(part)))]
                 share.append(sum(s in seen for s in part) / len(part))
+                whole = q == a and len(plain) < SHINGLE
+                if share[-1] < OVERLAP and len(plain) < SHORT and not whole:
+                    weight = [self.rarity.get(w, 1.0) for w in plain]
+                    around = _stretches(where[item], len(words))
+                    share[-1] = max([share[-1], *(in_order(plain, weight, words[x:y]) for x, y in around)])
             if min(share) >= OVERLAP:
                 out.append((self.items[item], *best[item], *share))
         return out
 
 
+def _stretches(starts: Iterable[int], n: int) -> list[tuple[int, int]]:
+    """The passages at ``starts`` and a piece on either side, joined where
+    they meet."""
+    out: list[tuple[int, int]] = []
+    for at in sorted(set(starts)):
+        a, b = max(0, at - SEGMENT), min(n, at + 3 * SEGMENT)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def shingles_of(words: Sequence[bytes], n: int) -> set[tuple]:
     return set(zip(*[words[k:] for k in range(n)], strict=False))
 

@@ -502,6 +502,32 @@ def test_question_and_answer_parts():
     assert len(q) == 20 and len(a) == 10
 
 
+def test_near_copies_of_short_items():
+    rng = random.Random(12)
+    vocab = [f"word{i}" for i in range(900)]
+    fill = prose(rng, 80, vocab)
+    fifteen = [f"z{i}" for i in range(15)]
+    capital = b"Which town on the Seine is the capital of old Gallia? Answer: Paris"
+    index = decontam.Index(
+        [(0, capital), (1, " ".join(fifteen).encode()), (2, " ".join(f"s{i}" for i in range(7)).encode())]
+        + [(10 + k, prose(rng, 40, vocab).encode()) for k in range(20)]
+    )
+
+    def found(text):
+        return {hit[0] for hit in index.search(f"{fill} {text} {prose(rng, 300, vocab)}".encode())} & {0, 1, 2}
+
+    question = "Which town on the Seine is the capital of old Gallia?"
+    for answer in ("Answer: Paris", "A: Paris", "Paris"):
+        assert found(f"{question} {answer}") == {0}
+    assert found(f"{question} A: Lyon") == set()
+    for k in range(15):  # any one word of the shortest form changed
+        assert found(" ".join(w if i != k else "other" for i, w in enumerate(fifteen))) == {1}
+    for k in range(7):
+        assert found(" ".join(f"s{i}" if i != k else "other" for i in range(7))) == {2}
+    assert found(" ".join(fifteen[:10])) == set()
+    assert found(" ".join(reversed(fifteen))) == set()
+
+
 # --- SimHash --------------------------------------------------------------------------
 
 
