@@ -13,8 +13,14 @@ each) reach the driver; every text is scored whole, in one pass without a
 shuffle, and the model (about 4 MB, independent of the data) travels in the
 task closure.
 
+The best score is at least 1 / languages for any text, so it cannot tell a text
+of no learned language.  ``familiar`` does: a text's n-grams have a mean log
+share (of a learned language's fitted texts with that n-gram, the language that
+has it most), which is held against the fitted texts of its size, each of them
+measured without itself.  A text that mixes learned languages is familiar.
+
 Defined results: null texts and texts without a letter are ``und`` with score
-0; so is every text if there is no labelled row to learn from; ties go to the
+0, and not familiar; so is every text if there is no labelled row to learn from; ties go to the
 language first in alphabetical order; repeated rows are scored one by one.
 """
 
@@ -34,6 +40,9 @@ LANDMARKS = 64
 SAMPLE = 400
 RIDGE = 1e-2
 MAX_LANGUAGES = 1000
+LEAST_SHARE = 1e-3
+LOWEST = 0.01
+ROOM = 4
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -73,6 +82,15 @@ class KernelModel:
     languages: tuple[str, ...]
     landmarks: np.ndarray  # landmarks x DIMS, presence / sqrt(size)
     weights: np.ndarray  # (landmarks + 1) x languages
+    log_share: np.ndarray | None = None  # per slot: log share of texts that have it
+    usual: tuple[float, float, float, float] = (0.0, 0.0, 0.0, -np.inf)  # see ``fit_familiar``
+
+    def familiar(self, presence: np.ndarray) -> np.ndarray:
+        """Whether each text's n-grams are those of the learned languages."""
+        size = np.maximum(presence.sum(axis=1), 1)
+        least_size, offset, slope, least = self.usual
+        expected = offset + slope * np.log2(np.maximum(size, least_size))
+        return presence @ self.log_share / size - expected >= least
 
     def margins(self, presence: np.ndarray) -> np.ndarray:
         size = np.maximum(presence.sum(axis=1, keepdims=True), 1)
@@ -80,6 +98,33 @@ class KernelModel:
         return kernel @ self.weights[:-1] + self.weights[-1]
 
 
+def fit_familiar(bits: np.ndarray, labels: Sequence[str]) -> tuple[np.ndarray, tuple[float, float, float, float]]:
+    """Log shares per slot, and what is usual: (smallest size, offset and slope
+    of the mean log share by log2 of the size, least difference from that).
+    The least difference leaves ``ROOM`` times the room of the lowest ``LOWEST`` of the
+    fitted texts, so a few mislabelled or broken ones do not set it."""
+    names = sorted(set(labels))
+    group = np.array([names.index(x) for x in labels])
+    n = np.bincount(group, minlength=len(names)).astype(float)
+    count = np.stack([bits[group == g].sum(axis=0, dtype=np.int64) for g in range(len(names))])
+    share = np.maximum(count / n[:, None], LEAST_SHARE)
+    # each text without itself
+    value, size = np.empty(len(bits)), np.maximum(bits.sum(axis=1, dtype=np.int64), 1)
+    for i, g in enumerate(group):
+        own = np.flatnonzero(bits[i])
+        alone = np.maximum((count[g, own] - 1) / max(n[g] - 1, 1), LEAST_SHARE)
+        rest = np.delete(share[:, own], g, axis=0).max(axis=0, initial=LEAST_SHARE)
+        value[i] = np.log(np.maximum(alone, rest)).sum() / size[i]
+    at = np.log2(size)
+    spread = at - at.mean()
+    slope = float(spread @ value / max(spread @ spread, 1e-9))
+    offset = float(value.mean() - slope * at.mean())
+    left = value - offset - slope * at
+    middle = float(np.median(left))
+    least = middle - ROOM * (middle - float(np.quantile(left, LOWEST)))
+    return np.log(share.max(axis=0)).astype(np.float32), (float(size.min()), offset, slope, least)
+
+
 def fit_kernel(bits: np.ndarray, labels: Sequence[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """``bits``: texts x DIMS presence.  Landmarks are taken from the
     languages in turn, so each has its share."""
@@ -106,7 +151,7 @@ def fit_kernel(bits: np.ndarray, labels: Sequence[str], landmarks: int = LANDMAR
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve(phi.T @ (phi * w) + penalty, phi.T @ (y * w))
     weights = np.vstack([root @ solved[:-1], solved[-1:]])
-    return KernelModel(tuple(names), marks.astype(np.float32), weights.astype(np.float32))
+    return KernelModel(tuple(names), marks.astype(np.float32), weights.astype(np.float32), *fit_familiar(bits, labels))
 
 
 def _bits() -> Callable[[list], Sequence]:
@@ -180,3 +225,29 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> tuple[D
     """``docs`` plus predicted language and score; also the names they got."""
     lang, score = fresh_names(docs, "lang_pred", "score")
     return append_columns(docs, scorer(model), text, [(lang, "string"), (score, "double")]), lang, score
+
+
+def familiar_texts(docs: DataFrame, model: KernelModel, text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` plus whether a text has letters and the n-grams of the learned
+    languages (letters alone count if none was learned); also that name."""
+    (flag,) = fresh_names(docs, "familiar")
+
+    def make(step: int = 128):
+        letter = has_letter()
+        x = np.zeros((step, DIMS), np.float32)
+
+        def work(batch: list) -> Sequence:
+            out = [bool(t) and letter(t) for t in batch]
+            todo = [i for i, good in enumerate(out) if good] if model.languages else []
+            for at in range(0, len(todo), step):
+                part = todo[at : at + step]
+                x[: len(part)] = 0
+                for k, i in enumerate(part):
+                    mark(batch[i], x[k])
+                for i, good in zip(part, model.familiar(x[: len(part)]).tolist(), strict=True):
+                    out[i] = good
+            return [out]
+
+        return work
+
+    return append_columns(docs, make, text, [(flag, "boolean")]), flag

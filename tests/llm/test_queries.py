@@ -1,6 +1,7 @@
 """Registered queries and the pipeline on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -81,3 +82,32 @@ def test_pipeline_on_empty_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
         assert now.count() >= 0
+
+
+def test_language_stage_rejects_texts_of_no_learned_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    first = {}
+    for r in rows:
+        if len(r[1] or "") > 400:
+            first.setdefault(r[2], r[1])
+    strange = [
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(80)),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "все люди рождаются свободными и равными в своем достоинстве и правах",
+        "def f(x):\n    return {k: v for k, v in x.items() if v is not None}\n" * 3,
+        "12345 !!",
+        "",
+        None,
+    ]
+    mixed = [first["fr"] + " " + first["de"], first["en"] + "\n" + first["es"]]
+    added = [(10**9 + i, t, None, "s", 0) for i, t in enumerate(strange + mixed)]
+    frame = spark.createDataFrame(rows + added, docs.schema)
+    left = {r[0] for r in corpus_pipeline.language_id(spark, frame, SF).select("doc_id").collect()}
+    assert {i for i in left if i >= 10**9} == {10**9 + len(strange) + k for k in range(len(mixed))}
+    words = {r[0] for r in rows if len(r[1] or "") > 400}
+    assert len(words - left) <= 0.01 * len(words)
+    unlabelled = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["12 34", "", None, "a word"])], docs.schema)
+    assert [r[0] for r in corpus_pipeline.language_id(spark, unlabelled, SF).collect()] == [3]
