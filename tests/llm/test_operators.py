@@ -657,6 +657,27 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_a_block_all_come_out():
+    def sure(text):
+        return sorted((k, n) for k, n, _, _, good in licenses.Scanner().text(text.encode()) if good)
+
+    rng = random.Random(2)
+    two = "Text under CC. Licensed under CC BY 4.0. Code: Released under the MIT License."
+    assert sure(two) == [(0, "CC-BY-4.0"), (0, "MIT")]
+    # one long text without line ends, notices far apart, template words around them
+    many = WORDS + "license version public general work terms under licensed released source".split()
+    notices = list(licenses.TEMPLATES.items())
+    for _ in range(5):
+        text = " ".join(prose(rng, 400, many) + ". " + t for _, t in notices)
+        assert sure(text) == sorted((0, n) for n, _ in notices)
+    assert sure("Intro\nLicensed under the Apache License,\nVersion 2.0\n\nend") == [(1, "Apache-2.0")]
+    assert sure("Licensed under the Apache License,\n\nVersion 1.1") == []
+    # a long line with a notice keeps the unconfirmed rows of its other stretches
+    far = "Released under the MIT License. " + prose(rng, 3000) + " Licensed under the Apache License, Version 1.1. " + prose(rng, 900)
+    got = [(n, good) for _, n, _, _, good in licenses.Scanner().text(far.encode())]
+    assert got == [("MIT", True), ("Apache-2.0", False)]
+
+
 def test_wording_differences():
     w = licenses.wording
     t = w("Licensed under CC BY-NC 4.0.")
