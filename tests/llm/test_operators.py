@@ -678,6 +678,41 @@ def test_licenses_of_a_block_all_come_out():
     assert got == [("MIT", True), ("Apache-2.0", False)]
 
 
+def test_license_headers_full_texts_and_tags():
+    def sure(text):
+        return sorted((k, n) for k, n, _, _, good in licenses.Scanner().text(text.encode()) if good)
+
+    mit = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    assert sure(mit) == [(4, "MIT")]
+    gnu = """ # This {} is free software; you can redistribute it and/or modify
+ # it under the terms of the GNU {}General Public License as published by
+ # the Free Software Foundation, either version {} of the License, or
+ # (at your option) any later version."""
+    assert sure(gnu.format("program", "", 3)) == [(0, "GPL-3.0")]
+    assert sure(gnu.format("program", "", 2)) == [(0, "GPL-2.0")]
+    assert sure(gnu.format("library", "Lesser ", 3)) == [(0, "LGPL-3.0")]
+    assert sure(gnu.format("program", "Affero ", 3)) == [(0, "AGPL-3.0")]
+    assert sure(gnu.format("library", "Lesser ", 2.1)) == []
+    assert sure("x\n// SPDX-License-Identifier: (MIT OR Apache-2.0)\n") == [(1, "Apache-2.0"), (1, "MIT")]
+    assert sure("SPDX-License-Identifier: GPL-2.0-or-later") == [(0, "GPL-2.0")]
+    assert sure("SPDX-License-Identifier: MIT-0") == []
+    cc = "This work is licensed under a Creative Commons\nAttribution{} 4.0 International License."
+    assert sure(cc.format("-NonCommercial")) == [(0, "CC-BY-NC-4.0")]
+    assert sure(cc.format("")) == [(0, "CC-BY-4.0")]
+
+
 def test_wording_differences():
     w = licenses.wording
     t = w("Licensed under CC BY-NC 4.0.")
