@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lm, packing, quality, simhash, tokens, toolcalls, warc
+from . import decontam, exactdedup, langid, licenses, lm, merkle, packing, quality, search, simhash, tokens, toolcalls, warc
 from .common import id_remainder, table
 
 
@@ -68,6 +68,18 @@ def op10_license_scans(spark, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    return exactdedup.memberships(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(spark, sf_dir)
+
+
+def op13_lexical_search(spark, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,9 +93,14 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_simhash_near_dedup,
         op10_license_scans,
+        op11_exact_dedup,
+        op12_merkle_manifest,
+        op13_lexical_search,
     )
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 # The other queries have no SQL: fitted models (1, 2, 7), tokeniser merges
@@ -134,4 +151,72 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN m ON p.digest = m.digest AND p.n >= 1000""",
+    "op11_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') AS f_id,
+    coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS f_kind,
+    coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS f_chars,
+    coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') AS f_more,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS f_text,
+    list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, c: list_reduce([xor(crc, c)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+),
+leaf AS (
+  SELECT doc_id, lang, sha256(f_id || f_kind || f_chars || f_text) AS node,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(f_id || f_kind || f_more || f_text) END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM d
+),
+tree AS (
+  SELECT lang, 0 AS level, pos, n, node FROM leaf
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n
+),
+top AS (
+  SELECT lang, node, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+),
+crown AS (
+  SELECT 0 AS level, pos, n, node FROM top
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 2, n
+),
+climb AS (
+  SELECT doc_id, lang, 0 AS level, pos, n, coalesce(changed, node) AS node, '' AS proof FROM leaf
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.node, '') || c.node ELSE c.node || coalesce(s.node, '') END), c.proof || coalesce(s.node, '')
+  FROM climb c LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+),
+rise AS (
+  SELECT c.doc_id, c.lang, 0 AS level, t.pos, t.n, c.node, c.proof FROM climb c JOIN top t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(s.node, '') || c.node ELSE c.node || coalesce(s.node, '') END), c.proof || coalesce(s.node, '')
+  FROM rise c LEFT JOIN crown s ON s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+)
+SELECT l.doc_id, l.node AS leaf, t.node AS subroot, r.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM leaf l JOIN rise f ON f.doc_id = l.doc_id AND f.n = 1 JOIN top t ON t.lang IS NOT DISTINCT FROM l.lang
+CROSS JOIN (SELECT node FROM crown WHERE n = 1) r""",
+    "op13_lexical_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS terms FROM documents WHERE text IS NOT NULL),
+stats AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+postings AS (SELECT doc_id, len(terms)::BIGINT AS n, u.term, count(*) AS tf FROM d, unnest(terms) AS u(term) GROUP BY ALL),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY term, n_docs
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), stats GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
