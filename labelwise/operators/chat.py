@@ -85,6 +85,10 @@ def flatten_messages(records: DataFrame, key: str, spec: TaskSpec) -> DataFrame:
     )
 
 
+def _or_empty(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
 def conversation_segments(conversations: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
     """P8 over a long message table ``(conv_id, turn, role, text)``.
 
@@ -92,10 +96,11 @@ def conversation_segments(conversations: DataFrame, template: ChatTemplate = CHA
     generation prompt is one extra segment after each conversation's last
     turn.  Concatenating segments in ``(conv_id, turn)`` order gives each
     conversation's prompt; nothing ever gathers a whole conversation into
-    one row, so a conversation of any length is fine.
+    one row, so a conversation of any length is fine.  A null role or text
+    counts as empty.
     """
     seg = conversations.select(
-        "conv_id", "turn", template.message(F.col("role"), F.col("text")).alias("segment")
+        "conv_id", "turn", template.message(_or_empty("role"), _or_empty("text")).alias("segment")
     )
     tail = conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn(
         "segment", F.lit(template.generation_prompt)
@@ -111,7 +116,7 @@ def conversation_summary(conversations: DataFrame, template: ChatTemplate = CHAT
     conversation of any size costs one small row per task in the shuffle.
     """
     fixed = len(template.open) + len(template.role_sep) + len(template.close)
-    seg_len = F.length("role") + F.length("text") + F.lit(fixed)  # = length of the rendered message
+    seg_len = F.length(_or_empty("role")) + F.length(_or_empty("text")) + F.lit(fixed)  # = length of the rendered message
     return conversations.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.count_if(F.col("role") == "user").alias("n_user"),

@@ -23,20 +23,23 @@ positive label.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from ..functions.text import word_tokens
 from ..session import scratch_path
 from ..spec import TaskSpec
 
 
 # Explicit broadcast of the fitted weights only up to this many bytes of
-# token text and weights (measured on the written table at fit time); beyond
+# token text and weights (measured on the written table at fit time).  Beyond
 # it the scoring join is a shuffle join on token, where AQE splits the
-# partitions of hot tokens.  The plan differs, the scores do not.
+# partitions of hot tokens, and a Bloom filter of the weight tokens keeps out
+# of the shuffle what has no weight.  The plan differs, the scores do not.
 BROADCAST_MAX_BYTES = 64 << 20
 
 
@@ -48,6 +51,10 @@ class TokenWeights:
     scale: int
     spec: TaskSpec
     n_bytes: int | None = None  # token text and weights of the table; None = unknown
+    n_tokens: int | None = None
+    tokens: Callable[[Column], Column] = word_tokens
+    _bloom: tuple[int, str] | None = None
+    relational = True  # scores come out of a join and a grouping, without the text
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -58,34 +65,56 @@ class TokenWeights:
             "bigint"
         )
 
-    def _weights(self, spark: SparkSession) -> DataFrame:
-        w = self.table(spark).select("token", "weight")
-        if self.n_bytes is not None and self.n_bytes <= BROADCAST_MAX_BYTES:
-            return F.broadcast(w)
-        return w
+    def is_broadcast(self) -> bool:
+        return self.n_bytes is not None and self.n_bytes <= BROADCAST_MAX_BYTES
 
     def scores(self, df: DataFrame, key: str, text_col: str, carry=()) -> DataFrame:
         """``(key, score, *carry)`` for every row of ``df``, in one pass.
 
-        Each row's distinct tokens are exploded in place (``explode_outer``
-        keeps rows without tokens), looked up in the weights and summed per
-        key.  All tokens of a row sit in the same task, so map-side partial
-        aggregation already yields one row per key; the shuffle moves that
-        row's small columns only (keep the text out of ``carry``).
+        Each row's distinct tokens are exploded in place, looked up in the
+        weights and summed per row.  All tokens of a row sit in the same task,
+        so map-side partial aggregation already yields one row per row; the
+        shuffle moves that row's small columns only (keep the text out of
+        ``carry``).
         """
-        spark = df.sparkSession
         # rows, not keys, are scored: a repeated key gets an answer for each row
         rows = df.withColumn("__row", F.monotonically_increasing_id())
-        toks = rows.select(
-            "__row", key, *carry, F.explode_outer(F.array_distinct(word_tokens(F.col(text_col)))).alias("token")
-        )
-        joined = toks.join(self._weights(spark), "token", "left")
+        weights = self.table(df.sparkSession).select("token", "weight")
+        if self.is_broadcast():
+            toks = rows.select(
+                "__row", key, *carry, F.explode_outer(F.array_distinct(self.tokens(F.col(text_col)))).alias("token")
+            )
+            joined = toks.join(F.broadcast(weights), "token", "left")
+        else:
+            joined = self.weighted_pairs(rows, text_col, ["__row", key, *carry]).join(weights, "token", "left")
         # carried columns are constant per key: grouping on them keeps the
         # aggregate a hash aggregate (first() over strings would sort)
         return joined.groupBy("__row", key, *carry).agg(
             (self.prior() + F.coalesce(F.sum("weight"), F.lit(0))).alias("score")
         ).drop("__row")
 
+    def weighted_pairs(self, rows: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+        """``keep`` and ``token`` of the (row, token) pairs that may have a
+        weight, and one mark of every row (a token of its own, so that rows
+        without weighted tokens stay and marks spread over all tasks)."""
+        mark = F.concat(F.lit("\0"), F.col("__row").cast("string"))
+        tokens = F.array_append(F.array_distinct(self.tokens(F.coalesce(F.col(text_col), F.lit("")))), mark)
+        pairs = rows.select(*keep, F.explode(tokens).alias("token"))
+        blocks, table = self._filter(rows.sparkSession)
+        found = bloom.maybe_in(pairs, F.col("token"), table, blocks, "__maybe")
+        return found.filter(F.col("__maybe") | F.col("token").startswith("\0")).drop("__maybe")
+
+    def _filter(self, spark: SparkSession) -> tuple[int, DataFrame]:
+        """The Bloom filter of the weight tokens, built once and written."""
+        if self._bloom is None:
+            weights = self.table(spark)
+            n = self.n_tokens if self.n_tokens is not None else weights.count()
+            blocks, path = bloom.blocks_for(n), scratch_path(spark, "weight-filter")
+            bloom.build(weights.select("token"), F.col("token"), blocks).write.parquet(path)
+            self._bloom = (blocks, path)
+        blocks, path = self._bloom
+        return blocks, spark.read.parquet(path)
+
     def answer(self, score: Column) -> Column:
         s = self.spec
         return F.when(score >= 0, F.lit(s.positive)).otherwise(F.lit(s.negative))
@@ -97,12 +126,18 @@ class TokenWeights:
         return self.scores(df, key, text_col, carry).withColumn("raw_output", self.answer(F.col("score"))).drop("score")
 
 
-def token_counts(records: DataFrame, spec: TaskSpec, text_col: str = "input", label_col: str = "output") -> DataFrame:
+def token_counts(
+    records: DataFrame,
+    spec: TaskSpec,
+    text_col: str = "input",
+    label_col: str = "output",
+    tokens: Callable[[Column], Column] = word_tokens,
+) -> DataFrame:
     """``(token, dp, dn)``: documents of each class containing the token."""
     # explode the expression in place: exploding a projected column makes the
     # optimizer add a size(tokens) > 0 filter below it, tokenising twice
     docs = records.select(
-        F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("token"),
+        F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("token"),
         (F.col(label_col) == F.lit(spec.positive)).alias("y"),
     )
     return (
@@ -120,6 +155,7 @@ def fit_token_weights(
     min_weight: float = 3.0,
     scale: int = 1_000_000,
     path: str | None = None,
+    tokens: Callable[[Column], Column] = word_tokens,
 ) -> TokenWeights:
     """M4: fit on (already split / capped) training records; an action."""
     spark = records.sparkSession
@@ -130,11 +166,13 @@ def fit_token_weights(
     n_pos, n_neg = int(cls["p"]), int(cls["n"])
     if n_pos == 0 or n_neg == 0:
         raise ValueError(f"training data needs both classes (positive={n_pos}, negative={n_neg})")
-    weights = weight_table(token_counts(records, spec, text_col, label_col), n_pos, n_neg, min_df, min_weight, scale)
+    weights = weight_table(token_counts(records, spec, text_col, label_col, tokens), n_pos, n_neg, min_df, min_weight, scale)
     path = path or scratch_path(spark, "token-weights")
     weights.write.mode("overwrite").parquet(path)
-    n_bytes = spark.read.parquet(path).agg(F.sum(F.octet_length("token") + F.lit(8))).first()[0] or 0
-    return TokenWeights(path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec, n_bytes=int(n_bytes))
+    size = spark.read.parquet(path).agg(F.sum(F.octet_length("token") + F.lit(8)), F.count(F.lit(1))).first()
+    return TokenWeights(
+        path=path, n_pos=n_pos, n_neg=n_neg, scale=scale, spec=spec, n_bytes=int(size[0] or 0), n_tokens=size[1], tokens=tokens
+    )
 
 
 def weight_table(

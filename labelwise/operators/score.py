@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.labels import extract_label, is_correct, is_valid_format
 from ..functions.text import py_strip, word_tokens
+from ..session import scratch_path
 from ..spec import TaskSpec
 from .workers import built_once, new_id
 
@@ -70,9 +71,17 @@ class PandasScorer:
 
     ``factory()`` is called once per Python worker process and scorer and
     must return ``fn(text) -> str`` or, with ``batched``, ``fn(texts) ->
-    answers`` over a whole Arrow batch (each row then gets an equal share of
-    the batch's time).  Call ``check()`` on the driver first to fail fast
-    (e.g. a missing model artefact) before any task starts.
+    answers`` over up to ``call_rows`` texts (an Arrow batch if not given;
+    each row then gets an equal share of the call's time).  Call ``check()``
+    on the driver first to fail fast (e.g. a missing model artefact) before
+    any task starts.
+
+    With ``isolate`` a text on which the model raises does not fail the job:
+    a failing call is repeated on its two halves until the text stands alone;
+    that row gets no answer and the reason in ``error`` (null for the others).
+    One bad text among n costs about 2 log2(n) further calls.  Where more than
+    ``most_errors`` texts of a task fail, the model is broken rather than the
+    texts, and the task raises.
     """
 
     def __init__(
@@ -80,40 +89,77 @@ class PandasScorer:
         factory: Callable[[], Callable],
         check: Callable[[], None] | None = None,
         batched: bool = False,
+        isolate: bool = False,
+        call_rows: int | None = None,
+        most_errors: int | None = None,
     ):
         self.factory = factory
         self.check = check
         self.batched = batched
+        self.isolate = isolate
+        self.call_rows = call_rows
+        self.most_errors = most_errors
         self.ident = new_id()
 
     def apply(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
         if self.check is not None:
             self.check()
-        factory, ident, batched = self.factory, self.ident, self.batched
-        schema = T.StructType(
-            df.schema.fields
-            + [T.StructField("raw_output", T.StringType()), T.StructField("latency_sec", T.DoubleType())]
-        )
+        factory, ident, batched, isolate = self.factory, self.ident, self.batched, self.isolate
+        call_rows, most_errors = self.call_rows, self.most_errors
+        added = [T.StructField("raw_output", T.StringType()), T.StructField("latency_sec", T.DoubleType())]
+        if isolate:
+            added.append(T.StructField("error", T.StringType()))
+        schema = T.StructType(df.schema.fields + added)
 
         def run(batches: Iterator):
             fn = built_once(ident, factory)
+            calls = (lambda texts: fn(texts)) if batched else (lambda texts: [fn(t) for t in texts])
+            failed = 0
             for pdf in batches:
-                if batched:
-                    t0 = time.perf_counter()
-                    answers = list(fn(list(pdf[text_col])))
-                    lats = [(time.perf_counter() - t0) / max(len(pdf), 1)] * len(pdf)
-                else:
-                    answers, lats = [], []
-                    for text in pdf[text_col]:
-                        t0 = time.perf_counter()
-                        answers.append(fn(text))
-                        lats.append(time.perf_counter() - t0)
-                outs = ["" if out is None else str(out).strip() for out in answers]
-                yield pdf.assign(raw_output=outs, latency_sec=lats)
+                texts = list(pdf[text_col])
+                size = (call_rows or max(len(texts), 1)) if batched else 1
+                answers = []
+                for at in range(0, len(texts), size):
+                    part = texts[at : at + size]
+                    answers += isolated(calls, part) if isolate else timed(calls, part)
+                failed += sum(why is not None for _, _, why in answers)
+                if most_errors is not None and failed > most_errors:
+                    raise RuntimeError(f"the model failed on {failed} texts of one task, the last: {[w for _, _, w in answers if w][-1]}")
+                new = {
+                    "raw_output": [None if why else "" if a is None else str(a).strip() for a, _, why in answers],
+                    "latency_sec": [sec for _, sec, _ in answers],
+                }
+                yield pdf.assign(**new, **({"error": [why for _, _, why in answers]} if isolate else {}))
 
         return df.mapInPandas(run, schema)
 
 
+def timed(calls: Callable[[list], Sequence], texts: list) -> list[tuple]:
+    """(answer, seconds, None) of every text from one call."""
+    began = time.perf_counter()
+    answers = list(calls(texts))
+    if len(answers) != len(texts):
+        raise ValueError(f"{len(answers)} answers for {len(texts)} texts")
+    return [(a, (time.perf_counter() - began) / len(texts), None) for a in answers]
+
+
+def isolated(calls: Callable[[list], Sequence], texts: list) -> list[tuple]:
+    """(answer, seconds, reason) of every text: a call that raises is made
+    again for each half, down to single texts."""
+    done, open_ = [], [texts] if texts else []
+    while open_:
+        part = open_.pop()
+        try:
+            done += timed(calls, part)
+        except Exception as exc:  # noqa: BLE001 - whatever a model raises
+            if len(part) == 1:
+                done.append((None, 0.0, f"{type(exc).__name__}: {exc}"[:500]))
+            else:
+                half = len(part) // 2
+                open_ += [part[half:], part[:half]]
+    return done
+
+
 def score(
     df: DataFrame,
     scorer,
@@ -130,9 +176,10 @@ def score(
     ``latency`` fills ``latency_sec`` for scorers that do not time rows
     (default 0.0).  Every input row gets one prediction, also when keys
     repeat.  Relational scorers return rows without the text; with
-    ``keep_input`` the answers are joined back by (key, text hash), a shuffle
-    of the text; without it the predictions omit ``input`` — metrics never need
-    it, and ``report.error_cases`` fetches it for its few rows only.
+    ``keep_input`` the rows are numbered and written once, and the answers meet
+    them by that number; without it the predictions omit ``input`` — metrics
+    never need it, and ``report.error_cases`` fetches it for its few rows only.
+    A scorer's ``error`` column (why a row has no answer) stays.
     """
     cols = [key, text_col, expected_col]
     if latency is not None:
@@ -141,18 +188,19 @@ def score(
     # only what the predictions need rides through the scorer (its shuffle
     # or Arrow transfer); other record columns are not carried
     df = df.select(*dict.fromkeys(cols))
-    scored = scorer.apply(df, key, text_col)
-    if keep_input and text_col not in scored.columns:
-        hashed = df.withColumn("__hash", F.xxhash64(text_col))
-        answers = scorer.apply(hashed.select(key, text_col, "__hash"), key, text_col).dropDuplicates([key, "__hash"])
-        answers = answers.withColumnRenamed(key, "__key").withColumnRenamed("__hash", "__answer_hash")
-        scored = hashed.join(
-            answers, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__answer_hash"))
-        ).drop("__key", "__hash", "__answer_hash")
+    if keep_input and getattr(scorer, "relational", False):
+        path = scratch_path(df.sparkSession, "scored-rows")
+        df.withColumn("__scored_row", F.monotonically_increasing_id()).write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
+        answers = scorer.apply(rows.select("__scored_row", text_col), "__scored_row", text_col)
+        scored = rows.join(answers, "__scored_row").drop("__scored_row")
+    else:
+        scored = scorer.apply(df, key, text_col)
     if "latency_sec" not in scored.columns:
         scored = scored.withColumn("latency_sec", F.col("__latency") if latency is not None else F.lit(0.0))
     raw = py_strip(F.coalesce(F.col("raw_output"), F.lit("")))
     text = [F.col(text_col).alias("input")] if keep_input else []
+    why = ["error"] if "error" in scored.columns and "error" not in df.columns else []
     pred = scored.select(
         F.lit(mode).alias("mode"),
         F.col(key).cast("bigint").alias("index"),
@@ -160,9 +208,11 @@ def score(
         F.col(expected_col).alias("expected"),
         raw.alias("raw_output"),
         F.col("latency_sec").cast("double").alias("latency_sec"),
+        *why,
     ).withColumn("predicted", extract_label("raw_output", spec))
     return pred.select(
         *[c for c in PREDICTION_COLUMNS if c in pred.columns],
+        *why,
         is_correct("predicted", "expected").alias("correct"),
         is_valid_format("predicted", spec).alias("valid_format"),
     )
@@ -183,7 +233,7 @@ def run_modes(
     names = parse_modes(modes)
     unknown = [m for m in names if m not in scorers]
     if unknown:
-        raise ValueError(f"Unsupported mode(s): {unknown}; known: {sorted(scorers)}")
+        raise ValueError(f"no scorer for {unknown}; there are {sorted(scorers)}")
     out = None
     for m in names:
         p = score(df, scorers[m], m, spec, **kw)

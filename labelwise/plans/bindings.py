@@ -47,6 +47,19 @@ def lexicon_model():
     return answer
 
 
+def fragile_model():
+    """The lexicon rule over lists of texts; a list that holds a text whose
+    length 7 divides makes it raise."""
+    one = lexicon_model()
+
+    def answers(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("unreadable text")
+        return [one(t) for t in texts]
+
+    return answers
+
+
 def constant_model(answer: str):
     """A factory of models that always give one answer."""
 

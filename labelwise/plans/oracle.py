@@ -267,7 +267,7 @@ SQL: dict[str, str] = {
       UNION ALL
       SELECT doc_id, CAST(1 AS BIGINT), 'user', instruction || {lit(S.user_separator)} || input FROM rec""",
     "render_prompt": with_(BASE_CTES) + f" SELECT doc_id, {PROMPT} AS prompt, {TARGET} AS target FROM rec",
-    "conversation_prompt": f"""
+    "conversation_sizes": f"""
       WITH seg AS (
         SELECT conv_id, length({lit(CHATML.open)} || role || {lit(CHATML.role_sep)} || text || {lit(CHATML.close)}) AS n FROM conversations
         UNION ALL
@@ -539,8 +539,7 @@ SQL["pad_global_batches"] = ENCODE + """,
   SELECT CAST(batch_id AS BIGINT) AS batch_id, doc_id, CAST(max_len AS BIGINT) AS max_len,
          CAST(max_len - n_full AS BIGINT) AS n_pad, CAST(max_len AS BIGINT) AS padded_len FROM m"""
 
-SQL["jsonl_positions"] = with_(BASE_CTES) + """ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, input, output
-  FROM rec WHERE split = 'test'"""
+SQL["jsonl_positions"] = with_(BASE_CTES) + " SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, split, instruction, input, output FROM rec"
 
 # --- cases the plain tables do not show ---------------------------------------------
 
@@ -633,3 +632,94 @@ SELECT mode, label, met.total, round(met.accuracy, 6) AS accuracy, round(met.mac
   pos_as_pos, pos_as_neg, pos_invalid, neg_as_neg, neg_as_pos, neg_invalid,
   round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1
 FROM met JOIN cnts USING (mode) JOIN sides USING (mode)"""
+
+# --- versions, isolation, vocabulary, second fitter, keyed streams -------------------
+
+_REGISTRIES = with_(
+    BASE_CTES,
+    f"""
+old AS (SELECT name, 'reviews/' || substr(name, 9) || '/train.jsonl' AS file_name FROM ({_SRC_NAMES})),
+new AS (SELECT DISTINCT 'reviews_' || d.source AS name FROM sp JOIN documents d ON sp.doc_id = d.doc_id WHERE sp.split = 'test'),
+newe AS (SELECT name, 'reviews/' || substr(name, 9) || '/test.jsonl' AS file_name FROM new)""",
+)
+SQL["registry_versions"] = _REGISTRIES + """ SELECT 'before' AS seen, CAST(1 AS BIGINT) AS version, name, file_name FROM old
+  UNION ALL SELECT 'after', 3, name, file_name FROM old WHERE name NOT IN (SELECT name FROM newe)
+  UNION ALL SELECT 'after', 3, name, file_name FROM newe
+  UNION ALL SELECT 'after', 3, 'late_writer', 'late.jsonl'"""
+SQL["published_versions"] = with_(BASE_CTES) + """ SELECT 'before' AS seen, doc_id, input, output FROM rec
+  UNION ALL SELECT 'after', doc_id, input, output FROM rec WHERE split = 'train'"""
+SQL["isolated_scoring"] = with_(
+    BASE_CTES,
+    f"""
+ans AS (
+  SELECT doc_id, output, length(input) % 7 = 0 AS bad,
+         CASE WHEN list_has_any({tokens('input')}, {BASE_WORDS}) THEN {NEG} ELSE {POS} END AS said
+  FROM rec
+)""",
+) + """ SELECT doc_id AS "index", output AS expected, CASE WHEN bad THEN '' ELSE said END AS raw_output,
+    CASE WHEN NOT bad THEN said END AS predicted, NOT bad AND said = output AS correct,
+    CASE WHEN bad THEN 'ValueError: unreadable text' END AS error FROM ans"""
+SQL["score_tuned_large"] = SQL["score_tuned_all"]
+SQL["score_hashed"] = with_(
+    BASE_CTES,
+    f"""
+feat AS (
+  SELECT DISTINCT doc_id, split, output, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % {1 << 12} AS f
+  FROM (SELECT doc_id, split, output, unnest({tokens('input')}) AS token FROM rec)
+),
+cls AS (
+  SELECT count(*) FILTER (WHERE output = {POS}) AS np, count(*) FILTER (WHERE output = {NEG}) AS nn FROM rec WHERE split = 'train'
+),
+cnt AS (
+  SELECT f, count(*) FILTER (WHERE output = {POS}) AS dp, count(*) FILTER (WHERE output = {NEG}) AS dn
+  FROM feat WHERE split = 'train' GROUP BY f
+),
+fw AS (
+  SELECT f, weight FROM (
+    SELECT f, CAST(round(CAST({B.SCALE} AS DOUBLE) * ln(((dp + 1) / CAST(np + 2 AS DOUBLE)) / ((dn + 1) / CAST(nn + 2 AS DOUBLE)))) AS BIGINT) AS weight
+    FROM cnt, cls WHERE dp + dn >= {B.MIN_DF}
+  ) WHERE abs(weight) >= {B.SCALE}
+),
+tot AS (
+  SELECT rec.doc_id, CAST(round(CAST({B.SCALE} AS DOUBLE) * ln(CAST(any_value(np) AS DOUBLE) / CAST(any_value(nn) AS DOUBLE))) AS BIGINT)
+           + CAST(coalesce(sum(weight), 0) AS BIGINT) AS score
+  FROM rec CROSS JOIN cls LEFT JOIN feat ON feat.doc_id = rec.doc_id LEFT JOIN fw ON fw.f = feat.f GROUP BY rec.doc_id
+)""",
+) + f" SELECT doc_id, score, CASE WHEN score >= 0 THEN {POS} ELSE {NEG} END AS answer FROM tot"
+
+_VOCABULARY = f"""
+words AS (
+  SELECT doc_id, split, {space_tokens(PROMPT)} AS p, {space_tokens(PROMPT + ' || ' + TARGET)} AS t FROM rec
+),
+voc AS (
+  SELECT token, n, row_number() OVER (ORDER BY n DESC, encode(token)) AS id
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM words WHERE split = 'train') GROUP BY token HAVING count(*) >= 2)
+)"""
+SQL["learned_vocabulary"] = with_(BASE_CTES, _VOCABULARY) + " SELECT token, id, n FROM voc"
+SQL["encode_vocabulary"] = with_(
+    BASE_CTES,
+    _VOCABULARY,
+    f"""
+cut AS (SELECT doc_id, len(p) AS n_prompt, t[1:{S.max_length}] AS f FROM words),
+pieces AS (
+  SELECT doc_id, n_prompt, unnest(f) AS token, unnest(range(len(f))) AS pos FROM cut WHERE len(f) > n_prompt
+)""",
+) + """ SELECT doc_id, string_agg(coalesce(id, 0), ' ' ORDER BY pos) AS input_ids,
+    string_agg(CASE WHEN pos < n_prompt THEN -100 ELSE coalesce(id, 0) END, ' ' ORDER BY pos) AS labels
+  FROM pieces LEFT JOIN voc USING (token) GROUP BY doc_id"""
+SQL["vocabulary_round_trip"] = with_(BASE_CTES, _VOCABULARY) + """ SELECT doc_id, count(*) AS n_tokens, count(*) - count(id) AS n_unknown,
+    string_agg(CASE WHEN id IS NULL THEN '?' ELSE token END, ' ' ORDER BY pos) AS decoded
+  FROM (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM words) LEFT JOIN voc USING (token) GROUP BY doc_id"""
+
+SQL["stream_prepare_stateful"] = SQL["prepare_records"]
+SQL["stream_late_rows"] = with_(
+    BASE_CTES,
+    """
+arr AS (SELECT split, input, output, doc_id % 10 AS part, doc_id * 1000 // (SELECT max(doc_id) FROM lab) AS arrived FROM st)""",
+) + """ SELECT DISTINCT split, input, output FROM arr
+  WHERE part <= 8 OR arrived > (SELECT max(arrived) - 600 FROM arr WHERE part < 8)"""
+SQL["stream_labels"] = with_(BASE_CTES) + " SELECT split, doc_id, input, output FROM st WHERE doc_id % 50 * 10 <= 300"
+SQL["stream_requests"] = (
+    with_(_validated(f"SELECT conv_id * 1000 + turn AS request_id, text, {_req_mode('((conv_id + turn) % 4)')} AS mode0 FROM conversations"))
+    + " SELECT request_id, mode, reason IS NULL AS accepted, reason FROM v"
+)

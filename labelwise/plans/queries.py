@@ -151,7 +151,7 @@ def render_prompt(spark, sf_dir):
 
 
 @query
-def conversation_prompt(spark, sf_dir):
+def conversation_sizes(spark, sf_dir):
     """P8 over ``conversations``: per-conversation turns and prompt size."""
     conv = B.table(spark, sf_dir, "conversations")
     return chat.conversation_summary(conv).select(
@@ -418,17 +418,17 @@ def jsonl_roundtrip(spark, sf_dir):
 
 @query
 def jsonl_positions(spark, sf_dir):
-    """S3 + S2 in the original file layout: test records written as JSON
-    Lines without a key (range-ordered part files, no single-task write),
-    read back with each record's 0-based line position."""
+    """S3 + S2 in the original file layout: all records written as JSON Lines
+    without a key (range-ordered part files, no single-task write), read back
+    with each record's 0-based line position."""
     from ..session import scratch_path
     from ..sources.readers import read_jsonl
 
-    path = scratch_path(spark, "test-jsonl")
-    test = B.Workspace.of(spark, sf_dir).split("test")
-    test.orderBy(B.KEY).select("instruction", "input", "output").write.mode("overwrite").json(path)
-    back = read_jsonl(spark, path, "instruction string, input string, output string")
-    return back.select(_b("row_idx"), "input", "output")
+    path = scratch_path(spark, "all-jsonl")
+    columns = ("split", "instruction", "input", "output")
+    _records(spark, sf_dir).orderBy(B.KEY).select(*columns).write.mode("overwrite").json(path)
+    back = read_jsonl(spark, path, ", ".join(f"{c} string" for c in columns))
+    return back.select(_b("row_idx"), *columns)
 
 
 @query
@@ -838,3 +838,237 @@ def metrics_document(spark, sf_dir):
         *[_b(c) for c in ev.CONFUSION_COLUMNS], F.round("s.precision", 6).alias("precision"),
         F.round("s.recall", 6).alias("recall"), F.round("s.f1", 6).alias("f1"),
     )
+
+
+# --- versions, isolation, vocabulary, second fitter, keyed streams -------------------
+
+
+@query
+def registry_versions(spark, sf_dir):
+    """S8 on a versioned registry: a second writer is overtaken by the first
+    between its read and its claim, and makes its version again; a reader from
+    before keeps the version it had."""
+    from ..session import scratch_path
+    from ..sources import registry as R
+    from ..sources.versions import VersionedTable
+
+    old, new = _registries(spark, sf_dir)
+    table = VersionedTable(spark, scratch_path(spark, "registry-versions"))
+    first = R.upsert_version(table, old)
+    before = R.read_registry(spark, first.path)
+    other = R.entries(spark.createDataFrame([("late_writer",)], "name string"), F.lit("late.jsonl"))
+    overtaken = []
+
+    def slow_writer(current):
+        if not overtaken:
+            overtaken.append(R.upsert_version(table, new))
+        return R.upsert(current, other)
+
+    table.update(slow_writer, R.REGISTRY_SCHEMA)
+    after = table.read(R.REGISTRY_SCHEMA)
+    number = table.current().number
+    show = lambda df, seen, n: df.select(F.lit(seen).alias("seen"), F.lit(n).cast("bigint").alias("version"), "name", "file_name")
+    return show(before, "before", first.number).unionByName(show(after, "after", number))
+
+
+@query
+def published_versions(spark, sf_dir):
+    """S7 into a versioned target: the table published twice; the frame made
+    after the first still reads the first."""
+    from ..session import scratch_path
+    from ..sources.sinks import publish_version
+    from ..sources.versions import VersionedTable
+
+    ws = B.Workspace.of(spark, sf_dir)
+    ws.records()
+    target = VersionedTable(spark, scratch_path(spark, "published-versions"))
+    publish_version(spark, ws._records, target)
+    before = target.read()
+    part = scratch_path(spark, "published-part")
+    ws.split("train").drop("split").write.parquet(part)
+    publish_version(spark, part, target)
+    show = lambda df, seen: df.select(F.lit(seen).alias("seen"), "doc_id", "input", "output")
+    return show(before, "before").unionByName(show(target.read(), "after"))
+
+
+@query
+def isolated_scoring(spark, sf_dir):
+    """A batched model that raises on some texts; these get no answer
+    and a reason, all others theirs."""
+    scorer = PandasScorer(B.fragile_model, batched=True, isolate=True, call_rows=64)
+    p = score(_records(spark, sf_dir), scorer, "external", B.SPEC, key=B.KEY)
+    return p.select("index", "expected", "raw_output", "predicted", "correct", "error")
+
+
+@query
+def score_tuned_large(spark, sf_dir):
+    """M5 over every record by the plan for weights too large to broadcast."""
+    from dataclasses import replace
+
+    ws = B.Workspace.of(spark, sf_dir)
+    large = replace(ws.weights(), n_bytes=None)
+    p = score(ws.records(), large, "tuned", B.SPEC, key=B.KEY, latency=B.latency_standin(), keep_input=False)
+    return p.select("index", "expected", "predicted", "correct")
+
+
+HASH_BITS = 12
+
+
+@query
+def score_hashed(spark, sf_dir):
+    """M4 + M5 on hashed features: log-odds of each feature, all records scored."""
+    from ..operators.fit import fit_token_weights as fit
+    from ..operators.logistic import feature_tokens
+
+    ws = B.Workspace.of(spark, sf_dir)
+    w = fit(ws.split("train"), B.SPEC, min_df=B.MIN_DF, min_weight=1.0, scale=B.SCALE, tokens=feature_tokens(HASH_BITS))
+    scores = w.scores(ws.records(), B.KEY, "input")
+    return scores.select("doc_id", _b("score"), w.answer(F.col("score")).alias("answer"))
+
+
+@query
+def fit_logistic(spark, sf_dir):
+    """M4, the second fitter, against the first on the test split."""
+    from ..operators.logistic import fit_logistic as fit
+
+    ws = B.Workspace.of(spark, sf_dir)
+    model = fit(ws.split("train"), B.SPEC, bits=HASH_BITS)
+    p = score(ws.split("test"), model, "logistic", B.SPEC, key=B.KEY, keep_input=False)
+    both = p.unionByName(ws.predictions().filter(F.col("mode") == "tuned").select(*p.columns))
+    return ev.metrics(both, B.SPEC).select("mode", _b("total"), _r("accuracy"), _r("macro_f1"))
+
+
+def _prompt_tokens(spark, sf_dir):
+    from ..functions.text import space_tokens
+
+    rows = chat.with_prompts(_records(spark, sf_dir), B.SPEC)
+    return rows.select("split", B.KEY, space_tokens(F.concat("prompt", "target")).alias("tokens"))
+
+
+def _vocabulary(spark, sf_dir):
+    """The vocabulary of the train split, learned once per workspace."""
+    from ..operators.vocabulary import learn_vocabulary
+
+    ws = B.Workspace.of(spark, sf_dir)
+    if "vocabulary" not in ws.runs:
+        train = _prompt_tokens(spark, sf_dir).filter(F.col("split") == "train")
+        ws.runs["vocabulary"] = learn_vocabulary(train, F.col("tokens"), min_count=2)
+    return ws.runs["vocabulary"]
+
+
+@query
+def learned_vocabulary(spark, sf_dir):
+    """Dense ids of the train split's tokens by falling count."""
+    return _vocabulary(spark, sf_dir).table(spark).select("token", _b("id"), "n")
+
+
+@query
+def encode_vocabulary(spark, sf_dir):
+    """P10-P13 with the learned ids (broadcast form)."""
+    rows = chat.with_prompts(_records(spark, sf_dir), B.SPEC)
+    e = enc.encode(rows, max_length=B.SPEC.max_length, ids=_vocabulary(spark, sf_dir).ids(spark))
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return e.select("doc_id", join("input_ids"), join("labels"))
+
+
+@query
+def vocabulary_round_trip(spark, sf_dir):
+    """Whole prompts to ids and back by the joined form."""
+    voc = _vocabulary(spark, sf_dir)
+    there = voc.encode(_prompt_tokens(spark, sf_dir), "tokens", "ids", broadcast=False)
+    back = voc.decode(there, "ids", "back")
+    unknown = F.size(F.filter("ids", lambda x: x == voc.unknown)).cast("bigint")
+    text = F.array_join(F.transform("back", lambda t: F.coalesce(t, F.lit("?"))), " ")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), unknown.alias("n_unknown"), text.alias("decoded"))
+
+
+@query
+def stream_prepare_stateful(spark, sf_dir):
+    """X4 with keyed state: rows arrive in four files out of order, and a
+    closing row lets the watermark pass; equals ``prepare_records``."""
+    from ..session import scratch_path
+    from ..streaming.stateful import start_prepare_stateful
+
+    at = F.timestamp_seconds(F.col(B.KEY) + 10**9).alias("at")
+    rows = B.split_rows(spark, sf_dir).select("split", B.KEY, "text", "label", at)
+    folder = scratch_path(spark, "stateful-rows")
+    rows.repartition(4, F.xxhash64(B.KEY)).write.parquet(folder)
+    closing = spark.sql("SELECT 'train' AS split, -1 AS doc_id, 'end' AS text, 0 AS label, timestamp_seconds(10000000000) AS at")
+    closing.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    out, ck = scratch_path(spark, "stateful-out"), scratch_path(spark, "stateful-ckpt")
+    start_prepare_stateful(stream, B.SPEC, B.KEY, "at", "3650 days", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
+    return spark.read.parquet(out).select("split", "doc_id", "instruction", "input", "output")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """X4 within a watermark that passes: three arrivals, the last of which
+    holds rows older than the watermark; these are dropped."""
+    from ..session import scratch_path
+    from ..streaming.prepare import start_prepare_within
+
+    lab = B.split_rows(spark, sf_dir)
+    most = lab.agg(F.max(B.KEY)).first()[0]
+    second = F.floor(F.col(B.KEY) * 1000 / F.lit(most)).cast("bigint")
+    rows = lab.select("split", B.KEY, "text", "label", F.timestamp_seconds(second + 10**9).alias("at"))
+    folder, last = scratch_path(spark, "late-rows"), F.col(B.KEY) % 10
+    for part in (last < 8, last == 8, last == 9):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out, ck = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
+    start_prepare_within(stream, B.SPEC, B.KEY, "at", "600 seconds", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
+    return spark.read.parquet(out).select("split", "input", "output")
+
+
+@query
+def stream_labels(spark, sf_dir):
+    """X4 with labels as a stream of their own: a label up to 300 seconds after
+    its text joins, a later one does not."""
+    from ..operators.splits import canonical_splits
+    from ..session import scratch_path
+    from ..streaming.prepare import rocksdb_state, trigger
+    from ..streaming.stateful import labelled_stream
+
+    at = F.timestamp_seconds(F.col(B.KEY) + 10**9)
+    texts = B.stream_table(spark, sf_dir, "documents").select(B.KEY, "text", at.alias("text_at"))
+    labels = B.stream_table(spark, sf_dir, "labels").select(
+        B.KEY, F.col("toxic").alias("label"), F.timestamp_seconds(F.col(B.KEY) + 10**9 + F.col(B.KEY) % 50 * 10).alias("label_at")
+    )
+    joined = labelled_stream(texts, labels, B.KEY, "text_at", "label_at", "300 seconds")
+    recs = to_records(canonical_splits(joined, B.KEY, B.SPEC.seed), B.SPEC, key=B.KEY, class_names=B.CLASS_NAMES, dedup=False)
+    out, ck = scratch_path(spark, "labelled-out"), scratch_path(spark, "labelled-ckpt")
+    with rocksdb_state(spark):
+        trigger(recs.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck), True).start().awaitTermination()
+    return spark.read.parquet(out).select("split", "doc_id", "input", "output")
+
+
+@query
+def stream_requests(spark, sf_dir):
+    """X1 from the replayable request log: two batches, a stop, a third batch
+    and a restart from the checkpoint; every request is answered once."""
+    from ..session import scratch_path
+    from ..streaming.prepare import trigger
+    from ..streaming.requests import RequestLog, append_requests
+    from ..streaming.serve import validate_requests as vr
+
+    conv = B.table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") + F.col("turn")
+    requests = conv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text", _request_mode(F.pmod(number, F.lit(4))).alias("mode")
+    )
+    folder, out, ck = (scratch_path(spark, n) for n in ("request-log", "request-answers", "request-ckpt"))
+    spark.dataSource.register(RequestLog)
+    third = F.pmod(F.col("request_id"), F.lit(3))
+
+    def run():
+        stream = vr(spark.readStream.format("request_log").load(folder))
+        trigger(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck), True).start().awaitTermination()
+
+    append_requests(requests.filter(third == 0), folder)
+    append_requests(requests.filter(third == 1), folder)
+    run()
+    append_requests(requests.filter(third == 2), folder)
+    run()
+    run()
+    return spark.read.parquet(out).select("request_id", "mode", "accepted", "reason")

@@ -6,12 +6,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
-from ..session import scratch_path
+from .lines import numbered_lines
 
 # Spark's error conditions for "there is nothing at this path".
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -73,76 +73,22 @@ def read_jsonl(
     position of the line among the non-blank lines of all files in path
     order.
 
-    Positions move no text: lines are counted per (file, input partition),
-    the counts are summed in file order, and every line adds its index within
-    its own block.  A limit reads the files that hold the first lines and few more.
+    Positions come from fixed byte ranges (``lines.py``), so they hold under
+    any session setting; a limit opens the first ranges and few more.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    record = F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")
+    if key is None:
+        numbered = numbered_lines(spark, path, limit)
+        extra = [c for c in numbered.columns if c not in ("row_idx", "value")]
+        return numbered.select("row_idx", record, *extra).select("row_idx", "r.*", *extra)
     lines = spark.read.text(path)
-    lines = lines.filter(F.length(py_strip(F.col("value"))) > 0)
     extra = [c for c in lines.columns if c != "value"]  # partition columns
-    record = F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")
-    if key is not None:
-        parsed = lines.select(record, *extra).select("r.*", *extra)
-        from ..operators.splits import first_by_key
-
-        return first_by_key(parsed, key, limit) if limit > 0 else parsed
-    if limit > 0:
-        lines = _first_files(lines, limit)
-    numbered = _positions(spark, lines, extra, limit)
-    return numbered.select("row_idx", record, *extra).select("row_idx", "r.*", *extra)
-
-
-def _first_files(lines: DataFrame, limit: int) -> DataFrame:
-    """``lines`` of as many first files (in path order) as hold ``limit`` of
-    them; the file filter prunes the scan.  Four times as many files are
-    tried each time, so little more than the needed files is read."""
-    files, some = sorted(lines.inputFiles()), 1
-    while some < len(files):
-        part = lines.filter(F.col("_metadata.file_path") <= files[some - 1])
-        if part.limit(limit).count() >= limit:
-            return part
-        some *= 4
-    return lines
-
-
-def _positions(spark: SparkSession, lines: DataFrame, extra: list[str], limit: int) -> DataFrame:
-    """``row_idx, value, *extra`` of the non-blank lines.
-
-    A block of a file (one input split) starts at a byte offset that all its
-    lines report, so (file, block start) names it in every pass over the
-    files, however splits are packed into tasks.  Within a block the lines'
-    increasing ids follow the file.
-    """
-    tagged = lines.select(
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__id"),
-        "value",
-        *extra,
-    )
-    path = scratch_path(spark, "line-blocks")
-    tagged.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    within = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file: the only step in one task
-    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    files = blocks.groupBy("__file").agg(F.sum("__n").alias("__lines")).select(
-        F.col("__file").alias("__f"), F.coalesce(F.sum("__lines").over(earlier), F.lit(0)).alias("__before")
-    )
-    offsets = (
-        blocks.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        .join(files, F.col("__file") == F.col("__f"))
-        .select("__f", F.col("__block").alias("__b"), "__first", (F.col("__in") + F.col("__before")).alias("__off"))
-    )
-    if limit > 0:
-        offsets = offsets.filter(F.col("__off") < limit)
-    placed = tagged.join(offsets, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
-    numbered = placed.withColumn("row_idx", F.col("__off") + F.col("__id") - F.col("__first"))
-    if limit > 0:
-        numbered = numbered.filter(F.col("row_idx") < limit)
-    return numbered.select("row_idx", "value", *extra)
+    parsed = lines.filter(F.length(py_strip(F.col("value"))) > 0).select(record, *extra).select("r.*", *extra)
+    from ..operators.splits import first_by_key
+
+    return first_by_key(parsed, key, limit) if limit > 0 else parsed
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .readers import read_optional
+from .versions import Version, VersionedTable
 
 REGISTRY_SCHEMA = "name string, file_name string, columns map<string,string>"
 # Default role mapping for instruction records (fixed values).
@@ -51,6 +52,15 @@ def upsert_all(new: DataFrame, targets: Mapping[str, str]) -> None:
         write_registry(upsert(read_registry(spark, current), fresh), following)
 
 
+def upsert_version(table: VersionedTable, new: DataFrame) -> Version:
+    """S8 on a versioned registry: readers see the old or the new one, and of
+    two writers at a time neither loses an entry.  ``new`` is computed once."""
+    path = scratch_path(table.spark, "registry-entries")
+    write_registry(new, path)
+    fresh = read_registry(table.spark, path)
+    return table.update(lambda old: upsert(old, fresh), REGISTRY_SCHEMA)
+
+
 def entries(names: DataFrame, file_name, columns: dict[str, str] = DEFAULT_COLUMNS) -> DataFrame:
     """Registry rows for a frame of names; ``file_name`` is a Column."""
     cmap = F.create_map(*[F.lit(x) for kv in sorted(columns.items()) for x in kv])

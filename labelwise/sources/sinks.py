@@ -14,6 +14,7 @@ from ..operators.evaluate import CONFUSION_COLUMNS, metrics_from_counts, per_lab
 from ..spec import TaskSpec
 
 from .readers import is_absent
+from .versions import Version, VersionedTable
 
 
 def partition_folders(df: DataFrame) -> list[str]:
@@ -93,12 +94,25 @@ def write_report(lines: DataFrame, path: str) -> None:
 def publish(spark, source: str, target: str, fmt: str = "parquet", partition_by: Sequence[str] | None = None) -> DataFrame:
     """The source must exist; the target is fully replaced and keeps the
     source's partition folders (those in its paths, or ``partition_by``)."""
+    df, folders = _to_publish(spark, source, fmt, partition_by)
+    df.write.mode("overwrite").format(fmt).partitionBy(*folders).save(target)
+    return spark.read.format(fmt).load(target)
+
+
+def publish_version(
+    spark, source: str, target: VersionedTable, fmt: str = "parquet", partition_by: Sequence[str] | None = None
+) -> Version:
+    """S7 into a versioned target: whoever reads it meanwhile goes on with the
+    version before."""
+    df, folders = _to_publish(spark, source, fmt, partition_by)
+    return target.replace(df, partition_by=tuple(folders))
+
+
+def _to_publish(spark, source: str, fmt: str, partition_by: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     try:
         df = spark.read.format(fmt).load(source)
     except AnalysisException as exc:
         if not is_absent(exc):
             raise
         raise FileNotFoundError(f"nothing to publish at {source}") from exc
-    folders = list(partition_by) if partition_by is not None else partition_folders(df)
-    df.write.mode("overwrite").format(fmt).partitionBy(*folders).save(target)
-    return spark.read.format(fmt).load(target)
+    return df, list(partition_by) if partition_by is not None else partition_folders(df)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prepare import to_records
+from ..sources.files import numbers_in, remove
 from ..sources.readers import read_optional
 from ..spec import TaskSpec
 
@@ -69,7 +70,7 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def _trigger(writer, available_now: bool):
+def trigger(writer, available_now: bool):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
 
 
@@ -97,6 +98,18 @@ def _firsts(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
     )
 
 
+def _forget(spark: SparkSession, out_dir: str) -> None:
+    """Remove the bases before the last three, and the log that the oldest of
+    these has taken in."""
+    bases = numbers_in(spark, f"{out_dir}/bases", "upto")
+    for old in bases[:-3]:
+        remove(spark, f"{out_dir}/bases/upto={old}")
+    if len(bases) >= 3:
+        for batch_id in numbers_in(spark, f"{out_dir}/firsts", "batch_id"):
+            if batch_id <= bases[-3]:
+                remove(spark, f"{out_dir}/firsts/batch_id={batch_id}")
+
+
 def start_prepare(
     rows: DataFrame,
     spec: TaskSpec,
@@ -116,10 +129,11 @@ def start_prepare(
         batch.write.mode("overwrite").parquet(f"{out_dir}/firsts/batch_id={batch_id}")
         if (batch_id + 1) % compact_every == 0:
             _firsts(batch.sparkSession, out_dir, key).write.mode("overwrite").parquet(f"{out_dir}/bases/upto={batch_id}")
+            _forget(batch.sparkSession, out_dir)
 
     # starting the sink makes its folder, which the second query reads
     to_staging = recs.writeStream.format("parquet").option("path", staging).option("checkpointLocation", f"{checkpoint}/staging")
-    q1 = _trigger(to_staging, available_now).start()
+    q1 = trigger(to_staging, available_now).start()
     if available_now:
         q1.awaitTermination()  # the dedup pass then sees every staged row
     staged = spark.readStream.schema(recs.schema).parquet(staging)
@@ -128,7 +142,7 @@ def start_prepare(
     ).agg(F.min(key).alias(key))
     to_log = firsts.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{checkpoint}/firsts")
     with rocksdb_state(spark):
-        q2 = _trigger(to_log, available_now).start()
+        q2 = trigger(to_log, available_now).start()
     return q1, q2
 
 
@@ -165,4 +179,4 @@ def start_prepare_within(
         "checkpointLocation", checkpoint
     )
     with rocksdb_state(rows.sparkSession):
-        return _trigger(to_files, available_now).start()
+        return trigger(to_files, available_now).start()

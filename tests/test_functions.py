@@ -88,7 +88,7 @@ def test_normalize_with_class_dictionary(spark):
 )
 def test_normalize_rejects(spark, values, dtype):
     df = col(spark, values, dtype)
-    with pytest.raises(Exception, match="Unsupported label"):
+    with pytest.raises(Exception, match="no class for the label"):
         df.select(normalize_label(df, "x", CN).alias("o")).collect()
     assert df.select(normalize_label(df, "x", CN, strict=False).alias("o")).first().o is None
 

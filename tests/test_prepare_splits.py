@@ -25,7 +25,7 @@ def test_empty_text_dropped_before_label_check(spark):
 
 def test_bad_label_raises_or_is_quarantined(spark):
     df = spark.createDataFrame([(0, "x", "junk"), (1, "y", "1")], "row_idx bigint, text string, label string")
-    with pytest.raises(Exception, match="Unsupported label"):
+    with pytest.raises(Exception, match="no class for the label"):
         to_records(df, CN, split_col=None).collect()
     assert [r.row_idx for r in to_records(df, CN, split_col=None, strict=False).collect()] == [1]
     assert [r.row_idx for r in quarantined(df, CN).collect()] == [0]
