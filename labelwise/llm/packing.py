@@ -5,16 +5,18 @@ each length, and lengths are at most ``CAPACITY``.  So the corpus is reduced
 to one count per length, the packing is planned on those counts, and the plan
 is dealt out to the pieces by their rank within their length.
 
-Plan: from the longest length down, the gap a piece leaves is looked up among
-the sums of one, two and three available lengths; a combination that fills it
-exactly is consumed as often as the counts allow.  What has no exact
-complement is packed best-fit, longest first.
+Plan: the sums of one, two and three available lengths are indexed; from the
+longest length down, the gap a piece leaves is looked up there, and a
+combination that fills it exactly is consumed as often as the counts allow.
+What has no exact complement is packed best-fit, longest first.
 
 Scale: texts are encoded once and never shuffled; only narrow piece rows
 (ids, lengths, checksum) move.  The plan's size depends on the capacity, not
 on the corpus.  A piece's rank is its rank within its own task plus the count
 of that length in earlier tasks, so a length that a third of all pieces share
-is ranked by all tasks, not by one.
+is ranked by all tasks, not by one.  A task's pieces meet its ``capacity``
+counts in one row by a shuffle join on the task: nothing that grows with the
+tasks is broadcast.
 
 Defined results: a null or empty text is one piece that holds only the end
 token; texts over the capacity are cut so that only the first piece is
@@ -25,7 +27,9 @@ into nothing.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,58 +45,95 @@ CAPACITY = 1024
 END = 2
 
 
-def exact_combination(gap: int, left: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """Up to ``most`` available lengths that sum to ``gap``: a single, else a
-    pair, else a triple, longest part first."""
-    if gap <= 0 or most < 1:
+class SumIndex:
+    """Which available lengths sum to a gap: singles by their length, pairs by
+    their sum, triples by their longest part and the pair that is left.
+
+    Counts only fall, so a pair of which a length has run out never comes back:
+    each sum's list of pairs is entered at the first that may still serve.
+    """
+
+    def __init__(self, left: list[int]):
+        self.left = left
+        lengths = [x for x in range(1, len(left)) if left[x] > 0]
+        self.lengths = lengths[::-1]
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for a in self.lengths:  # longest part first
+            for b in lengths:
+                if b > a or a + b >= len(left):
+                    break
+                self.pairs.setdefault(a + b, []).append((a, b))
+        self.entry = dict.fromkeys(self.pairs, 0)
+
+    def has(self, used: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= used.count(x) for x in used)
+
+    def pair(self, total: int, beside: tuple[int, ...], longest: int) -> tuple[int, int] | None:
+        """The pair with the longest part, at most ``longest``, that is
+        available beside what is taken already."""
+        found, left = self.pairs.get(total, ()), self.left
+        at, n = self.entry.get(total, 0), len(found)
+        while at < n and not (left[found[at][0]] and left[found[at][1]]):
+            at += 1
+        self.entry[total] = at
+        if at < n and found[at][0] > longest:
+            at = bisect_left(found, -longest, at, key=lambda p: -p[0])
+        for a, b in islice(found, at, None):
+            if left[a] and left[b] and self.has((*beside, a, b)):
+                return a, b
         return None
-    if left[gap] > 0:
-        return (gap,)
-    if most >= 2:
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        if len(a):
-            ok = (left[a] > 0) & (left[gap - a] > 0) & ((2 * a != gap) | (left[a] > 1))
-            if ok.any():
-                a = int(a[ok.argmax()])
-                return (a, gap - a)
-    if most >= 3:
-        for a in (np.flatnonzero(left[: gap - 1])[::-1]).tolist():
-            if a < 1:
-                continue
-            left[a] -= 1
-            pair = exact_combination(gap - a, left, 2)
-            left[a] += 1
-            if pair and len(pair) == 2 and pair[0] <= a:
-                return (a, *pair)
-    return None
+
+    def filling(self, gap: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """A single, else a pair, else a triple of lengths that sum to ``gap``,
+        longest part first."""
+        if gap <= 0:
+            return None
+        if self.has((*beside, gap)):
+            return (gap,)
+        pair = self.pair(gap, beside, gap)
+        if pair:
+            return pair
+        for a in self.lengths:
+            if 3 * a < gap:
+                break
+            if a < gap - 1 and self.left[a] and self.has((*beside, a)):
+                pair = self.pair(gap - a, (*beside, a), a)
+                if pair:
+                    return (a, *pair)
+        return None
+
+
+def exact_combination(gap: int, left: Sequence[int]) -> tuple[int, ...] | None:
+    """Up to three of the available lengths that sum to ``gap``: a single, else
+    a pair, else a triple, longest part first."""
+    return SumIndex(list(left)).filling(gap)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, how many alike) for ``counts[length]`` pieces."""
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] += n
     out: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
+        out.append(((capacity,), left[capacity]))
         left[capacity] = 0
+    index = SumIndex(left)
     for length in range(capacity - 1, 0, -1):
         while left[length] > 0:
-            left[length] -= 1
-            rest = exact_combination(capacity - length, left)
-            left[length] += 1
+            rest = index.filling(capacity - length, (length,))
             if rest is None:
                 break
             used = (length, *rest)
             need = {x: used.count(x) for x in used}
-            times = int(min(left[x] // k for x, k in need.items()))
+            times = min(left[x] // k for x, k in need.items())
             for x, k in need.items():
                 left[x] -= k * times
             out.append((used, times))
     # best fit, longest first, for whole groups of equal sequences
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in range(capacity - 1, 0, -1):
-        n = int(left[length])
+        n = left[length]
         while n:
             gap = min((g for g in open_ if g >= length), default=None)
             if gap is None:
@@ -182,8 +223,9 @@ def pack(
     slots = Slots(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    ranked = cut.join(offsets, ["length", "task"]).select(
-        key, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("earlier")).alias("rank")
+    by_task = offsets.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "earlier"))).alias("earlier"))
+    ranked = cut.join(by_task.hint("merge"), "task").select(
+        key, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("earlier")[F.col("length")]).alias("rank")
     )
     schema = T.StructType(list(cut.schema.fields[:5])).add("sequence_id", "long").add("offset", "long")
 

@@ -1,19 +1,21 @@
 """Token counts by a map-side two-tier lookup.
 
-A text is cut at its single spaces into pre-token units (a word with the space
-before it and its punctuation).  The tokeniser never joins characters across
-such a cut, so a text's tokens are its units' tokens in order.  Tier one is a
-broadcast hash table from the ``TABLE`` most frequent units of the corpus to
-their token counts; tier two is a bounded cache in every Python worker, which
-encodes each missing unit once.  No unit is shuffled to be encoded.
+A text is cut into pre-token units (a word with the space before it and its
+punctuation) at every space that stands alone between two other characters
+than white space.  The tokeniser never joins characters across such a cut, so
+a text's tokens are its units' tokens in order.  Tier one is a broadcast hash
+table from the ``TABLE`` most frequent units of the corpus to their token
+counts; tier two is a cache of at most ``CACHE_BYTES`` in every task, which
+encodes each missing unit once.  No unit is shuffled to be encoded.  A Python
+worker builds the encoder once and keeps it from task to task.
 
 The frequent units come from all documents: every task counts its own units
 and reports those that make up more than 1 / ``SHARE`` of them, so what is
 merged is bounded per task; the table only saves work and never changes a
 count.
 
-Texts where a space meets other white space, or that contain a special
-token's string, are encoded whole by the tokeniser itself.
+Texts that contain a special token's string are encoded whole by the tokeniser
+itself.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated
 rows are counted one by one; ids are passed through, null or not.
@@ -31,16 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.workers import built_once
 from .common import append_columns
 
 TABLE = 1 << 16
 SHARE = 50_000
-CACHE = 1 << 18
+CACHE_BYTES = 32 << 20
 LIMIT = 1024
 _LONG_UNIT = 200
 _COUNTED = 1 << 20
+_ENTRY = 250  # bytes of a cache entry besides the unit's text
 
+# a space that meets other white space; where one stands alone
 _ODD_SPACE = re.compile(r" \s|\s |^\s|\s$|\A\Z")
+_ALONE = re.compile(r"(?<=\S) (?=\S)")
 # ASCII and Latin letters: white-space and letter classes of all engines agree here
 _PLAIN = re.compile(r"[\n\x21-\x7e¡-ɏ]+")
 
@@ -91,11 +97,12 @@ class Encoder:
             return self.fast.encode_ordinary(piece)
         return self.whole(piece)
 
-    def splits(self, text: str) -> bool:
-        """May this text be cut at its spaces?"""
-        return (
-            self.fast is not None and not _ODD_SPACE.search(text) and not any(s in text for s in self.special)
-        )
+    def units(self, text: str) -> list[str] | None:
+        """The text cut at its lone spaces, which belong to what follows them
+        and are left out; None if it has to be encoded whole."""
+        if self.fast is None or any(s in text for s in self.special):
+            return None
+        return _ALONE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -113,12 +120,12 @@ def _byte_letters() -> dict[str, int]:
 
 
 class UnitCache(dict):
-    """Unit -> value, made on a miss; emptied when it holds ``CACHE`` units.
+    """Unit -> value, made on a miss; emptied when it holds ``CACHE_BYTES``.
     Long units are not kept."""
 
     def __init__(self, make: Callable[[str], object], first: dict | None = None):
         super().__init__()
-        self.make, self.first = make, first or {}
+        self.make, self.first, self.held = make, first or {}, 0
 
     def __missing__(self, unit: str):
         found = self.first.get(unit)
@@ -126,26 +133,17 @@ class UnitCache(dict):
             return found
         value = self.make(" " + unit)
         if len(unit) <= _LONG_UNIT:
-            if len(self) >= CACHE:
+            self.held += _ENTRY + 4 * len(unit)
+            if self.held > CACHE_BYTES:
                 self.clear()
+                self.held = 0
             self[unit] = value
         return value
 
 
-_WORKER: dict = {}
-
-
 def worker_encoder(path: str) -> Encoder:
-    """One encoder for each file (for each task where the package travels by
-    value with its tasks, for each Python worker where it is installed)."""
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
-
-
-def worker_cache(kind: str, path: str, make: Callable[[str], object]) -> UnitCache:
-    """One bounded cache, kept as long as the encoder."""
-    return _WORKER.setdefault((kind, path), UnitCache(make))
+    """The encoder of a file, built once in a Python worker."""
+    return built_once(f"encoder {path}", lambda: Encoder(path))
 
 
 def frequent_units(docs: DataFrame, text: str = "text", size: int = TABLE, share: int = SHARE) -> list[str]:
@@ -182,23 +180,21 @@ def token_counts(
     path = path or default_tokenizer()
     units = frequent_units(docs, text, size)
     encoder = Encoder(path)
-    table = {u: len(encoder.unit(" " + u)) for u in units if u and encoder.splits(u)}
+    table = {u: len(encoder.unit(" " + u)) for u in units if u and encoder.units(u) == [u]}
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def make() -> Callable[[list], Sequence]:
         enc = worker_encoder(path)
-        cache = worker_cache("length", path, lambda u: len(enc.unit(u)))
-        cache.first = shared.value
+        cache = UnitCache(lambda u: len(enc.unit(u)), shared.value)
 
         def count(t: bytes | None) -> int:
             if not t:
                 return 0
             s = t.decode("utf-8")
-            if not enc.splits(s):
+            units = enc.units(s)
+            if units is None:
                 return len(enc.whole(s))
-            head, _, tail = s.partition(" ")
-            n = len(enc.unit(head))
-            return n + sum(map(cache.__getitem__, tail.split(" "))) if tail else n
+            return len(enc.unit(units[0])) + sum(map(cache.__getitem__, units[1:]))
 
         def work(batch: list) -> Sequence:
             return [len(t) if t else 0 for t in batch], [count(t) for t in batch]
@@ -210,22 +206,21 @@ def token_counts(
 
 def id_bytes(path: str) -> Callable[[bytes | None], bytes]:
     """A function from a text to its ids as little-endian 32-bit integers,
-    through the worker's cache."""
+    with a cache of its own."""
     enc = worker_encoder(path)
 
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    cache = worker_cache("ids", path, lambda u: packed(enc.unit(u)))
+    cache = UnitCache(lambda u: packed(enc.unit(u)))
 
     def encode(t: bytes | None) -> bytes:
         if not t:
             return b""
         s = t.decode("utf-8")
-        if not enc.splits(s):
+        units = enc.units(s)
+        if units is None:
             return packed(enc.whole(s))
-        head, _, tail = s.partition(" ")
-        first = packed(enc.unit(head))
-        return first + b"".join(map(cache.__getitem__, tail.split(" "))) if tail else first
+        return packed(enc.unit(units[0])) + b"".join(map(cache.__getitem__, units[1:]))
 
     return encode

@@ -272,3 +272,60 @@ def test_impacts_are_computed_once_for_each_tf_of_a_stratum():
     segment = search.Segment(doc, np.zeros(1000, np.int64), 1 + doc % 4, m, 1)
     assert segment.strata == 1 and len(segment.run_impact) == 4
     assert segment.most[0] == (1_000_000_000 * 4) // (4000 + 20 * 77)
+
+
+# --- packing index, cuts at lone spaces --------------------------------------------
+
+
+def test_sum_index_against_all_combinations():
+    from itertools import combinations_with_replacement
+
+    from labelwise.llm import packing
+
+    rng = random.Random(6)
+    for _ in range(200):
+        left = [0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(rng.randint(3, 25))]
+        index = packing.SumIndex(left)
+        for _ in range(6):
+            gap, beside = rng.randint(1, len(left) - 1), tuple(rng.sample(range(1, len(left)), rng.randint(0, 1)))
+            if not index.has(beside):
+                continue
+            fits = [
+                c[::-1]
+                for k in (1, 2, 3)
+                for c in combinations_with_replacement(range(1, len(left)), k)
+                if sum(c) == gap and index.has((*beside, *c))
+            ]
+            got = index.filling(gap, beside)
+            if not fits:
+                assert got is None
+                continue
+            fewest = min(map(len, fits))
+            assert got == max(c for c in fits if len(c) == fewest)
+            for x in (*beside, *got):
+                left[x] -= 1
+
+
+def test_texts_are_cut_at_lone_spaces_only():
+    import public_tokenizers
+
+    from labelwise.llm import tokens
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert enc.units("a b  c d \ne f") == ["a", "b  c", "d \ne", "f"]
+    assert enc.units(" a b ") == [" a", "b "] and enc.units("") == [""]
+    assert enc.units("a <|endoftext|> b") is None
+    for text in ("x  y z\n\n w  ", "a　 b c", "it's 'll  do 12 \t34 \x1c x y"):
+        units = enc.units(text)
+        ids = enc.unit(units[0]) + [i for u in units[1:] for i in enc.unit(" " + u)]
+        assert ids == enc.whole(text)
+
+
+def test_unit_cache_is_bounded_in_bytes(monkeypatch):
+    from labelwise.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 5000)
+    cache = tokens.UnitCache(len)
+    for i in range(500):
+        assert cache[f"u{i}"] == len(f" u{i}") and cache["x" * 300] == 301
+        assert len(cache) * tokens._ENTRY <= 5000 and "x" * 300 not in cache
