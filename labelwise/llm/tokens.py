@@ -38,17 +38,19 @@ from .common import append_columns
 
 TABLE = 1 << 16
 SHARE = 50_000
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 96 << 20
 LIMIT = 1024
 _LONG_UNIT = 200
 _COUNTED = 1 << 20
-_ENTRY = 250  # bytes of a cache entry besides the unit's text
+_ENTRY = 170  # bytes of a cache entry besides the unit's text
 
-# a space that meets other white space; where one stands alone
-_ODD_SPACE = re.compile(r" \s|\s |^\s|\s$|\A\Z")
+# a space between two other characters than white space
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 # ASCII and Latin letters: white-space and letter classes of all engines agree here
 _PLAIN = re.compile(r"[\n\x21-\x7e¡-ɏ]+")
+_PLAIN_TEXT = re.compile(r"[ \n\x21-\x7e¡-ɏ]+")
+# the rank encoder takes quadratic time over very long words
+_LONG_WORD = 1000
 
 
 def default_tokenizer() -> str:
@@ -57,6 +59,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def is_tidy(text: str) -> bool:
+    """Plain Latin text in which every space stands alone."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or not _PLAIN_TEXT.fullmatch(text):
+        return False
+    return not ("  " in text or " \n" in text or "\n " in text)
+
+
+def has_long_word(text: str) -> bool:
+    """Some ``_LONG_WORD`` characters in a row without a blank, at a multiple of
+    that place (so any word of twice that length)."""
+    return any(
+        text.find(" ", k, k + _LONG_WORD) < 0 and text.find("\n", k, k + _LONG_WORD) < 0
+        for k in range(0, len(text) - _LONG_WORD + 1, _LONG_WORD)
+    )
+
+
 class Encoder:
     """Exact ids of one byte-level BPE file.
 
@@ -93,16 +111,27 @@ class Encoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def unit(self, piece: str) -> list[int]:
-        if self.fast is not None and _PLAIN.fullmatch(piece.lstrip(" ")):
+        if self.fast is not None and _PLAIN.fullmatch(piece.lstrip(" ")) and not has_long_word(piece):
             return self.fast.encode_ordinary(piece)
         return self.whole(piece)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a whole text, as little-endian 32-bit integers: plain
+        texts with lone spaces in one call of the rank encoder."""
+        if self.fast is not None and not any(s in text for s in self.special):
+            if is_tidy(text) and not has_long_word(text):
+                return np.array(self.fast.encode_ordinary(text), "<u4")
+            units = self.units(text)
+            found = self.unit(units[0]) + [i for u in units[1:] for i in self.unit(" " + u)]
+            return np.array(found, "<u4")
+        return np.array(self.whole(text), "<u4")
+
     def units(self, text: str) -> list[str] | None:
         """The text cut at its lone spaces, which belong to what follows them
         and are left out; None if it has to be encoded whole."""
         if self.fast is None or any(s in text for s in self.special):
             return None
-        return _ALONE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return text.split(" ") if is_tidy(text) else _ALONE.split(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -120,21 +149,25 @@ def _byte_letters() -> dict[str, int]:
 
 
 class UnitCache(dict):
-    """Unit -> value, made on a miss; emptied when it holds ``CACHE_BYTES``.
-    Long units are not kept."""
+    """Unit -> value, made on a miss.  When half of ``CACHE_BYTES`` is held, the
+    units are set aside, and those asked for again come back; those set aside
+    before go.  Long units are not kept."""
 
     def __init__(self, make: Callable[[str], object], first: dict | None = None):
         super().__init__()
-        self.make, self.first, self.held = make, first or {}, 0
+        self.make, self.first, self.aside, self.held = make, first or {}, {}, 0
 
     def __missing__(self, unit: str):
         found = self.first.get(unit)
         if found is not None:
             return found
-        value = self.make(" " + unit)
+        value = self.aside.get(unit)
+        if value is None:
+            value = self.make(" " + unit)
         if len(unit) <= _LONG_UNIT:
             self.held += _ENTRY + 4 * len(unit)
-            if self.held > CACHE_BYTES:
+            if 2 * self.held > CACHE_BYTES:
+                self.aside = dict(self)
                 self.clear()
                 self.held = 0
             self[unit] = value
@@ -205,22 +238,6 @@ def token_counts(
 
 
 def id_bytes(path: str) -> Callable[[bytes | None], bytes]:
-    """A function from a text to its ids as little-endian 32-bit integers,
-    with a cache of its own."""
+    """A function from a text to its ids as little-endian 32-bit integers."""
     enc = worker_encoder(path)
-
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    cache = UnitCache(lambda u: packed(enc.unit(u)))
-
-    def encode(t: bytes | None) -> bytes:
-        if not t:
-            return b""
-        s = t.decode("utf-8")
-        units = enc.units(s)
-        if units is None:
-            return packed(enc.whole(s))
-        return packed(enc.unit(units[0])) + b"".join(map(cache.__getitem__, units[1:]))
-
-    return encode
+    return lambda t: enc.ids(t.decode("utf-8")).tobytes() if t else b""
