@@ -328,4 +328,14 @@ def test_unit_cache_is_bounded_in_bytes(monkeypatch):
     cache = tokens.UnitCache(len)
     for i in range(500):
         assert cache[f"u{i}"] == len(f" u{i}") and cache["x" * 300] == 301
-        assert len(cache) * tokens._ENTRY <= 5000 and "x" * 300 not in cache
+        assert (len(cache) + len(cache.aside)) * tokens._ENTRY <= 5000 + tokens._ENTRY and "x" * 300 not in cache
+
+
+def test_long_words_and_whole_texts_equal_the_library():
+    import public_tokenizers
+
+    from labelwise.llm import tokens
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("", "a", "ab" * 5000, "x " * 3000, "one\n\ntwo 'll it's", "中文 and plain", "é" * 3000 + " b", "tail <|endoftext|> x"):
+        assert enc.ids(text).tolist() == enc.whole(text)
