@@ -27,8 +27,10 @@ def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.calls_of_turns(table(spark, sf_dir, "conversations"))
-    return toolcalls.link_calls(calls, results, toolcalls.TURN_SCHEMAS).withColumnRenamed("grp", "conv_id")
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = toolcalls.calls_of_turns(turns)
+    out = toolcalls.link_calls(calls, results, toolcalls.TURN_SCHEMAS, toolcalls.other_turns(turns))
+    return out.withColumnRenamed("grp", "conv_id")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
@@ -141,7 +143,12 @@ UNION ALL
 SELECT a.conv_id, a.conv_id || ':' || (a.turn - 1), NULL, a.turn, a.turn, 0, 'orphan_result', 0, '',
   '{{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"id":"' || a.conv_id || ':' || (a.turn - 1)
     || '","role":"tool","status":"orphan_result"}}'
-FROM a ANTI JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1""",
+FROM a ANTI JOIN c ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+UNION ALL
+SELECT conv_id, conv_id || ':' || turn, role, turn, turn, 0, 'other_turn', 0, '',
+  '{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || conv_id || ':' || turn
+    || '","role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"status":"other_turn"}}'
+FROM t WHERE role IS NULL OR role NOT IN ('user', 'system', 'assistant')""",
     "op5_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages

@@ -9,10 +9,12 @@ place.  ``order_major`` is the largest position among a call and all it
 depends on, directly or not; ``order_minor`` counts the steps among calls that
 had to move behind the same later call.  Sorting a conversation by
 (order_major, order_minor, position) is a topological order, and no
-conversation has to be gathered to say so: both numbers come from joins whose
-rounds follow the longest chain of calls issued too early, not the length of
-the conversation.  Calls on a cycle, or that had to move behind one, are told
-as ``cyclic``; ids that no call has are ignored in the order.
+conversation has to be gathered to say so: both numbers come from joins of
+narrow rows.  Chains are followed by pointer doubling, so a chain of n calls
+issued too early takes about log n rounds; beyond that, rounds follow the
+layers of calls that wait for several others.  Calls on a cycle, or that had
+to move behind one, are told as ``cyclic``; ids that no call has are ignored
+in the order.
 
 Arguments are parsed and checked against the tool's schema (types, required,
 bounds, lengths, choices, unknown names); each item becomes one canonical JSON
@@ -21,7 +23,12 @@ text: sorted keys, no spaces, literal non-ASCII characters.
 Defined results: null ids never link; null arguments count as an empty object;
 a tool without a schema is an error of the call; texts of any length are kept
 whole; ties in position go by call id, then content; empty tables give an
-empty result.
+empty result.  No argument makes a call fail: what is not JSON, repeats a name
+in an object, holds a number out of range (``1e400``) or half a surrogate pair
+is an error of the call, whose arguments are then given as their own text; a
+bound that does not apply to a value's kind (a minimum of a text) is an error
+too.  Turns that are neither call nor result (``others``) give a row of status
+``other_turn``.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +61,26 @@ _TYPES: dict[str, Callable] = {
 }
 
 
+_RULES = {"type", "minimum", "maximum", "min_length", "max_length", "choices"}
+
+
+def check_schemas(schemas: Schemas) -> None:
+    """Schemas are the caller's: an unknown rule or type raises at once."""
+    for tool, schema in schemas.items():
+        for name, rule in schema.get("properties", {}).items():
+            if set(rule) - _RULES or rule.get("type", "null") not in _TYPES:
+                raise ValueError(f"{tool}.{name}: unknown rule in {dict(rule)}")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _measure(kind: str, value) -> tuple[object, str]:
+    """What a bound is held against, and what to call a value without it."""
+    if kind in ("minimum", "maximum"):
+        return (value if _TYPES["number"](value) else None), "not a number"
+    return (len(value) if isinstance(value, (str, list, dict)) else None), "without a length"
 
 
 def violations(value: Mapping, schema: Mapping) -> list[str]:
@@ -71,26 +96,58 @@ def violations(value: Mapping, schema: Mapping) -> list[str]:
         if "type" in rule and not _TYPES[rule["type"]](v):
             out.append(f"{name}: not {rule['type']}")
             continue
-        checks = (
+        bounds = (
             ("minimum", lambda v, x: v >= x, "too small"),
             ("maximum", lambda v, x: v <= x, "too large"),
-            ("min_length", lambda v, x: len(v) >= x, "too short"),
-            ("max_length", lambda v, x: len(v) <= x, "too long"),
-            ("choices", lambda v, x: v in x, "not a choice"),
+            ("min_length", lambda v, x: v >= x, "too short"),
+            ("max_length", lambda v, x: v <= x, "too long"),
         )
-        out += [f"{name}: {words}" for k, ok, words in checks if k in rule and not ok(v, rule[k])]
+        for kind, ok, words in bounds:
+            if kind in rule:
+                measure, lacking = _measure(kind, v)
+                if measure is None:
+                    out.append(f"{name}: {lacking}")
+                elif not ok(measure, rule[kind]):
+                    out.append(f"{name}: {words}")
+        # true and 1 are equal to Python, not to JSON
+        if "choices" in rule and not any(v == x and isinstance(v, bool) == isinstance(x, bool) for x in rule["choices"]):
+            out.append(f"{name}: not a choice")
     return out
 
 
+class _Refused(Exception):
+    """Why arguments are not taken."""
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise _Refused("number out of range")
+    return value
+
+
+def _object(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise _Refused("repeated name")
+    return out
+
+
+def _no_constant(token: str):
+    raise ValueError(token)
+
+
 def parse(arguments: str | None) -> tuple[object, list[str]]:
+    """(value, errors); arguments that are refused stay text."""
     if arguments is None:
         return {}, []
-
-    def refuse(token: str):
-        raise ValueError(token)
-
     try:
-        value = json.loads(arguments, parse_constant=refuse)
+        value = json.loads(arguments, parse_constant=_no_constant, parse_float=_number, object_pairs_hook=_object)
+        canonical(value).encode()
+    except _Refused as exc:
+        return arguments, [f"arguments: {exc}"]
+    except UnicodeEncodeError:
+        return arguments, ["arguments: not Unicode"]
     except (ValueError, RecursionError):
         return arguments, ["arguments: not JSON"]
     return (value, []) if isinstance(value, dict) else (value, ["arguments: not an object"])
@@ -98,6 +155,8 @@ def parse(arguments: str | None) -> tuple[object, list[str]]:
 
 def message(schemas: Schemas, call_id, name, arguments, depends_on, status: str, content) -> tuple[list[str], str]:
     """(errors, canonical JSON) of one item."""
+    if status == "other_turn":  # its role stands in the place of a name
+        return [], canonical({"content": content, "id": call_id, "role": name, "status": status})
     if name is None and status in ("orphan_result", "duplicate_result"):
         return [], canonical({"content": content, "id": call_id, "role": "tool", "status": status})
     value, errors = parse(arguments)
@@ -116,74 +175,108 @@ def message(schemas: Schemas, call_id, name, arguments, depends_on, status: str,
     return errors, canonical(body)
 
 
-def _order(calls: DataFrame) -> DataFrame:
-    """``(grp, call_id, order_major, order_minor, cyclic)`` for linkable calls
-    (unique by group and id) with ``(position, depends_on)``."""
-    nodes = calls.select("grp", "call_id", F.col("position").alias("at"))
-    edges = written(
-        calls.select("grp", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep"))
-        .filter("dep is not null")
-        .join(nodes.select(F.col("grp").alias("g"), F.col("call_id").alias("dep_"), F.col("at").alias("dep_at")),
-              F.col("grp").eqNullSafe(F.col("g")) & (F.col("dep") == F.col("dep_")))
-        .select("grp", "call_id", "dep"),
-        "call-edges",
-    )
+def _rounds(n: int) -> int:
+    """Doublings after which pointers over ``n`` steps have reached their end."""
+    return max(1, n).bit_length() + 1
 
-    def on(a: DataFrame, b: DataFrame, left: str, how: str = "inner") -> DataFrame:
-        """a joined with b(g, i, ...) on the group and a's column ``left``."""
-        return a.join(b, a["grp"].eqNullSafe(b["g"]) & (a[left] == b["i"]), how)
 
-    # largest position among a call and its ancestors; only calls behind a later one change
-    major = written(nodes.select("grp", "call_id", "at", F.col("at").alias("major")), "call-major")
+def _majors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``v, at, major``: the largest position among a call and all it depends
+    on.  Each keeps a pointer to the ancestor that has it, so a round follows
+    the dependencies by one step and the pointers by as many as are known."""
+    state = written(nodes.select("v", "at", F.col("at").alias("major"), F.col("v").alias("far")), "call-major")
     while True:
-        value = major.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), F.col("major").alias("dep_major"))
-        high = on(edges, value, "dep").groupBy("grp", "call_id").agg(F.max("dep_major").alias("high"))
-        high = high.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), "high")
-        new = written(
-            on(major, high, "call_id", "left").select(
-                "grp", "call_id", "at", F.greatest("major", "high").alias("major"), (F.col("high") > F.col("major")).alias("moved")
-            ),
-            "call-major",
+        known = state.select(F.col("v").alias("u"), F.struct("major", "far").alias("theirs"))
+        by_edge = edges.join(known, "u").select("v", "theirs")
+        by_pointer = state.filter("far != v").select("v", F.col("far").alias("u")).join(known, "u").select("v", "theirs")
+        best = by_edge.unionByName(by_pointer).groupBy("v").agg(F.max("theirs").alias("best"))
+        higher = F.col("best.major") > F.col("major")
+        new = state.join(best, "v", "left").select(
+            "v",
+            "at",
+            F.when(higher, F.col("best.major")).otherwise(F.col("major")).alias("major"),
+            F.when(higher, F.col("best.far")).otherwise(F.col("far")).alias("far"),
+            F.coalesce(higher, F.lit(False)).alias("moved"),
         )
-        major = new.drop("moved")
+        new = written(new, "call-major")
+        state = new.drop("moved")
         if not new.filter("moved").limit(1).count():
+            return state.select("v", "at", "major")
+
+
+def _chains(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls that wait for one other only, with the end of their chain (the
+    first that waits for none or for several) and the steps to it: ``v, t, d``;
+    and the edges of the others.  The end is null on and behind a cycle."""
+    waits = inner.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+    single = written(waits.filter("n = 1").select("v", F.col("u").alias("t"), F.lit(1).cast("long").alias("d")), "call-chains")
+    several = inner.join(waits.filter("n > 1").select("v"), "v", "left_semi")
+    ends, chain = single.select(F.col("v").alias("t")), single
+    for _ in range(_rounds(single.count())):
+        on = chain.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("d").alias("d2"))
+        chain = written(
+            chain.join(on, "t", "left").select(
+                "v", F.coalesce("t2", "t").alias("t"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")
+            ),
+            "call-chains",
+        )
+        if not chain.join(ends, "t", "left_semi").limit(1).count():
             break
-    # steps among calls behind the same later call: peel off what depends on settled calls only
-    value = major.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), F.col("major").alias("dep_major"), F.col("at").alias("dep_at"))
-    same = on(edges, value, "dep").drop("g", "i")
-    mine = major.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), "major", "at")
-    inner = written(on(same, mine, "call_id").filter("dep_major = major").select("grp", "call_id", "dep", "at", "major"), "call-inner")
-    # a call that is the latest of its own ancestors is on a cycle
-    looped = inner.filter("at = major").select("grp", "call_id").distinct()
-    open_ = inner.select("grp", "call_id").distinct()
-    settled = written(
-        major.join(open_, (major["grp"].eqNullSafe(open_["grp"])) & (major["call_id"] == open_["call_id"]), "left_anti").select(
-            "grp", "call_id", F.lit(0).cast("long").alias("minor")
-        ),
-        "call-settled",
+    open_ = ends.withColumn("open", F.lit(True))
+    return chain.join(open_, "t", "left").select("v", F.when(F.col("open").isNull(), F.col("t")).alias("t"), "d"), several
+
+
+def _minors(nodes: DataFrame, inner: DataFrame) -> DataFrame:
+    """``v, minor``: steps of a call among those behind the same later one;
+    no row on and behind a cycle."""
+    chain, several = _chains(inner)
+    chain = written(chain, "call-chain-ends")
+    free = nodes.select("v").join(inner.select("v").distinct(), "v", "left_anti")
+    # what calls with several dependencies wait for: ends of chains, some steps away
+    to = several.join(chain.select(F.col("v").alias("u"), "t", "d", F.lit(True).alias("chained")), "u", "left").select(
+        "v", F.when(F.col("chained"), F.col("t")).otherwise(F.col("u")).alias("t"), F.coalesce("d", F.lit(0)).alias("d")
     )
+    first = free.select(F.col("v").alias("t"), F.lit(0).cast("long").alias("base"))
+    waiting = written(to.join(first, "t", "left").select("v", "t", "d", "base"), "call-waiting")
+    done = []
     while True:
-        done = settled.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), F.col("minor").alias("dep_minor"))
-        waiting = inner.join(
-            settled, inner["grp"].eqNullSafe(settled["grp"]) & (inner["call_id"] == settled["call_id"]), "left_anti"
-        )
         ready = (
-            on(waiting, done, "dep", "left")
-            .groupBy("grp", "call_id")
-            .agg(F.count("*").alias("deps"), F.count("dep_minor").alias("have"), F.max("dep_minor").alias("top"))
-            .filter("deps = have")
-            .select("grp", "call_id", (F.col("top") + 1).alias("minor"))
+            waiting.groupBy("v")
+            .agg(F.count("*").alias("n"), F.count("base").alias("have"), F.max(F.col("base") + F.col("d")).alias("top"))
+            .filter("n = have")
+            .select("v", (F.col("top") + 1).alias("minor"))
         )
-        new = written(ready, "call-ready")
-        if not new.limit(1).count():
+        ready = written(ready, "call-ready")
+        if not ready.limit(1).count():
             break
-        settled = written(settled.unionByName(new), "call-settled")
-    loop = looped.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), F.lit(True).alias("looped"))
-    with_loop = on(major, loop, "call_id", "left").drop("g", "i")
-    end = settled.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), "minor")
-    return on(with_loop, end, "call_id", "left").select(
-        "grp",
-        "call_id",
+        done.append(ready)
+        more = ready.select(F.col("v").alias("t"), F.col("minor").alias("more"))
+        left = waiting.join(ready.select("v"), "v", "left_anti").join(more, "t", "left")
+        waiting = written(left.select("v", "t", "d", F.coalesce("base", "more").alias("base")), "call-waiting")
+    settled = reduce(DataFrame.unionByName, done, free.select("v", F.lit(0).cast("long").alias("minor")))
+    ends = settled.select(F.col("v").alias("t"), F.col("minor").alias("base"))
+    return settled.unionByName(chain.join(ends, "t").select("v", (F.col("base") + F.col("d")).alias("minor")))
+
+
+def _order(calls: DataFrame) -> DataFrame:
+    """``row, order_major, order_minor, cyclic`` for linkable calls (unique by
+    group and id) with ``row, position, depends_on``."""
+    nodes = written(calls.select(F.col("row").alias("v"), F.col("position").alias("at")), "call-nodes")
+    there = calls.select(F.col("grp").alias("g"), F.col("call_id").alias("dep"), F.col("row").alias("u"))
+    wanted = calls.select("grp", F.col("row").alias("v"), F.explode(F.array_distinct("depends_on")).alias("dep")).filter("dep is not null")
+    edges = written(
+        wanted.join(there, wanted["grp"].eqNullSafe(there["g"]) & (wanted["dep"] == there["dep"])).select("v", "u"), "call-edges"
+    )
+    major = written(_majors(nodes, edges), "call-majors")
+    # a call that moved, behind the same later call as what it depends on
+    mine = major.select("v", "major", "at")
+    theirs = major.select(F.col("v").alias("u"), F.col("major").alias("their_major"))
+    inner = written(edges.join(theirs, "u").join(mine, "v").filter("their_major = major").select("v", "u", "at", "major"), "call-inner")
+    # a call that is the latest of its own ancestors is on a cycle
+    looped = inner.filter("at = major").select("v").distinct().withColumn("looped", F.lit(True))
+    minor = _minors(nodes, inner.select("v", "u"))
+    return major.join(looped, "v", "left").join(minor, "v", "left").select(
+        F.col("v").alias("row"),
         F.col("major").alias("order_major"),
         F.coalesce("minor", F.lit(0)).alias("order_minor"),
         (F.coalesce("looped", F.lit(False)) | F.col("minor").isNull()).alias("cyclic"),
@@ -200,16 +293,18 @@ def _first(rows: DataFrame, payload: Sequence[str]) -> tuple[DataFrame, DataFram
     return first, others
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas, others: DataFrame | None = None) -> DataFrame:
     """Linked calls and leftover results.
 
     ``calls(grp, call_id, position, name, arguments, depends_on)``,
-    ``results(grp, call_id, position, content)``.  Returns ``grp, call_id,
+    ``results(grp, call_id, position, content)``, ``others(grp, call_id,
+    position, role, content)``.  Returns ``grp, call_id,
     name, position, order_major, order_minor, status, n_errors, errors, json``;
     status is ``answered``, ``early_result`` (its result stands before it),
-    ``unanswered``, ``cyclic``, ``duplicate_call``, ``orphan_result`` or
-    ``duplicate_result``.
+    ``unanswered``, ``cyclic``, ``duplicate_call``, ``orphan_result``,
+    ``duplicate_result`` or ``other_turn`` (``name`` is then the role).
     """
+    check_schemas(schemas)
     c = written(
         calls.select("grp", "call_id", "position", "name", "arguments", "depends_on").withColumn("row", F.monotonically_increasing_id()),
         "calls",
@@ -221,10 +316,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     order = _order(first_c)
     res = first_r.select(F.col("grp").alias("g"), F.col("call_id").alias("i"), F.col("position").alias("answer_at"), "content")
     joined = first_c.join(res, first_c["grp"].eqNullSafe(res["g"]) & (first_c["call_id"] == res["i"]), "left").drop("g", "i")
-    rank = order.select(
-        F.col("grp").alias("g"), F.col("call_id").alias("i"), "order_major", "order_minor", "cyclic"
-    )
-    linked = joined.join(rank, joined["grp"].eqNullSafe(rank["g"]) & (joined["call_id"] == rank["i"]), "left")
+    linked = joined.join(order, "row", "left")
     status = (
         F.when(F.col("cyclic"), F.lit("cyclic"))
         .when(F.col("answer_at").isNull() & F.col("content").isNull(), F.lit("unanswered"))
@@ -240,9 +332,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         "arguments", "depends_on", none.alias("content"),
     )
 
-    def leftover(rows: DataFrame, word: str) -> DataFrame:
+    def leftover(rows: DataFrame, word: str, name: Column = none) -> DataFrame:
         return rows.select(
-            "grp", "call_id", none.alias("name"), "position", F.col("position").alias("order_major"),
+            "grp", "call_id", name.alias("name"), "position", F.col("position").alias("order_major"),
             F.lit(0).cast("long").alias("order_minor"), F.lit(word).alias("status"), none.alias("arguments"),
             F.lit(None).cast("array<string>").alias("depends_on"), "content",
         )
@@ -251,10 +343,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     orphan = first_r.join(ids, first_r["grp"].eqNullSafe(ids["g"]) & (first_r["call_id"] == ids["i"]), "left_anti")
     null_ids = other_r.filter("call_id is null")
     repeats = other_r.filter("call_id is not null")
-    items = reduce(
-        DataFrame.unionByName,
-        [main, repeated, leftover(orphan, "orphan_result"), leftover(null_ids, "orphan_result"), leftover(repeats, "duplicate_result")],
-    )
+    parts = [main, repeated, leftover(orphan, "orphan_result"), leftover(null_ids, "orphan_result"), leftover(repeats, "duplicate_result")]
+    if others is not None:
+        parts.append(leftover(others, "other_turn", F.col("role")))
+    items = reduce(DataFrame.unionByName, parts)
     known = {k: dict(v) for k, v in schemas.items()}
     out = T.StructType([items.schema[k] for k in shape[:7]]).add("n_errors", "long").add("errors", "string").add("json", "string")
 
@@ -324,3 +416,16 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("conv_id").alias("grp"), ident(-1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content")
     )
     return calls.unionByName(system), results
+
+
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns of other roles, or none: neither call nor result."""
+    known = F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False))
+    turn = F.col("turn").cast("long")
+    return turns.filter(~known).select(
+        F.col("conv_id").alias("grp"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).alias("call_id"),
+        turn.alias("position"),
+        "role",
+        F.coalesce("text", F.lit("")).alias("content"),
+    )

@@ -9,11 +9,14 @@ archive under a name of its own in the shared folder and moves it into place
 when complete; a manifest table names the archives of the tasks that
 succeeded, so files of lost or repeated attempts are never read.
 
-Reader: archives are cut into byte ranges, one task each.  A task searches its
-range for the gzip magic, validates a candidate by decoding the start of the
-member and looking for a WARC header, and owns every record whose member
-starts inside the range; its last record may run on beyond the end.  A
-candidate that fails (magic bytes inside compressed data) is skipped.
+Reader: archives are cut into byte ranges, at most ``RANGES_PER_TASK`` to a
+task, however small the rows that name them.  A task searches its ranges for
+the gzip magic, validates a candidate by decoding the start of the member and
+looking for a WARC header, and owns every record whose member starts inside
+the range; its last record may run on beyond the end.  A candidate that fails
+(magic bytes inside compressed data) is skipped.  A record that starts well
+but is damaged or cut off is an error, and so is an archive in which fewer or
+more records are found than its manifest says.
 
 Scale: only (id, digest, length) rows are grouped, with partial aggregation,
 so a payload shared by a third of all pages costs one row per task; the
@@ -46,6 +49,7 @@ from .common import written
 
 REVISIT_BYTES = 1000
 RANGE_BYTES = 16 << 20
+RANGES_PER_TASK = 4
 MAGIC = b"\x1f\x8b\x08"
 _PROBE = 512
 _READ = 1 << 18
@@ -235,8 +239,9 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(parts), at - len(d.unused_data)
 
 
-def read_range(source, size: int, start: int, end: int) -> Iterator[Record]:
-    """The records whose members start in ``[start, end)`` of an archive."""
+def read_range(source, size: int, start: int, end: int, strict: bool = False) -> Iterator[Record]:
+    """The records whose members start in ``[start, end)`` of an archive.
+    Damaged ones are left out, or raise if ``strict``."""
     window = _Window(source, size)
     at = start
     while at < end:
@@ -251,8 +256,11 @@ def read_range(source, size: int, start: int, end: int) -> Iterator[Record]:
         at += k
         if at >= end:
             return
-        whole = _member(window, at) if _starts_record(window, at) else None
+        starts = _starts_record(window, at)
+        whole = _member(window, at) if starts else None
         if whole is None:
+            if starts and strict:
+                raise ValueError(f"the record at byte {at} is damaged or cut off")
             at += 1
             continue
         content, after = whole
@@ -276,14 +284,26 @@ def archives_below(spark, folder: str) -> DataFrame:
     return found.select(F.col("path"), "length")
 
 
-def read_archives(archives: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
+def dealt(cut: DataFrame) -> DataFrame:
+    """Ranges in as many tasks as they need: the rows are a few numbers, the
+    work behind each is not, so the number of tasks is given (a numbered
+    layout is not merged)."""
+    n = cut.count()
+    tasks = max(1, -(-n // RANGES_PER_TASK), min(n, cut.sparkSession.sparkContext.defaultParallelism))
+    return cut.repartitionByRange(tasks, "path", "start")
+
+
+def read_archives(archives: DataFrame, step: int = RANGE_BYTES, strict: bool = True) -> DataFrame:
     """Read ``archives(path, length)`` back: ``RECORD``, one row per record,
-    checked against the digest in its header."""
+    checked against the digest in its header.  Where a column ``records`` says
+    how many an archive holds, another number found raises; ``strict=False``
+    leaves damaged records out instead."""
+    schema = T.StructType([*RECORD.fields]).add("path", "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(RECORD)
+        arrow = to_arrow_schema(schema)
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
@@ -295,17 +315,23 @@ def read_archives(archives: DataFrame, step: int = RANGE_BYTES) -> DataFrame:
             for r in b.to_pylist():
                 system, path = _open_fs(_uri(r["path"]))
                 with system.open_input_file(path) as source:
-                    for x in read_range(source, r["length"], r["start"], r["end"]):
-                        rows.append(_row(x))
+                    for x in read_range(source, r["length"], r["start"], r["end"], strict):
+                        rows.append((*_row(x), r["path"]))
                         if len(rows) >= 1000:
                             yield batch()
         if rows:
             yield batch()
 
-    cut = ranges(archives, step)
-    # one task per range: the rows are a few numbers, the work behind each is not
-    spread = cut.repartition(F.col("path"), F.col("start"))
-    return spread.select("path", "length", "start", "end").mapInArrow(run, RECORD)
+    cut = written(ranges(archives, step).select("path", "length", "start", "end"), "warc-ranges")
+    found = dealt(cut).mapInArrow(run, schema)
+    if strict and "records" in archives.columns:
+        found = written(found, "warc-records")
+        n = found.groupBy(F.col("path").alias("p")).agg(F.count("*").alias("n"))
+        told = archives.select("path", "records").join(n, F.col("path") == F.col("p"), "left")
+        wrong = told.filter(F.coalesce("n", F.lit(0)) != F.col("records")).limit(3).collect()
+        if wrong:
+            raise ValueError("; ".join(f"{r['path']}: {r['n'] or 0} of {r['records']} records" for r in wrong))
+    return found.drop("path")
 
 
 def _row(x: Record) -> tuple:
@@ -329,4 +355,4 @@ def _row(x: Record) -> tuple:
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", step: int = RANGE_BYTES) -> DataFrame:
     """Write the pages to fresh archives in the shared folder and read them back."""
     folder = scratch_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder, key, url, text).select("path", "length"), step)
+    return read_archives(write_archives(pages, folder, key, url, text), step)
