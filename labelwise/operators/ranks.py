@@ -7,6 +7,29 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+FAN = 4096
+
+
+def sums_before(rows: DataFrame, pos: str, value: str, out: str, fan: int = FAN, below: int | None = None) -> DataFrame:
+    """``rows`` plus ``out``, the sum of ``value`` over all rows of smaller
+    ``pos`` (unique, from 0 on; ``below`` bounds it, if known).  Sums of ``fan``
+    neighbours are summed likewise, so no task orders more than ``fan`` rows."""
+    group = F.floor(F.col(pos) / F.lit(fan)).cast("long")
+    before = Window.partitionBy("__group").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("__group", group).withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    if below is None:
+        most = rows.agg(F.max(pos)).first()[0]
+        below = 0 if most is None else most + 1
+    if below <= fan:
+        return inside.drop("__group")
+    path = scratch_path(rows.sparkSession, "sums")
+    rows.groupBy(group.alias("__g")).agg(F.sum(value).alias("__total")).write.parquet(path)
+    totals = rows.sparkSession.read.parquet(path)
+    earlier = sums_before(totals, "__g", "__total", "__before", fan, -(-below // fan))
+    earlier = earlier.select(F.col("__g").alias("__earlier"), F.col("__before").alias("__sum"))
+    joined = inside.join(earlier, F.col("__group") == F.col("__earlier"))
+    return joined.withColumn(out, F.col(out) + F.col("__sum")).drop("__group", "__earlier", "__sum")
+
 
 def global_positions(df: DataFrame, key, partitions: int | None = None, group=None) -> DataFrame:
     """Adds ``pos``: the 0-based rank of each row in ``key`` order (a column
@@ -21,7 +44,8 @@ def global_positions(df: DataFrame, key, partitions: int | None = None, group=No
     partitions.  Range partitioning makes a group a contiguous run of
     partitions, so a group that holds a third of all rows is spread over a
     third of the partitions.  The offsets (at most partitions + groups rows)
-    are joined as a table; the optimizer sees its real size.
+    are joined as a table; the optimizer sees its real size, and without a
+    group they are summed ``FAN`` at a time.
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -38,13 +62,12 @@ def global_positions(df: DataFrame, key, partitions: int | None = None, group=No
     staged = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
     local = F.col("__id") - F.shiftleft(F.col("__part"), 33)
     counts = staged.groupBy("__part", *groups).agg(F.count(F.lit(1)).alias("__n"), F.min(local).alias("__first"))
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("__part").alias("__p"),
-        *[F.col(g).alias(f"__g_{g}") for g in groups],
-        "__first",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-    )
+    if groups:
+        before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        summed = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        summed = sums_before(counts, "__part", "__n", "__off", below=partitions)
+    offsets = summed.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups], "__first", "__off")
     match = F.col("__part") == F.col("__p")
     for g in groups:
         match = match & F.col(g).eqNullSafe(F.col(f"__g_{g}"))

@@ -483,7 +483,7 @@ SELECT doc_id, label AS raw_label FROM r
 WHERE length({strip('text')}) > 0
   AND lower({strip('label')}) NOT IN ({_CN_POS}) AND lower({strip('label')}) NOT IN ({_CN_NEG})"""
 
-SQL["first_available_source"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+SQL["first_available_source"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 SQL["metrics_lookup"] = SQL["eval_metrics"]
 SQL["report_file"] = "SELECT line FROM (" + SQL["report_lines"] + ")"
 SQL["publish_dataset"] = SQL["prepare_records"]
@@ -723,3 +723,10 @@ SQL["stream_requests"] = (
     with_(_validated(f"SELECT conv_id * 1000 + turn AS request_id, text, {_req_mode('((conv_id + turn) % 4)')} AS mode0 FROM conversations"))
     + " SELECT request_id, mode, reason IS NULL AS accepted, reason FROM v"
 )
+SQL["mixed_predictions_jsonl"] = _MIXED + """
+  SELECT 'mixed' AS mode, doc_id AS "index", expected, raw_output, predicted, predicted IS NULL AS spelled FROM mix"""
+SQL["named_splits"] = f"""
+  SELECT 'three' AS layout, doc_id, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'valid' ELSE 'test' END AS split
+  FROM labels WHERE doc_id % 10 < 9
+  UNION ALL
+  SELECT 'two', doc_id, CASE WHEN doc_id % 10 >= 8 THEN 'test' WHEN {number('doc_id')} < {below(0.1)} THEN 'valid' ELSE 'train' END FROM labels"""

@@ -633,7 +633,7 @@ def first_available_source(spark, sf_dir):
     base = sf_dir.rstrip("/")
     candidates = [f"{base}/reviews.parquet", f"{base}/labels.parquet", f"{base}/documents.parquet"]
     df = read_first(spark, candidates, require=[TEXT_COLUMNS])
-    return df.select("doc_id", "lang", "source", "n_chars")
+    return df.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query
@@ -740,6 +740,38 @@ def invalid_predictions(spark, sf_dir):
     return shown
 
 
+@query
+def mixed_predictions_jsonl(spark, sf_dir):
+    """S4 + S2: predictions of which most have no label, ``"predicted": null``
+    kept in the files and in what comes back."""
+    from ..session import scratch_path
+    from ..sources.readers import read_jsonl
+    from ..sources.sinks import write_predictions
+
+    path = scratch_path(spark, "mixed-jsonl")
+    texts = _records(spark, sf_dir).select(F.col(B.KEY).cast("bigint").alias("index"), "input")
+    write_predictions(_mixed(spark, sf_dir).join(texts, "index"), path)
+    lines = spark.read.text(path).select(F.col("value").contains('"predicted":null').alias("spelled"), F.get_json_object("value", "$.index").cast("bigint").alias("index"))
+    schema = "index bigint, input string, expected string, raw_output string, predicted string, latency_sec double"
+    back = read_jsonl(spark, path, schema, key="index")
+    return back.join(lines, "index").select("mode", "index", "expected", "raw_output", "predicted", "spelled")
+
+
+@query
+def named_splits(spark, sf_dir):
+    """L1 + L2 by split names: a ``validation`` part renamed (and a part of
+    another name dropped), and a tenth of train carved where there is none."""
+    from ..operators.splits import canonical_splits
+
+    labs = B.table(spark, sf_dir, "labels").select(B.KEY)
+    k = F.pmod(F.col(B.KEY), F.lit(10))
+    three = F.when(k < 6, "train").when(k < 8, "validation").when(k < 9, "test").otherwise("unsupervised")
+    two = F.when(k < 8, "train").otherwise("test")
+    cases = [("three", three), ("two", two)]
+    parts = [canonical_splits(labs.withColumn("split", c), B.KEY, B.SPEC.seed).select(F.lit(n).alias("layout"), B.KEY, "split") for n, c in cases]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def invalid_metrics(spark, sf_dir):
     """A2, A3, A6, A7 when three answers of five are invalid."""

@@ -7,8 +7,7 @@ file splits, cores or settings are when either runs.
 
 * Ranges are ranked by (path, start) and every task takes a bounded run of
   them; a line's position is its number in its range plus the lines of all
-  earlier ranges.  Only these counts are summed (in groups of ``FAN``), never
-  lines.
+  earlier ranges.  Only these counts are summed, never lines.
 * With a limit, ranges are counted from the first on, four times as many each
   time, until they hold enough; the others are not opened.
 * A reader that meets another number of lines than was counted raises: the
@@ -24,17 +23,16 @@ from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
-from ..operators.ranks import global_positions
+from ..operators.ranks import global_positions, sums_before
 from ..session import scratch_path
 
 RANGE_BYTES = 32 << 20
 RANGES_PER_TASK = 8
-FAN = 4096
 _READ = 1 << 20
 _BATCH = 4 << 20
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".deflate", ".snappy")
@@ -153,23 +151,6 @@ def _counted(cut: DataFrame, n: int) -> DataFrame:
     return _written(_dealt(cut.select("pos", "path", "start", "stop"), n).mapInArrow(run, "pos long, n long"), "line-counts")
 
 
-def sums_before(rows: DataFrame, pos: str, value: str, out: str, fan: int = FAN) -> DataFrame:
-    """``rows`` plus ``out``, the sum of ``value`` over all rows of smaller
-    ``pos`` (unique, from 0 on).  Sums of ``fan`` neighbours are summed
-    likewise, so no task orders more than ``fan`` rows."""
-    most = rows.agg(F.max(pos)).first()[0]
-    group = F.floor(F.col(pos) / F.lit(fan)).cast("long")
-    before = Window.partitionBy("__group").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("__group", group).withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    if most is None or most < fan:
-        return inside.drop("__group")
-    totals = _written(rows.groupBy(group.alias("__g")).agg(F.sum(value).alias("__total")), "line-sums")
-    earlier = sums_before(totals, "__g", "__total", "__before", fan)
-    earlier = earlier.select(F.col("__g").alias("__earlier"), F.col("__before").alias("__sum"))
-    joined = inside.join(earlier, F.col("__group") == F.col("__earlier"))
-    return joined.withColumn(out, F.col(out) + F.col("__sum")).drop("__group", "__earlier", "__sum")
-
-
 def numbered_lines(spark: SparkSession, path: str, limit: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``row_idx, value`` and partition columns of the non-blank lines; with a
     ``limit`` the first so many."""

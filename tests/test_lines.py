@@ -10,6 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from labelwise.operators.ranks import sums_before
 from labelwise.sources import lines as L
 from labelwise.sources.readers import read_jsonl
 
@@ -119,7 +120,7 @@ def test_empty_files_and_folders_of_blank_lines(spark, tmp_dir):
 def test_sums_before_in_groups(spark):
     rows = spark.range(1000).select(F.col("id").alias("p"), (F.col("id") % 7).alias("v"))
     for fan in (4, 100, 5000):
-        got = {r.p: r.s for r in L.sums_before(rows, "p", "v", "s", fan).collect()}
+        got = {r.p: r.s for r in sums_before(rows, "p", "v", "s", fan).collect()}
         assert got == {p: sum(i % 7 for i in range(p)) for p in range(1000)}
 
 
