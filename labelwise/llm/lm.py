@@ -1,8 +1,9 @@
 """Language-model scoring: a log-bilinear neural model, trained with
 noise-contrastive estimation, next to an add-one unigram base score.
 
-Vocabulary: the ``WORDS`` most frequent training words are outputs of their
-own; every other word belongs to one of ``BUCKETS`` tail classes (a hash of
+Vocabulary: the most frequent training words, ``WORDS`` and one more for every
+``TYPES_PER_WORD`` types up to ``MOST_WORDS``, are outputs of their own (so the
+parameters grow with the lexicon, to under 1 MB); every other word belongs to one of ``BUCKETS`` tail classes (a hash of
 its last two bytes), and inside a class a word has its add-one share, unseen
 words counting as one type.  So probabilities of the next token sum to one.
 
@@ -13,19 +14,23 @@ unigram distribution, so it needs no normaliser; scoring normalises exactly,
 by one matrix product over the distinct contexts of a batch.
 
 Scale: words are counted within tasks first and only (word, count) rows are
-shuffled; the model learns from every training text: each task trains on its
-own texts from the same start and the parameters are averaged by tokens, in
-``ROUNDS`` rounds (a few tens of thousands of numbers per task, merged in a
-tree of groups of ``FAN``, so no group grows with the number of tasks).  Counts of words with at least 1 / ``SHARE`` of the tokens (so at most
-``SHARE`` words, 64 bytes each) travel to the tasks; the rarer words of each
-text, one row per distinct word, are joined with their counts by a shuffle.  No
-frequent word is in that join, so it has no hot key.  Words over ``LONGEST``
-bytes are told apart by their SHA-256 digest, so a long word, frequent or not,
-is never shuffled or kept whole.
+shuffled.  The model learns from every training text: texts are dealt, by a
+hash of id and content, to one learner for every ``LEARNER_TOKENS`` tokens; each
+learns on its own texts, in the order of their hashes, from a common start, and
+the parameters are averaged by tokens, in ``ROUNDS`` rounds that take
+``PASSES`` passes together.  So a learner's share is bounded, and neither texts
+nor scores depend on how rows lie in partitions.  (A few tens of thousands of
+numbers per learner are merged in a tree of groups of ``FAN``.)  Counts of words
+with at least 1 / ``SHARE`` of the tokens (so at most ``SHARE`` words, 64 bytes
+each) travel to the tasks; the rarer words of each text, one row per distinct
+word, are joined with their counts by a shuffle.  No frequent word is in that
+join, so it has no hot key.  Words over ``LONGEST`` bytes are told apart by
+their SHA-256 digest, so a long word, frequent or not, is never shuffled or kept
+whole.
 
 Defined results: a null text counts as empty and has only the end token;
 without training texts every count is 0 and the model is uniform; repeated
-rows are scored one by one and each counts in training; a null id is
+rows are scored and counted one by one, and teach the model once; a null id is
 remainder 0, so it trains.
 """
 
@@ -33,7 +38,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 from itertools import repeat
@@ -48,6 +53,8 @@ from pyspark.sql import types as T
 from .common import written
 
 WORDS = 512
+TYPES_PER_WORD = 16_000
+MOST_WORDS = 4096
 BUCKETS = 32
 DIM = 16
 SHARE = 1 << 19
@@ -56,7 +63,10 @@ NOISE = 64
 NOISE_RATIO = 16
 BATCH = 4096
 RATE = 0.05
-ROUNDS = 2
+ROUNDS = 4
+PASSES = 2
+LEARNER_TOKENS = 1 << 22
+MOST_TASKS = 10_000
 FAN = 128
 END = b" "  # no word contains a space
 _FLUSH = 1 << 18
@@ -123,7 +133,12 @@ class Lexicon:
         return len(self.class_size)
 
 
-def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexicon:
+def own_words(types: int) -> int:
+    """How many words are outputs of their own."""
+    return min(MOST_WORDS, WORDS + types // TYPES_PER_WORD)
+
+
+def lexicon(counts: DataFrame, words: int | None = None, share: int = SHARE) -> Lexicon:
     """The lexicon of ``counts(word, c)``; at most ``share`` words reach the driver."""
     word = F.col("word")
     by_bucket = counts.groupBy(_bucket_column(word).alias("b")).agg(F.sum("c").alias("s"), F.count("*").alias("k")).collect()
@@ -133,7 +148,7 @@ def lexicon(counts: DataFrame, words: int = WORDS, share: int = SHARE) -> Lexico
     tokens, types = int(size.sum()), int(kinds.sum())
     frequent = counts.filter(F.col("c") * share >= tokens).select(word.alias("w"), "c").collect()
     order = sorted(((bytes(r["w"]), r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
-    words = min(words, len(order))
+    words = min(own_words(types) if words is None else words, len(order))
     head_class = np.array([i if i < words else words + bucket_of(w) for i, (w, _) in enumerate(order)], np.int64)
     for w, c in order[:words]:
         size[bucket_of(w)] -= c
@@ -157,7 +172,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
     parts of both scores that the lexicon settles, the class of each token
     (16-bit) and the distinct words whose counts have to be looked up, with
     how often the text has each."""
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(lex))  # plain data: workers have no copy of this package
     rows = docs.select(F.col(key).alias("id"), held_out.alias("held_out"), F.col(text).alias("t"))
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(ENCODED).fields])
 
@@ -165,7 +180,7 @@ def encode(docs: DataFrame, key: str, text: str, held_out: Column, lex: Lexicon)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        lex = shared.value
+        lex = Lexicon(**shared.value)
         get, crc = lex.head.get, zlib.crc32
         words_of_own = lex.classes - BUCKETS
         log_count = np.log10(lex.head_count + 1.0)
@@ -290,15 +305,19 @@ class NoiseContrast:
 
     @staticmethod
     def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        width = rows.shape[1]
-        flat = (index[:, None] * width + np.arange(width)).ravel()
-        return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+        """Sums of ``rows`` by ``index`` (16-bit, so sorted by radix)."""
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        out = np.zeros((n, rows.shape[1]), np.float32)
+        out[index[first]] = np.add.reduceat(rows[order], first, axis=0)
+        return out
 
     def step(self, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> None:
         m, n = self.m, len(token)
         r1, r2, out = m.R[one], m.R[two], m.Q[token]
         q = r1 @ m.P[0] + r2 @ m.P[1]
-        drawn = self.draw.searchsorted(self.rng.random(NOISE)).clip(max=len(m.b) - 1)
+        drawn = self.draw.searchsorted(self.rng.random(NOISE)).clip(max=len(m.b) - 1).astype(np.uint16)
         # chance that a sample is data: sigmoid(score - log(k * noise))
         data = np.einsum("ij,ij->i", q, out) + m.b[token] - self.log_noise[token]
         fake = q @ m.Q[drawn].T
@@ -310,7 +329,7 @@ class NoiseContrast:
         gf = np.divide(np.float32(-NOISE_RATIO / NOISE), gf, out=gf)
         gq = gd[:, None] * out + gf @ m.Q[drawn]
         grad_q = self._gather(token, gd[:, None] * q, len(m.Q))
-        np.add.at(grad_q, drawn, gf.T @ q)
+        grad_q += self._gather(drawn, gf.T @ q, len(m.Q))
         grad_b = np.bincount(token, gd, len(m.b)) + np.bincount(drawn, gf.sum(axis=0), len(m.b))
         grad_p = np.stack([r1.T @ gq, r2.T @ gq])
         grad_r = self._gather(np.concatenate([one, two]), np.concatenate([gq @ m.P[0].T, gq @ m.P[1].T]), len(m.R))
@@ -320,7 +339,7 @@ class NoiseContrast:
             x += RATE * g / np.sqrt(past)
 
     def learn(self, classes: list[np.ndarray]) -> None:
-        one, two, token = contexts(classes, len(self.m.R) - 1)
+        one, two, token = (x.astype(np.uint16) for x in contexts(classes, len(self.m.R) - 1))
         order = self.rng.permutation(len(token))
         for at in range(0, len(order), BATCH):
             i = order[at : at + BATCH]
@@ -344,34 +363,36 @@ def _texts(column: pa.Array, most: int = 1 << 19) -> Iterator[list[np.ndarray]]:
 PARTIAL = "slot long, n double, sums binary"
 
 
-def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42) -> LogBilinear:
-    """Learn from every row of ``encoded`` that is not held out."""
-    model = LogBilinear.start(lex.class_size, seed=seed)
-    size, classes = lex.class_size, encoded.filter("not held_out").select("classes")
-    for turn in range(rounds if lex.tokens else 0):
-        flat = model.pack()
-
-        def run(batches: Iterable[pa.RecordBatch], flat=flat, turn=turn) -> Iterator[pa.RecordBatch]:
-            task = TaskContext.get().partitionId()
-            nce = NoiseContrast(LogBilinear.start(size, seed=seed).unpack(flat), size, seed + 1000 * turn + task)
-            seen = 0
-            for b in batches:
-                for some in _texts(b.column(0)):
-                    nce.learn(some)
-                    seen += sum(map(len, some))
-            if seen:
-                yield pa.RecordBatch.from_pydict(
-                    {"slot": [task // FAN], "n": [float(seen)], "sums": [(nce.m.pack() * seen).tobytes()]}
-                )
-
-        def add(group: pa.Table) -> pa.Table:
-            sums = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("sums"))
-            n = float(sum(group.column("n").to_pylist()))
-            return pa.table({"slot": [group.column("slot")[0].as_py() // FAN], "n": [n], "sums": [sums.tobytes()]})
-
-        parts = classes.mapInArrow(run, PARTIAL)
-        for _ in range(2):  # one row reaches the driver per FAN * FAN tasks
-            parts = parts.groupBy("slot").applyInArrow(add, PARTIAL)
+def lessons(encoded: DataFrame, tokens: int, learner_tokens: int = LEARNER_TOKENS) -> tuple[DataFrame, int]:
+    """``learner, turn, h, classes`` of the distinct training texts, written, and
+    the number of learners.  It depends on ids and contents alone."""
+    learners = max(1, -(-tokens // learner_tokens))
+    hashed = F.xxhash64(F.col("id").cast("string"), "classes")
+    rows = encoded.filter("not held_out").select(hashed.alias("h"), "classes").dropDuplicates(["h"])
+    kept = rows.select(
+        F.pmod("h", F.lit(learners)).alias("learner"),
+        F.pmod(F.shiftrightunsigned("h", 32), F.lit(ROUNDS // PASSES)).cast("int").alias("turn"),
+        "h",
+        "classes",
+    )
+    return written(kept, "lm-lessons"), learners
+
+
+def train(
+    encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42, learner_tokens: int = LEARNER_TOKENS
+) -> LogBilinear:
+    """Learn from every distinct row of ``encoded`` that is not held out."""
+    model, size = LogBilinear.start(lex.class_size, seed=seed), lex.class_size
+    if not lex.tokens:
+        return model
+    texts, learners = lessons(encoded, lex.tokens, learner_tokens)
+    for turn in range(rounds):
+        now = texts.filter(F.col("turn") == turn % (ROUNDS // PASSES)).select("learner", "h", "classes")
+        # the number of tasks is given: small groups are long work
+        spread = now.repartition(min(learners, MOST_TASKS), "learner")
+        parts = spread.groupBy("learner").applyInArrow(_learner(model.pack(), size, seed, turn), PARTIAL)
+        for _ in range(2):  # one row reaches the driver per FAN * FAN learners
+            parts = parts.groupBy("slot").applyInArrow(_add, PARTIAL)
         got = parts.collect()
         weight = sum(r["n"] for r in got)
         if weight:
@@ -379,6 +400,26 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, seed: int = 42
     return model
 
 
+def _learner(flat: np.ndarray, size: np.ndarray, seed: int, turn: int) -> Callable[[pa.Table], pa.Table]:
+    def learn(group: pa.Table) -> pa.Table:
+        """One learner's turn: a bounded group, in a fixed order."""
+        learner = group.column("learner")[0].as_py()
+        nce = NoiseContrast(LogBilinear.start(size, seed=seed).unpack(flat), size, seed + 1000 * turn + learner)
+        classes = group.sort_by("h").column("classes")
+        for some in _texts(classes):
+            nce.learn(some)
+        seen = sum(len(x.as_buffer()) // 2 for x in classes)
+        return pa.table({"slot": [learner // FAN], "n": [float(seen)], "sums": [(nce.m.pack() * seen).tobytes()]})
+
+    return learn
+
+
+def _add(group: pa.Table) -> pa.Table:
+    sums = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("sums"))
+    n = float(sum(group.column("n").to_pylist()))
+    return pa.table({"slot": [group.column("slot")[0].as_py() // FAN], "n": [n], "sums": [sums.tobytes()]})
+
+
 def score_texts(
     docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", share: int = SHARE
 ) -> DataFrame:
