@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql_or_is_known_rows_only():
     rows_only = set(E.QUERIES) - set(E.oracle_sql())
-    assert rows_only == set()
+    assert rows_only == {"fit_logistic"}  # an iterative fit; tested against a dense solution
 
 
 @pytest.fixture(scope="module")
