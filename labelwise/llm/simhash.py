@@ -221,25 +221,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the
-    smallest id (null ids last; equal ids: smallest text hash).
+    smallest id (null ids last; equal ids: smallest hash of all columns; rows
+    alike in all columns: any one).
 
-    The choice is made on narrow rows (id, text hash); only the surviving
-    keys meet the wide rows again.
+    The choice is made on narrow rows (id, row hash); the wide rows meet the
+    survivors by one column, so they move at most once.
     """
-    digest, mark = fresh_names(docs, "text_hash", "mark")
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    (mark,) = fresh_names(docs, "mark")
+    hashable = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = F.xxhash64(*hashable)
     narrow = with_fingerprint(docs.select(F.col(key).alias("id"), hashed.alias("h"), F.col(text).alias("t")), "fp", "t", shingle)
     rows = written(narrow.drop("t"), "simhash")
     fps = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("low")), "simhash-fps")
     linked = written(link(fps.select("fp", "n")), "simhash-links")
+    name = lambda ident, h: F.concat_ws(":", h.cast("string"), ident.cast("string"))  # noqa: E731  a null id is left out
     best = (
         fps.join(linked, "fp", "left")
         .groupBy(F.coalesce("c", "fp").alias("c"))
         .agg(F.min("low").alias("low"))
-        .select(F.col("low.id").alias(mark), F.col("low.h").alias(digest))
+        .select(name(F.col("low.id"), F.col("low.h")).alias(mark))
     )
-    wide = docs.withColumn(digest, hashed)
-    same = wide[key].eqNullSafe(best[mark]) & (wide[digest] == best[digest])
-    chosen = wide.join(best, same, "left_semi")
-    # rows that repeat an id and a text are one group: keep one of them
-    return chosen.dropDuplicates([key, digest]).select(*docs.columns)
+    chosen = docs.withColumn(mark, name(F.col(key), hashed)).join(best, mark, "left_semi")
+    return chosen.dropDuplicates([mark]).select(*docs.columns)
