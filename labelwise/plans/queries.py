@@ -964,7 +964,7 @@ def fit_logistic(spark, sf_dir):
     from ..operators.logistic import fit_logistic as fit
 
     ws = B.Workspace.of(spark, sf_dir)
-    model = fit(ws.split("train"), B.SPEC, bits=HASH_BITS)
+    model = fit(ws.split("train"), B.SPEC)
     p = score(ws.split("test"), model, "logistic", B.SPEC, key=B.KEY, keep_input=False)
     both = p.unionByName(ws.predictions().filter(F.col("mode") == "tuned").select(*p.columns))
     return ev.metrics(both, B.SPEC).select("mode", _b("total"), _r("accuracy"), _r("macro_f1"))

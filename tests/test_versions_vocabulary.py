@@ -154,7 +154,7 @@ def test_logistic_against_a_dense_solution(spark):
     feats = [r["f"] for r in df.orderBy("row_idx").select(logistic.hashed_features(F.col("input"), 6).alias("f")).collect()]
     x = np.zeros((300, 64))
     for i, f in enumerate(feats):
-        x[i, f] = 1 / np.sqrt(max(len(f), 1))
+        x[i, f] = 1
     y = np.array([1.0 if t == EN.positive else -1.0 for t in labels])
     w = np.array([a.get(i, 0) for i in range(64)]) / one.scale
     pull = -y / (1 + np.exp(y * (x @ w + one.bias / one.scale)))
