@@ -22,9 +22,11 @@ with neither, its last third stands as the answer.  In a part of fewer than
 which share of its words, weighed by rarity, some stretch around a retrieved
 passage has in order, words put in between taken off.
 
-Scale: one pass over the corpus, no shuffle.  The index travels to the tasks;
-its size is checked (``INDEX_BYTES``) and a larger benchmark is searched in
-shards, one pass each, so nothing is left out.
+Scale: one pass over the corpus, no shuffle.  Document frequencies and the mean
+length are counted over all items.  A benchmark over ``INDEX_BYTES`` is cut into
+shards, each built by one task with these global figures (so scores do not
+depend on the shards) and searched in a pass of its own; the driver holds one
+shard's index at a time, to broadcast it.
 
 Defined results: null and empty texts match nothing; items without a word
 are never found; items without an answer that are shorter than a shingle must
@@ -34,10 +36,11 @@ give repeated results; repeated items are found under each of their ids.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import repeat
 
@@ -47,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fresh_names
+from .common import append_columns, fresh_names, written
 
 SEGMENT = 64
 THRESHOLD = 0.6
@@ -110,10 +113,23 @@ def in_order(part: Sequence[bytes], weight: Sequence[float], words: Sequence[byt
     return 1 - min(row) / total
 
 
+def segments(words: Sequence[bytes]) -> list[Counter]:
+    """The word counts of an item's segments, all of about one length."""
+    if not words:
+        return []
+    pieces = -(-len(words) // SEGMENT)
+    size = -(-len(words) // pieces)
+    return [Counter(words[k : k + size]) for k in range(0, len(words), size)]
+
+
 class Index:
-    """Inverted index of the items' segments with block maxima."""
+    """Inverted index of the items' segments with block maxima.
+
+    ``statistics``: (number of segments, their words in all, segments with
+    each term) of the whole benchmark, if the items are but a part of it.
+    """
 
-    def __init__(self, items: Iterable[tuple[object, bytes]]):
+    def __init__(self, items: Iterable[tuple[object, bytes]], statistics: tuple[int, int, Mapping[bytes, int]] | None = None):
         self.items: list = []
         self.parts: list[tuple[set, set]] = []
         self.words: list[tuple[list, list]] = []
@@ -127,23 +143,21 @@ class Index:
             self.items.append(ident)
             self.parts.append((shingles(q), shingles(a)))
             self.words.append((q, a))
-            pieces = -(-len(words) // SEGMENT)
-            size = -(-len(words) // pieces)
-            for k in range(0, len(words), size):
+            for bag in segments(words):
                 self.owner.append(len(self.items) - 1)
-                bags.append(Counter(words[k : k + size]))
-        n = len(bags)
-        frequency = Counter(t for bag in bags for t in bag)
-        self.term = {t: i + 1 for i, t in enumerate(sorted(frequency))}  # 0: not in the index
-        self.rarity = {t: float(np.log(1 + (n - f + 0.5) / (f + 0.5))) for t, f in frequency.items()}
+                bags.append(bag)
+        if statistics is None:
+            every = Counter(t for bag in bags for t in bag)
+            statistics = len(bags), sum(sum(b.values()) for b in bags), every
+        n, length, frequency = statistics
+        terms = sorted({t for bag in bags for t in bag})
+        self.term = {t: i + 1 for i, t in enumerate(terms)}  # 0: not in the index
+        self.rarity = {t: float(np.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5))) for t in terms}
+        average = length / max(n, 1)
         postings: list[list] = [[] for _ in range(len(self.term) + 1)]
-        average = sum(sum(b.values()) for b in bags) / max(n, 1)
         for s, bag in enumerate(bags):
             norm = K1 * (1 - B + B * sum(bag.values()) / average)
-            impact = {
-                t: np.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * c * (K1 + 1) / (c + norm)
-                for t, c in bag.items()
-            }
+            impact = {t: self.rarity[t] * c * (K1 + 1) / (c + norm) for t, c in bag.items()}
             total = sum(impact.values())
             for t, w in impact.items():
                 postings[self.term[t]].append((s, float(w / total)))
@@ -153,13 +167,23 @@ class Index:
         at_block = [
             [(b, max(w for s, w in p if s // BLOCK == b)) for b in sorted({s // BLOCK for s, _ in p})] for p in postings
         ]
-        self.n_blocks = -(-n // BLOCK)
+        self.n_blocks = -(-len(bags) // BLOCK)
         self.block_count = np.array([len(p) for p in at_block], np.int64)
         self.block_start = np.cumsum(self.block_count) - self.block_count
         self.block_id = np.array([b for p in at_block for b, _ in p], np.int64)
         self.block_most = np.array([w for p in at_block for _, w in p], float)
         self.ceiling = [dict(p) for p in at_block]
 
+    def dump(self) -> bytes:
+        """Everything in it, as plain data."""
+        return pickle.dumps(self.__dict__, protocol=5)
+
+    @classmethod
+    def load(cls, data: bytes) -> Index:
+        index = cls.__new__(cls)
+        index.__dict__.update(pickle.loads(data))
+        return index
+
     def retrieve(self, terms: Sequence[int], block: int, least: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (segment, score) of ``least`` or more in a block for a
         passage's distinct terms: document-at-a-time WAND, with the terms'
@@ -283,23 +307,90 @@ def shingles_of(words: Sequence[bytes], n: int) -> set[tuple]:
     return set(zip(*[words[k:] for k in range(n)], strict=False))
 
 
-def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", limit: int = INDEX_BYTES) -> list[Index]:
-    """One index, or as many shards (by a hash of the id) as keep each
-    shard's text near ``limit`` bytes."""
+class Shards(Sequence):
+    """The shards of a benchmark's index, a written table of one row each;
+    only the one asked for is fetched."""
+
+    def __init__(self, table: DataFrame, n: int):
+        self.table, self.n = table, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def data(self, i: int) -> bytes:
+        row = self.table.filter(F.col("shard") == i).select("data").first()
+        return bytes(row["data"]) if row else Index([]).dump()
+
+    def __getitem__(self, i: int) -> Index:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return Index.load(self.data(i))
+
+
+def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", limit: int = INDEX_BYTES) -> Shards:
+    """The index, in as many shards (by a hash of the id and text) as keep
+    each shard's text near ``limit`` bytes; built by one task a shard."""
     rows = items.filter(F.col(text).isNotNull() & (F.length(text) > 0)).select(
         F.col(key).alias("k"), F.col(text).cast("binary").alias("t")
     )
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, -(-int(size) // limit))
-    part = F.pmod(F.xxhash64("k"), F.lit(shards))
-    return [
-        Index(sorted(((r["k"], bytes(r["t"])) for r in rows.filter(part == i).collect()), key=lambda x: (x[0] is None, x[0], x[1])))
-        for i in range(shards)
-    ]
+    rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(shards))), "leak-items")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for bag in segments(plain_words(text)):
+                    out += [(shard, t, 1, 0, 0) for t in bag]
+                    out.append((shard, b"", 0, 1, sum(bag.values())))
+            if out:
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "term", "df", "n", "length"])
+
+    counted = written(
+        rows.select("shard", "t").mapInArrow(count, "shard long, term binary, df long, n long, length long").groupBy("shard", "term").agg(
+            *[F.sum(c).alias(c) for c in ("df", "n", "length")]
+        ),
+        "leak-terms",
+    )
+    n, length = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    everywhere = counted.groupBy("term").agg(F.sum("df").alias("df"))
+    of_shard = counted.filter("df > 0").select("shard", "term").join(everywhere, "term")
+    nothing = F.lit(None)
+    parts = rows.select("shard", "k", "t", nothing.cast("binary").alias("term"), nothing.cast("long").alias("df")).unionByName(
+        of_shard.select("shard", nothing.cast(rows.schema["k"].dataType).alias("k"), nothing.cast("binary").alias("t"), "term", "df")
+    )
+
+    def build(group: pa.Table) -> pa.Table:
+        found, frequency = [], {}
+        for r in group.select(["k", "t", "term", "df"]).to_pylist():
+            if r["term"] is None:
+                found.append((r["k"], r["t"]))
+            else:
+                frequency[r["term"]] = r["df"]
+        found.sort(key=lambda x: (x[0] is None, x[0], x[1]))
+        data = Index(found, (n, length, frequency)).dump()
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    built = parts.groupBy("shard").applyInArrow(build, "shard long, data binary")
+    return Shards(written(built, "leak-shards"), shards)
+
+
+def _searcher(shared) -> Callable[[], Index]:
+    """The broadcast index, loaded once in a task."""
+    return lambda: Index.load(shared.value)
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    limit: int = INDEX_BYTES,
 ) -> DataFrame:
     """Leaked (document, item) pairs: ``key, item, score, passage_start,
     question_overlap, answer_overlap``."""
@@ -313,13 +404,13 @@ def leaks(
             T.StructField("answer_overlap", T.DoubleType()),
         ]
     )
-    narrow = docs.select(key, text)
+    narrow, sc = docs.select(key, text), docs.sparkSession.sparkContext
 
-    def one(index: Index) -> DataFrame:
+    def one(load: Callable[[], Index]) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            arrow = to_arrow_schema(schema)
+            arrow, index = to_arrow_schema(schema), load()
             for b in batches:
                 hits = [
                     (i, *hit)
@@ -336,17 +427,21 @@ def leaks(
 
         return narrow.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [one(x) for x in build_indexes(items, item, item_text)])
+    shards = build_indexes(items, item, item_text, limit)
+    return reduce(DataFrame.unionByName, [one(_searcher(sc.broadcast(shards.data(i)))) for i in range(len(shards))])
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = INDEX_BYTES
+) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    indexes = build_indexes(items, item, item_text)
-    out = docs
-    for index in indexes:
+    shards, out = build_indexes(items, item, item_text, limit), docs
+    for i in range(len(shards)):
         (flag,) = fresh_names(out, "leaked")
+        load = _searcher(docs.sparkSession.sparkContext.broadcast(shards.data(i)))
 
-        def make(index: Index = index) -> Callable[[list], Sequence]:
+        def make(load: Callable[[], Index] = load) -> Callable[[list], Sequence]:
+            index = load()
             return lambda batch: [[bool(index.search(t)) for t in batch]]
 
         out = append_columns(out, make, text, [(flag, "boolean")]).filter(~F.col(flag)).drop(flag)
