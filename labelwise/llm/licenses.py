@@ -1,19 +1,23 @@
 """License scan by conditional compression.
 
-A paragraph (neighbouring lines with a word or sign) that names licensing at
-all is searched for every wording of every license: the short notices, the
-standard headers and telling passages of the full texts, and SPDX tags.  A
-wording is confirmed where its words are found, across line ends too, with at
-most so many insertions or deletions as its length allows (``DIFFERENCES``, or
-a tenth of its words), and never in a word that tells licenses apart (versions
-and variant names).  Every license confirmed on a line gives a row.
-
-A line that names licensing and has no part in a confirmed notice is
-compressed with zstandard, once alone and once per short notice with the
-notice as raw dictionary; the one that shrinks it most is given, unconfirmed.
+The candidate blocks are overlapping windows (``REACHES``) around the words
+that name licensing, in paragraphs (neighbouring lines with a word or sign).
+Each is compressed with zstandard alone, and with every wording as raw
+dictionary: the short notices, the standard headers and telling passages of the
+full texts.  The wordings that shrink a window, ranked by how much, go to the
+exact check, all of them: a wording is confirmed where its words are found,
+across line ends too, with at most so many insertions or deletions as its
+length allows (``DIFFERENCES``, or a tenth of its words), never in a word that
+tells licenses apart (versions and variant names), and not where the sentence
+denies it ("is not released under ...").  A notice of at most that many changed
+words always shrinks its window, so none is lost by the ranking.  SPDX tags are
+read as they stand.  Every license confirmed on a line gives a row.
+
+A line that names licensing and has no part in a confirmed notice is given
+with the short notice that shrinks it most, unconfirmed.
 
 Scale: one pass over whole texts, no shuffle; lines without a trigger word
-cost one search.  A wording is aligned only where the paragraph has its words
+cost one search.  A wording is tried only where the paragraph has its words
 but for the allowed number.  Templates are a bounded parameter.
 
 Defined results: null and empty texts give no row; ``line_no`` is the line on
@@ -21,13 +25,16 @@ which a notice begins; a license confirmed more than once on a line gives one
 row there, repeated lines and rows theirs; of the wordings of a license that
 begin on a line the one with fewest differences counts, then the one that
 shrinks its lines most (``reduction`` of a confirmed notice can be 0 or less);
-an SPDX expression gives a row per license it names, unknown ones none.  Ties
-of unconfirmed lines go to the name first in order.
+an SPDX expression gives a row per license it names, unknown ones none.  The
+sentence that all BSD texts share stands for BSD-3-Clause, but where the
+conditions follow it without a third one ("Neither the name ...") for
+BSD-2-Clause.  Ties of unconfirmed lines go to the name first in order.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -38,6 +45,8 @@ from pyspark.sql import types as T
 
 DIFFERENCES = 2
 BLOCK = 4000
+REACHES = (96, 640)
+LEVEL = 3
 
 # The usual short notices of public licenses.
 TEMPLATES = {
@@ -97,12 +106,20 @@ LONG = {
     "CC-BY-NC-SA-4.0": [_CC.format("Attribution-NonCommercial-ShareAlike")],
 }
 SPDX = re.compile(rb"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*)")
-TRIGGER = re.compile(rb"(?i)licen[sc]e|rights reserved|public domain|redistribut|copyright")
+TRIGGER = re.compile(rb"(?i)licen[sc]e|rights reserved|public domain|redistribut|copyright|creative commons")
 # words that may never differ: they tell one license from another
 _TELLING = re.compile(
     r"[0-9.]*[0-9][0-9.]*|mit|apache|gnu|general|lesser|affero|mozilla|bsd|cc|cc0|by|nc|sa|nd|domain|reserved"
     r"|attribution|noncommercial|commercial|sharealike|share|alike|noderivatives|noderivs|derivatives"
 )
+# what denies a notice, and what may stand between it and the notice
+_DENIES = frozenset("not no never neither nor cannot without isn aren wasn weren".split())
+_BETWEEN = frozenset(
+    "longer yet currently t is are be been being was it this available distributed released licensed covered under by the a any".split()
+)
+_SENTENCE_ENDS = re.compile(r"[.!?;:]|\n[\s#*/%-]*[A-Z]")
+_BSD_CONDITIONS = re.compile(rb"(?i)permitted\W+provided\W+that\W+the\W+following\W+conditions")
+_BSD_THIRD = re.compile(rb"(?i)neither\W+the\W+names?")
 _MARGIN = b" \t\r*#/;%-"  # what a blank line of a comment has
 _WORD = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 
@@ -161,11 +178,27 @@ class Wording:
         self.telling = [w for w in self.need if _TELLING.fullmatch(w)]
         self.cost = [_cost(w) for w in self.words]
 
+    def possible(self, have: Counter) -> bool:
+        """May words with these counts hold the notice at all?"""
+        if not self.words or any(have[w] < self.need[w] for w in self.telling):
+            return False
+        return sum(max(0, n - have[w]) for w, n in self.need.items()) <= self.allowed
+
+    def denied(self, text: str, words: list[str], spans: list[tuple[int, int]], first: int, end: int) -> bool:
+        """Does the sentence deny the notice in words ``first`` .. ``end``?"""
+        here = Counter(words[first:end])
+        if any(here[w] > self.need[w] for w in _DENIES & here.keys()):
+            return True
+        for k in range(first - 1, max(-1, first - 7), -1):
+            if words[k] in _DENIES:
+                return not _SENTENCE_ENDS.search(text, spans[k][1], spans[first][0])
+            if words[k] not in _BETWEEN:
+                return False
+        return False
+
     def places(self, words: list[str], have: Counter) -> Iterator[tuple[int, int, int]]:
         """(first word, word after the last, differences) of each notice."""
-        if not self.words or any(have[w] < self.need[w] for w in self.telling):
-            return
-        if sum(max(0, n - have[w]) for w, n in self.need.items()) > self.allowed:
+        if not self.possible(have):
             return
         number = {w: i for i, w in enumerate(self.need)}
         block = np.array([number.get(w, -1) for w in words], np.int64)
@@ -191,14 +224,17 @@ class Scanner:
 
         def compressor(text: bytes):
             known = zstd.ZstdCompressionDict(text, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            return zstd.ZstdCompressor(level=19, write_content_size=False, write_dict_id=False, dict_data=known)
+            known.precompute_compress(level=LEVEL)
+            return zstd.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, dict_data=known)
 
-        self.plain = zstd.ZstdCompressor(level=19, write_content_size=False)
+        self.plain = zstd.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.names = sorted(templates)
         self.short = {n: Wording(n, templates[n], allowed) for n in self.names}
         self.wordings = [*self.short.values()]
         self.wordings += [Wording(n, t, allowed) for n in self.names if n in TEMPLATES for t in LONG.get(n, ())]
         self.spdx = {n.lower(): n for n in self.names if n in TEMPLATES and n != "all-rights-reserved"}
+        if "BSD-3-Clause" in self.names:
+            self.spdx["bsd-2-clause"] = "BSD-2-Clause"
         self.compressors = {t: compressor(t) for t in {w.text for w in self.wordings}}
         self.compressor = compressor
 
@@ -206,6 +242,19 @@ class Scanner:
         known = self.compressors.get(text) or self.compressor(text)
         return 1 - len(known.compress(block)) / len(self.plain.compress(block))
 
+    def ranked(self, text: bytes, have: Counter) -> list[Wording]:
+        """The wordings that shrink a window around a trigger word, the one
+        that shrinks some window most first."""
+        possible = [w for w in self.wordings if w.possible(have)]
+        best: dict[int, float] = {}
+        for window in windows(text) if possible else ():
+            plain = len(self.plain.compress(window))
+            for i, w in enumerate(possible):
+                gain = 1 - len(self.compressors[w.text].compress(window)) / plain
+                if gain > 0:
+                    best[i] = max(best.get(i, 0.0), gain)
+        return [possible[i] for i in sorted(best, key=lambda i: (-best[i], i))]
+
     def line(self, block: bytes) -> tuple[str, float, int, bool] | None:
         """The short notice that shrinks a block most, if any does: (name,
         size reduction, wording differences, unconfirmed)."""
@@ -218,12 +267,13 @@ class Scanner:
     def notices(self, lines: list[bytes]) -> Iterator[tuple[int, int, str, float, int]]:
         """(first line, last line, license, size reduction, differences) of
         the confirmed notices of a paragraph, one per first line and license."""
-        words: list[str] = []
-        line_of: list[int] = []
-        for k, line in enumerate(lines):
-            more = wording(line.decode("utf-8", "replace"))
-            words += more
-            line_of += [k] * len(more)
+        whole = b"\n".join(lines)
+        text = whole.decode("utf-8", "replace")
+        found_words = list(_WORD.finditer(whole.lower().decode("utf-8", "replace")))  # A-Z only: places stay
+        words = [m.group() for m in found_words]
+        spans = [m.span() for m in found_words]
+        ends = [i for i, c in enumerate(text) if c == "\n"]
+        line_of = [bisect_left(ends, a) for a, _ in spans]
         have = Counter(words)
         best: dict[tuple[int, str], tuple] = {}
 
@@ -238,8 +288,10 @@ class Scanner:
             elif last > old[1]:
                 best[first, name] = (first, last, *old[2:])
 
-        for w in self.wordings:
+        for w in self.ranked(whole, have):
             for a, b, n in w.places(words, have):
+                if w.denied(text, words, spans, a, b):
+                    continue
                 first, last = line_of[a], line_of[b - 1]
                 block = b"\n".join(lines[first : last + 1])
                 if len(block) > BLOCK:  # a long line: the notice itself
@@ -257,6 +309,9 @@ class Scanner:
         if not text or not TRIGGER.search(text):
             return
         lines = text.split(b"\n")
+        yield from _told_apart(self._rows(lines), lines)
+
+    def _rows(self, lines: list[bytes]) -> Iterator[tuple[int, str, float, int, bool]]:
         start = 0
         while start < len(lines):
             stop = start
@@ -281,6 +336,32 @@ class Scanner:
             start = max(stop, start + 1)
 
 
+def windows(text: bytes) -> Iterator[bytes]:
+    """Overlapping stretches around the trigger words, narrow and wide ones;
+    triggers near the middle of a stretch share it."""
+    triggers = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
+    for reach in REACHES:
+        last = -reach
+        for a, b in triggers:
+            if a - last > reach // 2:
+                yield text[max(0, a - reach) : b + reach]
+                last = a
+                if len(text) <= reach:
+                    break
+
+
+def _told_apart(rows: Iterable[tuple], lines: list[bytes]) -> Iterator[tuple]:
+    """``rows`` with the BSD sentences named by the conditions after them."""
+    rows = list(rows)
+    starts = [r[0] for r in rows if r[1] == "BSD-3-Clause" and r[4]]
+    for r in rows:
+        if r[1] == "BSD-3-Clause" and r[4]:
+            after = b"\n".join(lines[r[0] : min([x for x in starts if x > r[0]], default=len(lines))])
+            if _BSD_CONDITIONS.search(after[:BLOCK]) and not _BSD_THIRD.search(after):
+                r = (r[0], "BSD-2-Clause", *r[2:])
+        yield r
+
+
 def _around(line: bytes) -> Iterator[bytes]:
     """The line, or for very long lines the stretches around its trigger
     words (overlapping ones joined, cut at blanks)."""
