@@ -266,17 +266,24 @@ class LogBilinear:
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.R[one] @ self.P[0] + self.R[two] @ self.P[1]
 
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray, token: np.ndarray, step: int = 4096) -> np.ndarray:
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, token: np.ndarray, step: int = 512) -> np.ndarray:
         """Natural logs of the normalised probabilities of ``token`` after
         the classes ``one`` (last) and ``two`` (before it)."""
         n = len(self.R)
         context, which = np.unique(one * n + two, return_inverse=True)
         q = self.predicted(context // n, context % n)
-        norm = np.empty(len(context))
+        norm, outputs = np.empty(len(context)), np.ascontiguousarray(self.Q.T)
         for at in range(0, len(context), step):
-            s = q[at : at + step] @ self.Q.T + self.b
-            top = s.max(axis=1)
-            norm[at : at + step] = top + np.log(np.exp(s - top[:, None]).sum(axis=1, dtype=np.float64))
+            s = q[at : at + step] @ outputs
+            s += self.b
+            top = s.max()
+            if top > 60:  # exp would overflow, or lose the smaller rows
+                rows = s.max(axis=1)
+                s -= rows[:, None]
+            else:
+                rows = 0.0
+            np.exp(s, out=s)
+            norm[at : at + step] = rows + np.log(s.sum(axis=1, dtype=np.float64))
         return np.einsum("ij,ij->i", q[which], self.Q[token]) + self.b[token] - norm[which]
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, fresh_names
+from .common import append_columns, fresh_names, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -220,6 +220,25 @@ def fit_votes(counted: DataFrame, names: dict[str, str], rules: Sequence[Rule] =
     return estimate(votes, np.array([r["count"] for r in found], float))
 
 
+def _decided(
+    counted: DataFrame, names: dict[str, str], model: VoteModel, rules: Sequence[Rule], least: float
+) -> DataFrame:
+    failed = (F.col(names["n_words"]) < MIN_WORDS) | (
+        F.col(names["n_repeat_words"]) * 100 > F.col(names["n_words"]) * MAX_REPEAT_PERCENT
+    )
+    odds = model.log_odds(_votes(names, rules))
+    out = counted.withColumn(names["base_failed"], failed).withColumn(
+        names["clean_probability"], F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    )
+    return out.withColumn(names["kept"], ~F.col(names["base_failed"]) & (F.col(names["clean_probability"]) >= least))
+
+
+def _named(docs: DataFrame) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    extra = ("base_failed", "clean_probability", "kept")
+    names = dict(zip((*COUNTS, *extra), fresh_names(docs, *COUNTS, *extra), strict=True))
+    return names, [(names[c], "long") for c in COUNTS]
+
+
 def judge(
     docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, least: float = 0.5
 ) -> tuple[DataFrame, dict[str, str]]:
@@ -227,17 +246,19 @@ def judge(
     ``kept``; also the (clash-free) names those columns got.
 
     ``kept``: the base check passes and the posterior is at least ``least``.
+    The texts are counted twice, once to fit and once to decide, and never
+    shuffled or written.
     """
-    extra = ("base_failed", "clean_probability", "kept")
-    names = dict(zip((*COUNTS, *extra), fresh_names(docs, *COUNTS, *extra), strict=True))
-    fields = [(names[c], "long") for c in COUNTS]
+    names, fields = _named(docs)
     model = fit_votes(append_columns(docs.select(text), count_columns, text, fields), names, rules)
-    out = append_columns(docs, count_columns, text, fields)
-    failed = (F.col(names["n_words"]) < MIN_WORDS) | (
-        F.col(names["n_repeat_words"]) * 100 > F.col(names["n_words"]) * MAX_REPEAT_PERCENT
-    )
-    odds = model.log_odds(_votes(names, rules))
-    out = out.withColumn(names["base_failed"], failed).withColumn(
-        names["clean_probability"], F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    )
-    return out.withColumn(names["kept"], ~F.col(names["base_failed"]) & (F.col(names["clean_probability"]) >= least)), names
+    return _decided(append_columns(docs, count_columns, text, fields), names, model, rules, least), names
+
+
+def judge_counts(
+    docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, least: float = 0.5
+) -> tuple[DataFrame, dict[str, str]]:
+    """``judge`` without the text: the texts are counted once, and the fit and
+    the decisions read the written counts."""
+    names, fields = _named(docs)
+    counted = written(append_columns(docs, count_columns, text, fields).drop(text), "quality-counts")
+    return _decided(counted, names, fit_votes(counted, names, rules), rules, least), names

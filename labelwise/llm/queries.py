@@ -11,7 +11,7 @@ from .common import id_remainder, table
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, n = quality.judge(docs)
+    out, n = quality.judge_counts(docs)
     return out.select(
         "doc_id",
         *[F.col(n[c]).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
