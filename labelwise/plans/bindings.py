@@ -88,6 +88,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scan_parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """The number of tasks that read a driver table (it grows with its size)."""
+    return table(spark, sf_dir, name).rdd.getNumPartitions()
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream.  The glob (``name.parque[t]``)
     lets the file source watch the shared folder for exactly this table."""

@@ -1016,18 +1016,20 @@ def vocabulary_round_trip(spark, sf_dir):
 
 @query
 def stream_prepare_stateful(spark, sf_dir):
-    """X4 with keyed state: rows arrive in four files out of order, and a
-    closing row lets the watermark pass; equals ``prepare_records``."""
+    """X4 with keyed state: rows arrive in four files (of a large table one for
+    each part that a scan of it reads) out of order, half of them at a time, and
+    a closing row lets the watermark pass; equals ``prepare_records``."""
     from ..session import scratch_path
     from ..streaming.stateful import start_prepare_stateful
 
     at = F.timestamp_seconds(F.col(B.KEY) + 10**9).alias("at")
     rows = B.split_rows(spark, sf_dir).select("split", B.KEY, "text", "label", at)
     folder = scratch_path(spark, "stateful-rows")
-    rows.repartition(4, F.xxhash64(B.KEY)).write.parquet(folder)
+    half = max(2, B.scan_parts(spark, sf_dir, "documents") // 2)
+    rows.repartition(2 * half, F.xxhash64(B.KEY)).write.parquet(folder)
     closing = spark.sql("SELECT 'train' AS split, -1 AS doc_id, 'end' AS text, 0 AS label, timestamp_seconds(10000000000) AS at")
     closing.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", half).parquet(folder)
     out, ck = scratch_path(spark, "stateful-out"), scratch_path(spark, "stateful-ckpt")
     start_prepare_stateful(stream, B.SPEC, B.KEY, "at", "3650 days", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
     return spark.read.parquet(out).select("split", "doc_id", "instruction", "input", "output")
@@ -1036,20 +1038,23 @@ def stream_prepare_stateful(spark, sf_dir):
 @query
 def stream_late_rows(spark, sf_dir):
     """X4 within a watermark that passes: three arrivals, the last of which
-    holds rows older than the watermark; these are dropped."""
+    holds rows older than the watermark; these are dropped.  An arrival is as
+    many files as its rows come in and one micro-batch: the query stops after
+    each and goes on from its checkpoint."""
     from ..session import scratch_path
-    from ..streaming.prepare import start_prepare_within
+    from ..streaming.prepare import one_batch_a_run, start_prepare_within
 
     lab = B.split_rows(spark, sf_dir)
     most = lab.agg(F.max(B.KEY)).first()[0]
     second = F.floor(F.col(B.KEY) * 1000 / F.lit(most)).cast("bigint")
     rows = lab.select("split", B.KEY, "text", "label", F.timestamp_seconds(second + 10**9).alias("at"))
     folder, last = scratch_path(spark, "late-rows"), F.col(B.KEY) % 10
-    for part in (last < 8, last == 8, last == 9):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out, ck = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
-    start_prepare_within(stream, B.SPEC, B.KEY, "at", "600 seconds", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
+    for part in (last < 8, last == 8, last == 9):
+        rows.filter(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        with one_batch_a_run(spark):
+            start_prepare_within(stream, B.SPEC, B.KEY, "at", "600 seconds", out, ck, class_names=B.CLASS_NAMES).awaitTermination()
     return spark.read.parquet(out).select("split", "input", "output")
 
 
