@@ -10,7 +10,7 @@ state, fully JVM-side.  Other tokenisers plug in as a Column function
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..functions.text import WHITESPACE, space_tokens
 from .chat import CHATML, ChatTemplate
 from .ranks import global_positions
 from .splits import hash_bucket
-from .workers import built_once, new_id
+from .workers import built_once, new_id, text_parts
 
 Tokenizer = Callable[[Column], Column]
 
@@ -185,15 +185,19 @@ def pandas_tokenizer(factory: Callable[[], Callable[[str], list[str]]]) -> Token
     """U1 for external tokenisers: an Arrow-batched pandas UDF.
 
     ``factory`` builds the tokeniser once per Python worker (cached), and
-    the returned function maps one text to its token strings.
+    the returned function maps one text to its token strings.  A batch's
+    tokens, many times its text as Python strings, leave the worker part by
+    part (``text_parts``).
     """
     import pandas as pd
 
     ident = new_id()
 
-    def tok(texts):
+    def tok(batches):
         fn = built_once(ident, factory)
-        return texts.map(lambda t: None if t is None else list(fn(t)))
+        for texts in batches:
+            for rows in text_parts(texts):
+                yield texts.iloc[rows].map(lambda t: None if t is None else list(fn(t)))
 
-    tok.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    tok.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(tok, T.ArrayType(T.StringType()))

@@ -1,14 +1,17 @@
-"""Objects that a Python worker builds once and keeps from task to task."""
+"""Objects that a Python worker builds once and keeps from task to task, and
+the parts in which it works through a batch."""
 
 from __future__ import annotations
 
 import sys
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 # A worker keeps this many models or tokenisers; the least recently used goes.
 KEPT = 4
+# A worker holds what it makes of about this many characters at a time.
+PART_CHARS = 1 << 18
 
 
 def new_id() -> str:
@@ -27,3 +30,18 @@ def built_once(ident: str, factory: Callable):
         while len(kept) > KEPT:
             kept.popitem(last=False)
     return kept[ident]
+
+
+def text_parts(texts: Sequence, step: int = 1, most: int = PART_CHARS) -> Iterator[slice]:
+    """Consecutive slices of ``texts``, each of whole steps of ``step`` texts
+    (the last step may be shorter) and closed once it has ``most`` characters,
+    so that a part's size depends neither on the batch nor on the table.  Other
+    values than strings count as one character."""
+    begin = chars = 0
+    for i, t in enumerate(texts, 1):
+        chars += len(t) if isinstance(t, str) else 1
+        if chars >= most and i % step == 0:
+            yield slice(begin, i)
+            begin, chars = i, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
