@@ -8,7 +8,8 @@ A scorer adds ``raw_output`` (the model's text answer) and optionally
 * Relational scorers (``TokenWeights`` in ``fit.py``): joins + grouping.
 * External models (``PandasScorer``): ``mapInPandas`` over Arrow batches,
   the model built once per Python worker and reused across batches and
-  tasks; each row's latency is the model call only.
+  tasks; each row's latency is the model call only.  A worker answers and
+  hands back a batch in small parts, so it never holds a second one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ..functions.labels import extract_label, is_correct, is_valid_format
 from ..functions.text import py_strip, word_tokens
 from ..session import scratch_path
 from ..spec import TaskSpec
-from .workers import built_once, new_id
+from .workers import built_once, new_id, text_parts
 
 PREDICTION_COLUMNS = ("mode", "index", "input", "expected", "raw_output", "predicted", "latency_sec")
 
@@ -116,20 +117,21 @@ class PandasScorer:
             calls = (lambda texts: fn(texts)) if batched else (lambda texts: [fn(t) for t in texts])
             failed = 0
             for pdf in batches:
-                texts = list(pdf[text_col])
-                size = (call_rows or max(len(texts), 1)) if batched else 1
-                answers = []
-                for at in range(0, len(texts), size):
-                    part = texts[at : at + size]
-                    answers += isolated(calls, part) if isolate else timed(calls, part)
-                failed += sum(why is not None for _, _, why in answers)
-                if most_errors is not None and failed > most_errors:
-                    raise RuntimeError(f"the model failed on {failed} texts of one task, the last: {[w for _, _, w in answers if w][-1]}")
-                new = {
-                    "raw_output": [None if why else "" if a is None else str(a).strip() for a, _, why in answers],
-                    "latency_sec": [sec for _, sec, _ in answers],
-                }
-                yield pdf.assign(**new, **({"error": [why for _, _, why in answers]} if isolate else {}))
+                size = (call_rows or max(len(pdf), 1)) if batched else 1
+                for rows in text_parts(pdf[text_col], size):
+                    part, answers = pdf.iloc[rows], []
+                    texts = list(part[text_col])
+                    for at in range(0, len(texts), size):
+                        call = texts[at : at + size]
+                        answers += isolated(calls, call) if isolate else timed(calls, call)
+                    failed += sum(why is not None for _, _, why in answers)
+                    if most_errors is not None and failed > most_errors:
+                        raise RuntimeError(f"the model failed on {failed} texts of one task, the last: {[w for _, _, w in answers if w][-1]}")
+                    new = {
+                        "raw_output": [None if why else "" if a is None else str(a).strip() for a, _, why in answers],
+                        "latency_sec": [sec for _, sec, _ in answers],
+                    }
+                    yield part.assign(**new, **({"error": [why for _, _, why in answers]} if isolate else {}))
 
         return df.mapInPandas(run, schema)
 
